@@ -17,6 +17,11 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, use) -> Column:
+    """Bind an expression to a lambda variable, so that nested lambdas read it instead of recomputing it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def js_parse_int(x: Column | str) -> Column:
     """Leading integer of a string; NULL plays the part of NaN."""
     x = _col(x).cast("string")

@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from palisade.functions.coerce import _col
+from palisade.functions.coerce import _col, let
 
 SEPARATOR = "\u0001"
 
 
 def entropy(x: Column | str) -> Column:
     """Shannon entropy in bits per character, rounded to 6 digits; NULL for ''."""
-    x = _col(x)
-    total = F.length(x).cast("double")
 
-    def bits(acc: Column, c: Column) -> Column:
-        p = F.try_divide(total - F.length(F.replace(x, c, F.lit(""))), total)
-        return acc - p * F.log2(p)
+    def total_bits(v: Column) -> Column:
+        total = F.length(v).cast("double")
+
+        def bits(acc: Column, c: Column) -> Column:
+            p = F.try_divide(total - F.length(F.replace(v, c, F.lit(""))), total)
+            return acc - p * F.log2(p)
 
-    chars = F.array_distinct(F.filter(F.split(x, ""), lambda c: c != ""))
-    return F.when(total > 0, F.round(F.aggregate(chars, F.lit(0.0), bits), 6))
+        chars = F.array_distinct(F.filter(F.split(v, ""), lambda c: c != ""))
+        return F.when(total > 0, F.round(F.aggregate(chars, F.lit(0.0), bits), 6))
+
+    return let(_col(x), total_bits)
 
 
 def redact(x: Column | str) -> Column:
@@ -39,8 +42,6 @@ def fingerprint(repo: Column, path: Column, rule_id: Column, match: Column) -> C
 
 def decode_payload(x: Column | str) -> Column:
     """URL-decode, then replace CHAR(n,…) runs by the characters they spell."""
-    plain = F.coalesce(F.try_url_decode(_col(x)), _col(x))
-    calls = F.regexp_extract_all(plain, F.lit(r"(?i)CHAR[(]([0-9]{1,3}(?:,[0-9]{1,3})*)[)]"), F.lit(1))
 
     def spell(acc: Column, numbers: Column) -> Column:
         text = F.array_join(
@@ -49,30 +50,45 @@ def decode_payload(x: Column | str) -> Column:
         call = F.concat(F.lit("CHAR("), numbers, F.lit(")"))
         return F.replace(F.replace(acc, call, text), F.lower(call), text)
 
-    return F.when(F.size(calls) > 0, F.aggregate(calls, plain, spell)).otherwise(plain)
+    def decode(plain: Column) -> Column:
+        calls = F.regexp_extract_all(plain, F.lit(r"(?i)CHAR[(]([0-9]{1,3}(?:,[0-9]{1,3})*)[)]"), F.lit(1))
+        # Most requests hold no such call: those skip the pattern.
+        return F.when(F.contains(F.lower(plain), F.lit("char(")), F.aggregate(calls, plain, spell)).otherwise(plain)
+
+    x = _col(x)
+    return let(F.coalesce(F.try_url_decode(x), x), decode)
 
 
 def luhn_valid(digits: Column | str) -> Column:
     """Luhn checksum over a string of decimal digits."""
-    rev = F.transform(F.split(F.reverse(_col(digits)), ""), lambda c: c.try_cast("int"))
-    rev = F.filter(rev, lambda c: c.isNotNull())
 
     def weigh(d: Column, i: Column) -> Column:
         doubled = F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2)
         return F.when(i % 2 == 1, doubled).otherwise(d)
 
-    total = F.aggregate(F.transform(rev, weigh), F.lit(0), lambda a, d: a + d)
-    return (F.size(rev) > 0) & (total % 10 == 0)
+    def check(rev: Column) -> Column:
+        total = F.aggregate(F.transform(rev, weigh), F.lit(0), lambda a, d: a + d)
+        return (F.size(rev) > 0) & (total % 10 == 0)
+
+    rev = F.transform(F.split(F.reverse(_col(digits)), ""), lambda c: c.try_cast("int"))
+    return let(F.filter(rev, lambda c: c.isNotNull()), check)
 
 
 def word_ngrams(x: Column | str, n: int) -> Column:
     """Distinct hashes of the n-word shingles of a text (whole text, no prefix)."""
-    words = F.filter(F.split(_col(x), r"[ \n\t\r]+"), lambda w: w != "")
-    grams = F.transform(
-        F.sequence(F.lit(1), F.size(words) - (n - 1)),
-        lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " ")),
-    )
-    return F.when(F.size(words) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<bigint>"))
+
+    def hashes(words: Column) -> Column:
+        grams = F.transform(
+            F.sequence(F.lit(1), F.size(words) - (n - 1)),
+            lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " ")),
+        )
+        return F.when(F.size(words) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<bigint>"))
+
+    return let(split_words(x), hashes)
+
+
+def split_words(x: Column | str) -> Column:
+    return F.filter(F.split(_col(x), r"[ \n\t\r]+"), lambda w: w != "")
 
 
 def host(url: Column | str) -> Column:

@@ -99,7 +99,7 @@ def distinct_actors(df: DataFrame, key: str, actor: str, exact: bool = False, rs
 
 def matrix(df: DataFrame, row: str, col: str, values: Sequence[str]) -> DataFrame:
     """Counts as a row × column table; the column values are given, so no extra pass."""
-    return df.groupBy(row).pivot(col, list(values)).agg(F.count("*")).na.fill(0)
+    return df.groupBy(row).pivot(col, list(values)).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def evaluate(predicted: DataFrame, truth: DataFrame, key: str) -> DataFrame:

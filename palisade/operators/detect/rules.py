@@ -180,13 +180,15 @@ def rule_hits(text: Column, low: Column, rules: Sequence[Rule], checked: bool =
     pattern only runs where one of its gate words occurs.
     """
     none = F.array().cast("array<struct<rule_id:string,match:string>>")
-    parts = []
-    for r in rules:
-        found = F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0))
-        if checked and r.check:
-            found = F.filter(found, lambda m, r=r: _check(r, m))
-        hits = F.transform(found, lambda m, r=r: F.struct(F.lit(r.rule_id).alias("rule_id"), m.alias("match")))
-        parts.append(F.when(_any_of(r.gate, low), hits).otherwise(none) if r.gate else F.coalesce(hits, none))
+
+    def one(rule: Rule) -> Column:
+        found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+        if checked and rule.check:
+            found = F.filter(found, lambda m: _check(rule, m))
+        hits = F.transform(found, lambda m: F.struct(F.lit(rule.rule_id).alias("rule_id"), m.alias("match")))
+        return F.when(_any_of(rule.gate, low), hits).otherwise(none) if rule.gate else F.coalesce(hits, none)
+
+    parts = [one(r) for r in rules]
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 

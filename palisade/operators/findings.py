@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.functions.text import normalize_match
+from palisade.functions.coerce import let
+from palisade.functions.text import normalize_match, split_words
 from palisade.operators.detect.graph import components
 from palisade.operators.detect.rules import COMPLIANCE, ORGANIZERS, mapping_table, rules_table
 from palisade.operators.sets import scan_diff
@@ -121,24 +122,29 @@ def exact_duplicates(files: DataFrame, key: str, text: str = "content") -> DataF
 def band_keys(text: Column, n: int, bands: int, rows: int) -> Column:
     """Band keys of a MinHash signature over the hashed n-word shingles of the whole text.
 
-    Permutation i of a shingle's 31-bit hash h is (a·h + b) mod p with p = 2^31-1.
+    Permutation i of a shingle's 28-bit hash h is (a·h + b) mod p with p = 2^31-1.
     """
-    words = F.filter(F.split(text, r"[ \n\t\r]+"), lambda w: w != "")
-    # A text shorter than one shingle is its own single shingle.
-    count = F.greatest(F.size(words) - (n - 1), F.lit(1))
-    grams = F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(words, i, n), " "))
-    h = F.array_distinct(F.transform(grams, lambda g: F.conv(F.substring(F.md5(g), 1, 7), 16, 10).cast("bigint")))
     p = (1 << 31) - 1
 
-    def minimum(i: int) -> Column:
-        a, b = (1103515245 * (i + 1) + 12345) % p, (69069 * (i + 1) + 1) % p
-        return F.array_min(F.transform(h, lambda x: (x * F.lit(a) + F.lit(b)) % F.lit(p)))
-
-    keys = []
-    for band in range(bands):
-        sig = [minimum(band * rows + r).cast("string") for r in range(rows)]
-        keys.append(F.concat_ws(":", F.lit(str(band)), *sig))
-    return F.array(*keys)
+    def shingles(words: Column) -> Column:
+        # A text shorter than one shingle is its own single shingle.
+        count = F.greatest(F.size(words) - (n - 1), F.lit(1))
+        return F.array_distinct(F.transform(
+            F.sequence(F.lit(1), count),
+            lambda i: F.conv(F.substring(F.md5(F.array_join(F.slice(words, i, n), " ")), 1, 7), 16, 10).cast("bigint"),
+        ))
+
+    def keys(h: Column) -> Column:
+        def minimum(i: int) -> Column:
+            a, b = (1103515245 * (i + 1) + 12345) % p, (69069 * (i + 1) + 1) % p
+            return F.array_min(F.transform(h, lambda x: (x * F.lit(a) + F.lit(b)) % F.lit(p)))
+
+        return F.array(*[
+            F.concat_ws(":", F.lit(str(band)), *[minimum(band * rows + r).cast("string") for r in range(rows)])
+            for band in range(bands)
+        ])
+
+    return let(let(split_words(text), shingles), keys)
 
 
 def near_duplicates(files: DataFrame, key: str, text: str = "content", n: int = 3, bands: int = 4, rows: int = 4) -> DataFrame:

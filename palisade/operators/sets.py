@@ -45,7 +45,12 @@ def _copies(a: DataFrame, b: DataFrame, count) -> DataFrame:
     )
     n = tagged.groupBy(*cols).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
     n = n.withColumn("_n", count(F.col("_a"), F.col("_b"))).where(F.col("_n") > 0)
-    return n.select(*cols, F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_i")).drop("_i")
+    # Copies are unfolded in two steps, so that no array grows with a row's count.
+    chunk = 100_000
+    starts = F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / chunk))
+    parts = n.select(*cols, "_n", F.explode(starts).alias("_c"))
+    size = F.least(F.lit(chunk), F.col("_n") - F.col("_c") * chunk)
+    return parts.select(*cols, F.explode(F.sequence(F.lit(1).cast("bigint"), size.cast("bigint"))).alias("_i")).drop("_i")
 
 
 def union_distinct(*frames: DataFrame) -> DataFrame:

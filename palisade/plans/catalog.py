@@ -15,7 +15,7 @@ ORACLES: dict[str, str] = {}
 
 # Oracle-side fragments that several queries share.
 LINES = (
-    "SELECT repo, path, i AS line, l[i] AS text FROM "
+    "SELECT repo, path, CAST(i AS INTEGER) AS line, l[i] AS text FROM "
     "(SELECT repo, path, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT repo, path, string_split(content, chr(10)) AS l FROM {src}))"
 )
 

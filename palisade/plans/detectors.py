@@ -1 +1,509 @@
-"""Registered queries."""
+"""Rule packs, literals, traffic, dependencies, specs and logs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from palisade.operators.detect import code as D
+from palisade.operators.detect import deps as P
+from palisade.operators.detect import graph as G
+from palisade.operators.detect import traffic as N
+from palisade.operators.detect.rules import match_rules, pack, scan
+from palisade.operators.findings import classify
+from palisade.operators.sets import append
+from palisade.plans.catalog import LINES, findings_ctes, matches_sql, query, sql_text
+from palisade.sources import specs as S
+from palisade.sources.scanner_log import read_scanner_log
+from palisade.sources.tables import Tables
+from palisade.sources.vectors import coverage_sql, vectors
+
+COLUMNS = ["repo", "path", "line", "rule_id", "severity", "match", "fingerprint"]
+_COLS = ", ".join(COLUMNS)
+
+
+def findings_sql(*detectors: str, src: str = "files") -> str:
+    return f"WITH {findings_ctes(pack(*detectors), src)} SELECT {_COLS} FROM findings"
+
+
+@query(
+    "j8_rule_match",
+    f"WITH lines AS MATERIALIZED ({LINES.format(src='files')}) SELECT repo, path, line, rule_id, count(*) AS n "
+    f"FROM ({matches_sql(pack(), checked=False)}) GROUP BY ALL",
+)
+def j8(t: Tables) -> DataFrame:
+    return match_rules(t.files, pack(), checked=False).groupBy("repo", "path", "line", "rule_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    "j12_classify",
+    f"WITH {findings_ctes(pack('D1'))} SELECT vector_id, 'vector ' || CAST(vector_id AS STRING) AS vector, {coverage_sql('vector_id')} AS family, count(*) AS n FROM findings GROUP BY 1, 2, 3",
+)
+def j12(t: Tables) -> DataFrame:
+    found = classify(D.detect_secrets(t.files), vectors(t.spark))
+    return found.groupBy("vector_id", "vector", "family").agg(F.count("*").alias("n"))
+
+
+@query(
+    "s7_vectors",
+    f"WITH {findings_ctes(pack())}, c AS (SELECT vector_id, count(*) AS n FROM findings GROUP BY 1) "
+    f"SELECT CAST(id AS INTEGER) AS id, {coverage_sql()} AS family, coalesce(n, 0) AS signals FROM range(1, 301) r(id) LEFT JOIN c ON id = vector_id",
+)
+def s7(t: Tables) -> DataFrame:
+    """The whole dimension with the signals of every vector in the documents."""
+    counts = scan(t.files).groupBy("vector_id").agg(F.count("*").alias("n"))
+    return vectors(t.spark).join(counts, F.col("id") == F.col("vector_id"), "left").select(
+        "id", "family", F.coalesce("n", F.lit(0)).alias("signals")
+    )
+
+
+@query("d1_secrets", findings_sql("D1"))
+def d1(t: Tables) -> DataFrame:
+    return D.detect_secrets(t.files).select(*COLUMNS)
+
+
+_UNESCAPED = "(SELECT url AS repo, CAST(page_id AS STRING) || '.html' AS path, replace(replace(html, '&quot;', chr(34)), '&#39;', chr(39)) AS content FROM pages)"
+
+
+@query("d1_secrets_html", findings_sql("D1", src=_UNESCAPED))
+def d1_html(t: Tables) -> DataFrame:
+    return D.detect_secrets(D.unescape_quotes(t.web_files)).select(*COLUMNS)
+
+
+@query("d2_sql_concat", findings_sql("D2", src="code_files"))
+def d2(t: Tables) -> DataFrame:
+    return D.detect_sql_strings(t.code_files).select(*COLUMNS)
+
+
+_BOTH = "(SELECT * FROM code_files UNION ALL SELECT * FROM web_files)"
+
+
+@query("d3_sinks", findings_sql("D3", src=_BOTH))
+def d3(t: Tables) -> DataFrame:
+    return D.detect_sinks(append(t.code_files, t.web_files)).select(*COLUMNS)
+
+
+@query("d4_crypto", findings_sql("D4", src="code_files"))
+def d4(t: Tables) -> DataFrame:
+    return D.detect_crypto(t.code_files).select(*COLUMNS)
+
+
+@query("d5_network", findings_sql("D5", src=_BOTH))
+def d5(t: Tables) -> DataFrame:
+    return D.detect_network(append(t.code_files, t.web_files)).select(*COLUMNS)
+
+
+@query(
+    "d5_urls",
+    f"SELECT 'documents' AS src, doc_id AS id, unnest(regexp_extract_all(text, {sql_text(D.URL)}, 0)) AS value FROM documents UNION ALL "
+    f"SELECT 'pages', page_id, unnest(regexp_extract_all(url || ' ' || html, {sql_text(D.URL)}, 0)) FROM pages",
+)
+def d5_urls(t: Tables) -> DataFrame:
+    docs = t.documents.select(F.lit("documents").alias("src"), F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    web = t.pages.select(F.lit("pages").alias("src"), F.col("page_id").alias("id"), F.concat_ws(" ", "url", "html").alias("content"))
+    return D.urls(append(docs, web), "src", "id")
+
+
+_IPS = f"unnest(regexp_extract_all(text, {sql_text(D.IPV4)}, 0)) AS value"
+_OCTETS = "list_transform(string_split(value, '.'), lambda x: CAST(x AS INTEGER))"
+
+
+@query(
+    "d5_ips",
+    f"WITH v AS (SELECT 'documents' AS src, doc_id AS id, {_IPS} FROM documents UNION ALL SELECT 'pages', page_id, {_IPS} FROM (SELECT page_id, html AS text FROM pages)), "
+    f"o AS (SELECT *, {_OCTETS} AS o FROM v) "
+    "SELECT src, id, value, o[1] IN (10, 127) OR (o[1] = 192 AND o[2] = 168) OR (o[1] = 172 AND o[2] BETWEEN 16 AND 31) OR (o[1] = 169 AND o[2] = 254) AS private "
+    "FROM o WHERE list_max(o) <= 255",
+)
+def d5_ips(t: Tables) -> DataFrame:
+    docs = t.documents.select(F.lit("documents").alias("src"), F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    web = t.pages.select(F.lit("pages").alias("src"), F.col("page_id").alias("id"), F.col("html").alias("content"))
+    return D.ips(append(docs, web), "src", "id")
+
+
+@query(
+    "d6_sqli",
+    "SELECT req_id, CASE WHEN event_type = 'error' AND (value < 40 OR event_id = events.user_id) THEN 'boolean' WHEN event_type = 'signup' AND value < 40 THEN 'union' "
+    "WHEN event_type = 'signup' THEN 'time' WHEN event_type = 'purchase' AND value >= 20 AND value < 40 THEN 'quote' END AS class "
+    "FROM payloads JOIN events ON req_id = event_id",
+)
+def d6(t: Tables) -> DataFrame:
+    return t.payloads.select("req_id", N.sqli_class(F.col("query")).alias("class"))
+
+
+@query(
+    "d7_url_payload",
+    "SELECT 'request' AS src, event_id AS id, CASE WHEN event_type = 'click' AND value < 40 THEN 'traversal' WHEN event_type = 'click' THEN 'parameter_pollution' ELSE 'ssrf' END AS kind "
+    "FROM events WHERE event_type = 'click' OR (event_type = 'purchase' AND value < 20) UNION ALL "
+    "SELECT 'request', event_id, 'redirect' FROM events WHERE event_type = 'purchase' AND value < 20 UNION ALL "
+    "SELECT 'page', page_id, 'redirect' FROM pages WHERE regexp_matches(url, '(?i)[?&](next|url|redirect|return)=https?://')",
+)
+def d7(t: Tables) -> DataFrame:
+    requests = t.payloads.select(F.lit("request").alias("src"), F.col("req_id").alias("id"), F.col("query").alias("q"))
+    web = t.pages.select(
+        F.lit("page").alias("src"), F.col("page_id").alias("id"), F.regexp_extract("url", r"[?]([^#]*)", 1).alias("q")
+    )
+    return N.payload_flags(append(requests, web), "q", "src", "id")
+
+
+@query("d7_verb_tampering", "SELECT event_id, event_type AS method FROM events WHERE upper(event_type) NOT IN ('VIEW', 'CLICK', 'PURCHASE')")
+def d7_verbs(t: Tables) -> DataFrame:
+    asked = t.events.select("event_id", F.col("event_type").alias("method"))
+    return N.verb_tampering(asked, ("VIEW", "CLICK", "PURCHASE"))
+
+
+@query(
+    "d8_error_rate",
+    "SELECT user_id, count(*) AS total, count(*) FILTER (event_type = 'error') AS errors, round(count(*) FILTER (event_type = 'error') / count(*), 6) AS rate FROM events GROUP BY 1 HAVING rate >= 0.2",
+)
+def d8(t: Tables) -> DataFrame:
+    return N.error_rate(t.events, F.col("user_id"), "user_id", F.col("event_type") == "error", 0.2)
+
+
+@query("d8_leaks", findings_sql("D8", src="code_files"))
+def d8_leaks(t: Tables) -> DataFrame:
+    return D.detect_leakage(t.code_files).select(*COLUMNS)
+
+
+@query("d9_foreign_access", "SELECT event_id, user_id, o_custkey AS owner FROM events JOIN orders ON event_id = o_orderkey WHERE user_id <> o_custkey")
+def d9(t: Tables) -> DataFrame:
+    asked = t.events.select("event_id", "user_id")
+    return N.foreign_access(asked, "event_id", "user_id", t.orders, "o_orderkey", "o_custkey")
+
+
+@query("d10_mass_assign", "SELECT event_id, unnest(list_filter(json_keys(props), lambda k: k NOT IN ('name', 'role'))) AS key FROM events")
+def d10(t: Tables) -> DataFrame:
+    return N.mass_assignment(t.events, ["name", "role"], "props", "event_id")
+
+
+@query(
+    "d11_bruteforce",
+    "WITH b AS (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n "
+    "FROM events WHERE event_type = 'error') SELECT user_id, count(*) AS alarms, max(n) AS peak, min(event_id) AS first_event FROM b WHERE n >= 2 GROUP BY 1",
+)
+def d11(t: Tables) -> DataFrame:
+    return N.bruteforce(t.events_utc, 2, 3_600_000_000)
+
+
+_HOST = "regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)"
+
+
+@query(
+    "d12_host_entropy",
+    f"WITH h AS (SELECT {_HOST} AS host, count(*) AS n FROM pages GROUP BY 1), l AS (SELECT host, n, unnest(string_split(host, '.')) AS label FROM h) "
+    "SELECT host, any_value(n) AS n, arg_max(label, (length(label), label)) AS label, round(list_entropy(string_split(arg_max(label, (length(label), label)), '')), 4) AS entropy FROM l GROUP BY host",
+)
+def d12(t: Tables) -> DataFrame:
+    return N.host_entropy(t.pages)
+
+
+_DEPS = (
+    "WITH d AS (SELECT p_brand AS repo, CAST(p_partkey AS STRING) AS module, p_type, replace(p_name, ' ', '-') AS n, CAST(p_size AS STRING) AS s FROM part) "
+    "SELECT repo, 'requirements.txt' AS manifest, module, 'pip' AS ecosystem, n AS name, '==' || s || '.0' AS spec, s || '.0' AS version, 'runtime' AS scope FROM d WHERE p_type = 'ECONOMY' UNION ALL "
+    "SELECT repo, 'requirements.txt', module, 'pip', 'base', '>=1.0', '1.0', 'runtime' FROM d WHERE p_type = 'ECONOMY' UNION ALL "
+    "SELECT repo, 'package.json', module, 'npm', n, '^' || s, s, 'runtime' FROM d WHERE p_type = 'STANDARD' UNION ALL "
+    "SELECT repo, 'package.json', module, 'npm', 'lint', '9.0.1', '9.0.1', 'dev' FROM d WHERE p_type = 'STANDARD' UNION ALL "
+    "SELECT repo, 'Dockerfile', module, 'docker', n, s || '-slim', s, 'build' FROM d WHERE p_type = 'PROMO' UNION ALL "
+    "SELECT repo, 'pom.xml', module, 'maven', 'org.acme:' || n, s || '.1', s || '.1', 'runtime' FROM d WHERE p_type = 'SMALL' UNION ALL "
+    "SELECT repo, 'go.mod', module, 'go', 'example.org/' || n, 'v' || s || '.2.0', s || '.2.0', 'runtime' FROM d WHERE p_type NOT IN ('ECONOMY', 'STANDARD', 'PROMO', 'SMALL')"
+)
+
+
+@query("d13_dependencies", _DEPS)
+def d13(t: Tables) -> DataFrame:
+    return P.dependencies(t.manifests)
+
+
+_ADVISED = "SELECT replace(p_name, ' ', '-') AS name, max(p_size) AS fixed FROM part WHERE p_type = 'PROMO' GROUP BY 1"
+
+
+@query(
+    "d14_risk_signals",
+    f"WITH d AS ({_DEPS}) SELECT module, name, 'range' AS signal FROM d WHERE spec LIKE '^%' OR spec LIKE '>%' UNION ALL "
+    "SELECT module, name, 'private_name' FROM d WHERE name IN (SELECT replace(p_name, ' ', '-') FROM part WHERE p_type = 'SMALL') UNION ALL "
+    f"SELECT module, d.name, 'advisory' FROM d JOIN ({_ADVISED}) a ON a.name = d.name WHERE CAST(string_split(version, '.')[1] AS INTEGER) < a.fixed",
+)
+def d14(t: Tables) -> DataFrame:
+    """Internal names are those of Maven modules; advisories cover images below their newest tag."""
+    plain = F.replace(F.col("p_name"), F.lit(" "), F.lit("-")).alias("name")
+    internal = t.part.where("p_type = 'SMALL'").select(plain)
+    advisories = t.part.where("p_type = 'PROMO'").select(plain, "p_size").groupBy("name").agg(F.max("p_size").cast("string").alias("fixed"))
+    return P.risk_signals(P.dependencies(t.manifests), internal, advisories).select("module", "name", "signal")
+
+
+@query("d14_missing_locks", "SELECT p_brand AS repo, count(*) AS manifests FROM part GROUP BY 1")
+def d14_locks(t: Tables) -> DataFrame:
+    return P.missing_locks(t.manifests)
+
+
+_TOKENS = f"regexp_extract_all(text, {sql_text(D.LONG_TOKEN)}, 0)"
+
+
+@query(
+    "d15_obfuscation",
+    f"WITH f AS (SELECT doc_id, coalesce(list_max(list_transform({_TOKENS}, lambda k: round(list_entropy(string_split(k, '')), 6))), 0.0) AS max_entropy, "
+    "CAST(list_max(list_transform(string_split(text, chr(10)), lambda l: length(l))) AS INTEGER) AS longest_line, "
+    "CAST(len(regexp_extract_all(text, '[A-Za-z0-9+/]{40,}={0,2}')) AS INTEGER) AS base64_runs, "
+    "CAST(len(regexp_extract_all(text, '([\\\\]x[0-9a-fA-F]{2}){8,}')) AS INTEGER) AS hex_runs, "
+    "CASE WHEN regexp_matches(text, '(eval|exec)[(][ ]*(atob|base64|unescape|bytes[.]fromhex)') THEN 1 ELSE 0 END AS eval_decode, "
+    "round(length(regexp_replace(text, '[\\x00-\\x7F]+', '', 'g')) / nullif(length(text), 0), 6) AS non_ascii FROM documents) "
+    "SELECT *, CAST(CASE WHEN max_entropy > 4.5 THEN 30 ELSE 0 END + CASE WHEN longest_line > 2000 THEN 20 ELSE 0 END + least(base64_runs, 2) * 10 + least(hex_runs, 2) * 10 "
+    "+ eval_decode * 30 + CASE WHEN non_ascii > 0.3 THEN 10 ELSE 0 END AS INTEGER) AS score FROM f",
+)
+def d15(t: Tables) -> DataFrame:
+    return D.obfuscation(t.documents.select("doc_id", F.col("text").alias("content")), "doc_id")
+
+
+_GRAMS = (
+    "SELECT DISTINCT {id}, array_to_string(w[i : i + 7], ' ') AS g FROM (SELECT {id}, w, unnest(range(1, len(w) - 6)) AS i FROM "
+    "(SELECT {id}, list_filter(regexp_split_to_array(text, '[ \\n\\t\\r]+'), lambda x: x <> '') AS w FROM {src}) WHERE len(w) >= 8)"
+)
+
+
+@query(
+    "d16_signature",
+    f"WITH d AS ({_GRAMS.format(id='doc_id', src='documents')}), b AS ({_GRAMS.format(id='item_id', src='benchmark')}), t AS (SELECT item_id AS i, count(*) AS total FROM b GROUP BY 1) "
+    "SELECT doc_id, item_id, count(*) AS shared, round(count(*) / any_value(total), 6) AS overlap FROM d JOIN b USING (g) JOIN t ON item_id = i GROUP BY 1, 2",
+)
+def d16(t: Tables) -> DataFrame:
+    files = t.documents.select("doc_id", F.col("text").alias("content"))
+    known = t.benchmark.select("item_id", F.col("text").alias("content"))
+    return D.signature_overlap(files, known, "doc_id", "item_id")
+
+
+@query(
+    "d17_db_artifacts",
+    "SELECT repo, path, CASE k WHEN 1 THEN 1 WHEN 2 THEN 5 WHEN 3 THEN 2 WHEN 4 THEN 3 WHEN 5 THEN 2 ELSE 2 END AS line, "
+    "CASE k WHEN 1 THEN 'create_table' WHEN 2 THEN 'alter_table' WHEN 3 THEN 'connection' WHEN 4 THEN 'model' ELSE 'statement' END AS kind, "
+    "CASE WHEN k <= 2 THEN replace(p_name, ' ', '_') ELSE '' END AS detail, k <= 2 AS migration "
+    "FROM (SELECT p_brand AS repo, p_partkey, p_name, p_size FROM part) p JOIN (SELECT path, CAST(regexp_extract(path, '([0-9]+)', 1) AS BIGINT) AS pk FROM code_files) c ON c.pk = p_partkey "
+    "JOIN (VALUES (1), (2), (3), (4), (5), (6)) v(k) ON (k <= 2 AND p_size BETWEEN 16 AND 20) OR (k IN (3, 4) AND p_size BETWEEN 21 AND 25) OR (k = 5 AND p_size <= 5) OR (k = 6 AND p_size BETWEEN 11 AND 15)",
+)
+def d17(t: Tables) -> DataFrame:
+    return D.db_artifacts(t.code_files)
+
+
+@query(
+    "d17_table_columns",
+    "SELECT p_brand AS repo, 'db/migrations/' || CAST(p_partkey AS STRING) || '.sql' AS path, replace(p_name, ' ', '_') AS \"table\", c AS \"column\", ty AS type "
+    "FROM part, (VALUES ('id', 'INTEGER'), ('size', 'TEXT')) v(c, ty) WHERE p_size BETWEEN 16 AND 20",
+)
+def d17_columns(t: Tables) -> DataFrame:
+    return D.table_columns(t.code_files)
+
+
+@query(
+    "d18_endpoints",
+    "SELECT regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '[0-9]+', '{id}', 'g') AS template, count(*) AS hits FROM pages GROUP BY 1",
+)
+def d18(t: Tables) -> DataFrame:
+    return N.url_endpoints(t.pages)
+
+
+@query(
+    "d18_code_endpoints",
+    "SELECT p_brand AS repo, '/api/items' || CAST(p_partkey AS STRING) || '/{id}' AS path, m AS method FROM part, (VALUES ('GET'), ('PUT')) v(m) WHERE p_size BETWEEN 31 AND 35 UNION ALL "
+    "SELECT p_brand, '/views/' || CAST(p_partkey AS STRING), 'POST' FROM part WHERE p_size BETWEEN 36 AND 40",
+)
+def d18_code(t: Tables) -> DataFrame:
+    return D.code_endpoints(t.code_files)
+
+
+_SERVER = "regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)"
+
+
+@query(
+    "s5_spec_flatten",
+    "SELECT CAST(page_id AS STRING) || '.json' AS spec, 'GET /api/' || CAST(page_id AS STRING) || ' 200' AS source, f AS field_path, ty AS type, CAST(d AS INTEGER) AS depth "
+    "FROM pages, (VALUES ('id', 'integer', 1), ('title', 'string', 1), ('owner', 'object', 1), ('owner.email', 'string', 2)) v(f, ty, d)",
+)
+def s5(t: Tables) -> DataFrame:
+    """Every response field of every description, references resolved."""
+    api = S.read_openapi(t.spec_files)
+    return S.resolve_refs(api["responses"], api["schema_fields"])
+
+
+@query(
+    "s5_params",
+    "SELECT CAST(page_id AS STRING) || '.json' AS spec, '/api/' || CAST(page_id AS STRING) AS path, 'GET' AS method, 'q' AS name, 'query' AS location, true AS required, 'string' AS type FROM pages",
+)
+def s5_params(t: Tables) -> DataFrame:
+    return S.read_openapi(t.spec_files)["params"].select("spec", "path", "method", "name", "location", "required", "type")
+
+
+@query(
+    "d19_spec_lint",
+    "WITH s AS (SELECT CAST(page_id AS STRING) || '.json' AS spec, page_id, url FROM pages) "
+    "SELECT spec, 'no_security' AS lint, 'GET /api/' || CAST(page_id AS STRING) AS at FROM s UNION ALL "
+    "SELECT spec, 'no_401_403', 'GET /api/' || CAST(page_id AS STRING) FROM s UNION ALL SELECT spec, 'unbounded_string', 'Page.title' FROM s UNION ALL "
+    f"SELECT spec, 'plain_http', {_SERVER} FROM s WHERE url LIKE 'http://%'",
+)
+def d19(t: Tables) -> DataFrame:
+    return S_lint(S.read_openapi(t.spec_files))
+
+
+def S_lint(api: dict[str, DataFrame]) -> DataFrame:
+    op = F.concat_ws(" ", "method", "path")
+    guarded = api["responses"].where(F.col("status").isin("401", "403")).select("spec", "path", "method").distinct()
+    keys = ["spec", "path", "method"]
+    return append(
+        api["endpoints"].where(~F.col("has_security")).select("spec", F.lit("no_security").alias("lint"), op.alias("at")),
+        api["endpoints"].join(guarded, keys, "left_anti").select("spec", F.lit("no_401_403").alias("lint"), op.alias("at")),
+        api["schema_fields"]
+        .where((F.col("type") == "string") & F.col("max_length").isNull() & F.col("format").isNull() & F.col("enum").isNull())
+        .select("spec", F.lit("unbounded_string").alias("lint"), F.concat_ws(".", "owner", "field").alias("at")),
+        api["servers"].where(F.startswith("url", F.lit("http://"))).select("spec", F.lit("plain_http").alias("lint"), F.col("url").alias("at")),
+    )
+
+
+_RUNS = (
+    "WITH l AS (SELECT file, n, block, sum(CASE WHEN block LIKE '[*] starting%' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY n ROWS UNBOUNDED PRECEDING) AS run FROM scanner_lines) "
+)
+
+
+def log_lines(t: Tables) -> DataFrame:
+    return t.scanner_lines.select("file", "n", F.posexplode(F.split("block", "\n")).alias("k", "text")).select(
+        "file", (F.col("n") * 10 + F.col("k")).alias("n"), "text"
+    )
+
+
+@query(
+    "s6_scanner_runs",
+    _RUNS + "SELECT file, CAST(run AS BIGINT) AS run, max(CASE WHEN block LIKE '[*] starting%' THEN substr(block, 16) END) AS started, "
+    "max(CASE WHEN block LIKE '[*] ending%' THEN substr(block, 14) END) AS ended, max(CASE WHEN block LIKE 'back-end%' THEN 'SQLite' END) AS dbms, "
+    "CAST(sum(1 + length(block) - length(replace(block, chr(10), ''))) AS BIGINT) AS lines FROM l WHERE run > 0 GROUP BY 1, 2",
+)
+def s6_runs(t: Tables) -> DataFrame:
+    return read_scanner_log(log_lines(t))["runs"]
+
+
+@query(
+    "s6_scanner_points",
+    _RUNS + "SELECT file, CAST(run AS BIGINT) AS run, n * 10 + 3 AS n, regexp_extract(block, 'Parameter: (p[0-9]+)', 1) AS parameter, 'GET' AS place, "
+    "'boolean-based blind' AS type, 'AND boolean-based blind' AS title, 'id=1 AND ' || CAST(n AS STRING) || '=' || CAST(n AS STRING) AS payload FROM l WHERE run > 0 AND block LIKE 'Parameter%'",
+)
+def s6_points(t: Tables) -> DataFrame:
+    return read_scanner_log(log_lines(t))["points"]
+
+
+_LINKS = f"SELECT page_id, {_HOST} AS src, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS dst FROM pages"
+
+
+@query("d20_links", f"SELECT src, dst, count(*) AS n FROM ({_LINKS}) GROUP BY 1, 2")
+def d20_links(t: Tables) -> DataFrame:
+    return N.page_links(t.pages).groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+@query(
+    "d20_degrees",
+    f"WITH e AS (SELECT DISTINCT src, dst FROM ({_LINKS})) SELECT node, CAST(sum(o) AS BIGINT) AS fan_out, CAST(sum(i) AS BIGINT) AS fan_in FROM "
+    "(SELECT src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY 1",
+)
+def d20_degrees(t: Tables) -> DataFrame:
+    return G.degrees(N.page_links(t.pages))
+
+
+_TREE = (
+    "SELECT 'region ' || CAST(r_regionkey AS STRING) AS src, 'nation ' || CAST(n_nationkey AS STRING) AS dst FROM region JOIN nation ON n_regionkey = r_regionkey UNION ALL "
+    "SELECT 'nation ' || CAST(c_nationkey AS STRING), 'customer ' || CAST(c_custkey AS STRING) FROM customer UNION ALL "
+    "SELECT 'customer ' || CAST(o_custkey AS STRING), 'order ' || CAST(o_orderkey AS STRING) FROM orders UNION ALL "
+    "SELECT DISTINCT 'order ' || CAST(l_orderkey AS STRING), 'part ' || CAST(l_partkey AS STRING) FROM lineitem"
+)
+
+
+@query(
+    "d20_reach",
+    f"WITH RECURSIVE e AS MATERIALIZED ({_TREE}), r(node, depth) AS (SELECT 'region ' || CAST(r_regionkey AS STRING), 0 FROM region WHERE r_name = 'ASIA' UNION SELECT dst, depth + 1 FROM r JOIN e ON src = node) "
+    "SELECT node, min(depth) AS depth FROM r GROUP BY 1",
+)
+def d20_reach(t: Tables) -> DataFrame:
+    """Everything reachable from one region along region → nation → customer → order → part."""
+    edge = lambda df, a, x, b, y: df.select(
+        F.concat(F.lit(a + " "), F.col(x).cast("string")).alias("src"), F.concat(F.lit(b + " "), F.col(y).cast("string")).alias("dst")
+    )
+    edges = append(
+        edge(t.nation, "region", "n_regionkey", "nation", "n_nationkey"),
+        edge(t.customer, "nation", "c_nationkey", "customer", "c_custkey"),
+        edge(t.orders, "customer", "o_custkey", "order", "o_orderkey"),
+        edge(t.lineitem, "order", "l_orderkey", "part", "l_partkey"),
+    )
+    roots = t.region.where("r_name = 'ASIA'").select(F.concat(F.lit("region "), F.col("r_regionkey").cast("string")).alias("node"))
+    return G.reach(edges, roots)
+
+
+@query(
+    "d20_imports",
+    "SELECT p_brand AS repo, path AS src, CASE WHEN p_size <= 5 THEN 'os' WHEN p_size <= 10 THEN 'hashlib' WHEN p_size <= 15 THEN 'http' WHEN p_size <= 25 THEN 'models' ELSE 'logging' END AS dst "
+    "FROM part JOIN (SELECT path, CAST(regexp_extract(path, '([0-9]+)', 1) AS BIGINT) AS pk FROM code_files) c ON c.pk = p_partkey WHERE p_size <= 15 OR p_size BETWEEN 21 AND 30",
+)
+def d20_imports(t: Tables) -> DataFrame:
+    return D.import_edges(t.code_files).select("repo", "src", "dst")
+
+
+_DIGITS = "list_transform(string_split(reverse(v), ''), lambda c: CAST(c AS INTEGER))"
+_LUHN = (
+    f"list_sum(list_transform({_DIGITS}, lambda d, i: CASE WHEN i % 2 = 1 THEN d WHEN d * 2 > 9 THEN d * 2 - 9 ELSE d * 2 END)) % 10 = 0"
+)
+
+
+def _pii_sql(src: str, table: str, key: str) -> str:
+    p = {r.rule_id: sql_text(r.pattern) for r in pack("D21")}
+    each = lambda kind, pattern, where: (
+        f"SELECT '{src}' AS src, id, '{kind}' AS kind, substr(v, 1, 4) || '***' AS value FROM "
+        f"(SELECT {key} AS id, unnest(regexp_extract_all(text, {pattern}, 0)) AS v FROM {table}) WHERE {where}"
+    )
+    return " UNION ALL ".join([
+        each("email", p["pii.email"], "true"), each("phone", p["pii.phone"], "true"),
+        each("card", sql_text(D.CARD), _LUHN),
+        each("ip", sql_text(D.IPV4), "list_max(list_transform(string_split(v, '.'), lambda x: CAST(x AS INTEGER))) <= 255"),
+    ])
+
+
+@query("d21_pii", f"{_pii_sql('documents', 'documents', 'doc_id')} UNION ALL {_pii_sql('conversations', 'conversations', 'conv_id')}")
+def d21(t: Tables) -> DataFrame:
+    docs = t.documents.select(F.lit("documents").alias("src"), F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    chats = t.conversations.select(F.lit("conversations").alias("src"), F.col("conv_id").alias("id"), F.col("text").alias("content"))
+    return D.pii(append(docs, chats), "src", "id")
+
+
+@query(
+    "d22_licenses",
+    f"WITH lines AS MATERIALIZED ({LINES.format(src='files')}) SELECT repo, CASE rule_id WHEN 'licence.mit' THEN 'MIT' ELSE 'Apache-2.0' END AS spdx, count(*) AS n, count(DISTINCT path) AS files "
+    f"FROM ({matches_sql(pack('D22'))}) GROUP BY 1, 2",
+)
+def d22(t: Tables) -> DataFrame:
+    return D.licences(t.files)
+
+
+@query(
+    "d23_page_risks",
+    "SELECT page_id, CAST(len(regexp_extract_all(html, '<script')) - len(regexp_extract_all(html, '<script[^>]* src=\"([^\"]*)\"')) AS INTEGER) AS inline_scripts, "
+    f"CAST(len(list_filter(regexp_extract_all(html, '<script[^>]* src=\"([^\"]*)\"', 1), lambda s: regexp_extract(s, '^[a-z]+://([^/?#:]+)', 1) NOT IN ('', {_HOST}))) AS INTEGER) AS third_party, "
+    "CAST(len(list_filter(regexp_extract_all(html, '(?s)<form.*?</form>'), lambda f: NOT contains(lower(f), 'token'))) AS INTEGER) AS open_forms, "
+    "CAST(len(regexp_extract_all(html, '(?s)<!--.*?-->')) AS INTEGER) AS comments, CAST(len(regexp_extract_all(html, '(?i) on(click|load|error|mouseover)=')) AS INTEGER) AS handlers FROM pages",
+)
+def d23(t: Tables) -> DataFrame:
+    return N.page_risks(t.pages)
+
+
+@query(
+    "d24_transcript",
+    "SELECT conv_id, turn, 'tool_call' AS kind, 'tools.scan' || CAST(turn AS STRING) AS tool, '{\"n\":' || CAST(turn AS STRING) || '}' AS tool_params FROM conversations WHERE role = 'assistant' UNION ALL "
+    "SELECT conv_id, turn, 'text', NULL, NULL FROM conversations WHERE role <> 'assistant' UNION ALL SELECT conv_id, turn, 'text', NULL, NULL FROM conversations",
+)
+def d24(t: Tables) -> DataFrame:
+    """The chats as they are, and once more with the assistant calling tools and the others sending JSON."""
+    q = "chr(34)"
+    calls = t.conversations.selectExpr(
+        "conv_id", "turn",
+        f"CASE WHEN role = 'assistant' THEN '{{' || {q} || 'method' || {q} || ':' || {q} || 'tools.scan' || CAST(turn AS STRING) || {q} || ',' || {q} || 'params' || {q} || ':{{' || {q} || 'n' || {q} || ':' "
+        f"|| CAST(turn AS STRING) || '}}}}' ELSE '{{' || {q} || 'a' || {q} || ':1}}' END AS text",
+    )
+    return N.transcript(append(calls, t.conversations.select("conv_id", "turn", "text"))).select("conv_id", "turn", "kind", "tool", "tool_params")
+
+
+@query("d25_logging", findings_sql("D25", src="code_files"))
+def d25(t: Tables) -> DataFrame:
+    return D.detect_logging(t.code_files).select(*COLUMNS)
+
+

@@ -174,7 +174,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             f"{Q} || 'parameters' || {Q} || ':[{{' || {Q} || 'name' || {Q} || ':' || {Q} || 'q' || {Q} || ',' || {Q} || 'in' || {Q} || ':' || {Q} || 'query' || {Q} || ',' || "
             f"{Q} || 'required' || {Q} || ':true,' || {Q} || 'schema' || {Q} || ':{{' || {Q} || 'type' || {Q} || ':' || {Q} || 'string' || {Q} || '}}}}],' || "
             f"{Q} || 'responses' || {Q} || ':{{' || {Q} || '200' || {Q} || ':{{' || {Q} || 'description' || {Q} || ':' || {Q} || 'ok' || {Q} || ',' || {Q} || 'content' || {Q} || ':{{' || "
-            f"{Q} || 'application/json' || {Q} || ':{{' || {Q} || 'schema' || {Q} || ':{{' || {Q} || '$ref' || {Q} || ':' || {Q} || '#/components/schemas/Page' || {Q} || '}}}}}}}}}}}}}},' || "
+            f"{Q} || 'application/json' || {Q} || ':{{' || {Q} || 'schema' || {Q} || ':{{' || {Q} || '$ref' || {Q} || ':' || {Q} || '#/components/schemas/Page' || {Q} || '}}}}}}}}}}}}}}}},' || "
             f"{Q} || 'components' || {Q} || ':{{' || {Q} || 'schemas' || {Q} || ':{{' || {Q} || 'Page' || {Q} || ':{{' || {Q} || 'type' || {Q} || ':' || {Q} || 'object' || {Q} || ',' || "
             f"{Q} || 'properties' || {Q} || ':{{' || {Q} || 'id' || {Q} || ':{{' || {Q} || 'type' || {Q} || ':' || {Q} || 'integer' || {Q} || '}},' || {Q} || 'title' || {Q} || ':{{' || "
             f"{Q} || 'type' || {Q} || ':' || {Q} || 'string' || {Q} || '}},' || {Q} || 'owner' || {Q} || ':{{' || {Q} || '$ref' || {Q} || ':' || {Q} || '#/components/schemas/Owner' || {Q} || '}}}}}},' || "
