@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed patterns of the coercion rules.
@@ -74,46 +74,66 @@ def item_at(items: Column | str, n: Column | int, field: str) -> Column:
 
 
 class JsonBody:
-    """Typed access to a JSON text column that keeps *absent* and *null* apart."""
-
-    def __init__(self, body: Column | str):
-        self.text = _col(body)
-        self.value = F.try_parse_json(self.text)
+    """Typed access to a JSON text column that keeps *absent* and *null* apart.
+
+    ``JsonBody(text)`` works inside any expression; ``JsonBody.prepared`` adds the
+    parsed object as a column first, so that many fields cost one parse.
+    """
+
+    def __init__(self, body: Column | str | None = None, ok: Column | None = None, fields: Column | None = None):
+        value = F.try_parse_json(_col(body)) if body is not None else None
+        self._ok = ok if ok is not None else value.isNotNull() & ~F.is_variant_null(value)
+        self._fields = fields if fields is not None else F.try_variant_get(value, "$", "map<string,variant>")
+
+    @classmethod
+    def prepared(cls, df: DataFrame, body: str) -> tuple[DataFrame, JsonBody]:
+        """(df + parsed columns, accessor); the columns are named ``_json`` and ``_fields``."""
+        parsed = df.withColumn("_parsed", F.try_parse_json(body))
+        value = F.col("_parsed")
+        out = parsed.select(
+            *df.columns,
+            (value.isNotNull() & ~F.coalesce(F.is_variant_null(value), F.lit(True))).alias("_json"),
+            F.try_variant_get(value, "$", "map<string,variant>").alias("_fields"),
+        )
+        return out, cls(ok=F.col("_json"), fields=F.col("_fields"))
 
     def valid(self) -> Column:
-        return self.value.isNotNull()
+        return F.coalesce(self._ok, F.lit(False))
 
     def keys(self) -> Column:
-        return F.coalesce(F.json_object_keys(self.text), F.array().cast("array<string>"))
+        return F.coalesce(F.map_keys(self._fields), F.array().cast("array<string>"))
 
     def present(self, key: str) -> Column:
-        return F.array_contains(self.keys(), key)
+        return F.coalesce(F.map_contains_key(self._fields, key), F.lit(False))
 
     def variant(self, key: str) -> Column:
-        return F.try_variant_get(self.value, f"$.{key}", "variant")
+        return self._fields[key]
+
+    def get(self, key: str, kind: str) -> Column:
+        return F.try_variant_get(self.variant(key), "$", kind)
 
     def type(self, key: str) -> Column:
         """undefined, null, string, number, boolean, array or object."""
         return F.when(~self.present(key), "undefined").otherwise(json_type(self.variant(key)))
 
     def string(self, key: str) -> Column:
-        return F.try_variant_get(self.value, f"$.{key}", "string")
+        return self.get(key, "string")
 
     def number(self, key: str) -> Column:
-        return F.when(self.type(key) == "number", F.try_variant_get(self.value, f"$.{key}", "double"))
+        return F.when(self.type(key) == "number", self.get(key, "double"))
 
     def integer(self, key: str) -> Column:
-        return F.when(self.type(key) == "number", F.try_variant_get(self.value, f"$.{key}", "double").try_cast("bigint"))
+        return self.number(key).try_cast("bigint")
 
     def boolean(self, key: str) -> Column:
-        return F.when(self.type(key) == "boolean", F.try_variant_get(self.value, f"$.{key}", "boolean"))
+        return F.when(self.type(key) == "boolean", self.get(key, "boolean"))
 
     def truthy(self, key: str) -> Column:
         kind = self.type(key)
         return (
             F.when(kind == "string", self.string(key) != "")
-            .when(kind == "number", F.try_variant_get(self.value, f"$.{key}", "double") != 0)
-            .when(kind == "boolean", F.try_variant_get(self.value, f"$.{key}", "boolean"))
+            .when(kind == "number", self.get(key, "double") != 0)
+            .when(kind == "boolean", self.get(key, "boolean"))
             .otherwise(kind.isin("array", "object"))
         )
 

@@ -56,7 +56,7 @@ def body_value(body: JsonBody, entity: str, field: str) -> Column:
     """A body field in the entity's type."""
     kind = ENTITIES[entity][field].dataType.simpleString()
     if field == "items":
-        return F.try_variant_get(body.value, "$.items", ITEMS)
+        return body.get("items", ITEMS)
     if kind == "string":
         text = body.string(field)
         if field in TRIMMED:
@@ -68,7 +68,7 @@ def body_value(body: JsonBody, entity: str, field: str) -> Column:
         return body.integer(field)
     if kind == "double":
         return body.number(field)
-    return F.try_variant_get(body.value, f"$.{field}", kind)
+    return body.get(field, kind)
 
 
 def new_entity(body: JsonBody, entity: str, now: Column) -> dict[str, Column]:
@@ -123,10 +123,10 @@ def apply_creates(state: DataFrame, requests: DataFrame, entity: str, now: Colum
     Ladder: JSON 400 → validation 400 → duplicate 409 → 201. Duplicates are found
     against the state and, inside the batch, against the earliest accepted seq.
     """
-    body = JsonBody("body")
+    parsed, body = JsonBody.prepared(requests.select("req_id", "seq", "body"), "body")
     errors = F.when(body.valid(), error_list(body, entity, "create"))
     missing = (~body.present("items")) if entity == "orders" else F.lit(False)
-    checked = requests.select(
+    checked = parsed.select(
         "req_id", "seq", body.valid().alias("_json"), errors.alias("_errors"), missing.alias("_missing"),
         *[c.alias(n) for n, c in new_entity(body, entity, now).items()],
     )
@@ -174,20 +174,31 @@ def apply_updates(state: DataFrame, requests: DataFrame, entity: str, now: Colum
     so an explicit null overwrites and an absent key keeps the old value.
     """
     label, title = LABELS[entity], TITLES[entity]
-    body = JsonBody("body")
     fields = [f for f in ENTITIES[entity].fieldNames() if f not in PROTECTED]
-    asked = requests.withColumn("_id", js_parse_int("raw_id"))
+    parsed, body = JsonBody.prepared(requests.select("req_id", "seq", js_parse_int("raw_id").alias("_id"), "body"), "body")
+
+    def written(field: str) -> Column:
+        """(seq, value) where the body writes the field: present, and truthy where the update guards for it."""
+        guarded = field in TRIMMED or field in ("email", "items", "totalAmount")
+        kept = body.truthy(field) if guarded else body.present(field)
+        return F.when(kept, F.struct(F.col("seq").alias("s"), body_value(body, entity, field).alias("v"))).alias(f"_n_{field}")
+
+    # Everything that needs the body is computed here, before the joins.
+    asked = parsed.select(
+        "req_id", "seq", "_id",
+        F.when(body.valid(), error_list(body, entity, "update")).alias("_errors"),
+        unknown_keys(body, entity).alias("_extra"),
+        (F.when(body.truthy(unique), F.lower(body.string(unique))) if unique else F.lit(None).cast("string")).alias("_ask"),
+        *[written(f) for f in fields],
+    )
     old = state.select(F.col("id").alias("_sid"), *([F.col(unique).alias("_own")] if unique else []))
-    src = asked.join(old, asked._id == F.col("_sid"), "left")
-    errors = F.when(body.valid(), error_list(body, entity, "update"))
-    src = src.withColumn("_errors", errors).withColumn(
-        "_ok",
-        F.coalesce(F.col("_sid").isNotNull() & body.valid() & (F.size("_errors") == 0), F.lit(False)),
+    src = asked.join(old, asked._id == F.col("_sid"), "left").withColumn(
+        "_ok", F.coalesce(F.col("_sid").isNotNull() & (F.size("_errors") == 0), F.lit(False))
     )
     if unique:
         # A claim is a changed key of a request that passed everything before it.
-        want = F.when(F.col("_ok") & body.truthy(unique), F.lower(body.string(unique)))
-        src = src.withColumn("_want", F.when(want != F.col("_own"), want))
+        changed = F.col("_ok") & (F.col("_ask") != F.col("_own"))
+        src = src.withColumn("_want", F.when(changed, F.col("_ask")))
         held = state.select(F.col(unique).alias("_held")).distinct()
         first = (
             src.where(F.col("_want").isNotNull())
@@ -222,15 +233,7 @@ def apply_updates(state: DataFrame, requests: DataFrame, entity: str, now: Colum
     responses = src.select("req_id", *_respond(status, error, F.col("_errors")))
     wins = src.where(F.col("_ok") & ~F.col("_dup"))
 
-    def kept(field: str) -> Column:
-        """Present, and for fields with a falsy guard also truthy."""
-        guarded = field in TRIMMED or field in ("email", "items", "totalAmount")
-        return body.truthy(field) if guarded else body.present(field)
-
-    folds = []
-    for f in fields:
-        value = F.struct(F.col("seq").alias("s"), body_value(body, entity, f).alias("v"))
-        folds.append(F.max_by(value, F.when(kept(f), F.col("seq"))).alias(f"_f_{f}"))
+    folds = [F.max_by(f"_n_{f}", F.when(F.col(f"_n_{f}").isNotNull(), F.col("seq"))).alias(f"_f_{f}") for f in fields]
     folded = wins.groupBy(F.col("_id").alias("_fid")).agg(*folds)
     joined = state.join(folded, state.id == F.col("_fid"), "left")
     out = []
@@ -254,7 +257,7 @@ def apply_updates(state: DataFrame, requests: DataFrame, entity: str, now: Colum
         else:
             col = F.when(F.col(f"_f_{f.name}").isNotNull(), F.col(f"_f_{f.name}.v")).otherwise(state[f.name])
         out.append(col.cast(f.dataType).alias(f.name))
-    extra = wins.select("req_id", F.col("_id").alias("id"), F.explode(unknown_keys(body, entity)).alias("key"))
+    extra = wins.select("req_id", F.col("_id").alias("id"), F.explode("_extra").alias("key"))
     return joined.select(*out), responses, extra
 
 

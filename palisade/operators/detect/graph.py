@@ -22,10 +22,10 @@ def degrees(edges: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, roots: DataFrame, max_depth: int = 1000) -> DataFrame:
     """Nodes reachable from the roots with their distance (breadth first).
 
-    One join per level; the frontier is checkpointed, so the plan does not grow,
+    One join per level; the edges and every frontier are written tables, so the plan does not grow,
     and the loop ends with the first empty level.
     """
-    steps = edges.select("src", "dst").distinct()
+    steps = cut_lineage(edges.select("src", "dst").distinct())
     seen = cut_lineage(roots.select(F.col(roots.columns[0]).alias("node")).distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for depth in range(1, max_depth + 1):
@@ -38,7 +38,7 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int = 1000) -> DataFram
         frontier = cut_lineage(step)
         if frontier.isEmpty():
             return seen
-        # A plan over checkpointed parts: it holds one scan per level.
+        # A plan over written parts: it holds one scan per level, folded every eighth.
         seen = seen.unionByName(frontier) if depth % 8 else cut_lineage(seen.unionByName(frontier))
     return seen
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -152,10 +151,6 @@ def mapping_table(spark: SparkSession, mapping: dict[str, list[str]], name: str)
     return spark.createDataFrame(rows, f"{name} string, detector string")
 
 
-def _any_of(words: Sequence[str], low: Column) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
-
-
 def gate_words(rules: Sequence[Rule]) -> list[str]:
     """Gate words of all rules, without those that contain another one."""
     words = sorted({w for r in rules for w in r.gate}, key=lambda w: (len(w), w))
@@ -197,23 +192,39 @@ def _check(rule: Rule, match: Column) -> Column | None:
     raise ValueError(kind)
 
 
-def rule_hits(text: Column, low: Column, rules: Sequence[Rule], checked: bool = True) -> Column:
-    """array<struct<rule_id, match>>: all matches of all rules in a text.
+def rule_hits(text: str, low: str, rules: Sequence[Rule], checked: bool = True) -> Column:
+    """array<struct<rule_id, match>>: all matches of all rules in a text column.
 
     Patterns are literals, so each is compiled once per task, and a rule's
-    pattern only runs where one of its gate words occurs.
+    pattern only runs where one of its gate words occurs. The expression is
+    handed over as one SQL text: building it call by call took the driver a second.
     """
-    none = F.array().cast("array<struct<rule_id:string,match:string>>")
 
-    def one(rule: Rule) -> Column:
-        found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-        if checked and rule.check:
-            found = F.filter(found, lambda m: _check(rule, m))
-        hits = F.transform(found, lambda m: F.struct(F.lit(rule.rule_id).alias("rule_id"), m.alias("match")))
-        return F.when(_any_of(rule.gate, low), hits).otherwise(none) if rule.gate else F.coalesce(hits, none)
+    def literal(s: str) -> str:
+        return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    none = "CAST(array() AS array<struct<rule_id:string,match:string>>)"
+
+    def arm(rule: Rule) -> str:
+        found = f"regexp_extract_all({text}, {literal(rule.pattern)}, 0)"
+        hits = f"transform({found}, m -> named_struct('rule_id', {literal(rule.rule_id)}, 'match', m))"
+        if not rule.gate:
+            return f"coalesce({hits}, {none})"
+        test = " OR ".join(f"contains({low}, {literal(w)})" for w in rule.gate)
+        return f"CASE WHEN {test} THEN {hits} ELSE {none} END"
+
+    hits = F.expr("concat(" + ", ".join(map(arm, rules)) + ")")
+    tests = [(r.rule_id, r) for r in rules if checked and r.check]
+    if not tests:
+        return hits
+
+    def passes(hit: Column) -> Column:
+        out = F.lit(True)
+        for rule_id, rule in tests:
+            out = F.when(hit["rule_id"] == rule_id, _check(rule, hit["match"])).otherwise(out)
+        return out
 
-    parts = [one(r) for r in rules]
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+    return F.filter(hits, passes)
 
 
 def match_rules(files: DataFrame, rules: Sequence[Rule], keys: Sequence[str] = ("repo", "path"), content: str = "content",
@@ -226,7 +237,7 @@ def match_rules(files: DataFrame, rules: Sequence[Rule], keys: Sequence[str] = (
     src = files if gate is None else files.where(gate)
     rows = src.select(*keys, F.posexplode(F.split(content, "\n")).alias("_pos", "text"))
     rows = rows.withColumn("_low", F.lower("text"))
-    return rows.select(*keys, (F.col("_pos") + 1).alias("line"), F.inline(rule_hits(F.col("text"), F.col("_low"), rules, checked)))
+    return rows.select(*keys, (F.col("_pos") + 1).alias("line"), F.inline(rule_hits("text", "_low", rules, checked)))
 
 
 def to_findings(matches: DataFrame, rules: Sequence[Rule], scan_id: str = "scan") -> DataFrame:

@@ -96,7 +96,7 @@ def global_order(df: DataFrame, order: Sequence[str], totals: dict[str, Column]
                  partitions: int | None = None) -> DataFrame:
     """Number all rows 1..n along ``order`` without an unpartitioned window.
 
-    Rows are range-partitioned and checkpointed, so that the partition number is
+    Rows are range-partitioned and written out, so that the partition number is
     a stored value; per-partition counts (one row per partition) give the offsets.
     Adds ``index`` (1-based), ``rank`` (ties share the lowest index) and, per name
     in ``totals``, the running total up to and including the row.

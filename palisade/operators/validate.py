@@ -61,7 +61,7 @@ def _bad(body: JsonBody, field: str, kind: str, arg, create: bool) -> Column:
         return (body.truthy(field) if create else present) & outside
     if kind == "enum":
         return present & outside
-    number = F.try_variant_get(body.value, f"$.{field}", "double")
+    number = body.get(field, "double")
     if kind == "positive":
         return present & ((kind_of != "number") | (number <= 0))
     if kind == "nonnegative":
@@ -69,7 +69,7 @@ def _bad(body: JsonBody, field: str, kind: str, arg, create: bool) -> Column:
     if kind == "boolean":
         return present & (kind_of != "boolean")
     if kind == "strings":
-        values = F.try_variant_get(body.value, f"$.{field}", "array<variant>")
+        values = body.get(field, "array<variant>")
         all_text = F.forall(values, lambda v: json_type(v) == "string")
         return present & ((kind_of != "array") | ~F.coalesce(all_text, F.lit(False)))
     raise ValueError(kind)
@@ -77,7 +77,7 @@ def _bad(body: JsonBody, field: str, kind: str, arg, create: bool) -> Column:
 
 def item_errors(body: JsonBody) -> Column:
     """Messages of nested items, numbered from 1."""
-    items = F.try_variant_get(body.value, "$.items", "array<variant>")
+    items = body.get("items", "array<variant>")
 
     def check(item: Column, n: Column) -> Column:
         def message(key: str, label: str) -> Column:
@@ -115,9 +115,9 @@ def validate(df: DataFrame, entity: str, mode: str, body_col: str = "body") -> D
     """
     if mode not in ("create", "update"):
         raise ValueError(mode)
-    body = JsonBody(body_col)
+    parsed, body = JsonBody.prepared(df, body_col)
     errors = F.when(body.valid(), error_list(body, entity, mode)).otherwise(F.array(F.lit("Invalid JSON")))
-    return df.withColumn("errors", errors).withColumn("valid", F.size("errors") == 0)
+    return parsed.select(*df.columns, errors.alias("errors")).withColumn("valid", F.size("errors") == 0)
 
 
 def validate_items(df: DataFrame, items_col: str = "items") -> DataFrame:
@@ -135,5 +135,5 @@ def validate_items(df: DataFrame, items_col: str = "items") -> DataFrame:
 
 def json_types(df: DataFrame, paths: dict[str, str], body_col: str = "body") -> DataFrame:
     """Run-time types of JSON keys as columns: name → key."""
-    body = JsonBody(body_col)
-    return df.select("*", *[body.type(key).alias(name) for name, key in paths.items()])
+    parsed, body = JsonBody.prepared(df, body_col)
+    return parsed.select(*df.columns, *[body.type(key).alias(name) for name, key in paths.items()])

@@ -34,7 +34,7 @@ BODY = "CASE WHEN value < 5 THEN substr(props, 1, length(props) - 1) ELSE props
 )
 def s2(t: Tables) -> DataFrame:
     parsed = read_requests(t.events.selectExpr("event_id", BODY))
-    return parsed.select("event_id", "parse_status", "parse_error", F.try_variant_get("body_v", "$.k", "bigint").alias("k"))
+    return parsed.select("event_id", "parse_status", "parse_error", F.try_variant_get(F.col("body_fields")["k"], "$", "bigint").alias("k"))
 
 
 @query(

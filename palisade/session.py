@@ -57,6 +57,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a table in the shared folder and read it back: survives the loss of executors.
+
+    Unlike ``checkpoint`` the rows are computed once, stored in columns, and carry
+    sizes that the planner uses for the joins after it.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

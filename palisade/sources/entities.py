@@ -28,12 +28,13 @@ def conform(df: DataFrame, entity: str) -> DataFrame:
 
 def read_requests(df: DataFrame, body_col: str = "body") -> DataFrame:
     """Parse JSON bodies: malformed text becomes status 400, never a failure."""
-    body = JsonBody(body_col)
-    return (
-        df.withColumn("body_v", body.value)
-        .withColumn("body_keys", F.when(body.valid(), body.keys()))
-        .withColumn("parse_status", F.when(body.valid(), 200).otherwise(400))
-        .withColumn("parse_error", F.when(~body.valid(), F.lit("Invalid JSON")))
+    parsed, body = JsonBody.prepared(df, body_col)
+    return parsed.select(
+        *df.columns,
+        F.col("_fields").alias("body_fields"),
+        F.when(body.valid(), body.keys()).alias("body_keys"),
+        F.when(body.valid(), 200).otherwise(400).alias("parse_status"),
+        F.when(~body.valid(), F.lit("Invalid JSON")).alias("parse_error"),
     )
 
 

@@ -16,6 +16,8 @@ BASE = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
+TEXT_HEAVY = {"documents", "pages", "conversations"}
+
 # Quote characters are spelled chr(34)/chr(39) and line breaks chr(10): both engines agree on those.
 Q = "chr(34)"
 A = "chr(39)"
@@ -196,12 +198,21 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
-            return self.spark.read.parquet(self.path(name))
+            return self._read(name)
         if name in VIEWS:
             base, exprs = VIEWS[name]
-            return self.spark.read.parquet(self.path(base)).selectExpr(*exprs)
+            return self._read(base).selectExpr(*exprs)
         raise AttributeError(name)
 
+    def _read(self, name: str) -> DataFrame:
+        df = self.spark.read.parquet(self.path(name))
+        if name not in TEXT_HEAVY:
+            return df
+        # Work per row is heavy here. A table with fewer splits than the session has cores (a small
+        # one: a large table has far more) is spread over them; otherwise nothing is shuffled.
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
     @property
     def posts(self) -> DataFrame:
         d = self.documents
