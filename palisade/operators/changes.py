@@ -15,6 +15,7 @@ from palisade.functions.coerce import JsonBody, js_parse_int, js_trim
 from palisade.operators.ordered import carry_last, global_order, seq_bucket
 from palisade.operators.validate import error_list
 from palisade.schemas import ENTITIES, ITEMS
+from palisade.session import cut_lineage
 
 TRIMMED = {"name", "title", "content", "description"}
 LABELS = {"users": "user", "posts": "post", "products": "product", "categories": "category", "orders": "order"}
@@ -130,6 +131,8 @@ def apply_creates(state: DataFrame, requests: DataFrame, entity: str, now: Colum
         "req_id", "seq", body.valid().alias("_json"), errors.alias("_errors"), missing.alias("_missing"),
         *[c.alias(n) for n, c in new_entity(body, entity, now).items()],
     )
+    # Written once: the duplicate check, the new rows and the responses all read it.
+    checked = cut_lineage(checked)
     ok = F.col("_json") & (F.size("_errors") == 0) & ~F.col("_missing")
     checked = checked.withColumn("_ok", F.coalesce(ok, F.lit(False)))
     if unique:
@@ -183,14 +186,14 @@ def apply_updates(state: DataFrame, requests: DataFrame, entity: str, now: Colum
         kept = body.truthy(field) if guarded else body.present(field)
         return F.when(kept, F.struct(F.col("seq").alias("s"), body_value(body, entity, field).alias("v"))).alias(f"_n_{field}")
 
-    # Everything that needs the body is computed here, before the joins.
-    asked = parsed.select(
+    # Everything that needs the body is computed and written here, before the joins that read it several times.
+    asked = cut_lineage(parsed.select(
         "req_id", "seq", "_id",
         F.when(body.valid(), error_list(body, entity, "update")).alias("_errors"),
         unknown_keys(body, entity).alias("_extra"),
         (F.when(body.truthy(unique), F.lower(body.string(unique))) if unique else F.lit(None).cast("string")).alias("_ask"),
         *[written(f) for f in fields],
-    )
+    ))
     old = state.select(F.col("id").alias("_sid"), *([F.col(unique).alias("_own")] if unique else []))
     src = asked.join(old, asked._id == F.col("_sid"), "left").withColumn(
         "_ok", F.coalesce(F.col("_sid").isNotNull() & (F.size("_errors") == 0), F.lit(False))

@@ -133,3 +133,22 @@ def global_order(df: DataFrame, order: Sequence[str], totals: dict[str, Column]
         (F.col("_off") + F.col("_rk")).alias("rank"),
         *[(F.col(f"_o_{t}") + F.col(f"_r_{t}")).alias(t) for t in totals],
     )
+
+
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "pos") -> DataFrame:
+    """0-based position of every row within its key along ``order``, whatever the key's size."""
+    placed = global_order(df, [*keys, *order])
+    first = placed.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min("index").alias("_first"))
+    cond = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return placed.join(first, cond).select(*df.columns, (F.col("index") - F.col("_first")).alias(name))
+
+
+def nested(df: DataFrame, keys: Sequence[str], order: Sequence[str], item: Column, chunk: int = 1000) -> DataFrame:
+    """Rows as arrays of at most ``chunk`` items: (keys…, part, items), in order.
+
+    Item i of a key is element i % chunk of part i // chunk, so a key of any size
+    becomes rows of bounded size.
+    """
+    placed = positions(df, keys, order).withColumn("part", F.floor(F.col("pos") / chunk).cast("bigint"))
+    pairs = F.array_sort(F.collect_list(F.struct(F.col("pos"), item.alias("item"))))
+    return placed.groupBy(*keys, "part").agg(F.transform(pairs, lambda p: p["item"]).alias("items"))

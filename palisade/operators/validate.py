@@ -120,14 +120,15 @@ def validate(df: DataFrame, entity: str, mode: str, body_col: str = "body") -> D
     return parsed.select(*df.columns, errors.alias("errors")).withColumn("valid", F.size("errors") == 0)
 
 
-def validate_items(df: DataFrame, items_col: str = "items") -> DataFrame:
-    """The nested check over a typed items column."""
+def validate_items(df: DataFrame, items_col: str = "items", offset: Column | None = None) -> DataFrame:
+    """The nested check over a typed items column; ``offset`` is the number of items in earlier parts."""
+    start = F.lit(1) if offset is None else offset + 1
 
     def check(item: Column, n: Column) -> Column:
         out = []
         for key, label in ITEM_FIELDS:
             ok = F.coalesce(item[key] > 0, F.lit(False))
-            out.append(F.when(~ok, F.concat(F.lit("Item "), (n + 1).cast("string"), F.lit(f": {label} must be a positive number"))))
+            out.append(F.when(~ok, F.concat(F.lit("Item "), (n + start).cast("string"), F.lit(f": {label} must be a positive number"))))
         return F.array_compact(F.array(*out))
 
     return df.withColumn("errors", F.flatten(F.transform(F.col(items_col), check)))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palisade.operators.ordered import DAY_US, carry_last, global_order, time_bucket
+from palisade.operators.ordered import DAY_US, carry_last, global_order, running_sum
 
 
 def latest(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
@@ -134,13 +134,17 @@ def outliers(events: DataFrame, key: str, value: str, z: float) -> DataFrame:
     )
 
 
-def sessions(events: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
-    """Activity sessions per key."""
-    return events.groupBy(key, F.session_window(ts, gap).alias("_w")).agg(F.count("*").alias("events")).select(
-        key, F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), "events"
-    )
-
+def sessions(events: DataFrame, key: str, ts: str, tie: str, gap_us: int) -> DataFrame:
+    """Activity sessions per key: a pause of ``gap_us`` or more starts a new one.
 
-__all__ = [
-    "latest", "trend", "top_k", "burst", "enumeration", "beacons", "outliers", "sessions", "time_bucket",
-]
+    The batch form of a session window; hot keys are cut into time buckets.
+    """
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    bucket = F.floor(F.col("_us") / F.lit(DAY_US)).cast("bigint")
+    src = events.select(key, F.col(tie), us.alias("_us"))
+    seen = carry_last(src, [key], ["_us", tie], bucket, {"_prev": F.col("_us")}, inclusive=False)
+    starts = F.when(F.col("_prev").isNull() | (F.col("_us") - F.col("_prev") >= gap_us), 1).otherwise(0)
+    numbered = running_sum(seen, [key], ["_us", tie], bucket, {"_s": starts})
+    return numbered.groupBy(key, "_s").agg(
+        F.min("_us").alias("start_us"), (F.max("_us") + gap_us).alias("end_us"), F.count("*").alias("n")
+    ).drop("_s")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palisade.operators import changes as M
 from palisade.operators import joins as J
 from palisade.operators import windows as W
+from palisade.operators.ordered import nested
 from palisade.plans.catalog import query
 from palisade.sources.entities import conform
 from palisade.sources.tables import Tables
@@ -217,15 +218,15 @@ def w1(t: Tables) -> DataFrame:
     "FROM i LEFT JOIN o ON i.order_id = o.order_id AND i.pos = o.pos",
 )
 def w2(t: Tables) -> DataFrame:
-    item = F.struct("id", F.col("product_id").alias("productId"), "quantity", "price")
-    lines = t.order_items.withColumn("id", F.col("id").cast("bigint"))
-    nested = lines.groupBy("order_id").agg(
-        F.array_sort(F.collect_list(item)).alias("items"),
-        F.array_sort(F.collect_set(F.struct("id"))).alias("old"),
-    )
-    fixed = nested.select("order_id", M.item_ids(F.col("items"), F.unix_millis(now()), F.col("old")).alias("items"))
-    return fixed.select("order_id", F.posexplode("items").alias("pos", "i")).select(
-        "order_id", "pos", F.col("i.id").alias("id"), F.col("i.productId").alias("product_id")
+    keep = t.order_items.select("order_id", F.col("id").cast("bigint").alias("id"), F.col("product_id").alias("productId"), "quantity", "price")
+    new = nested(keep, ["order_id"], ["id", "productId", "quantity", "price"], F.struct("id", "productId", "quantity", "price"))
+    old = nested(keep.select("order_id", "id").distinct(), ["order_id"], ["id"], F.struct("id")).withColumnRenamed("items", "old")
+    # Parts of an order and of its old items start at the same positions, so they pair up by part.
+    both = new.join(old, ["order_id", "part"], "left")
+    first = F.unix_millis(now()) + F.col("part") * 1000
+    fixed = both.select("order_id", "part", M.item_ids(F.col("items"), first, F.coalesce("old", F.array().cast("array<struct<id:bigint>>"))).alias("items"))
+    return fixed.select("order_id", "part", F.posexplode("items").alias("n", "i")).select(
+        "order_id", (F.col("part") * 1000 + F.col("n")).cast("int").alias("pos"), F.col("i.id").alias("id"), F.col("i.productId").alias("product_id")
     )
 
 

@@ -9,6 +9,7 @@ from palisade.functions import coerce as C
 from palisade.functions import text as X
 from palisade.operators import filters as P
 from palisade.operators import sets
+from palisade.operators.ordered import nested
 from palisade.operators.validate import json_types, validate, validate_items
 from palisade.plans.catalog import query
 from palisade.sources.entities import conform, read_requests, seed
@@ -169,14 +170,13 @@ def m2(t: Tables) -> DataFrame:
     "FROM order_items GROUP BY order_id",
 )
 def m3(t: Tables) -> DataFrame:
-    """Items nested per order; the quantities are shifted so that some fail."""
+    """Items nested per order (in parts of bounded size); the quantities are shifted so that some fail."""
     item = F.struct(
         F.col("id"), (F.col("product_id") - 100).alias("productId"), (F.col("quantity") - 5).alias("quantity"), F.lit(1.0).alias("price")
     )
-    # An order's items are bounded by the business key (one order), not by the table.
-    nested = t.order_items.groupBy("order_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    return validate_items(nested).select(
-        "order_id", F.size("items").cast("bigint").alias("items"), F.size("errors").cast("bigint").alias("errors")
+    parts = nested(t.order_items, ["order_id"], ["id", "product_id", "quantity"], item)
+    return validate_items(parts, offset=F.col("part") * 1000).groupBy("order_id").agg(
+        F.sum(F.size("items")).alias("items"), F.sum(F.size("errors")).alias("errors")
     )
 
 

@@ -10,6 +10,7 @@ from palisade.operators import aggs as A
 from palisade.operators import joins as J
 from palisade.operators import sets
 from palisade.operators import windows as W
+from palisade.operators.ordered import nested
 from palisade.plans.catalog import query
 from palisade.sources.scanner_log import segment_runs
 from palisade.sources.tables import Tables
@@ -126,9 +127,9 @@ def j11(t: Tables) -> DataFrame:
 
 @query("a1_order_total", "SELECT order_id, round(sum(price * quantity), 2) AS total FROM order_items GROUP BY order_id")
 def a1(t: Tables) -> DataFrame:
-    # An order's items are bounded by the business key.
-    nested = t.order_items.groupBy("order_id").agg(F.collect_list(F.struct("price", "quantity")).alias("items"))
-    return nested.select("order_id", F.round(A.order_total(F.col("items")), 2).alias("total"))
+    parts = nested(t.order_items, ["order_id"], ["id", "product_id", "quantity", "price"], F.struct("price", "quantity"))
+    totals = parts.select("order_id", A.order_total(F.col("items")).alias("_part"))
+    return totals.groupBy("order_id").agg(F.round(F.sum("_part"), 2).alias("total"))
 
 
 @query("a2_order_total_flat", "SELECT order_id, round(sum(price * quantity), 2) AS total, count(*) AS items FROM order_items GROUP BY order_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palisade.operators.windows import sessions
 from palisade.plans.catalog import query
 from palisade.plans.changes import FOLD_STATE
 from palisade.session import scratch_path
@@ -69,8 +70,7 @@ def t3(t: Tables) -> DataFrame:
 
 @query("t3_sessions_batch", _SESSIONS)
 def t3_batch(t: Tables) -> DataFrame:
-    out = J.session_counts(t.events_utc)
-    return out.select("user_id", F.unix_micros("session_start").alias("start_us"), F.unix_micros("session_end").alias("end_us"), "n")
+    return sessions(t.events_utc, "user_id", "ts", "event_id", 6 * 3_600_000_000)
 
 
 @query(

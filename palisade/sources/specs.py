@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palisade.session import cut_lineage
+
 PARAM = "STRUCT<name: STRING, `in`: STRING, required: BOOLEAN, schema: STRING>"
 OPERATION = (
     "STRUCT<summary: STRING, security: STRING, requestBody: STRING, "
@@ -54,7 +56,8 @@ def parse_specs(files: DataFrame) -> DataFrame:
 
 def read_openapi(files: DataFrame) -> dict[str, DataFrame]:
     """endpoints, params, responses, schema_fields and servers of all descriptions."""
-    docs = parse_specs(files)
+    # Parsed once and written: six tables are cut from it.
+    docs = cut_lineage(parse_specs(files))
     paths = docs.select("spec", "doc", F.explode("doc.paths").alias("path", "methods"))
     ops = paths.select("spec", "doc", "path", F.explode("methods").alias("method", "op"))
     endpoints = ops.select(
