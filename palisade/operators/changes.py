@@ -25,12 +25,9 @@ PROTECTED = {"id", "createdAt", "updatedAt"}
 
 def assign_ids(new: DataFrame, state: DataFrame, order: Sequence[str], id_col: str = "id") -> DataFrame:
     """``max(id) + position``; the position needs no single-task window."""
-    top = state.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_top"))
+    top = state.agg(F.coalesce(F.max(id_col), F.lit(0))).scalar()
     numbered = global_order(new, order)
-    # ``top`` is one row, so the broadcast is bounded.
-    return numbered.join(F.broadcast(top)).select(
-        (F.col("_top") + F.col("index")).alias(id_col), *[c for c in new.columns if c != id_col]
-    )
+    return numbered.select((F.col("index") + top).alias(id_col), *[c for c in new.columns if c != id_col])
 
 
 def item_ids(items: Column, now_ms: Column, old_items: Column | None = None) -> Column:

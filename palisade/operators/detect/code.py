@@ -109,21 +109,16 @@ def obfuscation(files: DataFrame, *keys: str) -> DataFrame:
 def signature_overlap(files: DataFrame, known: DataFrame, key: str, known_key: str, n: int = 8) -> DataFrame:
     """Share of each known-bad text's n-word shingles found in each file.
 
-    Copies of one text are compared once: files and known texts are collapsed by
-    hash before the join and expanded after it. Shingles are distinct per text,
-    and the join counts hits per (text, text), so its output holds hits only.
+    The files' text is read once and never shuffled: only hashed shingles, distinct
+    per file, meet the known ones (broadcast at run time if those are few), and
+    hits are counted per task. Copies among the known texts are compared once.
     """
-
-    def texts(df: DataFrame, own: str, tag: str) -> tuple[DataFrame, DataFrame]:
-        hashed = df.select(own, F.md5("content").alias(f"{tag}_h"), "content")
-        return hashed.select(own, f"{tag}_h"), hashed.groupBy(f"{tag}_h").agg(F.first("content").alias("content"))
-
-    members, ours = texts(files, key, "f")
-    items, theirs = texts(known, known_key, "k")
-    grams = ours.select("f_h", F.explode(word_ngrams("content", n)).alias("g"))
-    bad = theirs.select("k_h", word_ngrams("content", n).alias("gs")).select("k_h", F.size("gs").alias("total"), F.explode("gs").alias("g"))
-    hits = grams.join(bad, "g").groupBy("f_h", "k_h").agg(F.count("*").alias("shared"), F.first("total").alias("total"))
-    return hits.join(members, "f_h").join(items, "k_h").select(
+    hashed = known.select(known_key, F.md5("content").alias("k"), "content")
+    theirs = hashed.groupBy("k").agg(F.first("content").alias("content"))
+    bad = theirs.select("k", word_ngrams("content", n).alias("gs")).select("k", F.size("gs").alias("total"), F.explode("gs").alias("g"))
+    grams = files.select(key, F.explode(word_ngrams("content", n)).alias("g"))
+    hits = grams.join(bad, "g").groupBy(key, "k").agg(F.count("*").alias("shared"), F.first("total").alias("total"))
+    return hits.join(hashed.select(known_key, "k"), "k").select(
         key, known_key, "shared", F.round(F.col("shared") / F.col("total"), 6).alias("overlap")
     )
 

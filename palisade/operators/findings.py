@@ -150,18 +150,20 @@ def band_keys(text: Column, n: int, bands: int, rows: int) -> Column:
 def near_duplicates(files: DataFrame, key: str, text: str = "content", n: int = 3, bands: int = 4, rows: int = 4) -> DataFrame:
     """(key, component): files linked by a common MinHash band, transitively.
 
-    Exact copies are collapsed first. A band key links its files to the smallest
-    of them, so a group of any size costs one edge per file and never its pairs.
+    The text is read once and never shuffled: hashes and band keys, a few dozen
+    bytes per file, are written and everything after works on them. Exact copies
+    are collapsed, and a band key links its files to the smallest of them, so a
+    group of any size costs one edge per file and never its pairs.
     """
-    hashed = files.select(key, F.md5(text).alias("_h"), F.col(text).alias("_t"))
-    # All rows of a hash have the same text, so any copy may stand for it.
-    reps = hashed.groupBy("_h").agg(F.min(key).alias("rep"), F.first("_t").alias("_t"))
-    keyed = cut_lineage(reps.select("rep", F.explode(band_keys(F.col("_t"), n, bands, rows)).alias("band")))
-    hubs = keyed.groupBy("band").agg(F.min("rep").alias("hub"))
-    edges = keyed.join(hubs, "band").where(F.col("rep") != F.col("hub")).select(F.col("rep").alias("src"), F.col("hub").alias("dst")).distinct()
-    comp = components(edges, keyed.select("rep").distinct())
-    members = hashed.select(key, "_h").join(reps.select("_h", "rep"), "_h")
-    return members.join(comp, F.col("rep") == F.col("node")).select(key, "component")
+    keyed = cut_lineage(files.select(F.col(key).alias("_key"), F.md5(text).alias("_h"), band_keys(F.col(text), n, bands, rows).alias("_bands")))
+    # All rows of a hash have the same text, hence the same bands: any copy stands for it.
+    reps = cut_lineage(keyed.groupBy("_h").agg(F.min("_key").alias("rep"), F.first("_bands").alias("_bands")))
+    banded = reps.select("rep", F.explode("_bands").alias("band"))
+    hubs = banded.groupBy("band").agg(F.min("rep").alias("hub"))
+    edges = banded.join(hubs, "band").where(F.col("rep") != F.col("hub")).select(F.col("rep").alias("src"), F.col("hub").alias("dst")).distinct()
+    comp = components(edges, reps.select("rep"))
+    members = keyed.select("_key", "_h").join(reps.select("_h", "rep"), "_h")
+    return members.join(comp, F.col("rep") == F.col("node")).select(F.col("_key").alias(key), "component")
 
 
 def report(findings: DataFrame, previous: DataFrame, vectors: DataFrame, k: int = 3) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions.coerce import js_parse_int
-from palisade.operators.ordered import DAY_US, carry_last, time_bucket
+from palisade.operators.ordered import DAY_US, carry_last, int_bucket, time_bucket
 
 
 def split_duplicates(new: DataFrame, state: DataFrame, key: str, id_col: str = "id",
@@ -120,7 +120,7 @@ def first_follower(a: DataFrame, b: DataFrame, key: str, ts: str, tie: str, delt
         key, ts, tie, "_neg", "_negtie", "_side",
         F.struct(F.col(ts).cast("timestamp").alias("t"), F.col(tie).cast("bigint").alias("i")).alias("_v"),
     )
-    bucket = F.floor(F.col("_neg") / F.lit(DAY_US)).cast("bigint")
+    bucket = int_bucket(F.col("_neg"), DAY_US)
     seen = carry_last(rows.unionByName(marks), [key], ["_neg", "_side", "_negtie"], bucket, {"_next": F.col("_v")})
     near = (F.unix_micros("_next.t") + F.col("_neg")) <= delta_us
     return seen.where(F.col("_side") == 1).select(

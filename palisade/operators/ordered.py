@@ -19,14 +19,18 @@ HOUR_US = 3_600_000_000
 DAY_US = 24 * HOUR_US
 
 
+def int_bucket(x: Column, width: int) -> Column:
+    """floor(x / width) in exact integer arithmetic."""
+    return F.call_function("div", x - F.pmod(x, F.lit(width)), F.lit(width)).cast("bigint")
+
+
 def time_bucket(ts: Column | str, width_us: int = DAY_US) -> Column:
     ts = F.col(ts) if isinstance(ts, str) else ts
-    return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(width_us)).cast("bigint")
+    return int_bucket(F.unix_micros(ts.cast("timestamp")), width_us)
 
 
 def seq_bucket(seq: Column | str, width: int = 1_000_000) -> Column:
-    seq = F.col(seq) if isinstance(seq, str) else seq
-    return F.floor(seq / F.lit(width)).cast("bigint")
+    return int_bucket(F.col(seq) if isinstance(seq, str) else seq, width)
 
 
 def carry_last(
@@ -149,6 +153,6 @@ def nested(df: DataFrame, keys: Sequence[str], order: Sequence[str], item: Colum
     Item i of a key is element i % chunk of part i // chunk, so a key of any size
     becomes rows of bounded size.
     """
-    placed = positions(df, keys, order).withColumn("part", F.floor(F.col("pos") / chunk).cast("bigint"))
+    placed = positions(df, keys, order).withColumn("part", int_bucket(F.col("pos"), chunk))
     pairs = F.array_sort(F.collect_list(F.struct(F.col("pos"), item.alias("item"))))
     return placed.groupBy(*keys, "part").agg(F.transform(pairs, lambda p: p["item"]).alias("items"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palisade.operators.ordered import DAY_US, carry_last, global_order, running_sum
+from palisade.operators.ordered import DAY_US, carry_last, global_order, int_bucket, running_sum
 
 
 def latest(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
@@ -43,7 +43,7 @@ def burst(events: DataFrame, key: str, ts: str, n: int, delta_us: int, tie: str)
     """
     width = max(delta_us, 3_600_000_000)
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    src = events.withColumn("_us", us).withColumn("_b", F.floor(F.col("_us") / F.lit(width)).cast("bigint"))
+    src = events.withColumn("_us", us).withColumn("_b", int_bucket(F.col("_us"), width))
     reaches_next = (F.col("_us") + F.lit(delta_us)) >= (F.col("_b") + 1) * F.lit(width)
     homes = F.when(reaches_next, F.array(F.struct(F.lit(True).alias("own"), F.col("_b").alias("b")),
                                          F.struct(F.lit(False).alias("own"), (F.col("_b") + 1).alias("b"))))
@@ -60,7 +60,7 @@ def enumeration(requests: DataFrame, key: str, ident: str, n: int, width: int =
     Islands are found inside (key, identifier bucket) and those touching a bucket
     edge are merged afterwards; at most two per bucket take part in the merge.
     """
-    ids = requests.select(key, ident).distinct().withColumn("_b", F.floor(F.col(ident) / F.lit(width)).cast("bigint"))
+    ids = requests.select(key, ident).distinct().withColumn("_b", int_bucket(F.col(ident), width))
     w = W.partitionBy(key, "_b").orderBy(ident)
     local = ids.withColumn("_i", F.col(ident) - F.row_number().over(w)).groupBy(key, "_b", "_i").agg(
         F.min(ident).alias("first"), F.max(ident).alias("last")
@@ -88,7 +88,7 @@ def beacons(events: DataFrame, key: str, ts: str, tie: str, min_gaps: int = 3) -
     """
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     src = events.select(key, F.col(tie), us.alias("_us"))
-    gaps = carry_last(src, [key], ["_us", tie], F.floor(F.col("_us") / F.lit(DAY_US)).cast("bigint"),
+    gaps = carry_last(src, [key], ["_us", tie], int_bucket(F.col("_us"), DAY_US),
                       {"_prev": F.col("_us")}, inclusive=False)
     gap = (F.col("_us") - F.col("_prev")) / F.lit(1_000_000.0)
     stats = (
@@ -101,10 +101,10 @@ def beacons(events: DataFrame, key: str, ts: str, tie: str, min_gaps: int = 3) -
             F.round(F.col("_sd") / F.col("_mean"), 6).alias("cv"),
         )
     )
-    total = stats.agg(F.count("*").alias("_n"))  # one row
     ranked = global_order(stats, ["cv", key])
     lowest = ranked.groupBy(F.col("cv").alias("_cv")).agg(F.min("index").alias("_rk"))
-    placed = ranked.join(lowest, F.col("cv").eqNullSafe(F.col("_cv"))).join(F.broadcast(total))
+    placed = ranked.join(lowest, F.col("cv").eqNullSafe(F.col("_cv")))
+    placed = placed.withColumn("_n", ranked.agg(F.max("index")).scalar())
     n, i = F.col("_n"), F.col("index")
     small, extra = F.floor(n / 4), n % 4
     cut = extra * (small + 1)
@@ -140,7 +140,7 @@ def sessions(events: DataFrame, key: str, ts: str, tie: str, gap_us: int) -> Dat
     The batch form of a session window; hot keys are cut into time buckets.
     """
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    bucket = F.floor(F.col("_us") / F.lit(DAY_US)).cast("bigint")
+    bucket = int_bucket(F.col("_us"), DAY_US)
     src = events.select(key, F.col(tie), us.alias("_us"))
     seen = carry_last(src, [key], ["_us", tie], bucket, {"_prev": F.col("_us")}, inclusive=False)
     starts = F.when(F.col("_prev").isNull() | (F.col("_us") - F.col("_prev") >= gap_us), 1).otherwise(0)

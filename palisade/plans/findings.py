@@ -37,7 +37,7 @@ def s3(t: Tables) -> DataFrame:
 )
 def s4(t: Tables) -> DataFrame:
     """Place of every file in its repo's single document, and the hash of what stands there."""
-    return corpus_layout(t.files).select("repo", "path", "chars", "offset", F.md5("content").alias("md5"))
+    return corpus_layout(t.files).select("repo", "path", "chars", "offset", "md5")
 
 
 @query(

@@ -69,19 +69,17 @@ def lines(files: DataFrame, *keep: str) -> DataFrame:
 
 
 def corpus_layout(files: DataFrame) -> DataFrame:
-    """Where each file sits in its repository's single document.
+    """Where each file sits in its repository's single document: (repo, path, chars, md5, index, offset).
 
     The document of a repo is its files in path order, each followed by a line
-    break. Offsets come from a range-partitioned running total, so no repo has
-    to fit in one task.
+    break. Sizes, not texts, are ordered; offsets come from a range-partitioned
+    running total, so no repo has to fit in one task.
     """
-    sized = files.select("repo", "path", "content", F.length("content").cast("bigint").alias("chars"))
-    sized = sized.withColumn("_len", F.col("chars") + 1)
-    placed = global_order(sized, ["repo", "path"], {"_end": F.col("_len")})
-    starts = placed.groupBy("repo").agg(F.min(F.col("_end") - F.col("_len")).alias("_base"))
+    sized = files.select("repo", "path", F.length("content").cast("bigint").alias("chars"), F.md5("content").alias("md5"))
+    placed = global_order(sized, ["repo", "path"], {"_end": F.col("chars") + 1})
+    starts = placed.groupBy("repo").agg(F.min(F.col("_end") - F.col("chars") - 1).alias("_base"))
     return placed.join(starts, "repo").select(
-        "repo", "path", "content", "chars", "index",
-        (F.col("_end") - F.col("_len") - F.col("_base")).alias("offset"),
+        "repo", "path", "chars", "md5", "index", (F.col("_end") - F.col("chars") - 1 - F.col("_base")).alias("offset")
     )
 
 
