@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palisade.functions.coerce import JsonBody
 from palisade.functions.text import decode_payload, entropy, host, path_template
 from palisade.operators.detect.rules import pack
+from palisade.operators.joins import first_follower
 from palisade.operators.windows import burst
 
 
@@ -71,6 +72,24 @@ def bruteforce(events: DataFrame, n: int, delta_us: int) -> DataFrame:
     )
 
 
+def spraying(events: DataFrame, source: Column, failed: Column, users: int) -> DataFrame:
+    """Sources whose failures touch at least ``users`` different users."""
+    return events.where(failed).groupBy(source.alias("source")).agg(
+        F.count("*").alias("failures"), F.count_distinct("user_id").alias("users")
+    ).where(F.col("users") >= users)
+
+
+def takeovers(events: DataFrame, delta_us: int) -> DataFrame:
+    """Failures followed by a purchase of the same user within delta: the first such purchase."""
+    hits = first_follower(
+        events.where(F.col("event_type") == "error"), events.where(F.col("event_type") == "purchase"),
+        "user_id", "ts", "event_id", delta_us,
+    )
+    return hits.where(F.col("follower").isNotNull()).groupBy("user_id").agg(
+        F.count("*").alias("failures"), F.min("gap_us").alias("fastest_us")
+    )
+
+
 def host_entropy(pages: DataFrame, url: str = "url") -> DataFrame:
     """Entropy of the longest label of each host, with its number of requests."""
     hosts = pages.groupBy(host(url).alias("host")).agg(F.count("*").alias("n"))

@@ -11,6 +11,7 @@ from palisade.operators.detect import graph as G
 from palisade.operators.detect import traffic as N
 from palisade.operators.detect.rules import match_rules, pack, scan
 from palisade.operators.findings import classify
+from palisade.operators.joins import lookup
 from palisade.operators.sets import append
 from palisade.plans.catalog import LINES, findings_ctes, matches_sql, query, sql_text
 from palisade.sources import specs as S
@@ -185,6 +186,37 @@ def d11(t: Tables) -> DataFrame:
     return N.bruteforce(t.events_utc, 2, 3_600_000_000)
 
 
+@query(
+    "d11_spraying",
+    "SELECT json_extract_string(props, '$.k') AS source, count(*) AS failures, count(DISTINCT user_id) AS users FROM events WHERE event_type = 'error' GROUP BY 1 HAVING count(DISTINCT user_id) >= 20",
+)
+def d11_spraying(t: Tables) -> DataFrame:
+    return N.spraying(t.events, F.get_json_object("props", "$.k"), F.col("event_type") == "error", 20)
+
+
+@query(
+    "d11_takeover",
+    "WITH f AS (SELECT a.user_id, a.event_id, min(epoch_us(b.ts) - epoch_us(a.ts)) AS gap FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'error' "
+    "AND b.event_type = 'purchase' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR GROUP BY 1, 2) SELECT user_id, count(*) AS failures, min(gap) AS fastest_us FROM f GROUP BY 1",
+)
+def d11_takeover(t: Tables) -> DataFrame:
+    return N.takeovers(t.events_utc, 3_600_000_000)
+
+
+_ASK = r"TRY_CAST(nullif(regexp_extract(raw_id, '^\s*([+-]?[0-9]+)', 1), '') AS BIGINT)"
+
+
+@query(
+    "d9_forced_browsing",
+    f"WITH l AS (SELECT user_id, {_ASK} IS NOT NULL AND {_ASK} NOT IN (SELECT c_custkey FROM customer) AS miss FROM requests) "
+    "SELECT user_id, count(*) AS total, count(*) FILTER (miss) AS errors, round(count(*) FILTER (miss) / count(*), 6) AS rate FROM l GROUP BY 1 HAVING rate >= 0.5",
+)
+def d9_browsing(t: Tables) -> DataFrame:
+    """Users most of whose lookups end in 404."""
+    seen = lookup(t.requests, t.users)
+    return N.error_rate(seen, F.col("user_id"), "user_id", F.col("status") == 404, 0.5)
+
+
 _HOST = "regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)"
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.operators.changes import apply_changes
-from palisade.session import scratch_path
+from palisade.session import cut_lineage, scratch_path
 
 
 def run_to_parquet(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -124,21 +124,64 @@ def failures_then_success(events: DataFrame, delta_us: int = 3_600_000_000, late
     )
 
 
-def fold_changes(spark: SparkSession, requests: DataFrame, start: DataFrame, values: dict[str, Column], name: str = "fold") -> DataFrame:
-    """Fold a stream of change requests into a versioned state table.
+class VersionedState:
+    """A keyed state table as a snapshot and the deltas written after it.
 
-    Every micro-batch reads version n and writes version n+1 below a folder
-    named after the batch: a repeated batch rewrites the same folder from the
-    same input, so retries change nothing.
+    Batch n writes ``delta/v=n`` with only the rows it touched (removed ones are
+    marked), and every ``keep``-th batch folds the deltas into ``base/v=n``. Which
+    folders a batch reads follows from its number alone, so a repeated batch reads
+    and rewrites the same ones, and retries change nothing.
     """
+
+    def __init__(self, spark: SparkSession, path: str, start: DataFrame, key: str = "id", keep: int = 16):
+        self.spark, self.path, self.key, self.keep = spark, path, key, keep
+        self.columns = start.columns
+        rows = self._rows(start, -1, False)
+        self.schema = rows.schema
+        rows.write.mode("overwrite").parquet(f"{path}/base/v=-1")
+
+    def _rows(self, df: DataFrame, version: int, gone: bool) -> DataFrame:
+        return df.select(*self.columns, F.lit(version).cast("bigint").alias("_v"), F.lit(gone).alias("_gone"))
+
+    def _snapshot(self, version: int) -> int:
+        return version // self.keep * self.keep - 1
+
+    def read(self, version: int, ids: DataFrame | None = None) -> DataFrame:
+        """The state after batch ``version`` (-1: the start), optionally of some keys only."""
+        return self._latest(self._paths(self._snapshot(version + 1), version), ids)
+
+    def _paths(self, base: int, version: int) -> list[str]:
+        return [f"{self.path}/base/v={base}"] + [f"{self.path}/delta/v={v}" for v in range(base + 1, version + 1)]
+
+    def _latest(self, paths: list[str], ids: DataFrame | None = None) -> DataFrame:
+        rows = self.spark.read.schema(self.schema).parquet(*paths)
+        if ids is not None:
+            rows = rows.join(ids, self.key, "left_semi")
+        rest = [c for c in rows.columns if c != self.key]
+        last = rows.groupBy(self.key).agg(F.max_by(F.struct(*rest), "_v").alias("_r")).where(~F.col("_r._gone"))
+        return last.select(*[F.col(c) if c == self.key else F.col(f"_r.{c}").alias(c) for c in self.columns])
+
+    def write(self, version: int, before: DataFrame, after: DataFrame) -> None:
+        gone = before.join(after.select(self.key), self.key, "left_anti")
+        delta = self._rows(after, version, False).unionByName(self._rows(gone, version, True))
+        delta.write.mode("overwrite").parquet(f"{self.path}/delta/v={version}")
+        if (version + 1) % self.keep == 0:
+            paths = self._paths(self._snapshot(version), version)
+            self._rows(self._latest(paths), version, False).write.mode("overwrite").parquet(f"{self.path}/base/v={version}")
+
+
+def fold_changes(spark: SparkSession, requests: DataFrame, start: DataFrame, values: dict[str, Column], name: str = "fold",
+                 keep: int = 16) -> DataFrame:
+    """Fold a stream of change requests into a versioned state table, touching only the keys of each batch."""
     base = scratch_path(spark, name)
-    start.write.mode("overwrite").parquet(f"{base}/state/v=-1")
+    state = VersionedState(spark, f"{base}/state", start, keep=keep)
     done = {"last": -1}
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        state = spark.read.schema(start.schema).parquet(f"{base}/state/v={batch_id - 1}")
-        after, _ = apply_changes(state, batch, values)
-        after.write.mode("overwrite").parquet(f"{base}/state/v={batch_id}")
+        ids = batch.select("id").where(F.col("id").isNotNull()).distinct()
+        before = cut_lineage(state.read(batch_id - 1, ids))
+        after, _ = apply_changes(before, batch, values)
+        state.write(batch_id, before, after)
         done["last"] = batch_id
 
     query = (
@@ -148,5 +191,4 @@ def fold_changes(spark: SparkSession, requests: DataFrame, start: DataFrame, val
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(start.schema).parquet(f"{base}/state/v={done['last']}")
-
+    return state.read(done["last"])
