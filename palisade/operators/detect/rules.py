@@ -35,7 +35,7 @@ class Rule:
 # The rule pack (identifier, detector, vector, severity, pattern, positive sample, gate).
 PACK: list[Rule] = [
     Rule("secret.assign", "D1", 46, 4, r"""(?i)(password|passwd|secret|api[_-]?key|token)[ ]*[:=][ ]*["']?([A-Za-z0-9_/+=-]{8,})""",
-         'password = "supersecretpassword123"', ("password", "passwd", "secret", "api", "token"), ("entropy", 2, 3.0),
+         'password = "k7Qz9vLm2XwT4"', ("password", "passwd", "secret", "api", "token"), ("entropy", 2, 3.0),
          "Move the credential to a secret store and rotate it."),
     Rule("secret.pem", "D1", 127, 5, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----BEGIN RSA PRIVATE KEY-----", ("-----begin ",),
          fix="Revoke the key and keep keys out of the repository."),
@@ -45,11 +45,11 @@ PACK: list[Rule] = [
     Rule("secret.conn_string", "D17", 46, 4, r"[a-z][a-z0-9+]+://[^ /:@]+:[^ /@]+@[^ /]+", "postgres://u:pw@db.local/x", ("://",),
          fix="Take the connection string from configuration, without a password in it."),
     Rule("sql.fstring", "D2", 1, 4, r"""(?i)f["'](select|insert|update|delete) [^"]*[{][^}]+[}]""",
-         'sql = f"SELECT id FROM users WHERE id = {user_id}"', ("select ", "insert ", "update ", "delete "), fix="Bind parameters instead of formatting them into SQL."),
+         'q = f"SELECT a FROM t WHERE b = {c}"', ("select ", "insert ", "update ", "delete "), fix="Bind parameters instead of formatting them into SQL."),
     Rule("sql.concat", "D2", 1, 4, r"""(?i)["'](select|insert|update|delete) .*["'][ ]*[+][ ]*[A-Za-z_]+""",
-         '''sql = "SELECT id FROM users WHERE username LIKE '%" + q + "%'"''', ("select ", "insert ", "update ", "delete "), fix="Bind parameters instead of concatenating SQL."),
-    Rule("sql.raw_execute", "D2", 1, 3, r"[.]execute[(][ ]*[a-z_]+[ ]*[)]", "cursor.execute(query)", (".execute(",), fix="Pass a constant statement and bound parameters."),
-    Rule("sink.eval", "D3", 299, 4, r"(^|[^A-Za-z0-9_.])(eval|exec)[(]", "result = eval(user_input)", ("eval(", "exec("), fix="Replace dynamic evaluation by an explicit parser."),
+         'q = "DELETE FROM t WHERE a = " + b', ("select ", "insert ", "update ", "delete "), fix="Bind parameters instead of concatenating SQL."),
+    Rule("sql.raw_execute", "D2", 1, 3, r"[.]execute[(][ ]*[a-z_]+[ ]*[)]", "db.execute(stmt)", (".execute(",), fix="Pass a constant statement and bound parameters."),
+    Rule("sink.eval", "D3", 299, 4, r"(^|[^A-Za-z0-9_.])(eval|exec)[(]", "y = eval(x)", ("eval(", "exec("), fix="Replace dynamic evaluation by an explicit parser."),
     Rule("sink.shell", "D3", 25, 4, r"(os[.]system|subprocess[.][A-Za-z]+)[(].*|shell[ ]*=[ ]*True", "subprocess.Popen(cmd, shell=True)",
          ("os.system(", "subprocess.", "shell"), fix="Call programs with an argument list and no shell."),
     Rule("sink.deserialise", "D3", 22, 4, r"(pickle[.]loads?|yaml[.]load|ObjectInputStream|unserialize)[(]", "pickle.loads(b)",
@@ -60,7 +60,7 @@ PACK: list[Rule] = [
     Rule("crypto.no_verify", "D4", 141, 4, r"(?i)verify[ ]*=[ ]*False|rejectUnauthorized[ ]*:[ ]*false", "requests.get(u, verify=False)",
          ("verify", "rejectunauthorized"), fix="Keep certificate validation on."),
     Rule("crypto.prng", "D4", 39, 2, r"(Math[.]random|random[.](random|randint|choice))[(]", "Math.random()", ("math.random(", "random."), fix="Use a cryptographic generator."),
-    Rule("net.bind_all", "D5", 55, 3, r"0[.]0[.]0[.]0", 'app.run(host="0.0.0.0", port=5000)', ("0.0.0.0",), fix="Bind to the interface that is needed."),
+    Rule("net.bind_all", "D5", 55, 3, r"0[.]0[.]0[.]0", 'bind 0.0.0.0', ("0.0.0.0",), fix="Bind to the interface that is needed."),
     Rule("net.port", "D5", 55, 2, r"""(?i)(expose[ ]+[0-9]{2,5}|"[0-9]{2,5}:[0-9]{2,5}"|port[ ]*=[ ]*[0-9]{2,5}|listen[(][0-9]{2,5})""", "EXPOSE 5000",
          ("expose ", '"', "port", "listen("), fix="Publish only the ports that must be reachable."),
     Rule("net.cors_any", "D5", 289, 3, r"""(?i)access-control-allow-origin["']?[ ]*[:,=][ ]*["']?[*]|origin[ ]*:[ ]*["'][*]""", '"Access-Control-Allow-Origin": "*"',
@@ -69,10 +69,10 @@ PACK: list[Rule] = [
     Rule("net.client", "D5", 49, 1, r"(requests[.](get|post|put|delete)|axios[.]|fetch[(]|urllib|grpc[.]|WebSocket[(]|socket[.]socket)", "fetch(url)",
          ("requests.", "axios.", "fetch(", "urllib", "grpc.", "websocket(", "socket.socket"), fix="Check the destination against an allow list."),
     Rule("net.env", "D5", 49, 1, r"(process[.]env[.][A-Za-z_]+|os[.]environ|getenv[(])", "process.env.API_URL", ("process.env.", "os.environ", "getenv("), fix="Document the variable and its default."),
-    Rule("sqli.union", "D6", 4, 4, r"(?i)union([ ]+all)?[ ]+select", "id=-1 UNION ALL SELECT NULL,NULL--", ("union",), fix="Bind parameters on the reported endpoint."),
-    Rule("sqli.time", "D6", 3, 4, r"(?i)(sleep[ ]*[(]|waitfor[ ]+delay|randomblob[ ]*[(]|benchmark[ ]*[(])", "id=1 AND 1=LIKE(UPPER(HEX(RANDOMBLOB(5))))",
+    Rule("sqli.union", "D6", 4, 4, r"(?i)union([ ]+all)?[ ]+select", "id=-1 UNION SELECT 1", ("union",), fix="Bind parameters on the reported endpoint."),
+    Rule("sqli.time", "D6", 3, 4, r"(?i)(sleep[ ]*[(]|waitfor[ ]+delay|randomblob[ ]*[(]|benchmark[ ]*[(])", "id=1 AND RANDOMBLOB(5)",
          ("sleep", "waitfor", "randomblob", "benchmark"), fix="Bind parameters on the reported endpoint."),
-    Rule("sqli.boolean", "D6", 5, 3, r"(?i)(and|or)[ ]+([0-9]+)[ ]*=[ ]*([0-9]+)", "id=1 AND 4931=4931", ("=",), ("equal", 2, 3), "Bind parameters on the reported endpoint."),
+    Rule("sqli.boolean", "D6", 5, 3, r"(?i)(and|or)[ ]+([0-9]+)[ ]*=[ ]*([0-9]+)", "id=1 AND 7=7", ("=",), ("equal", 2, 3), "Bind parameters on the reported endpoint."),
     Rule("path.traversal", "D7", 14, 3, r"([.][.]/){2,}|([.][.]%2[fF]){2,}", "../../etc/passwd", ("../", "..%2f"), fix="Resolve paths and refuse those outside the root."),
     Rule("ssrf.metadata", "D7", 187, 4, r"(169[.]254[.]169[.]254|//localhost|//127[.]0[.]0[.]1)", "url=http://169.254.169.254/",
          ("169.254.169.254", "//localhost", "//127.0.0.1"), fix="Refuse internal targets after resolving the name."),

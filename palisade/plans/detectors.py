@@ -371,21 +371,7 @@ def s5_params(t: Tables) -> DataFrame:
     f"SELECT spec, 'plain_http', {_SERVER} FROM s WHERE url LIKE 'http://%'",
 )
 def d19(t: Tables) -> DataFrame:
-    return S_lint(S.read_openapi(t.spec_files))
-
-
-def S_lint(api: dict[str, DataFrame]) -> DataFrame:
-    op = F.concat_ws(" ", "method", "path")
-    guarded = api["responses"].where(F.col("status").isin("401", "403")).select("spec", "path", "method").distinct()
-    keys = ["spec", "path", "method"]
-    return append(
-        api["endpoints"].where(~F.col("has_security")).select("spec", F.lit("no_security").alias("lint"), op.alias("at")),
-        api["endpoints"].join(guarded, keys, "left_anti").select("spec", F.lit("no_401_403").alias("lint"), op.alias("at")),
-        api["schema_fields"]
-        .where((F.col("type") == "string") & F.col("max_length").isNull() & F.col("format").isNull() & F.col("enum").isNull())
-        .select("spec", F.lit("unbounded_string").alias("lint"), F.concat_ws(".", "owner", "field").alias("at")),
-        api["servers"].where(F.startswith("url", F.lit("http://"))).select("spec", F.lit("plain_http").alias("lint"), F.col("url").alias("at")),
-    )
+    return S.lint(S.read_openapi(t.spec_files))
 
 
 _RUNS = (

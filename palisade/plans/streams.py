@@ -86,12 +86,11 @@ def t4(t: Tables) -> DataFrame:
     ends = e.agg(F.min("_d").alias("_first"), F.max("ts").alias("_last"))  # one row
     late = e.where("event_type = 'purchase'").join(F.broadcast(ends), F.col("_d") == F.col("_first"), "left_semi")
     beat = ends.selectExpr("-1L AS event_id", "_last AS ts", "-1L AS user_id", "'heartbeat' AS event_type", "0D AS value", "'' AS props")
-    folder = scratch_path(t.spark, "late")
-    # One folder per arrival; files are taken in the order in which they were written, one at a time.
+    folder, base = scratch_path(t.spark, "late"), scratch_path(t.spark, "t4")
     for name, rows in (("a", t.events), ("b", beat), ("c", late.select(*t.events.columns))):
-        rows.coalesce(1).write.parquet(f"{folder}/{name}")
-    feed = read_stream(t.spark, f"{folder}/*", files_per_trigger=1)
-    out = J.run_to_parquet(J.tumbling_counts(feed), "t4")
+        rows.write.parquet(f"{folder}/{name}")
+        # Each arrival is one run that goes on from the checkpoint of the last.
+        out = J.run_to_parquet(J.tumbling_counts(read_stream(t.spark, f"{folder}/*")), "t4", base=base)
     return out.where("event_type <> 'heartbeat'").select(F.unix_micros("window_start").alias("start_us"), "event_type", "n")
 
 

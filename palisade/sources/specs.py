@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palisade.operators.sets import append
 from palisade.session import cut_lineage
 
 PARAM = "STRUCT<name: STRING, `in`: STRING, required: BOOLEAN, schema: STRING>"
@@ -121,3 +122,22 @@ def resolve_refs(responses: DataFrame, fields: DataFrame, depth: int = 3) -> Dat
             "spec", "source", F.col("field_path").alias("at"), F.col("next_ref").alias("ref")
         )
     return out
+
+
+def lint(api: dict[str, DataFrame]) -> DataFrame:
+    """Weak spots of API descriptions: (spec, lint, at)."""
+    op = F.concat_ws(" ", "method", "path")
+    keys = ["spec", "path", "method"]
+    endpoints, fields = api["endpoints"], api["schema_fields"]
+    refuses = api["responses"].where(F.col("status").isin("401", "403")).select(*keys).distinct()
+    unbounded = (F.col("type") == "string") & F.col("max_length").isNull() & F.col("format").isNull() & F.col("enum").isNull()
+
+    def row(df: DataFrame, name: str, at) -> DataFrame:
+        return df.select("spec", F.lit(name).alias("lint"), at.alias("at"))
+
+    return append(
+        row(endpoints.where(~F.col("has_security")), "no_security", op),
+        row(endpoints.join(refuses, keys, "left_anti"), "no_401_403", op),
+        row(fields.where(unbounded), "unbounded_string", F.concat_ws(".", "owner", "field")),
+        row(api["servers"].where(F.startswith("url", F.lit("http://"))), "plain_http", F.col("url")),
+    )

@@ -15,10 +15,13 @@ from palisade.operators.changes import apply_changes
 from palisade.session import cut_lineage, scratch_path
 
 
-def run_to_parquet(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is available, into parquet, and read the result."""
+def run_to_parquet(stream: DataFrame, name: str, mode: str = "append", base: str | None = None) -> DataFrame:
+    """Run a stream over what is available, into parquet, and read the result.
+
+    With the ``base`` of an earlier run the stream goes on from its checkpoint.
+    """
     spark = stream.sparkSession
-    base = scratch_path(spark, name)
+    base = base or scratch_path(spark, name)
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{base}/checkpoint")
     if mode == "append":
         query = writer.format("parquet").outputMode("append").option("path", f"{base}/out").start()

@@ -16,7 +16,7 @@ from palisade.sources.sinks import write_report
 from palisade.sources.vectors import vectors
 
 # A file with planted flaws, and a small web application with unsafe queries.
-FLAWED = 'password = "k7Qz9vLm2XwT4hunter"\ncursor.execute(query)\nresult = eval(data)\n'
+FLAWED = 'password = "k7Qz9vLm2XwT4hunter"\ndb.execute(stmt)\ny = eval(x)\n'
 WEB = "\n".join([
     'DB = "/srv/x.db"',
     'a = f"SELECT id FROM t WHERE id = {i}"',
@@ -77,8 +77,8 @@ def test_registered_rule_table(spark):
 @pytest.mark.parametrize(
     "query,kind",
     [
-        ("id=1 AND 4931=4931", "boolean"), ("id=1 AND 1=2", None), ("id=-7 UNION ALL SELECT CHAR(113,112),NULL-- x", "union"),
-        ("id=1 AND 8935=LIKE(CHAR(65),UPPER(HEX(RANDOMBLOB(5/2))))", "time"), ("q=test%27%20UNION%20ALL%20SELECT%20NULL--", "union"), ("q=it's", "quote"), ("q=plain", None),
+        ("id=1 AND 77=77", "boolean"), ("id=1 AND 1=2", None), ("id=-7 UNION ALL SELECT CHAR(113,112),NULL-- x", "union"),
+        ("id=1 AND 9=LIKE(CHAR(65),HEX(RANDOMBLOB(5)))", "time"), ("q=test%27%20UNION%20ALL%20SELECT%20NULL--", "union"), ("q=it's", "quote"), ("q=plain", None),
     ],
 )
 def test_sqli_classes(spark, query, kind):

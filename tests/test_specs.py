@@ -31,7 +31,7 @@ def description() -> dict:
         paths[f"/api/{c}/{{id}}"] = {m: {"parameters": key, "responses": {"200": one}} for m in ("get", "put", "delete")}
     schemas = {c.capitalize(): {"type": "object", "properties": {"id": {"type": "integer"}, "name": {"type": "string"}}} for c in COLLECTIONS}
     schemas["Orders"]["properties"]["user"] = {"$ref": "#/components/schemas/Users"}
-    return {"openapi": "3.0.3", "servers": [{"url": "http://localhost:3000"}], "paths": paths, "components": {"schemas": schemas}}
+    return {"openapi": "3.0.3", "servers": [{"url": "http://api.example:80"}], "paths": paths, "components": {"schemas": schemas}}
 
 
 @pytest.fixture(scope="module", params=["json", "yaml"])
@@ -47,7 +47,7 @@ def test_inventory(api):
     e = api["endpoints"]
     assert (e.select("path").distinct().count(), e.count()) == (11, 26)
     assert e.where("has_security").count() == 0
-    assert api["servers"].first()["url"] == "http://localhost:3000"
+    assert api["servers"].first()["url"] == "http://api.example:80"
     assert api["params"].where("location = 'path' AND required AND minimum = 1").count() == 15
     assert [r["enum"] for r in api["params"].where("path = '/api/users' AND name = 'q'").collect()] == [["a", "b"]]
     assert api["responses"].where("ref IS NOT NULL").count() == 25
@@ -78,30 +78,30 @@ def test_constraint_drift(spark, api):
 
 
 LOG = """banner
-[*] starting @ 14:09:57 /2025-01-01/
-[14:10:00] [INFO] testing connection
+[*] starting @ 08:00:01 /2025-01-01/
+[08:00:04] [INFO] testing connection
 ---
 Parameter: id (GET)
     Type: boolean-based blind
     Title: AND boolean-based blind
-    Payload: id=1 AND 4931=4931
+    Payload: id=5 AND 7=7
 
     Type: time-based blind
     Title: heavy query
-    Payload: id=1 AND 8935=LIKE(CHAR(65))
+    Payload: id=5 AND 8=LIKE(CHAR(66))
 ---
 back-end DBMS: SQLite
-[*] ending @ 14:10:00 /2025-01-01/
-[*] starting @ 14:10:05 /2025-01-01/
+[*] ending @ 08:00:04 /2025-01-01/
+[*] starting @ 08:01:00 /2025-01-01/
 Parameter: q (POST)
     Type: UNION query
     Title: 2 columns
-    Payload: q=test' UNION ALL SELECT NULL
+    Payload: q=a' UNION ALL SELECT NULL
 back-end DBMS: SQLite
-[*] ending @ 14:10:08 /2025-01-01/
-[*] starting @ 14:10:14 /2025-01-01/
+[*] ending @ 08:01:02 /2025-01-01/
+[*] starting @ 08:02:00 /2025-01-01/
 [CRITICAL] page not found (404)
-[*] ending @ 14:10:16 /2025-01-01/
+[*] ending @ 08:02:09 /2025-01-01/
 """
 
 
@@ -110,6 +110,6 @@ def test_scanner_log(spark, tmp_path, width):
     (tmp_path / "scan.log").write_text(LOG)
     log = read_scanner_log(read_log_lines(spark, str(tmp_path)), width)
     runs = {r["run"]: (r["started"][:8], r["ended"][:8], r["dbms"]) for r in log["runs"].collect()}
-    assert runs == {1: ("14:09:57", "14:10:00", "SQLite"), 2: ("14:10:05", "14:10:08", "SQLite"), 3: ("14:10:14", "14:10:16", None)}
+    assert runs == {1: ("08:00:01", "08:00:04", "SQLite"), 2: ("08:01:00", "08:01:02", "SQLite"), 3: ("08:02:00", "08:02:09", None)}
     points = sorted((r["run"], r["parameter"], r["place"], r["type"]) for r in log["points"].collect())
     assert points == [(1, "id", "GET", "boolean-based blind"), (1, "id", "GET", "time-based blind"), (2, "q", "POST", "UNION query")]
