@@ -96,6 +96,12 @@ def running_sum(
     )
 
 
+def _ranged(df: DataFrame, order: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """Range-partition along ``order`` and write out, with the partition number as a stored column."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+
+
 def global_order(df: DataFrame, order: Sequence[str], totals: dict[str, Column] | None = None,
                  partitions: int | None = None) -> DataFrame:
     """Number all rows 1..n along ``order`` without an unpartitioned window.
@@ -106,13 +112,10 @@ def global_order(df: DataFrame, order: Sequence[str], totals: dict[str, Column]
     in ``totals``, the running total up to and including the row.
     """
     totals = totals or {}
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = df
     for name, value in totals.items():
         src = src.withColumn(f"_v_{name}", value)
-    ranged = src.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
-    fixed = cut_lineage(ranged)
+    fixed = _ranged(src, order, partitions)
     local = W.partitionBy("_part").orderBy(*order)
     so_far = local.rowsBetween(W.unboundedPreceding, 0)
     counts = fixed.groupBy("_part").agg(
@@ -141,10 +144,8 @@ def global_order(df: DataFrame, order: Sequence[str], totals: dict[str, Column]
 
 def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "pos") -> DataFrame:
     """0-based position of every row within its key along ``order``, whatever the key's size."""
-    placed = global_order(df, [*keys, *order])
-    first = placed.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min("index").alias("_first"))
-    cond = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    return placed.join(first, cond).select(*df.columns, (F.col("index") - F.col("_first")).alias(name))
+    placed = running_sum(_ranged(df, [*keys, *order]), keys, order, F.col("_part"), {"_nth": F.lit(1).cast("bigint")})
+    return placed.select(*df.columns, (F.col("_nth") - 1).alias(name))
 
 
 def nested(df: DataFrame, keys: Sequence[str], order: Sequence[str], item: Column, chunk: int = 1000) -> DataFrame:

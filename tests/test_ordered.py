@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from palisade.operators import joins as J
 from palisade.operators import windows as WN
-from palisade.operators.ordered import carry_last, global_order, running_sum, seq_bucket
+from palisade.operators.ordered import carry_last, global_order, nested, positions, running_sum, seq_bucket
 from palisade.operators.sets import except_all, intersect_all
 
 
@@ -48,6 +48,16 @@ def test_global_order(rows):
     same(got, want)
 
 
+def test_positions_and_nested_parts(rows):
+    w = W.partitionBy("key").orderBy("n", "seq")
+    want = rows.select("key", "n", "seq", (F.row_number().over(w) - 1).cast("bigint").alias("pos"))
+    same(positions(rows.select("key", "n", "seq"), ["key"], ["n", "seq"]), want)
+    parts = nested(rows.select("key", "n", "seq"), ["key"], ["n", "seq"], F.col("seq"), chunk=7)
+    assert parts.where(F.size("items") > 7).count() == 0
+    flat = parts.select("key", "part", F.posexplode("items").alias("i", "seq"))
+    same(flat.select("key", "seq", (F.col("part") * 7 + F.col("i")).alias("pos")), want.select("key", "seq", "pos"))
+
+
 def test_burst_equals_range_window(spark):
     rnd = random.Random(3)
     data = [(i, "hot" if rnd.random() < 0.6 else "cold", 1_700_000_000 + rnd.randrange(200_000)) for i in range(300)]
