@@ -77,12 +77,11 @@ def correlate(findings: DataFrame, keys: tuple[str, ...] = ("repo", "path")) ->
 def incremental(files: DataFrame, cache: DataFrame, scan) -> tuple[DataFrame, DataFrame]:
     """(files to scan, findings of all files): only content not in the cache is scanned.
 
-    ``cache`` holds findings plus one row per scanned (path, sha256) with a NULL rule.
+    ``cache`` holds findings plus one row per scanned (repo, path, sha256) with a NULL rule.
     """
-    done = cache.select("path", "sha256").distinct()
-    todo = files.join(done, ["path", "sha256"], "left_anti")
-    current = files.select("path", "sha256").distinct()
-    old = cache.where(F.col("rule_id").isNotNull()).join(current, ["path", "sha256"], "left_semi")
+    keys = ["repo", "path", "sha256"]
+    todo = files.join(cache.select(*keys).distinct(), keys, "left_anti")
+    old = cache.where(F.col("rule_id").isNotNull()).join(files.select(*keys).distinct(), keys, "left_semi")
     return todo, old.unionByName(scan(todo), allowMissingColumns=True)
 
 
@@ -155,7 +154,8 @@ def near_duplicates(files: DataFrame, key: str, text: str = "content", n: int =
     are collapsed, and a band key links its files to the smallest of them, so a
     group of any size costs one edge per file and never its pairs.
     """
-    keyed = cut_lineage(files.select(F.col(key).alias("_key"), F.md5(text).alias("_h"), band_keys(F.col(text), n, bands, rows).alias("_bands")))
+    body = F.coalesce(F.col(text), F.lit(""))
+    keyed = cut_lineage(files.select(F.col(key).alias("_key"), F.md5(body).alias("_h"), band_keys(body, n, bands, rows).alias("_bands")))
     # All rows of a hash have the same text, hence the same bands: any copy stands for it.
     reps = cut_lineage(keyed.groupBy("_h").agg(F.min("_key").alias("rep"), F.first("_bands").alias("_bands")))
     banded = reps.select("rep", F.explode("_bands").alias("band"))

@@ -98,8 +98,9 @@ def running_sum(
 
 def _ranged(df: DataFrame, order: Sequence[str], partitions: int | None = None) -> DataFrame:
     """Range-partition along ``order`` and write out, with the partition number as a stored column."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut_lineage(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    # Without a number, small neighbouring ranges are merged at run time.
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    return cut_lineage(ranged.withColumn("_part", F.spark_partition_id()))
 
 
 def global_order(df: DataFrame, order: Sequence[str], totals: dict[str, Column] | None = None,

@@ -89,9 +89,10 @@ def write_corpus(files: DataFrame, target: str, partitions: int | None = None) -
     Range partitioning on (repo, path) splits a large repo over many tasks; the
     part files of a repo, read in name order, form its single document.
     """
-    n = partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = ["repo", "path"]
+    ranged = files.repartitionByRange(partitions, *by) if partitions else files.repartitionByRange(*by)
     (
-        files.repartitionByRange(n, "repo", "path")
+        ranged
         .sortWithinPartitions("repo", "path")
         .select("repo", F.col("content").alias("value"))
         .write.mode("overwrite")
