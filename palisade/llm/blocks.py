@@ -31,11 +31,21 @@ def frequencies(codes: np.ndarray, at: np.ndarray, kinds: int) -> tuple[np.ndarr
     return key[first] // max(kinds, 1), key[first] % max(kinds, 1), np.diff(first, append=len(key))
 
 
+def _shrink(numbers: np.ndarray) -> bytes:
+    """Small numbers as bytes, one byte plane after the other, compressed."""
+    return pa.compress(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
+
+
+def _grow(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<i4").reshape(n).astype(np.int64)
+
+
 def blocks(docs: DataFrame, make_reader: Callable[[], Reader], columns: dict[str, str], limit: int) -> DataFrame:
     """Written table (block, doc_id, columns…, strings, totals, sizes, held, times).
 
     Per block: the documents' ids and columns, the distinct strings and how often the block holds each, the number of
-    distinct strings of each document, and for each of those its number and count. ``docs`` has doc_id, text and what the
+    distinct strings of each document, and for each of those its number (as a difference) and count, packed. ``docs`` has doc_id, text and what the
     reader wants; ``columns`` names the reader's columns and their SQL types.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -51,7 +61,7 @@ def blocks(docs: DataFrame, make_reader: Callable[[], Reader], columns: dict[str
             yield pa.RecordBatch.from_pydict({
                 "block": pa.array([(task << 32) + i], pa.int64()), "doc_id": one(batch.column("doc_id")),
                 **{c: one(pa.array(more[c])) for c in columns}, "strings": one(strings), "totals": one(pa.array(totals)),
-                "sizes": one(pa.array(sizes)), "held": pa.array([held.astype("<i4").tobytes()]), "times": pa.array([times.astype("<i4").tobytes()]),
+                "sizes": one(pa.array(sizes)), "held": pa.array([_shrink(np.diff(held, prepend=0))]), "times": pa.array([_shrink(times)]),
             })
 
     schema = (f"block bigint, doc_id array<{kind}>, " + "".join(f"{c} array<{t}>, " for c, t in columns.items())
@@ -59,10 +69,13 @@ def blocks(docs: DataFrame, make_reader: Callable[[], Reader], columns: dict[str
     return cut_lineage(docs.mapInArrow(pack, schema))
 
 
-def by_string(table: DataFrame) -> DataFrame:
-    """(string, block, place, total) dealt and sorted by string."""
-    pairs = table.select("block", F.posexplode(F.arrays_zip("strings", "totals")).alias("place", "s")).select(
-        F.col("s.strings").alias("string"), "block", "place", F.col("s.totals").alias("total"))
+def by_string(table: DataFrame, totals: bool = False) -> DataFrame:
+    """(string, block, place) and, if asked for, the total in the block; dealt and sorted by string."""
+    if totals:
+        pairs = table.select("block", F.posexplode(F.arrays_zip("strings", "totals")).alias("place", "s")).select(
+            F.col("s.strings").alias("string"), "block", "place", F.col("s.totals").alias("total"))
+    else:
+        pairs = table.select("block", F.posexplode("strings").alias("place", "string")).select("string", "block", "place")
     return pairs.repartition("string").sortWithinPartitions("string")
 
 
@@ -108,8 +121,8 @@ def document_sums(table: DataFrame, valued: DataFrame, values: dict[str, str], c
                 cell = lambda c, r=r, batch=batch: batch.column(c)[r].values
                 sizes = np.asarray(cell("sizes"), dtype=np.int64)
                 at = np.concatenate([[0], np.cumsum(sizes)])
-                held = np.frombuffer(batch.column("held")[r].as_py(), "<i4")
-                times = np.frombuffer(batch.column("times")[r].as_py(), "<i4").astype(np.int64)
+                held = np.cumsum(_grow(batch.column("held")[r].as_py(), at[-1]))
+                times = _grow(batch.column("times")[r].as_py(), at[-1])
                 out = {"doc_id": cell("doc_id"), **{c: cell(c) for c in keep}}
                 for v in names:
                     if len(held):
