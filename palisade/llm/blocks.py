@@ -19,16 +19,24 @@ from pyspark.sql import functions as F
 from palisade.llm.common import slices
 from palisade.session import cut_lineage
 
+GROUP = 1 << 19  # occurrences that are sorted together, or one document
 # (slice of documents) to (their strings' numbers in order, offsets per document, distinct strings, further document columns)
 Reader = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, pa.Array, dict[str, np.ndarray]]]
 
 
 def frequencies(codes: np.ndarray, at: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Occurrences to (document, string, count), ordered by document."""
-    owner = np.repeat(np.arange(len(at) - 1, dtype=np.int64), np.diff(at))
-    key = np.sort(owner * max(kinds, 1) + codes)
-    first = np.flatnonzero(np.diff(key, prepend=-1))
-    return key[first] // max(kinds, 1), key[first] % max(kinds, 1), np.diff(first, append=len(key))
+    """Occurrences to (document, string, count), ordered by document. Documents are taken some at a time to bound memory."""
+    found = [(np.zeros(0, np.int32),) * 3]
+    group = at[:-1] // GROUP
+    cuts = [*np.flatnonzero(np.diff(group, prepend=-1)).tolist(), len(at) - 1]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        key = np.repeat(np.arange(a, b, dtype=np.int64) * max(kinds, 1), np.diff(at[a : b + 1]))
+        key += codes[at[a] : at[b]]
+        key.sort()
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        key, times = key[first], np.diff(first, append=len(key))
+        found.append(((key // max(kinds, 1)).astype(np.int32), (key % max(kinds, 1)).astype(np.int32), times.astype(np.int32)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _shrink(numbers: np.ndarray) -> bytes:
@@ -41,12 +49,13 @@ def _grow(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<i4").reshape(n).astype(np.int64)
 
 
-def blocks(docs: DataFrame, make_reader: Callable[[], Reader], columns: dict[str, str], limit: int) -> DataFrame:
+def blocks(docs: DataFrame, make_reader: Callable[[], Reader], columns: dict[str, str], limit: int, counted: str | None = None) -> DataFrame:
     """Written table (block, doc_id, columns…, strings, totals, sizes, held, times).
 
     Per block: the documents' ids and columns, the distinct strings and how often the block holds each, the number of
     distinct strings of each document, and for each of those its number (as a difference) and count, packed. ``docs`` has doc_id, text and what the
-    reader wants; ``columns`` names the reader's columns and their SQL types.
+    reader wants; ``columns`` names the reader's columns and their SQL types. ``counted`` is a column of ``docs`` that says
+    whether a document adds to the totals (default: all do).
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -56,7 +65,8 @@ def blocks(docs: DataFrame, make_reader: Callable[[], Reader], columns: dict[str
             codes, at, strings, more = read(batch)
             doc, held, times = frequencies(codes, at, len(strings))
             sizes = np.bincount(doc, minlength=batch.num_rows).astype(np.int32)
-            totals = np.bincount(codes, minlength=len(strings)).astype(np.int64)
+            adds = times if counted is None else times * np.asarray(batch.column(counted).to_pylist(), dtype=np.int64)[doc]
+            totals = np.bincount(held, adds, len(strings)).astype(np.int64)
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             yield pa.RecordBatch.from_pydict({
                 "block": pa.array([(task << 32) + i], pa.int64()), "doc_id": one(batch.column("doc_id")),
@@ -104,16 +114,18 @@ def runs(batches: Iterator[pa.RecordBatch], column: str = "string") -> Iterator[
         yield held.combine_chunks().to_batches()[0]
 
 
-def document_sums(table: DataFrame, valued: DataFrame, values: dict[str, str], columns: dict[str, str]) -> DataFrame:
+def document_sums(table: DataFrame, valued: DataFrame, sent: dict[str, str], columns: dict[str, str],
+                  derive: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]] | None = None, values: dict[str, str] | None = None) -> DataFrame:
     """One row per document: doc_id, the columns, and per value the sum of count * value over its strings.
 
-    ``valued`` has (block, place, values…) for every string of every block.
+    ``valued`` has (block, place, ``sent``…) for every string of every block; ``derive`` makes the values of it (default: the same).
     """
     kind = table.schema["doc_id"].dataType.elementType.simpleString()
-    names, keep = list(values), list(columns)
-    back = valued.groupBy("block").agg(F.collect_list(F.struct("place", *names)).alias("valued"))
+    values = values or sent
+    keep = list(columns)
+    back = valued.groupBy("block").agg(F.collect_list(F.struct("place", *sent)).alias("valued"))
     met = table.select("block", "doc_id", *keep, "sizes", "held", "times").join(back, "block", "left").select(
-        "doc_id", *keep, "sizes", "held", "times", F.col("valued.place").alias("_place"), *[F.col(f"valued.{v}").alias(f"_{v}") for v in names])
+        "doc_id", *keep, "sizes", "held", "times", F.col("valued.place").alias("_place"), *[F.col(f"valued.{v}").alias(f"_{v}") for v in sent])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,20 +136,16 @@ def document_sums(table: DataFrame, valued: DataFrame, values: dict[str, str], c
                 held = np.cumsum(_grow(batch.column("held")[r].as_py(), at[-1]))
                 times = _grow(batch.column("times")[r].as_py(), at[-1])
                 out = {"doc_id": cell("doc_id"), **{c: cell(c) for c in keep}}
-                for v in names:
-                    if len(held):
-                        value = np.asarray(cell(f"_{v}"))
-                        table_of = np.zeros(len(value), value.dtype)
-                        table_of[np.asarray(cell("_place"))] = value
-                        product = times * table_of[held]
+                total = {v: np.zeros(len(sizes), np.float64 if t == "double" else np.int64) for v, t in values.items()}
+                if len(held):
+                    place, given = np.asarray(cell("_place")), {v: np.asarray(cell(f"_{v}")) for v in sent}
+                    full = np.flatnonzero(sizes)
+                    for v, x in (derive(given) if derive else given).items():
+                        by_place = np.zeros(len(x), x.dtype)
+                        by_place[place] = x
                         # A sum per document on its own, so that its value does not depend on its neighbours.
-                        full = np.flatnonzero(sizes)
-                        total = np.zeros(len(sizes), product.dtype)
-                        total[full] = np.add.reduceat(product, at[full])
-                    else:
-                        total = np.zeros(len(sizes), np.float64 if values[v] == "double" else np.int64)
-                    out[v] = pa.array(total)
-                yield pa.RecordBatch.from_pydict(out)
+                        total[v][full] = np.add.reduceat(times * by_place[held], at[full])
+                yield pa.RecordBatch.from_pydict({**out, **{v: pa.array(x) for v, x in total.items()}})
 
     schema = f"doc_id {kind}" + "".join(f", {c} {t}" for c, t in columns.items()) + "".join(f", {v} {t}" for v, t in values.items())
     return met.mapInArrow(add, schema)

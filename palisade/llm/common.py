@@ -63,7 +63,7 @@ def coded(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
     d = pc.dictionary_encode(words)
     if isinstance(d, pa.ChunkedArray):
         d = d.combine_chunks()
-    return np.asarray(d.indices, dtype=np.int64), d.dictionary
+    return np.asarray(d.indices), d.dictionary
 
 
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -1,0 +1,175 @@
+"""Language-model scores by prediction by partial matching over a byte-context trie.
+
+A text is its words, lower-cased in A to Z, each spelled byte by byte and closed by a space, and an end sign. The context of a
+byte is what stands before it in its word, from the opening space on, up to ``ORDER`` bytes; so the code length of a word does
+not depend on its neighbours, is found once per distinct word of the corpus and added up per document (``blocks``).
+
+A context predicts the bytes it was followed by in the training words with their counts, and an escape (method C: as often as it
+has different bytes). After an escape the next shorter context predicts, without the bytes that the longer one had (symbol
+exclusion); below the empty context the bytes left are alike. The trie is gathered from all training words. Of it, the n-grams
+are kept that make up at least ``FLOOR`` of all bytes, at any size of the corpus: at most 1 / ``FLOOR`` per order, which bounds
+what the tasks get; the mass of the others stays in the escape.
+
+Nulls: a null text is empty: the end sign alone. A null id is not held out and teaches nothing. Repeated rows count and are
+scored each. An empty table gives no rows; without training texts every byte is alike. Other columns are ignored.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from palisade.llm.blocks import Reader, blocks, by_string, document_sums, runs
+from palisade.llm.common import coded, fold, split_words
+from palisade.session import cut_lineage
+
+ORDER = 4
+FLOOR = 1e-6
+BLOCK_BYTES = 32 << 20
+END = "\n"  # no word holds it
+SYMBOLS = 256
+
+
+def words_and_end() -> Reader:
+    def read(batch: pa.RecordBatch):
+        words, at = split_words(pc.ascii_lower(batch.column("text")))
+        codes, kinds = coded(words)
+        n = batch.num_rows
+        out = np.full(len(codes) + n, len(kinds), np.int64)
+        is_word = np.ones(len(out), bool)
+        is_word[at[1:] + np.arange(n)] = False
+        out[is_word] = codes
+        held = np.asarray(batch.column("held_out").to_pylist(), dtype=bool)
+        return out, at + np.arange(n + 1), pa.concat_arrays([kinds, pa.array([END])]), {"held_out": held, "n_tokens": np.diff(at) + 1}
+
+    return read
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(string, block, place, total) sorted by string to (string, block, place, c, first): c is the string's total in all blocks."""
+    for batch in runs(batches):
+        codes, kinds = coded(batch.column("string"))
+        c = np.bincount(codes, np.asarray(batch.column("total"), dtype=np.float64), len(kinds)).astype(np.int64)
+        first = np.zeros(len(codes), bool)
+        first[np.unique(codes, return_index=True)[1]] = True
+        yield pa.RecordBatch.from_pydict({
+            "string": batch.column("string"), "block": batch.column("block"), "place": batch.column("place"), "c": c[codes], "first": first})
+
+
+def windows(kinds: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of words in their contexts: per byte the packed (context, byte) of the longest order, its order, its word's number."""
+    framed = pc.if_else(pc.equal(kinds, END), " " + END, pc.binary_join_element_wise(" ", kinds, " ", ""))
+    size = np.asarray(pc.binary_length(framed), dtype=np.int64)
+    data = np.frombuffer("".join(framed.to_pylist()).encode(), np.uint8).astype(np.int64)
+    owner = np.repeat(np.arange(len(size)), size)
+    inside = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
+    packed = data.copy()
+    for k in range(1, ORDER + 1):
+        packed[k:] |= np.where(inside[k:] >= k, data[:-k] << (8 * k), 0)
+    at = inside > 0
+    return packed[at], np.minimum(inside, ORDER)[at], owner[at]
+
+
+def cut_to(packed: np.ndarray, order: int) -> np.ndarray:
+    """The (context, byte) of a lower order, with the order in the eighth byte."""
+    return (packed & ((1 << (8 * (order + 1))) - 1)) | (order << 56)
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(string, c) to (gram, n), counted per order."""
+    for batch in batches:
+        packed, order, owner = windows(batch.column("string"))
+        c = np.asarray(batch.column("c"), dtype=np.int64)[owner]
+        for k in range(ORDER + 1):
+            has = order >= k
+            gram, which = np.unique(cut_to(packed[has], k), return_inverse=True)
+            yield pa.RecordBatch.from_pydict({"gram": gram, "n": np.bincount(which, c[has], len(gram)).astype(np.int64)})
+
+
+class Trie:
+    """Contexts with their bytes' counts, and log10 probabilities of bytes in contexts."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, contexts: np.ndarray, totals: np.ndarray) -> None:
+        self.next: dict[int, dict[int, int]] = {}
+        for g, n in zip(grams.tolist(), counts.tolist(), strict=True):
+            self.next.setdefault(g >> 56 << 56 | (g & 0xFFFFFFFFFFFFFF) >> 8, {})[g & 0xFF] = n
+        self.total = dict(zip(contexts.tolist(), totals.tolist(), strict=True))
+        self.known: dict[tuple[int, int], float] = {}
+
+    def log10(self, packed: int, order: int) -> float:
+        """Of the last byte of ``packed`` after the ``order`` bytes before it."""
+        if (value := self.known.get((packed, order))) is None:
+            if len(self.known) > 1 << 20:
+                self.known.clear()
+            value = self.known[packed, order] = self._log10(packed & 0xFF, packed >> 8, order)
+        return value
+
+    def _log10(self, symbol: int, context: int, order: int) -> float:
+        p, excluded = 1.0, set()
+        for k in range(order, -1, -1):
+            node = (k << 56) | (context & ((1 << (8 * k)) - 1))
+            seen = self.next.get(node)
+            if not seen:
+                continue
+            left = {s: n for s, n in seen.items() if s not in excluded} if excluded else seen
+            if not left:
+                continue
+            # Mass of n-grams that were not kept escapes, too.
+            escape = len(left) + self.total[node] - sum(seen.values())
+            total = sum(left.values()) + escape
+            if symbol in left:
+                return math.log10(p * left[symbol] / total)
+            p *= escape / total
+            excluded.update(left)
+        return math.log10(p / (SYMBOLS - len(excluded)))
+
+
+def train(counted: DataFrame, floor: float = FLOOR) -> tuple[np.ndarray, ...]:
+    """Arrays of a ``Trie`` from (string, c), the distinct training words and their counts."""
+    grams = cut_lineage(counted.mapInArrow(_grams, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")))
+    total = grams.where(F.shiftrightunsigned("gram", 56) == 0).agg(F.sum("n")).first()[0] or 0
+    kept = grams.where(F.col("n") >= floor * total)
+    top = F.lit(0x7F << 56)
+    context = F.col("gram").bitwiseAND(top).bitwiseOR(F.shiftright(F.col("gram").bitwiseAND(F.lit((1 << 56) - 1)), 8))
+    sums = grams.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.max("n").alias("most")).where(F.col("most") >= floor * total)
+    g, c = kept.toPandas(), sums.select("context", "total").toPandas()
+    return g["gram"].to_numpy(np.int64), g["n"].to_numpy(np.int64), c["context"].to_numpy(np.int64), c["total"].to_numpy(np.int64)
+
+
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, floor: float = FLOOR) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per document."""
+    f = fold(doc_id, 5)
+    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(f == 1, F.lit(False)).alias("held_out"),
+                      F.coalesce(f != 1, F.lit(False)).alias("teaches"))
+    table = blocks(src, words_and_end, {"held_out": "boolean", "n_tokens": "bigint"}, block_bytes, "teaches")
+    strings = cut_lineage(by_string(table, totals=True).mapInArrow(_totals, "string string, block bigint, place int, c bigint, first boolean"))
+    counted = strings.where(F.col("first") & (F.col("c") > 0)).select("string", "c")
+    n, v = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    shared = docs.sparkSession.sparkContext.broadcast(train(counted, floor))
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = Trie(*shared.value)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes, kinds = coded(batch.column("string"))
+            packed, order, owner = windows(kinds)
+            both = np.unique(packed | (order << 56), return_inverse=True)
+            value = np.array([trie.log10(x & 0xFFFFFFFFFFFFFF, x >> 56) for x in both[0].tolist()])[both[1]]
+            length = np.add.reduceat(value, np.flatnonzero(np.diff(owner, prepend=-1)))
+            yield pa.RecordBatch.from_pydict({"block": batch.column("block"), "place": batch.column("place"), "c": batch.column("c"), "score": length[codes]})
+
+    def derive(given: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        c = given["c"]
+        return {"n_known": (c > 0).astype(np.int64), "base_score": np.log10((c + 0.5) / (n + 0.5 * (v + 1))), "score": given["score"]}
+
+    spelled = strings.mapInArrow(spell, "block bigint, place int, c bigint, score double")
+    out = document_sums(table, spelled, {"c": "bigint", "score": "double"}, {"held_out": "boolean", "n_tokens": "bigint"}, derive,
+                        {"n_known": "bigint", "base_score": "double", "score": "double"})
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -167,5 +167,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     taken = cut_lineage(taken.where(F.col("_copies") > 0)).withColumnRenamed("key", "_key")
     keyed = docs.withColumn("_key", F.xxhash64(F.lit(seed), F.col(doc_id), F.col(source), text_or_empty(text)))
     met = keyed.join(taken, "_key")
-    one = met.where(F.col("_alike") == 1).unionByName(met.where(F.col("_alike") > 1).dropDuplicates(["_key"]))
+    one = met
+    if not taken.where(F.col("_alike") > 1).isEmpty():
+        one = met.where(F.col("_alike") == 1).unionByName(met.where(F.col("_alike") > 1).dropDuplicates(["_key"]))
     return one.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)

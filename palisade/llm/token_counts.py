@@ -47,14 +47,16 @@ def pretokens(tokenizer_path: str) -> Reader:
         words, at = split_words(batch.column("text"))
         codes, kinds = coded(words)
         found = [units(w) for w in kinds.to_pylist()]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        sizes = np.fromiter(map(len, found), np.int32, len(found))
         unit_codes, unit_kinds = coded(pa.array([u for x in found for u in x], pa.string()))
-        start = np.concatenate([[0], np.cumsum(sizes)])
+        del found
+        start = (np.cumsum(sizes) - sizes).astype(np.int32)
         # Each word becomes its pre-tokens.
         n = sizes[codes]
-        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        out = unit_codes[np.repeat(start[codes], n) + inside]
-        ends = np.concatenate([[0], np.cumsum(n)])
+        ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        place = np.arange(ends[-1], dtype=np.int32)
+        place += np.repeat(start[codes] - ends[:-1].astype(np.int32), n)
+        out = unit_codes[place]
         n_bytes = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0), dtype=np.int64)
         return out, ends[at], unit_kinds, {"n_bytes": n_bytes}
 

@@ -1,0 +1,107 @@
+"""Language-model scores against a plain escape-and-exclude recursion over dictionaries."""
+
+from __future__ import annotations
+
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+
+from palisade.llm import lm
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def tokens(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return [*WORD.findall(low), "\n"]
+
+
+def spelled(token):
+    return b" \n" if token == "\n" else b" " + token.encode() + b" "
+
+
+class Plain:
+    def __init__(self, counts, floor):
+        grams = [Counter() for _ in range(lm.ORDER + 1)]
+        for t, c in counts.items():
+            s = spelled(t)
+            for i in range(1, len(s)):
+                for k in range(min(i, lm.ORDER) + 1):
+                    grams[k][s[i - k : i + 1]] += c
+        least = floor * sum(grams[0].values())
+        self.next, self.total = defaultdict(dict), Counter()
+        for k, g in enumerate(grams):
+            for x, n in g.items():
+                self.total[k, x[:-1]] += n
+                if n >= least:
+                    self.next[k, x[:-1]][x[-1]] = n
+
+    def token(self, t):
+        s, total = spelled(t), 0.0
+        for i in range(1, len(s)):
+            out, p = set(), 1.0
+            for k in range(min(i, lm.ORDER), -1, -1):
+                seen = self.next.get((k, s[i - k : i]), {})
+                left = {b: n for b, n in seen.items() if b not in out}
+                if not left:
+                    continue
+                escape = len(left) + self.total[k, s[i - k : i]] - sum(seen.values())
+                if s[i] in left:
+                    p *= left[s[i]] / (sum(left.values()) + escape)
+                    break
+                p *= escape / (sum(left.values()) + escape)
+                out |= set(left)
+            else:
+                p /= 256 - len(out)
+            total += math.log10(p)
+        return total
+
+
+@pytest.mark.parametrize(("name", "floor"), [("odd", 1e-6), ("docs", 1e-6), ("docs", 1e-3)])
+def test_scores(odd, docs, name, floor):
+    df = {"odd": odd, "docs": docs}[name].select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    fold = lambda i: None if i is None else zlib.crc32(str(i).encode()) % 5
+    counts = Counter(t for i, x in rows if fold(i) not in (None, 1) for t in tokens(x))
+    n, v = sum(counts.values()), len(counts)
+    plain, memo = Plain(counts, floor), {}
+    want = {}
+    for i, x in rows:
+        ts = tokens(x)
+        for t in set(ts) - memo.keys():
+            memo[t] = plain.token(t)
+        want.setdefault((i, len(ts)), []).append((
+            fold(i) == 1, sum(counts[t] > 0 for t in ts), n, sum(math.log10((counts[t] + 0.5) / (n + 0.5 * (v + 1))) for t in ts), sum(memo[t] for t in ts)))
+    got = lm.score(df.repartition(4), block_bytes=200_000, floor=floor).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        held, known, total, base, score = want[r.doc_id, r.n_tokens].pop()
+        assert (r.held_out, r.n_known, r.train_tokens) == (held, known, total)
+        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-9)
+
+
+def test_probabilities_sum_to_one():
+    import numpy as np
+    import pyarrow as pa
+
+    words = pa.array(["abab", "abc", "bab", "\n"])
+    grams = Counter()
+    packed, order, _ = lm.windows(words)
+    for p, o in zip(packed.tolist(), order.tolist(), strict=True):
+        for k in range(o + 1):
+            grams[int(lm.cut_to(np.array([p]), k)[0])] += 1
+    total = Counter()
+    for g, n in grams.items():
+        total[g >> 56 << 56 | (g & 0xFFFFFFFFFFFFFF) >> 8] += n
+    arrays = [np.array(list(x)) for x in (grams.keys(), grams.values(), total.keys(), total.values())]
+    trie = lm.Trie(*arrays)
+    for context, order in ((b"", 0), (b" ", 1), (b"ab", 2), (b" aba", 4), (b"zzzz", 4)):
+        ahead = int.from_bytes(context, "big") << 8
+        assert sum(10 ** trie.log10(ahead | s, order) for s in range(256)) == pytest.approx(1.0)
+
+
+def test_empty(no_docs):
+    assert lm.score(no_docs).count() == 0
