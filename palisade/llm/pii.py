@@ -211,6 +211,8 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -
     found = discover(scan(docs, doc_id, text), **how).select(F.hex("copy").alias("_copy"), F.col("found").alias("_found"))
     met = docs.withColumn("_md5", F.upper(F.md5(F.coalesce(F.col(text), F.lit(""))))).join(found, F.col("_md5") == F.col("_copy"), "left").drop("_md5", "_copy")
 
+    names = docs.columns
+
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             out = []
@@ -224,7 +226,7 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -
                         at = max(at, b)
                     t = "".join([*parts, t[at:]]) if parts else t
                 out.append(t)
-            cols = [pa.array(out, pa.string()) if c == text else batch.column(c) for c in docs.columns]
-            yield pa.RecordBatch.from_arrays(cols, docs.columns)
+            cols = [pa.array(out, pa.string()) if c == text else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return met.mapInArrow(replace, docs.schema)
