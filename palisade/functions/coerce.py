@@ -23,15 +23,19 @@ def let(value: Column, use) -> Column:
 
 
 def js_parse_int(x: Column | str) -> Column:
-    """Leading integer of a string; NULL plays the part of NaN."""
+    """Leading integer of a string; NULL plays the part of NaN.
+
+    A number beyond BIGINT is a number still: it becomes the end of the range, an id that no entity has.
+    """
     x = _col(x).cast("string")
-    digits = F.regexp_extract(x, HEX_PREFIX, 2)
-    # conv() raises on overflow under ANSI, hence the length guard (15 hex digits fit in a BIGINT).
-    magnitude = F.when(F.length(digits) <= 15, F.conv(digits, 16, 10)).try_cast("bigint")
+    top, bottom = F.lit(2**63 - 1), F.lit(-(2**63))
+    digits = F.regexp_replace(F.regexp_extract(x, HEX_PREFIX, 2), "^0+(?=.)", "")
+    # conv() raises on overflow under ANSI: 16 hex digits are within its 64 bits.
+    magnitude = F.coalesce(F.when(F.length(digits) <= 16, F.conv(digits, 16, 10)).try_cast("bigint"), top)
     hexed = F.when(F.regexp_extract(x, HEX_PREFIX, 1) == "-", -magnitude).otherwise(magnitude)
-    return F.when(x.rlike(HEX_PREFIX), hexed).otherwise(
-        F.regexp_extract(x, INT_PREFIX, 1).try_cast("bigint")
-    )
+    decimal = F.regexp_extract(x, INT_PREFIX, 1)
+    plain = F.when(decimal != "", F.coalesce(decimal.try_cast("bigint"), F.when(F.startswith(decimal, F.lit("-")), bottom).otherwise(top)))
+    return F.when(x.rlike(HEX_PREFIX), hexed).otherwise(plain)
 
 
 def js_parse_float(x: Column | str) -> Column:

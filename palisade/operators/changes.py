@@ -30,15 +30,15 @@ def assign_ids(new: DataFrame, state: DataFrame, order: Sequence[str], id_col: s
     return numbered.select((F.col("index") + top).alias(id_col), *[c for c in new.columns if c != id_col])
 
 
-def item_ids(items: Column, now_ms: Column, old_items: Column | None = None) -> Column:
-    """Child ids by position: the old id where there is one, else now + position."""
+def item_ids(items: Column, now_ms: Column, old_items: Column | None = None, kept_below: Column | None = None) -> Column:
+    """Child ids by position: the old id where there is one (below position ``kept_below``), else now + position."""
 
     def fix(item: Column, n: Column) -> Column:
         fresh = now_ms + n.cast("bigint")
         kept = fresh
         if old_items is not None:
             old = F.get(old_items, n)["id"]
-            kept = F.when(old != 0, old).otherwise(fresh)
+            kept = F.when((old != 0) & (n < kept_below if kept_below is not None else F.lit(True)), old).otherwise(fresh)
         return F.struct(
             kept.alias("id"), item["productId"].alias("productId"), item["quantity"].alias("quantity"), item["price"].alias("price")
         )
@@ -234,6 +234,9 @@ def apply_updates(state: DataFrame, requests: DataFrame, entity: str, now: Colum
     wins = src.where(F.col("_ok") & ~F.col("_dup"))
 
     folds = [F.max_by(f"_n_{f}", F.when(F.col(f"_n_{f}").isNotNull(), F.col("seq"))).alias(f"_f_{f}") for f in fields]
+    if "items" in fields:
+        # A request with fewer items drops the ids of the positions it lacks; a later one cannot bring them back.
+        folds.append(F.min(F.when(F.col("_n_items").isNotNull(), F.size("_n_items.v"))).alias("_fewest"))
     folded = wins.groupBy(F.col("_id").alias("_fid")).agg(*folds)
     joined = state.join(folded, state.id == F.col("_fid"), "left")
     out = []
@@ -243,7 +246,7 @@ def apply_updates(state: DataFrame, requests: DataFrame, entity: str, now: Colum
         elif f.name in PROTECTED:
             col = state[f.name]
         elif f.name == "items":
-            fresh = item_ids(F.col("_f_items.v"), F.unix_millis(now), state["items"])
+            fresh = item_ids(F.col("_f_items.v"), F.unix_millis(now), state["items"], F.col("_fewest"))
             col = F.when(F.col("_f_items").isNotNull(), fresh).otherwise(state["items"])
         elif f.name == "totalAmount" and entity == "orders":
             # The newer of an explicit total and a total recomputed from items; one body with both keeps the explicit one.

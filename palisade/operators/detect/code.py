@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import ast
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions.text import entropy, luhn_valid, redact, word_ngrams
@@ -133,22 +131,25 @@ def licences(files: DataFrame) -> DataFrame:
 
 
 def db_artifacts(files: DataFrame) -> DataFrame:
-    """Connection strings, models, statements, migrations and schema changes: (repo, path, line, kind, detail)."""
+    """Connection strings, models, statements and schema changes, every kind that a line holds: (repo, path, line, kind, detail, migration)."""
     text = F.col("text")
     src = lines(files, "repo", "path")
     table = F.regexp_extract("text", r"(?i)create table (?:if not exists )?([A-Za-z0-9_]+)", 1)
     altered = F.regexp_extract("text", r"(?i)alter table ([A-Za-z0-9_]+)", 1)
     migration = F.col("path").rlike(r"(^|/)migrations/")
-    kind = (
-        F.when(text.rlike(r"[a-z][a-z0-9+]+://[^ /:@]+:[^ /@]+@[^ /]+"), "connection")
-        .when(text.rlike(r"(?i)create table "), "create_table")
-        .when(text.rlike(r"(?i)alter table "), "alter_table")
-        .when(text.rlike(r"class [A-Za-z_]+[(](Base|db[.]Model|models[.]Model)[)]"), "model")
-        .when(text.rlike(r"(?i)(select .* from|insert into|update .* set|delete from) "), "statement")
-    )
-    detail = F.when(kind == "create_table", table).when(kind == "alter_table", altered).otherwise(F.lit(""))
-    return src.select("repo", "path", "line", kind.alias("kind"), detail.alias("detail"), migration.alias("migration")).where(
-        F.col("kind").isNotNull()
+
+    def found(kind: str, pattern: str, detail: Column | None = None) -> Column:
+        return F.when(text.rlike(pattern), F.struct(F.lit(kind).alias("kind"), (F.lit("") if detail is None else detail).alias("detail")))
+
+    kinds = F.array_compact(F.array(
+        found("connection", r"[a-z][a-z0-9+]+://[^ /:@]+:[^ /@]+@[^ /]+"),
+        found("create_table", r"(?i)create table ", table),
+        found("alter_table", r"(?i)alter table ", altered),
+        found("model", r"class [A-Za-z_]+[(](Base|db[.]Model|models[.]Model)[)]"),
+        found("statement", r"(?i)(select .* from|insert into|update .* set|delete from) "),
+    ))
+    return src.select("repo", "path", "line", F.inline(kinds), migration.alias("migration")).select(
+        "repo", "path", "line", "kind", "detail", "migration"
     )
 
 
@@ -201,24 +202,14 @@ def import_edges(files: DataFrame) -> DataFrame:
     return src.select("repo", F.col("path").alias("src"), dst.alias("dst"), F.lit("import").alias("kind")).where(F.col("dst").isNotNull())
 
 
-def ast_sinks(files: DataFrame) -> DataFrame:
-    """Calls of eval/exec and functions per Python file, from the syntax tree (Arrow batches)."""
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def one(text: str) -> tuple[bool, int, int]:
-            try:
-                nodes = list(ast.walk(ast.parse(text)))
-            except (SyntaxError, ValueError):
-                return False, 0, 0
-            calls = sum(isinstance(n, ast.Call) and isinstance(n.func, ast.Name) and n.func.id in ("eval", "exec") for n in nodes)
-            return True, calls, sum(isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef) for n in nodes)
+def call_counts(files: DataFrame) -> DataFrame:
+    """Dynamic calls and function heads per Python file, counted on whole Arrow columns."""
 
-        for pdf in batches:
-            got = pdf["content"].map(one)
-            yield pd.DataFrame({
-                "repo": pdf["repo"], "path": pdf["path"],
-                "parsed": got.map(lambda t: t[0]), "dynamic_calls": got.map(lambda t: t[1]), "functions": got.map(lambda t: t[2]),
-            })
+    @F.arrow_udf("struct<dynamic_calls: int, functions: int>")
+    def count(content: pa.Array) -> pa.Array:
+        # A name before the call, as in obj.eval( or my_exec(, is another function.
+        calls = pc.count_substring_regex(content, r"(?:^|[^A-Za-z0-9_.])(?:eval|exec)[(]")
+        heads = pc.count_substring_regex(content, r"(?m)^[ \t]*(?:async[ ]+)?def[ ]+[A-Za-z_]")
+        return pa.StructArray.from_arrays([calls.cast(pa.int32()), heads.cast(pa.int32())], ["dynamic_calls", "functions"])
 
-    python = files.where(F.col("path").endswith(".py")).select("repo", "path", "content")
-    return python.mapInPandas(walk, "repo string, path string, parsed boolean, dynamic_calls bigint, functions bigint")
+    return files.where(F.col("path").endswith(".py")).select("repo", "path", count("content").alias("c")).select("repo", "path", "c.*")

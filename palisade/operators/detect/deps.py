@@ -9,6 +9,10 @@ from palisade.operators.joins import similar_names
 from palisade.operators.sets import append
 
 
+# Flags, then registry (with a port) and path, then the tag. A digest is part of neither.
+IMAGE = r"(?i)^from\s+(?:--[a-z]+=\S+\s+)*((?:[^\s/]+/)*[^\s:/@]+)(?::([^\s@]+))?"
+
+
 def dependencies(manifests: DataFrame) -> DataFrame:
     """manifests(repo, manifest, module, content) → one normalised row per dependency."""
     keys = ["repo", "manifest", "module"]
@@ -29,7 +33,7 @@ def dependencies(manifests: DataFrame) -> DataFrame:
         for field, scope in (("dependencies", "runtime"), ("devDependencies", "dev"))
     ])
     image = by_line(manifests.where(name.startswith("Dockerfile"))).where(F.col("l").rlike(r"(?i)^from "))
-    docker = rows(image, "docker", F.regexp_extract("l", r"(?i)^from +([^ :]+)", 1), F.regexp_extract("l", r"(?i)^from +[^ :]+:?([^ ]*)", 1), F.lit("build"))
+    docker = rows(image, "docker", F.regexp_extract("l", IMAGE, 1), F.regexp_extract("l", IMAGE, 2), F.lit("build"))
     pom = manifests.where(name == "pom.xml").select(*keys, F.explode(F.regexp_extract_all("content", F.lit(r"(?s)<dependency>.*?</dependency>"), F.lit(0))).alias("d"))
     maven = rows(pom, "maven",
                  F.concat(F.regexp_extract("d", "<groupId>([^<]*)", 1), F.lit(":"), F.regexp_extract("d", "<artifactId>([^<]*)", 1)),
@@ -43,27 +47,48 @@ def spec_signals(spec: Column) -> Column:
     """Static risk signals of a version spec, as an array."""
     return F.array_compact(F.array(
         F.when(spec.isin("", "*", "latest"), F.lit("wildcard")),
-        F.when(spec.rlike(r"^[\^~]|^[<>]|[xX*]$"), F.lit("range")),
-        F.when(spec.rlike(r"(?i)(alpha|beta|rc|dev)[0-9]*$"), F.lit("pre_release")),
+        F.when(spec.rlike(r"^[\^~]|^[<>]|^!=|[.][xX*]$|^[xX]$|[0-9] *[,|-] *[<>]|\|\||[0-9] - [0-9]"), F.lit("range")),
+        F.when(spec.rlike(r"(?i)[0-9.-](alpha|beta|a|b|rc|dev)[.-]?[0-9]*$"), F.lit("pre_release")),
         F.when(spec.rlike(r"^(git|https?)[:+]"), F.lit("url")),
     ))
 
 
+# How far before its release a pre-release stands.
+STAGES = {"dev": 0, "a": 1, "alpha": 1, "b": 2, "beta": 2, "rc": 3, "pre": 3}
+
+
 def version_key(version: Column) -> Column:
-    """Numeric parts of a version; arrays of numbers compare like versions."""
-    return F.transform(F.filter(F.split(version, "[.]"), lambda p: p.rlike("^[0-9]+$")), lambda p: p.cast("bigint"))
+    """A version as (numbers, stage, stage number), which compares like versions.
+
+    Zeros at the end do not count (1.2 is 1.2.0); a pre-release comes before its release. NULL if it does not start with a number.
+    """
+    numbers = F.regexp_extract(version, r"^[vV=]*([0-9]+(?:[.][0-9]+)*)", 1)
+    stage = F.lower(F.regexp_extract(version, r"^[vV=]*[0-9.]+[._-]?([A-Za-z]+)", 1))
+    nth = F.regexp_extract(version, r"^[vV=]*[0-9.]+[._-]?[A-Za-z]+[._-]?([0-9]+)", 1)
+    rank = F.create_map(*[F.lit(x) for pair in STAGES.items() for x in pair])
+    return F.when(numbers != "", F.struct(
+        F.transform(F.split(F.regexp_replace(numbers, "([.]0+)+$", ""), "[.]"), lambda p: p.try_cast("decimal(38,0)")).alias("numbers"),
+        F.coalesce(F.try_element_at(rank, stage), F.lit(9)).alias("stage"), F.coalesce(nth.try_cast("bigint"), F.lit(0)).alias("nth"),
+    ))
 
 
 def risk_signals(deps: DataFrame, internal: DataFrame | None = None, advisories: DataFrame | None = None) -> DataFrame:
-    """(…deps, signal): spec signals, private-name clashes and advisories whose range covers the version."""
+    """(…deps, signal): spec signals, private-name clashes and advisories whose range covers the version.
+
+    advisories(name, fixed) or (name, introduced, fixed): a version is affected from ``introduced`` (default: any) up to, not including, ``fixed``
+    (null: not fixed yet).
+    """
     out = deps.select("*", F.explode(spec_signals(F.col("spec"))).alias("signal"))
     if internal is not None:
         own = internal.select(F.col("name").alias("_n")).distinct()
         clash = deps.join(own, deps.name == F.col("_n"), "left_semi").select("*", F.lit("private_name").alias("signal"))
         out = out.unionByName(clash)
     if advisories is not None:
-        adv = advisories.select(F.col("name").alias("_n"), F.col("fixed").alias("_fixed"))
-        hit = deps.join(adv, deps.name == F.col("_n")).where(version_key(F.col("version")) < version_key(F.col("_fixed")))
+        since = F.col("introduced") if "introduced" in advisories.columns else F.lit(None).cast("string")
+        adv = advisories.select(F.col("name").alias("_n"), since.alias("_since"), F.col("fixed").alias("_fixed"))
+        own, low, high = (version_key(F.col(c)) for c in ("version", "_since", "_fixed"))
+        hit = deps.join(adv, deps.name == F.col("_n")).where(
+            own.isNotNull() & (F.col("_since").isNull() | (own >= low)) & (F.col("_fixed").isNull() | (own < high)))
         out = out.unionByName(hit.select(*deps.columns, F.lit("advisory").alias("signal")).distinct())
     return out
 

@@ -19,8 +19,10 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("o").alias("fan_out"), F.sum("i").alias("fan_in"))
 
 
-def reach(edges: DataFrame, roots: DataFrame, max_depth: int = 1000) -> DataFrame:
-    """Nodes reachable from the roots with their distance (breadth first).
+def reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Nodes reachable from the roots with their distance (breadth first), as deep as the graph goes.
+
+    ``max_depth`` asks for the nodes within that distance only.
 
     One join per level; the edges and every frontier are written tables, so the plan does not grow,
     and the loop ends with the first empty level.
@@ -28,7 +30,9 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int = 1000) -> DataFram
     steps = cut_lineage(edges.select("src", "dst").distinct())
     seen = cut_lineage(roots.select(F.col(roots.columns[0]).alias("node")).distinct().withColumn("depth", F.lit(0)))
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         step = (
             frontier.join(steps, frontier.node == steps.src)
             .select(F.col("dst").alias("node")).distinct()

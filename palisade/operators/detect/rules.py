@@ -8,8 +8,9 @@ gate), and an optional check on the captured groups.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -112,29 +113,26 @@ COMPLIANCE = {
     "HIPAA 164.312(e)": ["D4", "D5"],
 }
 
-_USER_RULES: list[Rule] = []
-
-
-def register_rules(rules: Sequence[Rule] | DataFrame, limit: int = 5000) -> list[Rule]:
-    """Add user rules. A table of rules is read as configuration, refused beyond ``limit`` rows."""
-    if isinstance(rules, DataFrame):
-        rows = rules.limit(limit + 1).collect()
-        if len(rows) > limit:
-            raise ValueError(f"rule table has more than {limit} rows")
-        tables = [row.asDict() for row in rows]
-        rules = [
-            Rule(r["rule_id"], r["detector"], r.get("vector_id") or 0, r["severity"], r["pattern"], "", tuple(r.get("gate") or ()))
-            for r in tables
-        ]
-    known = {r.rule_id for r in PACK + _USER_RULES}
-    fresh = [r for r in rules if r.rule_id not in known]
-    _USER_RULES.extend(fresh)
-    return list(rules)
-
-
-def pack(*detectors: str) -> list[Rule]:
-    """Rules of the given detectors (all without arguments), user rules included."""
-    rules = PACK + _USER_RULES
+def with_rules(rules: Iterable[Rule | dict], base: Sequence[Rule] = PACK) -> list[Rule]:
+    """``base`` and further rules, given as rules or as entries of a JSON or Python configuration.
+
+    The result is a list of its own: nothing else sees the new rules. An id that is there already is an error.
+    """
+    out = list(base)
+    known = {r.rule_id for r in out}
+    for r in rules:
+        rule = r if isinstance(r, Rule) else Rule(
+            r["rule_id"], r["detector"], r.get("vector_id", 0), r["severity"], r["pattern"], r.get("sample", ""),
+            tuple(r.get("gate", ())), tuple(r.get("check", ())), r.get("fix", "Review the match and remove it."))
+        if rule.rule_id in known:
+            raise ValueError(f"duplicate rule {rule.rule_id}")
+        known.add(rule.rule_id)
+        out.append(rule)
+    return out
+
+
+def pack(*detectors: str, rules: Sequence[Rule] = PACK) -> list[Rule]:
+    """Rules of the given detectors (all without arguments)."""
     return [r for r in rules if not detectors or r.detector in detectors]
 
 
@@ -161,15 +159,13 @@ def gate_words(rules: Sequence[Rule]) -> list[str]:
     return kept
 
 
-def text_gate(text: Column, rules: Sequence[Rule]) -> Column | None:
-    """True where some rule can match; None if a rule has no gate.
+def text_gate(text: Column, rules: Sequence[Rule]) -> Column:
+    """True where a gated rule can match.
 
     One alternation of all gate words, tested on whole Arrow columns by RE2 in a
     single linear pass. The same test as seventy ``contains`` in the JVM took
     eight times as long over the same text.
     """
-    if any(not r.gate for r in rules):
-        return None
     words = "(?i)" + "|".join(re.escape(w) for w in gate_words(rules))
 
     @F.arrow_udf("boolean")
@@ -231,13 +227,18 @@ def match_rules(files: DataFrame, rules: Sequence[Rule], keys: Sequence[str] = (
                 checked: bool = True) -> DataFrame:
     """Every line × every rule without a join: (keys…, line, rule_id, match).
 
-    Files that cannot match are dropped before they are split into lines.
+    Files that cannot match are dropped before they are split into lines. Rules without a gate read all
+    files; they do so in a pass of their own and leave the gate of the others as it is.
     """
-    gate = text_gate(F.col(content), rules)
-    src = files if gate is None else files.where(gate)
-    rows = src.select(*keys, F.posexplode(F.split(content, "\n")).alias("_pos", "text"))
-    rows = rows.withColumn("_low", F.lower("text"))
-    return rows.select(*keys, (F.col("_pos") + 1).alias("line"), F.inline(rule_hits("text", "_low", rules, checked)))
+    open_rules, gated = [r for r in rules if not r.gate], [r for r in rules if r.gate]
+
+    def lines_of(src: DataFrame, group: Sequence[Rule]) -> DataFrame:
+        rows = src.select(*keys, F.posexplode(F.split(content, "\n")).alias("_pos", "text")).withColumn("_low", F.lower("text"))
+        return rows.select(*keys, (F.col("_pos") + 1).alias("line"), F.inline(rule_hits("text", "_low", group, checked)))
+
+    parts = [lines_of(files.where(text_gate(F.col(content), gated)), gated)] if gated else []
+    parts += [lines_of(files, open_rules)] if open_rules else []
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def to_findings(matches: DataFrame, rules: Sequence[Rule], scan_id: str = "scan") -> DataFrame:

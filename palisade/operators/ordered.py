@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from palisade.session import cut_lineage
 
 HOUR_US = 3_600_000_000
+NESTED = 1000  # items of one key that share a row
 DAY_US = 24 * HOUR_US
 
 
@@ -149,7 +150,7 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: st
     return placed.select(*df.columns, (F.col("_nth") - 1).alias(name))
 
 
-def nested(df: DataFrame, keys: Sequence[str], order: Sequence[str], item: Column, chunk: int = 1000) -> DataFrame:
+def nested(df: DataFrame, keys: Sequence[str], order: Sequence[str], item: Column, chunk: int = NESTED) -> DataFrame:
     """Rows as arrays of at most ``chunk`` items: (keys…, part, items), in order.
 
     Item i of a key is element i % chunk of part i // chunk, so a key of any size

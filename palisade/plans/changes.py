@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palisade.operators import changes as M
 from palisade.operators import joins as J
 from palisade.operators import windows as W
-from palisade.operators.ordered import nested
+from palisade.operators.ordered import NESTED, nested
 from palisade.plans.catalog import query
 from palisade.sources.entities import conform
 from palisade.sources.tables import Tables
@@ -223,10 +223,10 @@ def w2(t: Tables) -> DataFrame:
     old = nested(keep.select("order_id", "id").distinct(), ["order_id"], ["id"], F.struct("id")).withColumnRenamed("items", "old")
     # Parts of an order and of its old items start at the same positions, so they pair up by part.
     both = new.join(old, ["order_id", "part"], "left")
-    first = F.unix_millis(now()) + F.col("part") * 1000
+    first = F.unix_millis(now()) + F.col("part") * NESTED
     fixed = both.select("order_id", "part", M.item_ids(F.col("items"), first, F.coalesce("old", F.array().cast("array<struct<id:bigint>>"))).alias("items"))
     return fixed.select("order_id", "part", F.posexplode("items").alias("n", "i")).select(
-        "order_id", (F.col("part") * 1000 + F.col("n")).cast("int").alias("pos"), F.col("i.id").alias("id"), F.col("i.productId").alias("product_id")
+        "order_id", (F.col("part") * NESTED + F.col("n")).cast("int").alias("pos"), F.col("i.id").alias("id"), F.col("i.productId").alias("product_id")
     )
 
 

@@ -9,7 +9,7 @@ from palisade.functions import coerce as C
 from palisade.functions import text as X
 from palisade.operators import filters as P
 from palisade.operators import sets
-from palisade.operators.ordered import nested
+from palisade.operators.ordered import NESTED, nested
 from palisade.operators.validate import json_types, validate, validate_items
 from palisade.plans.catalog import query
 from palisade.sources.entities import conform, read_requests, seed
@@ -175,7 +175,7 @@ def m3(t: Tables) -> DataFrame:
         F.col("id"), (F.col("product_id") - 100).alias("productId"), (F.col("quantity") - 5).alias("quantity"), F.lit(1.0).alias("price")
     )
     parts = nested(t.order_items, ["order_id"], ["id", "product_id", "quantity"], item)
-    return validate_items(parts, offset=F.col("part") * 1000).groupBy("order_id").agg(
+    return validate_items(parts, offset=F.col("part") * NESTED).groupBy("order_id").agg(
         F.sum(F.size("items")).alias("items"), F.sum(F.size("errors")).alias("errors")
     )
 

@@ -31,13 +31,11 @@ def x1(t: Tables) -> DataFrame:
 
 @query(
     "x2_pandas_udf",
-    "SELECT p_brand AS repo, path, p_size <= 5 OR p_size BETWEEN 6 AND 10 OR p_size BETWEEN 21 AND 30 OR p_size BETWEEN 36 AND 40 AS parsed, CASE WHEN p_size <= 5 THEN 1 ELSE 0 END AS dynamic_calls, "
-    "CASE WHEN p_size BETWEEN 6 AND 10 OR p_size BETWEEN 36 AND 40 THEN 1 ELSE 0 END AS functions "
-    "FROM part JOIN (SELECT path, CAST(regexp_extract(path, '([0-9]+)', 1) AS BIGINT) AS pk FROM code_files) c ON c.pk = p_partkey WHERE path LIKE '%.py'",
+    "SELECT repo, path, CAST(len(regexp_extract_all(content, '(?:^|[^A-Za-z0-9_.])(?:eval|exec)[(]')) AS INTEGER) AS dynamic_calls, "
+    "CAST(len(regexp_extract_all(content, '(?:^|\\n)[ \\t]*(?:async[ ]+)?def[ ]+[A-Za-z_]')) AS INTEGER) AS functions FROM code_files WHERE path LIKE '%.py'",
 )
 def x2(t: Tables) -> DataFrame:
-    out = D.ast_sinks(t.code_files)
-    return out.select("repo", "path", "parsed", F.col("dynamic_calls").cast("int").alias("dynamic_calls"), F.col("functions").cast("int").alias("functions"))
+    return D.call_counts(t.code_files)
 
 
 _X3 = " UNION ALL ".join(

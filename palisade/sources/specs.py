@@ -1,11 +1,7 @@
-"""API descriptions (OpenAPI 3, JSON or YAML) as flat tables."""
+"""API descriptions (OpenAPI 3 as JSON) as flat tables."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,29 +26,9 @@ OBJECT = f"STRUCT<type: STRING, required: ARRAY<STRING>, properties: MAP<STRING,
 REF = r'"[$]ref"\s*:\s*"#/components/schemas/([A-Za-z0-9_]+)"'
 
 
-def yaml_to_json(files: DataFrame) -> DataFrame:
-    """Rewrite YAML contents as JSON text (one row per file, in Arrow batches)."""
-
-    def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import yaml
-
-        def one(text: str) -> str | None:
-            try:
-                return json.dumps(yaml.safe_load(text), default=str)
-            except yaml.YAMLError:
-                return None
-
-        for pdf in batches:
-            yield pdf.assign(content=pdf["content"].map(one))
-
-    return files.select("path", "content").mapInPandas(convert, "path string, content string")
-
-
 def parse_specs(files: DataFrame) -> DataFrame:
-    """files(path, content) → (spec, doc). JSON stays in the JVM; only YAML visits Python."""
-    is_json = F.col("content").rlike(r"^\s*[{]")
-    texts = files.where(is_json).select("path", "content").unionByName(yaml_to_json(files.where(~is_json)))
-    return texts.select(F.col("path").alias("spec"), F.from_json("content", SPEC).alias("doc"))
+    """files(path, content) → (spec, doc); content that is no JSON object gives a null doc."""
+    return files.select(F.col("path").alias("spec"), F.from_json("content", SPEC).alias("doc"))
 
 
 def read_openapi(files: DataFrame) -> dict[str, DataFrame]:
@@ -98,30 +74,35 @@ def read_openapi(files: DataFrame) -> dict[str, DataFrame]:
     return {"endpoints": endpoints, "params": params, "responses": responses, "schema_fields": fields, "servers": servers}
 
 
-def resolve_refs(responses: DataFrame, fields: DataFrame, depth: int = 3) -> DataFrame:
-    """Follow references from responses into fields, ``depth`` levels down.
+def resolve_refs(responses: DataFrame, fields: DataFrame) -> DataFrame:
+    """Follow references from responses into fields, down to the last level.
 
-    Every level is one equi-join on (spec, schema); a cycle simply stops at ``depth``.
+    Every level is one equi-join on (spec, schema) and a written table; the loop ends with the first level that refers to
+    nothing. A path carries the schemas it went through: a reference back to one of them is a row with ``cyclic`` set
+    and is not followed again.
     """
     level = responses.where(F.col("ref").isNotNull()).select(
-        "spec", F.concat_ws(" ", "method", "path", "status").alias("source"), F.lit("").alias("at"), "ref"
+        "spec", F.concat_ws(" ", "method", "path", "status").alias("source"), F.lit("").alias("at"), "ref", F.array("ref").alias("seen")
     )
-    schemas = fields.where(F.col("kind") == "schema").select(
+    schemas = cut_lineage(fields.where(F.col("kind") == "schema").select(
         F.col("spec").alias("_spec"), F.col("owner").alias("_owner"), "field", "type", F.col("ref").alias("next_ref")
-    )
-    out = None
-    for n in range(depth):
-        hop = level.join(schemas, (level.spec == schemas._spec) & (level.ref == schemas._owner)).select(
+    ))
+    out, depth = None, 0
+    while True:
+        depth += 1
+        hop = cut_lineage(level.join(schemas, (level.spec == schemas._spec) & (level.ref == schemas._owner)).select(
             "spec", "source",
             F.concat_ws(".", F.nullif(F.col("at"), F.lit("")), "field").alias("field_path"),
-            F.coalesce("type", F.lit("object")).alias("type"), F.lit(n + 1).alias("depth"), "next_ref",
-        )
-        rows = hop.drop("next_ref")
+            F.coalesce("type", F.lit("object")).alias("type"), F.lit(depth).alias("depth"),
+            F.coalesce(F.array_contains("seen", F.col("next_ref")), F.lit(False)).alias("cyclic"), "next_ref", "seen",
+        ))
+        rows = hop.drop("next_ref", "seen")
         out = rows if out is None else out.unionByName(rows)
-        level = hop.where(F.col("next_ref").isNotNull()).select(
-            "spec", "source", F.col("field_path").alias("at"), F.col("next_ref").alias("ref")
+        level = hop.where(F.col("next_ref").isNotNull() & ~F.col("cyclic")).select(
+            "spec", "source", F.col("field_path").alias("at"), F.col("next_ref").alias("ref"), F.array_append("seen", F.col("next_ref")).alias("seen")
         )
-    return out
+        if level.isEmpty():
+            return out
 
 
 def lint(api: dict[str, DataFrame]) -> DataFrame:

@@ -18,8 +18,8 @@ def column(spark, values, expr):
 
 
 def test_parse_int_examples(spark):
-    got = column(spark, ["12abc", "abc", " 7", "-3.9", "0x1F", "-0x10", "", "1e5", None, "99999999999999999999"], C.js_parse_int)
-    assert got == [12, None, 7, -3, 31, -16, None, 1, None, None]
+    got = column(spark, ["12abc", "abc", " 7", "-3.9", "0x1F", "-0x10", "", "1e5", None, "99999999999999999999", "-99999999999999999999", "0xFFFFFFFFFFFFFFFF1", "0x000000000000000000A", "0x7fffffffffffffff"], C.js_parse_int)
+    assert got == [12, None, 7, -3, 31, -16, None, 1, None, 2**63 - 1, -(2**63), 2**63 - 1, 10, 2**63 - 1]
 
 
 def test_parse_float_examples(spark):

@@ -10,21 +10,24 @@ from palisade.operators.detect import code as D
 from palisade.operators.detect import deps as P
 from palisade.operators.detect import graph as G
 from palisade.operators.detect import traffic as N
-from palisade.operators.detect.rules import PACK, Rule, match_rules, pack, register_rules, scan
+from palisade.operators.detect.rules import PACK, Rule, match_rules, pack, scan, with_rules
 from palisade.sources.files import corpus_layout, read_files, write_corpus
 from palisade.sources.sinks import write_report
 from palisade.sources.vectors import vectors
 
-# A file with planted flaws, and a small web application with unsafe queries.
+# A file with planted flaws, and a service with unsafe statements.
 FLAWED = 'password = "k7Qz9vLm2XwT4hunter"\ndb.execute(stmt)\ny = eval(x)\n'
-WEB = "\n".join([
-    'DB = "/srv/x.db"',
-    'a = f"SELECT id FROM t WHERE id = {i}"',
-    "b = \"SELECT id FROM t WHERE n LIKE '%\" + q + \"%'\"",
-    "c = f\"SELECT id FROM t WHERE m = '{m}'\"",
-    'return {"error": "db error"}', 'return {"error": "db error"}', 'return {"error": "db error"}',
-    'serve(host="0.0.0.0")',
-])
+SERVICE = """
+def rename(store, key, label):
+    store.run(f"UPDATE shelf SET label = '{label}' WHERE key = {key}")
+
+def prune(store, day):
+    store.run("DELETE FROM visit WHERE day < '" + day)
+    store.run("INSERT INTO prune_log VALUES ('" + day + "')")
+    log.error("stack trace follows")
+
+app.start("0.0.0.0")
+"""
 
 
 def files(spark, *rows):
@@ -51,9 +54,9 @@ def test_planted_flaws(spark):
     assert all("hunter" not in r["match"] for r in found.collect())
 
 
-def test_web_application(spark):
-    got = {(r["rule_id"]): r["n"] for r in scan(files(spark, ("r", "w.py", WEB)), pack("D2", "D8", "D5")).groupBy("rule_id").agg(F.count("*").alias("n")).collect()}
-    assert got == {"sql.fstring": 2, "sql.concat": 1, "leak.db_error": 3, "net.bind_all": 1}
+def test_service_with_unsafe_statements(spark):
+    got = {(r["rule_id"]): r["n"] for r in scan(files(spark, ("r", "s.py", SERVICE)), pack("D2", "D8", "D5")).groupBy("rule_id").agg(F.count("*").alias("n")).collect()}
+    assert got == {"sql.fstring": 1, "sql.concat": 2, "leak.db_error": 1, "net.bind_all": 1}
 
 
 def test_fingerprint_survives_line_shift(spark):
@@ -66,12 +69,37 @@ def test_low_entropy_secret_is_dropped(spark):
     assert scan(files(spark, ("r", "a", "password = aaaaaaaaaa")), pack("D1")).count() == 0
 
 
-def test_registered_rule_table(spark):
-    table = spark.createDataFrame([("t.todo", "X9", 3, "TODO")], "rule_id string, detector string, severity int, pattern string")
-    (rule,) = register_rules(table)
-    assert scan(files(spark, ("r", "a", "x TODO y")), [rule]).first()["rule_id"] == "t.todo"
-    with pytest.raises(ValueError):
-        register_rules(table.union(table), limit=1)
+def test_further_rules(spark):
+    rules = with_rules([{"rule_id": "t.todo", "detector": "X9", "severity": 3, "pattern": "TODO"}])
+    assert len(rules) == len(PACK) + 1 and len(pack()) == len(PACK)
+    src = files(spark, ("r", "a", "x TODO y"), ("r", "b", FLAWED))
+    assert sorted(r["rule_id"] for r in scan(src, rules).collect()) == ["secret.assign", "sink.eval", "sql.raw_execute", "t.todo"]
+    with pytest.raises(ValueError, match="duplicate"):
+        with_rules([PACK[0]])
+
+
+def test_versions_compare(spark):
+    order = ["0.9", "1.0.dev1", "1.0a2", "1.0rc1", "1.0", "1.0.1", "1.2", "1.10", "2"]
+    df = spark.createDataFrame([(a, b) for a in order for b in order], "a string, b string")
+    for r in df.select("a", "b", (P.version_key(F.col("a")) < P.version_key(F.col("b"))).alias("less")).collect():
+        assert r["less"] == (order.index(r["a"]) < order.index(r["b"])), r
+    same = spark.createDataFrame([("1.2", "1.2.0"), ("v1", "1.0.0")], "a string, b string")
+    assert all(r[0] for r in same.select(P.version_key(F.col("a")) == P.version_key(F.col("b"))).collect())
+
+
+def test_images_and_advisories(spark):
+    text = "FROM --platform=linux/amd64 python:3.9\nFROM reg.io:5000/team/img:1.2-linux AS b\nfrom alpine\nFROM x@sha256:ab"
+    deps = P.dependencies(spark.createDataFrame([("r", "Dockerfile", "m", text)], "repo string, manifest string, module string, content string"))
+    assert sorted((r["name"], r["spec"]) for r in deps.collect()) == [("alpine", ""), ("python", "3.9"), ("reg.io:5000/team/img", "1.2-linux"), ("x", "")]
+    advisories = spark.createDataFrame([("python", "3.0", "3.9.0"), ("python", "3.1", "3.9.1"), ("python", "3.10", None)], "name string, introduced string, fixed string")
+    got = sorted((r["name"], r["signal"]) for r in P.risk_signals(deps, None, advisories).collect())
+    assert got == [("alpine", "wildcard"), ("python", "advisory"), ("x", "wildcard")]
+
+
+def test_all_kinds_of_a_line(spark):
+    line = "open('pg://u:pw@h/d').run('create table t (a int); delete from s where 1')"
+    got = D.db_artifacts(files(spark, ("r", "db/migrations/1.py", line))).collect()
+    assert sorted((r["kind"], r["detail"], r["migration"]) for r in got) == [("connection", "", True), ("create_table", "t", True), ("statement", "", True)]
 
 
 @pytest.mark.parametrize(

@@ -141,6 +141,14 @@ def test_order_updates(spark, orders):
     assert got[1]["status"] == "delivered"
 
 
+def test_orders_updated_twice_in_a_batch(spark, orders):
+    """A shorter body drops the ids behind it; a longer one after it gets fresh ones."""
+    item = '{"productId":9,"quantity":1,"price":10}'
+    requests = bodies(spark, f'{{"items":[{item}]}}', f'{{"items":[{item},{item}]}}', raw_ids=["1", "1"])
+    state, _, _ = M.apply_updates(orders, requests, "orders", now())
+    assert [i["id"] for i in state.where("id = 1").first()["items"]] == [1, 1706745600001]
+
+
 def test_updates(spark, users):
     requests = bodies(
         spark, '{"email":"ANN@example.com"}', '{"email":"ann@example.com"}', '{"name":"New Cat","isAdmin":true}', "{bad", "{}", "{}",
