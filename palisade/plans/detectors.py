@@ -63,7 +63,7 @@ def d1(t: Tables) -> DataFrame:
     return D.detect_secrets(t.files).select(*COLUMNS)
 
 
-_UNESCAPED = "(SELECT url AS repo, CAST(page_id AS STRING) || '.html' AS path, replace(replace(html, '&quot;', chr(34)), '&#39;', chr(39)) AS content FROM pages)"
+_UNESCAPED = "(SELECT regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS repo, CAST(page_id AS STRING) || '.html' AS path, replace(replace(html, '&quot;', chr(34)), '&#39;', chr(39)) AS content FROM pages)"
 
 
 @query("d1_secrets_html", findings_sql("D1", src=_UNESCAPED))

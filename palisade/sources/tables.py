@@ -66,7 +66,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         ],
     ),
     "files": ("documents", ["source AS repo", "CAST(doc_id AS STRING) || '.txt' AS path", "text AS content"]),
-    "web_files": ("pages", ["url AS repo", "CAST(page_id AS STRING) || '.html' AS path", "html AS content"]),
+    "web_files": ("pages", ["regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS repo", "CAST(page_id AS STRING) || '.html' AS path", "html AS content"]),
     "requests": (
         "events",
         [
