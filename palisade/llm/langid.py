@@ -31,6 +31,7 @@ from palisade.llm.common import fold as fold_of
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
 DOCS_AT_ONCE = 256
+PARTS = 64
 
 
 class Grams:
@@ -87,8 +88,11 @@ def fit(docs: DataFrame, per_lang: int = 300, landmarks: int = 48, ridge: float
     """(languages, sorted n-gram codes, weights per code and language) from (doc_id, text, lang)."""
     able = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     key = F.xxhash64(F.col("doc_id"), F.lit(11))
-    first = able.select("lang", "doc_id", F.row_number().over(W.partitionBy("lang").orderBy(key, "doc_id")).alias("r"))
-    chosen = [r.doc_id for r in first.where(F.col("r") <= per_lang).select("doc_id").collect()]
+    # The first of a language are among the first of its parts, so a language of most rows is not ranked in one task.
+    dealt = able.select("lang", "doc_id", key.alias("key")).withColumn("part", F.pmod("key", F.lit(PARTS)))
+    for part in (["part"], []):
+        dealt = dealt.withColumn("r", F.row_number().over(W.partitionBy("lang", *part).orderBy("key", "doc_id"))).where(F.col("r") <= per_lang)
+    chosen = [r.doc_id for r in dealt.select("doc_id").collect()]
     sample = able.where(F.col("doc_id").isin(chosen)).select("doc_id", "lang", "text") if chosen else able.where("1 = 0").select("doc_id", "lang", "text")
     rows = sample.mapInArrow(_sets, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, grams array<bigint>").collect()
     texts = {(r.lang, r.doc_id): np.array(r.grams) for r in sorted(rows, key=lambda r: (r.lang, str(r.doc_id), r.grams)) if r.grams}

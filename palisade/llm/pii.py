@@ -2,10 +2,11 @@ r"""Personal data: fixed forms, and identifiers of other forms found by the cont
 
 Seeds are the addresses, numbers and cards of the fixed forms. Around each identifier the words before and after give lexical
 patterns. Candidates are looser forms (phone numbers without a plus, card-length numbers that fail the check, IPv6 addresses,
-spelled-out e-mail). Patterns and instances form a graph, one edge per distinct (kind, pattern, instance); Spark scores it in
-rounds: a pattern's confidence is the score of its instances over their number plus one, an instance's score the chance that
-not all of its patterns fail. Only patterns that hold both a seed and a candidate can move anything, so the graph is cut to
-these first. Candidates that end above the threshold become spans; spans of the fixed forms are never changed.
+spelled-out e-mail). Patterns and instances form a graph, one edge per distinct (kind, pattern, instance) with its mentions;
+Spark scores it in rounds: a pattern's confidence is the score of its mentions over the times that its words occur in the
+corpus at all, an instance's score the chance that not all of its patterns fail. Only patterns that hold both seeds and a
+candidate can move anything, so the graph is cut to these first, and only these are counted in the corpus. Candidates that
+end above the threshold become spans; spans of the fixed forms are never changed.
 
 Nulls: a null text is empty. Every row gives a row, repeated ids and texts included (equal texts have equal spans). An empty
 table gives no rows. Other columns are ignored by ``find`` and kept by ``redact``. All scans are linear in the text's length.
@@ -17,11 +18,15 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import slices
+from palisade.llm.common import WORD, coded, slices, split_words
+from palisade.llm.tables import filled
 from palisade.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -34,6 +39,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
+_WORD = re.compile(WORD)
+BITS = 1 << 23
 
 
 def luhn(digits: str) -> bool:
@@ -114,16 +121,68 @@ def loose_spans(text: str, taken: list[Span]) -> list[Span]:
 def patterns(text: str, span: Span) -> list[str]:
     """Two words before; one word before and one after. Digits count as one sign, case does not count."""
     _, a, b = span
-    before = re.sub("[0-9]+", "0", text[max(0, a - 80) : a].lower()).split()[-2:]
-    after = re.sub("[0-9]+", "0", text[b : b + 40].lower()).split()[:1]
+    before = _WORD.findall(_DIGITS.sub("0", text[max(0, a - 160) : a].lower()))[-2:]
+    after = _WORD.findall(_DIGITS.sub("0", text[b : b + 80].lower()))[:1]
     out = []
     if len(before) == 2:
-        out.append("< " + " ".join(before))
+        out.append(f"{before[0]} {before[1]} _")
     if before and after:
-        out.append(f"< {before[-1]} > {after[0]}")
+        out.append(f"{before[-1]} _ {after[0]}")
     return out
 
 
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    return pd.util.hash_array(np.asarray(words.to_pandas(), dtype=object), categorize=False)
+
+
+def _pattern_hash(one: np.ndarray, two: np.ndarray, gap: bool) -> np.ndarray:
+    x = one * np.uint64(0x9E3779B97F4A7C15) + two * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(gap)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pattern) to (pattern, hash)."""
+    for batch in batches:
+        parts = [p.split(" ") for p in batch.column("pattern").to_pylist()]
+        gap = np.array([p[1] == "_" for p in parts], dtype=bool)
+        one, two = (_word_hashes(pa.array([p[i] if i == 0 or p[1] != "_" else p[2] for p in parts], pa.string())) for i in (0, 1))
+        yield pa.RecordBatch.from_pydict({
+            "pattern": batch.column("pattern"), "hash": np.where(gap, _pattern_hash(one, two, True), _pattern_hash(one, two, False)).view(np.int64)})
+
+
+def occurrences(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(pattern, occurs): how often the words of each wanted pattern stand in the corpus, whatever fills the gap.
+
+    A bit set of fixed size drops most other word pairs where they are read; the rest are counted per slice, summed and met exactly.
+    """
+    hashed = cut_lineage(wanted.mapInArrow(_hashed, "pattern string, hash bigint"))
+
+    def mark(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> None:
+        for batch in batches:
+            table[np.asarray(batch.column("hash")).view(np.uint64) % np.uint64(BITS)] = 1
+
+    shared = texts.sparkSession.sparkContext.broadcast(filled(hashed.select("hash"), mark, BITS, np.maximum).astype(bool))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            words, at = split_words(batch.column("text"))
+            codes, kinds = coded(words)
+            if len(codes) < 2:
+                continue
+            word = _word_hashes(pc.replace_substring_regex(pc.utf8_lower(kinds), "[0-9]+", "0"))[codes]
+            owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+            found = []
+            for gap in (1, 2):
+                same = owner[:-gap] == owner[gap:]
+                h = _pattern_hash(word[:-gap][same], word[gap:][same], gap == 2)
+                found.append(h[shared.value[h % np.uint64(BITS)]])
+            h, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"hash": h.view(np.int64), "n": n})
+
+    counted = texts.mapInArrow(count, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("occurs"))
+    return hashed.join(counted, "hash", "left").select("pattern", F.coalesce("occurs", F.lit(0)).alias("occurs"))
+
+
 def written(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
@@ -158,21 +217,27 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     return cut_lineage(src.mapInArrow(_scan, f"doc_id {kind}, copy binary, base {SPANS}, seen {SEEN}"))
 
 
-def discover(scanned: DataFrame, rounds: int = 3, threshold: float = 0.7, min_seeds: int = 3) -> DataFrame:
-    """Written table (copy, found): spans of confident candidates per distinct text.
+def discover(scanned: DataFrame, texts: DataFrame, rounds: int = 3, threshold: float = 0.7, min_seeds: int = 3) -> DataFrame:
+    """Written table (copy, found): spans of confident candidates per distinct text; ``texts`` is the corpus (text).
 
     ``min_seeds``: distinct seeds that a pattern needs. A candidate's mention counts when its instance's score reaches the threshold.
     """
     seen = scanned.select("copy", F.explode("seen").alias("s")).select("copy", "s.*")
-    edges = seen.select("kind", "instance", "seed", F.explode("patterns").alias("pattern")).groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed"))
-    useful = edges.groupBy("kind", "pattern").agg(F.sum(F.col("seed").cast("int")).alias("seeds"), F.count("*").alias("n")).where(
-        (F.col("seeds") >= min_seeds) & (F.col("n") > F.col("seeds")))
+    edges = seen.select("kind", "instance", "seed", F.explode("patterns").alias("pattern")).groupBy("kind", "pattern", "instance").agg(
+        F.max("seed").alias("seed"), F.count("*").alias("mentions"))
+    useful = edges.groupBy("kind", "pattern").agg(
+        F.sum(F.col("seed").cast("int")).alias("seeds"), F.sum(F.when(F.col("seed"), F.col("mentions")).otherwise(0)).alias("sure_mentions"),
+        F.sum("mentions").alias("all_mentions"), F.min("seed").alias("only_seeds")).where((F.col("seeds") >= min_seeds) & ~F.col("only_seeds"))
+    useful = cut_lineage(useful.drop("seeds", "only_seeds"))
+    none = useful.isEmpty()
+    counts = occurrences(texts, useful.select("pattern").distinct()) if not none else useful.select("pattern", F.lit(0).alias("occurs"))
     # A pattern's seeds count as one number; its candidates are the edges that the rounds work on.
-    graph = cut_lineage(edges.where(~F.col("seed")).join(useful, ["kind", "pattern"]).select("kind", "pattern", "instance", "seeds", "n"))
+    graph = cut_lineage(edges.where(~F.col("seed")).join(useful, ["kind", "pattern"]).join(counts, "pattern").select(
+        "kind", "pattern", "instance", "mentions", "sure_mentions", F.greatest("all_mentions", "occurs").alias("n")))
     score = graph.select("kind", "instance").distinct().withColumn("score", F.lit(0.0))
-    for _ in range(rounds):
+    for _ in range(0 if none else rounds):
         sure = graph.join(score, ["kind", "instance"]).groupBy("kind", "pattern").agg(
-            ((F.first("seeds") + F.sum("score")) / (F.first("n") + 1)).alias("sure"))
+            ((F.first("sure_mentions") + F.sum(F.col("score") * F.col("mentions"))) / (F.first("n") + 1)).alias("sure"))
         score = cut_lineage(graph.join(sure, ["kind", "pattern"]).groupBy("kind", "instance").agg(
             (1 - F.exp(F.sum(F.log1p(-F.col("sure"))))).alias("score")))
     known = score.where(F.col("score") >= threshold).select("kind", "instance")
@@ -183,7 +248,7 @@ def discover(scanned: DataFrame, rounds: int = 3, threshold: float = 0.7, min_se
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """(doc_id, base, found): spans of the fixed forms and discovered ones, per document."""
     scanned = scan(docs, doc_id, text)
-    found = discover(scanned, **how).withColumnRenamed("copy", "_copy")
+    found = discover(scanned, docs.select(F.col(text).alias("text")), **how).withColumnRenamed("copy", "_copy")
     # A null copy has no candidates; it must not gather in one task of the join.
     none = scanned.where(F.col("copy").isNull()).select("doc_id", "base", F.lit(None).cast(SPANS).alias("found"))
     some = scanned.where(F.col("copy").isNotNull()).join(found, F.col("copy") == F.col("_copy"), "left").select("doc_id", "base", "found")
@@ -208,7 +273,7 @@ def report(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The documents with every span replaced by its kind in brackets; all columns stay."""
-    found = discover(scan(docs, doc_id, text), **how).select(F.hex("copy").alias("_copy"), F.col("found").alias("_found"))
+    found = discover(scan(docs, doc_id, text), docs.select(F.col(text).alias("text")), **how).select(F.hex("copy").alias("_copy"), F.col("found").alias("_found"))
     met = docs.withColumn("_md5", F.upper(F.md5(F.coalesce(F.col(text), F.lit(""))))).join(found, F.col("_md5") == F.col("_copy"), "left").drop("_md5", "_copy")
 
     names = docs.columns
