@@ -7,4 +7,4 @@ __all__ = ["ORACLES", "QUERIES", "load"]
 
 def load() -> None:
     """Import every plan module, which fills the catalog."""
-    from palisade.plans import changes, detectors, entities, estate, findings, relational, streams, surface  # noqa: F401
+    from palisade.plans import changes, detectors, entities, estate, findings, relational, streams, surface, validation  # noqa: F401
