@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,14 +86,20 @@ class JsonBody:
     parsed object as a column first, so that many fields cost one parse.
     """
 
-    def __init__(self, body: Column | str | None = None, ok: Column | None = None, fields: Column | None = None):
+    def __init__(self, body: Column | str | None = None, ok: Column | None = None, fields: Column | None = None,
+                 ready: frozenset[str] = frozenset()):
         value = F.try_parse_json(_col(body)) if body is not None else None
         self._ok = ok if ok is not None else value.isNotNull() & ~F.is_variant_null(value)
         self._fields = fields if fields is not None else F.try_variant_get(value, "$", "map<string,variant>")
+        self._ready = ready
 
     @classmethod
-    def prepared(cls, df: DataFrame, body: str) -> tuple[DataFrame, JsonBody]:
-        """(df + parsed columns, accessor); the columns are named ``_json`` and ``_fields``."""
+    def prepared(cls, df: DataFrame, body: str, read: Sequence[str] = ()) -> tuple[DataFrame, JsonBody]:
+        """(df + parsed columns, accessor); the columns are named ``_json`` and ``_fields``.
+
+        The fields in ``read`` get columns of their own for value, type and text (``_f_``, ``_t_``, ``_s_`` and the name), so that
+        checks and conversions of a field share one extraction.
+        """
         parsed = df.withColumn("_parsed", F.try_parse_json(body))
         value = F.col("_parsed")
         out = parsed.select(
@@ -99,7 +107,15 @@ class JsonBody:
             (value.isNotNull() & ~F.coalesce(F.is_variant_null(value), F.lit(True))).alias("_json"),
             F.try_variant_get(value, "$", "map<string,variant>").alias("_fields"),
         )
-        return out, cls(ok=F.col("_json"), fields=F.col("_fields"))
+        if read:
+            out = out.select("*", *[F.col("_fields")[k].alias(f"_f_{k}") for k in read])
+            plain = cls(ok=F.col("_json"), fields=F.col("_fields"))
+            out = out.select("*", *[
+                c for k in read
+                for c in (F.when(~plain.present(k), "undefined").otherwise(json_type(F.col(f"_f_{k}"))).alias(f"_t_{k}"),
+                          F.try_variant_get(f"_f_{k}", "$", "string").alias(f"_s_{k}"))
+            ])
+        return out, cls(ok=F.col("_json"), fields=F.col("_fields"), ready=frozenset(read))
 
     def valid(self) -> Column:
         return F.coalesce(self._ok, F.lit(False))
@@ -108,20 +124,24 @@ class JsonBody:
         return F.coalesce(F.map_keys(self._fields), F.array().cast("array<string>"))
 
     def present(self, key: str) -> Column:
+        if key in self._ready:
+            return F.col(f"_t_{key}") != "undefined"
         return F.coalesce(F.map_contains_key(self._fields, key), F.lit(False))
 
     def variant(self, key: str) -> Column:
-        return self._fields[key]
+        return F.col(f"_f_{key}") if key in self._ready else self._fields[key]
 
     def get(self, key: str, kind: str) -> Column:
         return F.try_variant_get(self.variant(key), "$", kind)
 
     def type(self, key: str) -> Column:
         """undefined, null, string, number, boolean, array or object."""
+        if key in self._ready:
+            return F.col(f"_t_{key}")
         return F.when(~self.present(key), "undefined").otherwise(json_type(self.variant(key)))
 
     def string(self, key: str) -> Column:
-        return self.get(key, "string")
+        return F.col(f"_s_{key}") if key in self._ready else self.get(key, "string")
 
     def number(self, key: str) -> Column:
         return F.when(self.type(key) == "number", self.get(key, "double"))

@@ -30,6 +30,10 @@ def assign_ids(new: DataFrame, state: DataFrame, order: Sequence[str], id_col: s
     return numbered.select((F.col("index") + top).alias(id_col), *[c for c in new.columns if c != id_col])
 
 
+def _body_fields(entity: str) -> list[str]:
+    return [f for f in ENTITIES[entity].fieldNames() if f not in PROTECTED]
+
+
 def item_ids(items: Column, now_ms: Column, old_items: Column | None = None, kept_below: Column | None = None) -> Column:
     """Child ids by position: the old id where there is one (below position ``kept_below``), else now + position."""
 
@@ -121,7 +125,7 @@ def apply_creates(state: DataFrame, requests: DataFrame, entity: str, now: Colum
     Ladder: JSON 400 → validation 400 → duplicate 409 → 201. Duplicates are found
     against the state and, inside the batch, against the earliest accepted seq.
     """
-    parsed, body = JsonBody.prepared(requests.select("req_id", "seq", "body"), "body")
+    parsed, body = JsonBody.prepared(requests.select("req_id", "seq", "body"), "body", _body_fields(entity))
     errors = F.when(body.valid(), error_list(body, entity, "create"))
     missing = (~body.present("items")) if entity == "orders" else F.lit(False)
     checked = parsed.select(
@@ -174,8 +178,8 @@ def apply_updates(state: DataFrame, requests: DataFrame, entity: str, now: Colum
     so an explicit null overwrites and an absent key keeps the old value.
     """
     label, title = LABELS[entity], TITLES[entity]
-    fields = [f for f in ENTITIES[entity].fieldNames() if f not in PROTECTED]
-    parsed, body = JsonBody.prepared(requests.select("req_id", "seq", js_parse_int("raw_id").alias("_id"), "body"), "body")
+    fields = _body_fields(entity)
+    parsed, body = JsonBody.prepared(requests.select("req_id", "seq", js_parse_int("raw_id").alias("_id"), "body"), "body", _body_fields(entity))
 
     def written(field: str) -> Column:
         """(seq, value) where the body writes the field: present, and truthy where the update guards for it."""

@@ -115,7 +115,7 @@ def validate(df: DataFrame, entity: str, mode: str, body_col: str = "body") -> D
     """
     if mode not in ("create", "update"):
         raise ValueError(mode)
-    parsed, body = JsonBody.prepared(df, body_col)
+    parsed, body = JsonBody.prepared(df, body_col, [r[0] for r in RULES[entity]])
     errors = F.when(body.valid(), error_list(body, entity, mode)).otherwise(F.array(F.lit("Invalid JSON")))
     return parsed.select(*df.columns, errors.alias("errors")).withColumn("valid", F.size("errors") == 0)
 

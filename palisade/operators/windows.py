@@ -12,9 +12,8 @@ from palisade.operators.ordered import DAY_US, carry_last, global_order, int_buc
 
 
 def latest(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """Last version per key as an aggregate: partial maxima leave each task, not the rows."""
-    rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(key, "_r.*")
+    """Last version per key. The planner trims every task to one row per key before the shuffle."""
+    return top_k(df, key, [F.desc(c) for c in order], 1).drop("place")
 
 
 def trend(daily: DataFrame, series: str, day: str, value: str) -> DataFrame:
