@@ -145,7 +145,7 @@ def t8(t: Tables) -> DataFrame:
 )
 def t9(t: Tables) -> DataFrame:
     feed = stream(t)
-    out = J.interval_join(feed.where("event_type = 'error'"), stream(t).where("event_type = 'purchase'"), "user_id", "1 HOUR")
+    out = J.interval_join(feed.where("event_type = 'error'"), stream(t).where("event_type = 'purchase'"), "user_id", 3_600_000_000)
     return J.run_to_parquet(out.select("a_id", "b_id", F.col("a_key").alias("user_id")), "t9")
 
 
@@ -157,5 +157,5 @@ def t9(t: Tables) -> DataFrame:
 )
 def t9_left(t: Tables) -> DataFrame:
     """Outer rows appear once the watermark rules out a later partner."""
-    out = J.interval_join(stream(t).where("event_type = 'error'"), stream(t).where("event_type = 'purchase'"), "user_id", "1 HOUR", how="left")
+    out = J.interval_join(stream(t).where("event_type = 'error'"), stream(t).where("event_type = 'purchase'"), "user_id", 3_600_000_000, how="left")
     return J.run_to_parquet(out.select("a_id", "b_id", F.col("a_key").alias("user_id")), "t9l")

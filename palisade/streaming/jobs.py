@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from palisade.operators.changes import apply_changes
 from palisade.session import cut_lineage, scratch_path
@@ -73,11 +74,18 @@ def enrich(events: DataFrame, static: DataFrame, on: Column, columns: list[str])
     return events.join(static, on, "left").select(*columns)
 
 
-def interval_join(a: DataFrame, b: DataFrame, key: str, delta: str, late: str = "2 hours", how: str = "inner") -> DataFrame:
-    left = a.select(F.col(key).alias("a_key"), F.col("ts").alias("a_ts"), F.col("event_id").alias("a_id")).withWatermark("a_ts", late)
-    right = b.select(F.col(key).alias("b_key"), F.col("ts").alias("b_ts"), F.col("event_id").alias("b_id")).withWatermark("b_ts", late)
-    cond = F.expr(f"a_key = b_key AND b_ts >= a_ts AND b_ts <= a_ts + INTERVAL {delta}")
-    return left.join(right, cond, {"inner": "inner", "left": "leftOuter"}[how])
+def interval_join(a: DataFrame, b: DataFrame, key: str, delta_us: int, late: str = "2 hours", how: str = "inner") -> DataFrame:
+    """Pairs of one key with ``a.ts <= b.ts <= a.ts + delta``.
+
+    The state is held by (key, time bucket of width delta): a b row visits its own bucket and the one before, so each pair meets
+    once, a hot key is spread over time, and a row is compared with rows of two buckets only.
+    """
+    bucket = lambda ts: F.expr(f"unix_micros({ts}) DIV {delta_us}")
+    left = a.select(F.col(key).alias("a_key"), F.col("ts").alias("a_ts"), F.col("event_id").alias("a_id"), bucket("ts").alias("a_bucket")).withWatermark("a_ts", late)
+    right = b.select(F.col(key).alias("b_key"), F.col("ts").alias("b_ts"), F.col("event_id").alias("b_id"),
+                     F.explode(F.array(bucket("ts"), bucket("ts") - 1)).alias("b_bucket")).withWatermark("b_ts", late)
+    cond = F.expr(f"a_key = b_key AND a_bucket = b_bucket AND b_ts >= a_ts AND b_ts <= a_ts + INTERVAL {delta_us // 1_000_000} SECONDS")
+    return left.join(right, cond, {"inner": "inner", "left": "leftOuter"}[how]).drop("a_bucket", "b_bucket")
 
 
 ALARM = "user_id bigint, event_id bigint, first_error bigint, second_error bigint"
@@ -127,65 +135,34 @@ def failures_then_success(events: DataFrame, delta_us: int = 3_600_000_000, late
     )
 
 
-class VersionedState:
-    """A keyed state table as a snapshot and the deltas written after it.
+def fold_changes(spark: SparkSession, requests: DataFrame, start: DataFrame, values: dict[str, Column], name: str = "fold",
+                 parts: int = 64, key: str = "id") -> DataFrame:
+    """Fold a stream of change requests into a state table, touching only the parts that a batch's keys fall into.
 
-    Batch n writes ``delta/v=n`` with only the rows it touched (removed ones are
-    marked), and every ``keep``-th batch folds the deltas into ``base/v=n``. Which
-    folders a batch reads follows from its number alone, so a repeated batch reads
-    and rewrites the same ones, and retries change nothing.
+    The state is partitioned by the hash of the key. A batch reads the parts of its keys (the filter prunes folders), folds, and
+    overwrites these parts and no others. Folding a batch once more changes nothing, since the last write, removal and creation of
+    a key decide, so a batch that is repeated after a failure leaves the same state.
     """
-
-    def __init__(self, spark: SparkSession, path: str, start: DataFrame, key: str = "id", keep: int = 16):
-        self.spark, self.path, self.key, self.keep = spark, path, key, keep
-        self.columns = start.columns
-        rows = self._rows(start, -1, False)
-        self.schema = rows.schema
-        rows.write.mode("overwrite").parquet(f"{path}/base/v=-1")
-
-    def _rows(self, df: DataFrame, version: int, gone: bool) -> DataFrame:
-        return df.select(*self.columns, F.lit(version).cast("bigint").alias("_v"), F.lit(gone).alias("_gone"))
-
-    def _snapshot(self, version: int) -> int:
-        return version // self.keep * self.keep - 1
-
-    def read(self, version: int, ids: DataFrame | None = None) -> DataFrame:
-        """The state after batch ``version`` (-1: the start), optionally of some keys only."""
-        return self._latest(self._paths(self._snapshot(version + 1), version), ids)
-
-    def _paths(self, base: int, version: int) -> list[str]:
-        return [f"{self.path}/base/v={base}"] + [f"{self.path}/delta/v={v}" for v in range(base + 1, version + 1)]
-
-    def _latest(self, paths: list[str], ids: DataFrame | None = None) -> DataFrame:
-        rows = self.spark.read.schema(self.schema).parquet(*paths)
-        if ids is not None:
-            rows = rows.join(ids, self.key, "left_semi")
-        rest = [c for c in rows.columns if c != self.key]
-        last = rows.groupBy(self.key).agg(F.max_by(F.struct(*rest), "_v").alias("_r")).where(~F.col("_r._gone"))
-        return last.select(*[F.col(c) if c == self.key else F.col(f"_r.{c}").alias(c) for c in self.columns])
-
-    def write(self, version: int, before: DataFrame, after: DataFrame) -> None:
-        gone = before.join(after.select(self.key), self.key, "left_anti")
-        delta = self._rows(after, version, False).unionByName(self._rows(gone, version, True))
-        delta.write.mode("overwrite").parquet(f"{self.path}/delta/v={version}")
-        if (version + 1) % self.keep == 0:
-            paths = self._paths(self._snapshot(version), version)
-            self._rows(self._latest(paths), version, False).write.mode("overwrite").parquet(f"{self.path}/base/v={version}")
-
-
-def fold_changes(spark: SparkSession, requests: DataFrame, start: DataFrame, values: dict[str, Column], name: str = "fold",
-                 keep: int = 16) -> DataFrame:
-    """Fold a stream of change requests into a versioned state table, touching only the keys of each batch."""
     base = scratch_path(spark, name)
-    state = VersionedState(spark, f"{base}/state", start, keep=keep)
-    done = {"last": -1}
-
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        ids = batch.select("id").where(F.col("id").isNotNull()).distinct()
-        before = cut_lineage(state.read(batch_id - 1, ids))
+    path, part = f"{base}/state", F.pmod(F.hash(F.col(key)), F.lit(parts)).alias("part")
+    start.select("*", part).write.partitionBy("part").parquet(path)
+    schema = StructType([*start.schema.fields, StructField("part", IntegerType())])
+
+    def state() -> DataFrame:
+        return spark.read.schema(schema).parquet(path).where(F.col(key).isNotNull())
+
+    def fold(batch: DataFrame, _: int) -> None:
+        batch = cut_lineage(batch)
+        touched = [r.part for r in batch.where(F.col(key).isNotNull()).select(part).distinct().collect()]  # at most ``parts`` numbers
+        if not touched:
+            return
+        before = state().where(F.col("part").isin(touched)).drop("part")
         after, _ = apply_changes(before, batch, values)
-        state.write(batch_id, before, after)
-        done["last"] = batch_id
+        # Written apart first: the parts that are read are the ones that are overwritten. A row without a key stands in
+        # each of them, so that a part whose last entity went is overwritten, too.
+        marks = spark.createDataFrame([(p,) for p in touched], "part int")
+        after = cut_lineage(after.select("*", part).unionByName(marks, allowMissingColumns=True))
+        after.write.partitionBy("part").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
     query = (
         requests.writeStream.trigger(availableNow=True)
@@ -194,4 +171,4 @@ def fold_changes(spark: SparkSession, requests: DataFrame, start: DataFrame, val
         .start()
     )
     query.awaitTermination()
-    return state.read(done["last"])
+    return state().drop("part")

@@ -8,8 +8,8 @@ from palisade.sources.streams import read_stream
 from palisade.streaming import jobs as J
 
 
-@pytest.mark.parametrize("keep", [2, 16])
-def test_fold_over_many_batches_equals_one_batch(spark, sf, tmp_path, keep):
+@pytest.mark.parametrize("parts", [1, 16])
+def test_fold_over_many_batches_equals_one_batch(spark, sf, tmp_path, parts):
     events = spark.read.parquet(f"{sf}/events.parquet")
     edges = [0, 200, 450, 500, 800, 10**9]
     for n, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
@@ -26,7 +26,7 @@ def test_fold_over_many_batches_equals_one_batch(spark, sf, tmp_path, keep):
     start = spark.range(8).select("id", F.lit("old").alias("name"), F.lit("keep").alias("note"))
     values = {"name": F.col("new_name")}
     feed = requests(read_stream(spark, str(tmp_path / "in" / "*"), files_per_trigger=1))
-    got = J.fold_changes(spark, feed, start, values, keep=keep)
+    got = J.fold_changes(spark, feed, start, values, parts=parts)
     want, _ = apply_changes(start, requests(events), values)
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(got) == rows(want) and got.count() > 0
