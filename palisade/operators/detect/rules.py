@@ -86,6 +86,25 @@ PACK: list[Rule] = [
     Rule("licence.mit", "D22", 129, 1, r"(?i)mit license", "Released under the MIT License.", ("mit license",), fix="Keep the notice with the copy."),
     Rule("licence.apache", "D22", 129, 1, r"(?i)apache license, version 2", "Licensed under the Apache License, Version 2.0.", ("apache license, version 2",),
          fix="Keep the notice and state the changes."),
+    Rule("xss.handler", "D3", 6, 3, r"(?i)<[a-z]+[^<>]* on(error|load)[ ]*=", '<img src=x onerror=alert(1)>', ("onerror", "onload"), fix="Encode values for the place they are written to."),
+    Rule("xss.script_url", "D3", 7, 3, r"(?i)javascript:[A-Za-z(]", 'href="javascript:go()"', ("javascript:",), fix="Allow http and https links only."),
+    Rule("include.variable", "D3", 12, 4, r"(?i)(include|require)(_once)?[ (]+[$][A-Za-z_]+", "include($page)", ("include", "require"), fix="Map names to fixed files."),
+    Rule("include.remote", "D3", 13, 5, r"""(?i)(include|require)(_once)?[ (]+["']https?://""", 'require("https://x.example/a")', ("include", "require"), fix="Ship the code and pin its version."),
+    Rule("template.concat", "D3", 24, 4, r"render_template_string[(][^)]*[+%]", 'render_template_string("hi " + name)', ("render_template_string(",), fix="Pass values to a fixed template."),
+    Rule("crypto.ecb", "D4", 37, 3, r"(?i)(aes|des)[/_.-]ecb|mode_ecb", "AES.new(k, AES.MODE_ECB)", ("ecb",), fix="Use an authenticated mode."),
+    Rule("crypto.static_iv", "D4", 38, 3, r"""(?i)(^|[^A-Za-z])iv[ ]*=[ ]*b?["'][0-9A-Za-z]{8,}""", 'iv = b"0000000000000000"', ("iv=", "iv ="), fix="Draw a fresh nonce for every message."),
+    Rule("crypto.alg_none", "D4", 252, 5, r"""(?i)alg["']?[ ]*[:=][ ]*["']?none""", '{"alg": "none"}', ("none",), fix="Accept the signed algorithms in use only."),
+    Rule("conf.listing", "D5", 52, 2, r"(?i)autoindex[ ]+on|options[ ]+[+]?indexes", "autoindex on;", ("autoindex", "indexes"), fix="Turn directory listings off."),
+    Rule("conf.debug", "D5", 54, 3, r"(?i)(^|[^A-Za-z])debug[ ]*[=:][ ]*(true|1)", "DEBUG = True", ("debug",), fix="Turn debugging off outside development."),
+    Rule("cloud.public", "D5", 82, 4, r"""(?i)public-read|"principal"[ ]*:[ ]*["][*]["]""", '{"Principal": "*"}', ("public-read", "principal"), fix="Grant named principals only."),
+    Rule("cloud.bucket", "D5", 146, 1, r"(?i)s3://[a-z0-9.-]{3,}", "s3://reports-2024/a", ("s3://",), fix="Check who may read the bucket."),
+    Rule("http.forwarded_host", "D7", 137, 2, r"(?i)x-forwarded-host", "req.headers['x-forwarded-host']", ("x-forwarded-host",), fix="Build links from a configured host."),
+    Rule("http.two_lengths", "D7", 189, 4, r"(?i)content-length[^\n]*transfer-encoding|transfer-encoding[^\n]*content-length", "Content-Length: 4, Transfer-Encoding: chunked",
+         ("transfer-encoding",), fix="Refuse requests with both headers."),
+    Rule("store.token", "D1", 186, 3, r"(?i)(local|session)Storage[.]setItem[(][^)]*(token|jwt)", 'localStorage.setItem("token", t)', ("storage.setitem(",), fix="Keep tokens in cookies that scripts cannot read."),
+    Rule("store.env_file", "D1", 287, 3, r"(^|[^A-Za-z0-9_])[.]env([^A-Za-z0-9_.]|$)", "COPY .env /app", (".env",), fix="Keep environment files out of images and repositories."),
+    Rule("obf.char_codes", "D15", 126, 3, r"fromCharCode[(]([0-9]+[ ]*,[ ]*){4,}", "String.fromCharCode(72,101,108,108,111)", ("fromcharcode(",), fix="Read the decoded text and its origin."),
+    Rule("obf.packed", "D15", 213, 4, r"eval[(]function[(]p,a,c,k", "eval(function(p,a,c,k,e,d){})", ("eval(function(",), fix="Unpack and review the code."),
     Rule("log.secret", "D25", 145, 3, r"(?i)(print|log(ger)?[.][a-z]+|console[.]log)[(].*(password|secret|token)", "print(password)", ("print", "log"), fix="Do not log secrets."),
 ]
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions.coerce import let
-from palisade.functions.text import normalize_match, split_words
+from palisade.functions.text import fingerprint, normalize_match, split_words
 from palisade.operators.detect.graph import components
 from palisade.operators.detect.rules import COMPLIANCE, ORGANIZERS, mapping_table, rules_table
 from palisade.operators.sets import scan_diff
@@ -101,6 +101,29 @@ def import_results(results: DataFrame, tool: str, body: str = "value") -> DataFr
     )
 
 
+SARIF = (
+    "STRUCT<runs: ARRAY<STRUCT<tool: STRUCT<driver: STRUCT<name: STRING>>, results: ARRAY<STRUCT<ruleId: STRING, level: STRING, message: STRUCT<text: STRING>, "
+    "locations: ARRAY<STRUCT<physicalLocation: STRUCT<artifactLocation: STRUCT<uri: STRING>, region: STRUCT<startLine: INT>>>>>>>>>"
+)
+
+
+def import_sarif(documents: DataFrame, repo: str = "repo", body: str = "content") -> DataFrame:
+    """SARIF documents of static tools → findings, one per location of a result; text that is no SARIF gives none."""
+    runs = documents.select(F.col(repo).alias("repo"), F.explode(F.from_json(body, SARIF)["runs"]).alias("run"))
+    results = runs.select("repo", F.col("run.tool.driver.name").alias("tool"), F.explode("run.results").alias("r"))
+    each = results.select("repo", "tool", "r", F.explode("r.locations").alias("l"))
+    place = F.col("l.physicalLocation")
+    # The default level of a result is a warning.
+    severity = F.when(F.col("r.level") == "error", 4).when(F.col("r.level").isin("note", "none"), 2).otherwise(3)
+    rule = F.concat_ws(".", F.lower("tool"), "r.ruleId")
+    return each.select(
+        F.lit("import").alias("scan_id"), "repo", place["artifactLocation"]["uri"].alias("path"), place["region"]["startLine"].alias("line"),
+        F.lower("tool").alias("detector"), rule.alias("rule_id"), F.lit(0).alias("vector_id"), severity.alias("severity"), F.lit("").alias("match"),
+        F.lit(0.5).alias("confidence"), fingerprint(F.col("repo"), place["artifactLocation"]["uri"], rule, F.col("r.message.text")).alias("fingerprint"),
+        F.create_map(F.lit("message"), F.col("r.message.text")).alias("attrs"),
+    )
+
+
 def remediation(findings: DataFrame) -> DataFrame:
     """Remediation and replication text per finding."""
     table = F.broadcast(rules_table(findings.sparkSession).select("rule_id", "fix"))

@@ -11,9 +11,9 @@ from palisade.operators.detect import graph as G
 from palisade.operators.detect import traffic as N
 from palisade.operators.detect.rules import match_rules, pack, scan
 from palisade.operators.findings import classify
-from palisade.operators.joins import lookup
+from palisade.operators.joins import drift, lookup
 from palisade.operators.sets import append
-from palisade.plans.catalog import LINES, findings_ctes, matches_sql, query, sql_text
+from palisade.plans.catalog import LINES, ORACLES, findings_ctes, matches_sql, query, sql_text
 from palisade.sources import specs as S
 from palisade.sources.scanner_log import read_scanner_log
 from palisade.sources.tables import Tables
@@ -341,6 +341,18 @@ def d18_code(t: Tables) -> DataFrame:
     return D.code_endpoints(t.code_files)
 
 
+@query(
+    "j6_spec_code",
+    f"WITH s AS (SELECT '/api/' || CAST(page_id AS STRING) AS path, 'GET' AS method FROM pages), c AS (SELECT DISTINCT path, method FROM ({ORACLES['d18_code_endpoints']})) "
+    "SELECT coalesce(s.path, c.path) AS path, coalesce(s.method, c.method) AS method, CASE WHEN c.path IS NULL THEN 'only_spec' WHEN s.path IS NULL THEN 'only_code' ELSE 'both' END AS status "
+    "FROM s FULL JOIN c ON s.path = c.path AND s.method = c.method",
+)
+def j6_spec_code(t: Tables) -> DataFrame:
+    """Operations of the descriptions against the handlers in the source."""
+    spec = S.read_openapi(t.spec_files)["endpoints"]
+    return drift(spec, D.code_endpoints(t.code_files), ["path", "method"])
+
+
 _SERVER = "regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)"
 
 

@@ -223,6 +223,22 @@ def r5(t: Tables) -> DataFrame:
     return R.import_results(results, "lint").select("repo", "path", "rule_id", "severity")
 
 
+@query(
+    "r5_sarif",
+    "SELECT 'src' || CAST(quality AS STRING) AS repo, CAST(doc_id AS STRING) || '.txt' AS path, CAST(1 + doc_id % 9 AS INTEGER) AS line, 'probe.' || CASE WHEN toxic = 1 THEN 'toxic' ELSE 'style' END AS rule_id, "
+    "CASE WHEN toxic = 1 THEN 4 WHEN quality = 1 THEN 2 ELSE 3 END AS severity FROM labels",
+)
+def r5_sarif(t: Tables) -> DataFrame:
+    """A SARIF document per label, without a level where the default holds."""
+    body = (
+        "concat('{\"version\":\"2.1.0\",\"runs\":[{\"tool\":{\"driver\":{\"name\":\"Probe\"}},\"results\":[{\"ruleId\":\"', CASE WHEN toxic = 1 THEN 'toxic' ELSE 'style' END, "
+        "'\",', CASE WHEN toxic = 1 THEN '\"level\":\"error\",' WHEN quality = 1 THEN '\"level\":\"note\",' ELSE '' END, '\"message\":{\"text\":\"seen\"},\"locations\":[{\"physicalLocation\":"
+        "{\"artifactLocation\":{\"uri\":\"', CAST(doc_id AS STRING), '.txt\"},\"region\":{\"startLine\":', CAST(1 + doc_id % 9 AS STRING), '}}}]}]}]}') AS content"
+    )
+    results = t.labels.selectExpr("concat('src', CAST(quality AS STRING)) AS repo", body)
+    return R.import_sarif(results).select("repo", "path", "line", "rule_id", "severity")
+
+
 _FIXES = ", ".join(f"('{r.rule_id}', {sql_text(r.fix)})" for r in PACK)
 
 
