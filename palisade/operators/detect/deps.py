@@ -26,11 +26,11 @@ def dependencies(manifests: DataFrame) -> DataFrame:
     runtime = F.lit("runtime")
     req = by_line(manifests.where(name.rlike(r"^requirements.*[.]txt$"))).where(~F.col("l").rlike(r"^\s*(#|$)"))
     pip = rows(req, "pip", F.regexp_extract("l", r"^\s*([A-Za-z0-9_.-]+)", 1), F.regexp_extract("l", r"^\s*[A-Za-z0-9_.-]+\s*(.*?)\s*$", 1), runtime)
-    packages = "STRUCT<dependencies: MAP<STRING, STRING>, devDependencies: MAP<STRING, STRING>>"
+    packages = "STRUCT<dependencies: MAP<STRING, STRING>, devDependencies: MAP<STRING, STRING>, peerDependencies: MAP<STRING, STRING>, optionalDependencies: MAP<STRING, STRING>>"
     js = manifests.where(name == "package.json").select(*keys, F.from_json("content", packages).alias("p"))
     npm = append(*[
         rows(js.select(*keys, F.explode(f"p.{field}").alias("n", "s")), "npm", F.col("n"), F.col("s"), F.lit(scope))
-        for field, scope in (("dependencies", "runtime"), ("devDependencies", "dev"))
+        for field, scope in (("dependencies", "runtime"), ("devDependencies", "dev"), ("peerDependencies", "peer"), ("optionalDependencies", "optional"))
     ])
     image = by_line(manifests.where(name.startswith("Dockerfile"))).where(F.col("l").rlike(r"(?i)^from "))
     docker = rows(image, "docker", F.regexp_extract("l", IMAGE, 1), F.regexp_extract("l", IMAGE, 2), F.lit("build"))
@@ -40,7 +40,33 @@ def dependencies(manifests: DataFrame) -> DataFrame:
                  F.regexp_extract("d", "<version>([^<]*)", 1), runtime)
     mod = by_line(manifests.where(name == "go.mod")).where(F.col("l").rlike(r"^\s*(require +)?[a-z0-9.-]+[.][a-z]+/[^ ]+ v"))
     go = rows(mod, "go", F.regexp_extract("l", r"^\s*(?:require +)?([^ ]+) v", 1), F.regexp_extract("l", r" (v[^ ]+)", 1), runtime)
-    return append(pip, npm, docker, maven, go)
+
+    def matched(files: DataFrame, ecosystem: str, pattern: str, scope: Column = runtime) -> DataFrame:
+        """Lines with a name and a spec as the pattern's two groups."""
+        found = by_line(files).where(F.col("l").rlike(pattern))
+        return rows(found, ecosystem, F.regexp_extract("l", pattern, 1), F.regexp_extract("l", pattern, 2), scope)
+
+    def blocks(files: DataFrame, ecosystem: str, block: str, dep: str, version: str) -> DataFrame:
+        """Lock files: one text block per package, with its name and version."""
+        each = files.select(*keys, F.explode(F.regexp_extract_all("content", F.lit(block), F.lit(0))).alias("b"))
+        return rows(each, ecosystem, F.regexp_extract("b", dep, 1), F.regexp_extract("b", version, 1), F.lit("lock"))
+
+    toml = manifests.where(name == "pyproject.toml")
+    listed = toml.select(*keys, F.explode(F.regexp_extract_all(
+        F.regexp_extract("content", r"(?s)(?:^|\n)dependencies\s*=\s*\[(.*?)\n?\]\s*(?:\n|$)", 1), F.lit("[\"']([^\"']+)[\"']"), F.lit(1))).alias("d"))
+    pyproject = rows(listed, "pip", F.regexp_extract("d", r"^\s*([A-Za-z0-9_.-]+)", 1), F.regexp_extract("d", r"^\s*[A-Za-z0-9_.-]+(?:\[[^\]]*\])?\s*([^;]*)", 1), runtime)
+    poetry = blocks(manifests.where(name == "poetry.lock"), "pip", r"(?s)\[\[package\]\]\nname = .*?\nversion = [^\n]*", 'name = "([^"]+)"', 'version = "([^"]+)"')
+    cargo = blocks(manifests.where(name == "Cargo.lock"), "cargo", r"(?s)\[\[package\]\]\nname = .*?\nversion = [^\n]*", 'name = "([^"]+)"', 'version = "([^"]+)"')
+    yarn = blocks(manifests.where(name == "yarn.lock"), "npm", r'(?m)^"?@?[^\s"#][^\n]*:\n  version[^\n]*', r'^"?(@?[^@"\s]+)@', r'version:? "?([^"\s]+)')
+    packages_of = "STRUCT<packages: MAP<STRING, STRUCT<version: STRING>>>"
+    npm_lock = manifests.where(name == "package-lock.json").select(*keys, F.explode(F.from_json("content", packages_of)["packages"]).alias("n", "v"))
+    locked = rows(npm_lock, "npm", F.regexp_extract("n", "(?:^|/)node_modules/((?:@[^/]+/)?[^/]+)$", 1), F.col("v.version"), F.lit("lock"))
+    gem = matched(manifests.where(name == "Gemfile"), "gem", r"""^\s*gem\s+["']([^"']+)["'](?:\s*,\s*["']([^"']+)["'])?""")
+    gradle = matched(manifests.where(name.rlike(r"^build[.]gradle([.]kts)?$")), "maven",
+                     r"""^\s*(?:implementation|api|compileOnly|runtimeOnly|testImplementation)[\s(]+["']([^:"']+:[^:"']+):([^"']+)["']""")
+    compose = matched(manifests.where(name.rlike(r"^(docker-)?compose([.-][a-z]+)?[.]ya?ml$")), "docker",
+                      r"^\s*image:\s*[\"']?((?:[^\s/\"']+/)*[^\s:/@\"']+)(?::([^\s@\"']+))?", F.lit("deploy"))
+    return append(pip, npm, docker, maven, go, pyproject, poetry, cargo, yarn, locked, gem, gradle, compose)
 
 
 def spec_signals(spec: Column) -> Column:
@@ -95,7 +121,7 @@ def risk_signals(deps: DataFrame, internal: DataFrame | None = None, advisories:
 
 def missing_locks(manifests: DataFrame) -> DataFrame:
     """Repos with a manifest but no lock file."""
-    lock = F.col("manifest").rlike(r"(package-lock[.]json|yarn[.]lock|poetry[.]lock|go[.]sum|requirements[.]lock)$")
+    lock = F.col("manifest").rlike(r"(package-lock[.]json|yarn[.]lock|poetry[.]lock|go[.]sum|requirements[.]lock|Cargo[.]lock|Gemfile[.]lock)$")
     return manifests.groupBy("repo").agg(F.max(lock).alias("_l"), F.count("*").alias("manifests")).where(~F.col("_l")).drop("_l")
 
 

@@ -96,6 +96,28 @@ def test_images_and_advisories(spark):
     assert got == [("alpine", "wildcard"), ("python", "advisory"), ("x", "wildcard")]
 
 
+def test_further_manifests(spark):
+    texts = {
+        "pyproject.toml": '[project]\nname = "x"\ndependencies = [\n  "httpx[http2]>=0.27",\n  "rich",\n]\n',
+        "poetry.lock": '[[package]]\nname = "idna"\nversion = "3.7"\n\n[[package]]\nname = "anyio"\nversion = "4.4.0"\n',
+        "Cargo.lock": '[[package]]\nname = "serde"\nversion = "1.0.200"\n',
+        "yarn.lock": 'left-pad@^1.3.0:\n  version "1.3.0"\n\n"@scope/kit@^2":\n  version "2.1.0"\n',
+        "package-lock.json": '{"packages":{"":{"version":"1.0.0"},"node_modules/ms":{"version":"2.1.3"},"node_modules/a/node_modules/@b/c":{"version":"0.1.0"}}}',
+        "package.json": '{"peerDependencies":{"vue":"^3"},"optionalDependencies":{"fsevents":"2.3.3"}}',
+        "Gemfile": "source 'https://gems.example'\ngem 'rack', '~> 3.0'\ngem 'puma'\n",
+        "build.gradle": "dependencies {\n  implementation 'org.slf4j:slf4j-api:2.0.13'\n}\n",
+        "compose.yaml": "services:\n  db:\n    image: reg.io:5000/pg:16.2\n  web:\n    image: nginx\n",
+    }
+    df = spark.createDataFrame([("r", m, "m", c) for m, c in texts.items()], "repo string, manifest string, module string, content string")
+    got = sorted((r["ecosystem"], r["name"], r["spec"], r["scope"]) for r in P.dependencies(df).collect())
+    assert got == sorted([
+        ("pip", "httpx", ">=0.27", "runtime"), ("pip", "rich", "", "runtime"), ("pip", "idna", "3.7", "lock"), ("pip", "anyio", "4.4.0", "lock"),
+        ("cargo", "serde", "1.0.200", "lock"), ("npm", "left-pad", "1.3.0", "lock"), ("npm", "@scope/kit", "2.1.0", "lock"), ("npm", "ms", "2.1.3", "lock"),
+        ("npm", "@b/c", "0.1.0", "lock"), ("npm", "vue", "^3", "peer"), ("npm", "fsevents", "2.3.3", "optional"), ("gem", "rack", "~> 3.0", "runtime"),
+        ("gem", "puma", "", "runtime"), ("maven", "org.slf4j:slf4j-api", "2.0.13", "runtime"), ("docker", "reg.io:5000/pg", "16.2", "deploy"), ("docker", "nginx", "", "deploy"),
+    ])
+
+
 def test_all_kinds_of_a_line(spark):
     line = "open('pg://u:pw@h/d').run('create table t (a int); delete from s where 1')"
     got = D.db_artifacts(files(spark, ("r", "db/migrations/1.py", line))).collect()
