@@ -9,7 +9,10 @@ of similarity 0.8 miss each other with chance 0.0002.
 Candidates are verified by the weighted Jaccard similarity of their whole shingle sets. Copies (equal texts) are one node. In a
 band's bucket every member is compared with one hub, the member whose buckets are largest, so a group of any size costs one
 comparison a member; components are taken; and members of a bucket that are still in different components are then compared
-with each other (unless their samples put them far below the threshold), so no link between components is lost to the hubs.
+with each other, so no link between components is lost to the hubs. Two bounds keep these from being all pairs of a large group:
+a member whose own shingles, those that no other open member has, weigh too much cannot reach the threshold with any member of
+its bucket and is dropped before pairs are made (exact); the others first meet a second hub, the member with the least of its own,
+which joins the variants of one text. Pairs whose samples put them far below the threshold are not verified.
 
 The idf runs from 1 to 1.25: a stronger one would let a group of thousands of near copies make its own shingles light and its
 edits heavy, and so fall apart.
@@ -43,6 +46,7 @@ IDF_BITS = 20
 DRAWS = 1 << 16
 BLOOM = 1 << 23
 SALT_ROWS = 256
+SLACK = 1e-6  # of rounding
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -243,16 +247,63 @@ def links(docs: DataFrame, text: str = "text", threshold: float = 0.8, strength:
     placed = members.select("key", "node").join(grouped, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where(F.col("a") != F.col("b")).select("key")
     open_members = cut_lineage(placed.join(mixed, "key"))
-    one, two = (open_members.select("key", F.col("node").alias(f"n{i}"), F.col("c").alias(f"c{i}")) for i in (1, 2))
-    rest = one.join(two, "key").where(F.col("c1") < F.col("c2")).select(
-        F.least("n1", "n2").alias("hub"), F.greatest("n1", "n2").alias("node")).distinct()
-    tested = stars.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
-    rest = rest.join(tested, ["hub", "node"], "left_anti")
-    more = verified(_plausible(rest, sketched), sets, idf, threshold)
-    if more.isEmpty():
-        return grouped
-    every = near.unionByName(more)
-    return components(every, every.select("src").unionByName(every.select(F.col("dst").alias("src"))))
+    weighed = open_members.join(shareable(sets, open_members.select("node").distinct(), idf), "node")
+    lightest = weighed.groupBy("key").agg(F.min("w").alias("least"))
+    # The best partner of a text holds all that it can share and nothing else: it weighs at most shared / threshold - own.
+    able = weighed.join(lightest, "key").where(F.col("least") <= F.col("shared") / threshold - (F.col("w") - F.col("shared")) + SLACK)
+    able = cut_lineage(able.select("key", "node", "c", "w", "shared"))
+    plain = able.select("key", "node", F.struct(((F.col("w") - F.col("shared")) / (F.col("w") + SLACK)).alias("own"), "node", "c").alias("order"))
+    second = plain.groupBy("key").agg(F.min("order").alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.c").alias("hub_c"))
+    again = able.join(second, "key").where(F.col("c") != F.col("hub_c")).select("hub", "node").distinct()
+    again = cut_lineage(again.join(stars, ["hub", "node"], "left_anti"))
+    grouped = merged(grouped, verified(again, sets, idf, threshold))
+    able = able.drop("c").join(grouped, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    one, two = (able.select("key", *[F.col(x).alias(f"{x}{i}") for x in ("node", "c", "w", "shared")]) for i in (1, 2))
+    most = F.least("shared1", "shared2")
+    rest = one.join(two, "key").where(
+        (F.col("c1") < F.col("c2")) & (most >= threshold * (F.col("w1") + F.col("w2") - most) - SLACK)).select(
+        F.least("node1", "node2").alias("hub"), F.greatest("node1", "node2").alias("node")).distinct()
+    for done in (stars, again):
+        tested = done.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
+        rest = rest.join(tested, ["hub", "node"], "left_anti")
+    return merged(grouped, verified(_plausible(rest, sketched), sets, idf, threshold))
+
+
+def merged(grouped: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after further links (src, dst): components of components."""
+    ends = links.select(F.col("src").alias("node")).unionByName(links.select(F.col("dst").alias("node"))).distinct()
+    alone = ends.join(grouped, "node", "left_anti").select("node", F.col("node").alias("component"))
+    every = cut_lineage(grouped.unionByName(alone))
+    a, b = (every.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}")) for end in ("src", "dst"))
+    edges = links.join(a, "src").join(b, "dst").where(F.col("c_src") != F.col("c_dst")).select(F.col("c_src").alias("src"), F.col("c_dst").alias("dst"))
+    edges = cut_lineage(edges.distinct())
+    if edges.isEmpty():
+        return every
+    label = components(edges, edges.select("src").unionByName(edges.select(F.col("dst").alias("src"))))
+    label = label.select(F.col("node").alias("component"), F.col("component").alias("label"))
+    return cut_lineage(every.join(label, "component", "left").select("node", F.coalesce("label", "component").alias("component")))
+
+
+def shareable(sets: DataFrame, wanted: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(node, w, shared) of the wanted nodes: the weight of a text, and of its shingles that another wanted node holds, too."""
+    shared = sets.sparkSession.sparkContext.broadcast(idf)
+
+    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node_id, data in zip(batch.column("node").to_pylist(), batch.column("found").to_pylist(), strict=True):
+                kinds, tf = np.unique(np.frombuffer(data, np.uint32), return_counts=True)
+                weight = tf * shared.value[kinds >> (32 - IDF_BITS)].astype(np.float64)
+                # The row without a shingle holds the whole.
+                yield pa.RecordBatch.from_pydict({
+                    "node": np.full(len(kinds) + 1, node_id, np.int64), "weight": np.append(weight, weight.sum()),
+                    "shingle": pa.array(np.append(kinds.astype(np.int64), 0), mask=np.arange(len(kinds) + 1) == len(kinds))})
+
+    rows = cut_lineage(sets.join(wanted, "node", "left_semi").mapInArrow(weights, "node bigint, weight double, shingle bigint"))
+    own = rows.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(
+        F.count("*").alias("n"), F.min("node").alias("node"), F.min("weight").alias("weight")).where(F.col("n") == 1)
+    own = own.groupBy("node").agg(F.sum("weight").alias("own"))
+    return rows.where(F.col("shingle").isNull()).select("node", F.col("weight").alias("w")).join(own, "node", "left").select(
+        "node", "w", (F.col("w") - F.coalesce("own", F.lit(0.0))).alias("shared"))
 
 
 def _plausible(pairs: DataFrame, sketched: DataFrame, least: int = SAMPLES // 2) -> DataFrame:
