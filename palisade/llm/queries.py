@@ -80,3 +80,30 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return topk.top_k(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
+# SQL twins. Lines and windows meet as text here, as hashes in the operator.
+_SPACE = r"[\x20\x09-\x0D]"
+ORACLES["op8_quality"] = (
+    f"WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents), "
+    "win AS (SELECT doc_id, i, w[i : i + 4] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)), "
+    "twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1), "
+    "repeats AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(5) r(k) GROUP BY 1), "
+    "lines AS (SELECT doc_id, source, text, line, trim(regexp_replace(lower(line), '" + _SPACE + "+', ' ', 'g')) AS norm FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d)), "
+    "dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE norm <> '' GROUP BY 1), "
+    "texts AS (SELECT source, count(DISTINCT text) AS n FROM d GROUP BY 1), "
+    "often AS (SELECT l.source, norm FROM (SELECT source, norm, count(DISTINCT text) AS n FROM lines WHERE norm <> '' GROUP BY 1, 2) l "
+    "JOIN texts t ON l.source IS NOT DISTINCT FROM t.source WHERE l.n > 20 AND l.n > t.n * 0.1), "
+    "gone AS (SELECT doc_id, sum(len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'))) AS n FROM lines l JOIN often o ON l.source IS NOT DISTINCT FROM o.source AND l.norm = o.norm GROUP BY 1), "
+    "m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, "
+    "CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dups.n, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words, "
+    "CAST(coalesce(gone.n, 0) AS BIGINT) AS removed_words FROM d LEFT JOIN dups USING (doc_id) LEFT JOIN repeats USING (doc_id) LEFT JOIN gone USING (doc_id)) "
+    "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, "
+    "NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - removed_words >= 0.3 * n_words AS kept, removed_words FROM m"
+)
+ORACLES["op10_topk"] = (
+    "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings "
+    "WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0), "
+    "s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)) "
+    "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 10"
+)
