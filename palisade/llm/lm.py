@@ -29,9 +29,9 @@ from palisade.llm.blocks import Reader, blocks, by_string, document_sums, runs
 from palisade.llm.common import coded, fold, split_words
 from palisade.session import cut_lineage
 
-ORDER = 4
+ORDER = 5
 FLOOR = 1e-6
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 12 << 20
 END = "\n"  # no word holds it
 SYMBOLS = 256
 
