@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from palisade.llm.blocks import Reader, blocks, by_string, document_sums
 from palisade.llm.common import coded, split_words
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 20 << 20
 # Marks special strings among pre-tokens; no pre-token of a byte-level vocabulary holds a space.
 SPECIAL = " "
 
