@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import chat, langid, lm, mixing, neardup, packing, pii, quality, token_counts, topk
+from palisade.llm import chat, langid, mixing, neardup, packing, pii, ppm, quality, token_counts, topk
 from palisade.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,7 +63,7 @@ def op6_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(documents(spark, sf_dir, "doc_id", "text"))
+    return ppm.score(documents(spark, sf_dir, "doc_id", "text"))
 
 
 @query
