@@ -1,8 +1,8 @@
 """Language-model scores by prediction by partial matching, with all counts in tables of Spark.
 
 A text is its words, lower-cased in A to Z, with a space before the first and after each, and an end sign. The context of a byte
-is what stands before it in its word, from the opening space on, up to ``ORDER`` bytes. Prediction is that of ``lm`` (method C
-with symbol exclusion) without its floor: every n-gram of the training texts counts.
+is what stands before it in its text, up to ``ORDER`` bytes, ends of words included. Prediction is that of ``lm`` (method C with
+symbol exclusion) without its floor and its bound at words: every n-gram of the training texts counts.
 
 A gram is a context with its byte. Per block of documents the distinct grams travel, once each; summed, they are the table of
 order ``ORDER``, and each shorter order is the sum of the longer one. The bytes seen after a context were also seen after its
@@ -70,25 +70,13 @@ def pieces(texts: pa.Array, limit: int = PIECE) -> Iterator[tuple[np.ndarray, np
     for a, b in zip(cuts, cuts[1:], strict=False):
         data = np.frombuffer("".join(texts.slice(a, b - a).to_pylist()).encode(), np.uint8)
         step = limit if giant[a] else len(data)
-        start = np.cumsum(size[a:b]) - size[a:b]
+        start = np.repeat(np.cumsum(size[a:b]) - size[a:b], size[a:b]) if not giant[a] else None
         for lo in range(0, len(data), step):
-            part = data[lo : lo + step]
-            owner = np.full(len(part), a) if giant[a] else np.repeat(np.arange(a, b), size[a:b])
-            ahead = min(lo, _AHEAD)
-            place = np.arange(lo - ahead, lo + len(part))
-            inside = _inside(data[lo - ahead : lo + len(part)], place, start[np.concatenate([np.full(ahead, a), owner]) - a])
-            gram, first = grams(data[lo - ahead : lo + len(part)], inside)[ahead:], place[ahead:] == start[owner - a]
-            yield gram[~first], owner[~first]
-
-
-_AHEAD = 64  # bytes before a piece that are looked at for contexts
-
-
-def _inside(data: np.ndarray, place: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """How many bytes stand before a byte from its word's opening space on."""
-    space = np.where(data == 32, place, -1)
-    last = np.concatenate([[-1], np.maximum.accumulate(space)[:-1]])
-    return np.where(place > start, place - np.maximum(last, start), 0)
+            ahead, hi = min(lo, ORDER), min(lo + step, len(data))
+            owner = np.full(hi - lo, a) if giant[a] else np.repeat(np.arange(a, b), size[a:b])
+            inside = np.arange(lo - ahead, hi) - (0 if giant[a] else start)
+            gram, later = grams(data[lo - ahead : hi], inside)[ahead:], inside[ahead:] > 0
+            yield gram[later], owner[later]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
