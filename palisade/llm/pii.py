@@ -4,9 +4,9 @@ Seeds are the addresses, numbers and cards of the fixed forms. Around each ident
 patterns. Candidates are looser forms (phone numbers without a plus, card-length numbers that fail the check, IPv6 addresses,
 spelled-out e-mail). Patterns and instances form a graph, one edge per distinct (kind, pattern, instance) with its mentions;
 Spark scores it in rounds: a pattern's confidence is the score of its mentions over the times that its words occur in the
-corpus at all, an instance's score the chance that not all of its patterns fail. Only patterns that hold both seeds and a
-candidate can move anything, so the graph is cut to these first, and only these are counted in the corpus. Candidates that
-end above the threshold become spans; spans of the fixed forms are never changed.
+corpus at all, an instance's score the chance that not all of its patterns fail. The graph begins with the patterns that hold
+enough seeds and a candidate; candidates that end the rounds above the threshold are seeds of further patterns, which join it,
+until none is reached. Only the graph's patterns are counted in the corpus. Candidates that end above the threshold become spans; spans of the fixed forms are never changed.
 
 Nulls: a null text is empty. Every row gives a row, repeated ids and texts included (equal texts have equal spans). An empty
 table gives no rows. Other columns are ignored by ``find`` and kept by ``redact``. All scans are linear in the text's length.
@@ -220,26 +220,39 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 def discover(scanned: DataFrame, texts: DataFrame, rounds: int = 3, threshold: float = 0.7, min_seeds: int = 3) -> DataFrame:
     """Written table (copy, found): spans of confident candidates per distinct text; ``texts`` is the corpus (text).
 
-    ``min_seeds``: distinct seeds that a pattern needs. A candidate's mention counts when its instance's score reaches the threshold.
+    ``min_seeds``: distinct seeds, of fixed form or discovered, that a pattern needs. While discoveries bring further patterns to
+    that number, these join the graph and ``rounds`` more rounds are made. A candidate's mention counts when its instance's score reaches the threshold.
     """
     seen = scanned.select("copy", F.explode("seen").alias("s")).select("copy", "s.*")
     edges = seen.select("kind", "instance", "seed", F.explode("patterns").alias("pattern")).groupBy("kind", "pattern", "instance").agg(
         F.max("seed").alias("seed"), F.count("*").alias("mentions"))
-    useful = edges.groupBy("kind", "pattern").agg(
-        F.sum(F.col("seed").cast("int")).alias("seeds"), F.sum(F.when(F.col("seed"), F.col("mentions")).otherwise(0)).alias("sure_mentions"),
-        F.sum("mentions").alias("all_mentions"), F.min("seed").alias("only_seeds")).where((F.col("seeds") >= min_seeds) & ~F.col("only_seeds"))
-    useful = cut_lineage(useful.drop("seeds", "only_seeds"))
-    none = useful.isEmpty()
-    counts = occurrences(texts, useful.select("pattern").distinct()) if not none else useful.select("pattern", F.lit(0).alias("occurs"))
+    edges = cut_lineage(edges)
     # A pattern's seeds count as one number; its candidates are the edges that the rounds work on.
-    graph = cut_lineage(edges.where(~F.col("seed")).join(useful, ["kind", "pattern"]).join(counts, "pattern").select(
-        "kind", "pattern", "instance", "mentions", "sure_mentions", F.greatest("all_mentions", "occurs").alias("n")))
-    score = graph.select("kind", "instance").distinct().withColumn("score", F.lit(0.0))
-    for _ in range(0 if none else rounds):
-        sure = graph.join(score, ["kind", "instance"]).groupBy("kind", "pattern").agg(
-            ((F.first("sure_mentions") + F.sum(F.col("score") * F.col("mentions"))) / (F.first("n") + 1)).alias("sure"))
-        score = cut_lineage(graph.join(sure, ["kind", "pattern"]).groupBy("kind", "instance").agg(
-            (1 - F.exp(F.sum(F.log1p(-F.col("sure"))))).alias("score")))
+    held = cut_lineage(edges.groupBy("kind", "pattern").agg(
+        F.sum(F.col("seed").cast("int")).alias("seeds"), F.sum(F.when(F.col("seed"), F.col("mentions")).otherwise(0)).alias("sure_mentions"),
+        F.sum("mentions").alias("all_mentions"), F.min("seed").alias("only_seeds")).where(~F.col("only_seeds")).drop("only_seeds"))
+    candidates = edges.where(~F.col("seed")).drop("seed")
+    score = cut_lineage(candidates.select("kind", "instance").limit(0).withColumn("score", F.lit(0.0)))
+    useful = cut_lineage(held.where(F.col("seeds") >= min_seeds))
+    fresh, counts = useful, None
+    while not fresh.isEmpty():
+        more = occurrences(texts, fresh.select("pattern").distinct())
+        counts = cut_lineage(more if counts is None else counts.unionByName(more).groupBy("pattern").agg(F.max("occurs").alias("occurs")))
+        graph = cut_lineage(candidates.join(useful, ["kind", "pattern"]).join(counts, "pattern").select(
+            "kind", "pattern", "instance", "mentions", "sure_mentions", F.greatest("all_mentions", "occurs").alias("n")))
+        score = graph.select("kind", "instance").distinct().join(score, ["kind", "instance"], "left").select(
+            "kind", "instance", F.coalesce("score", F.lit(0.0)).alias("score"))
+        for _ in range(rounds):
+            sure = graph.join(score, ["kind", "instance"]).groupBy("kind", "pattern").agg(
+                ((F.first("sure_mentions") + F.sum(F.col("score") * F.col("mentions"))) / (F.first("n") + 1)).alias("sure"))
+            score = cut_lineage(graph.join(sure, ["kind", "pattern"]).groupBy("kind", "instance").agg(
+                (1 - F.exp(F.sum(F.log1p(-F.col("sure"))))).alias("score")))
+        # What was discovered is a seed, too: it may bring further patterns to the number they need.
+        taught = candidates.join(score.where(F.col("score") >= threshold).select("kind", "instance"), ["kind", "instance"]).groupBy(
+            "kind", "pattern").agg(F.count("*").alias("taught"))
+        fresh = cut_lineage(held.join(taught, ["kind", "pattern"]).where(F.col("seeds") + F.col("taught") >= min_seeds).drop("taught").join(
+            useful, ["kind", "pattern"], "left_anti"))
+        useful = cut_lineage(useful.unionByName(fresh))
     known = score.where(F.col("score") >= threshold).select("kind", "instance")
     spans = seen.where(~F.col("seed")).join(known, ["kind", "instance"]).select("copy", F.struct("kind", "start", "end").alias("s")).distinct()
     return cut_lineage(spans.groupBy("copy").agg(F.collect_list("s").alias("found")))
