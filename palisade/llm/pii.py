@@ -1,8 +1,8 @@
 r"""Personal data: fixed forms, and identifiers of other forms found by the contexts that fixed forms induce.
 
 Seeds are the addresses, numbers and cards of the fixed forms. Around each identifier the words before and after give lexical
-patterns. Candidates are looser forms (phone numbers without a plus, card-length numbers that fail the check, IPv6 addresses,
-spelled-out e-mail). Patterns and instances form a graph, one edge per distinct (kind, pattern, instance) with its mentions;
+patterns. Candidates are looser forms (digit runs of phone length without a plus, card-length numbers that fail the check, IPv6 addresses,
+compressed ones included, spelled-out e-mail). Patterns and instances form a graph, one edge per distinct (kind, pattern, instance) with its mentions;
 Spark scores it in rounds: a pattern's confidence is the score of its mentions over the times that its words occur in the
 corpus at all, an instance's score the chance that not all of its patterns fail. The graph begins with the patterns that hold
 enough seeds and a candidate; candidates that end the rounds above the threshold are seeds of further patterns, which join it,
@@ -15,6 +15,7 @@ table gives no rows. Other columns are ignored by ``find`` and kept by ``redact`
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -89,24 +90,54 @@ _LOOSE = (
     ("card", re.compile(r"(?<![\w.-])[0-9]{3,7}(?:[ -]?[0-9]{2,7}){1,5}(?![\w-])")),
     ("ip", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")),
 )
+# Any run of digits, with or without separators; what stands after it is looked at apart, so that the scan stays linear.
+_RUN = re.compile(r"(?<![\w+.-])\(?[0-9](?:[ ().-]{0,2}[0-9])*+")
+_IPV6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])")
+_TAIL = re.compile(r"[\w-]")
 _SPELLED = re.compile(r"[\[({] ?at ?[\])}]", re.I)
 _BEFORE, _AFTER = re.compile(r"[\w.+-]{1,64} ?\Z"), re.compile(r" ?[\w-]{1,63}(?: ?(?:\.|[\[({] ?dot ?[\])}]) ?[\w-]{1,63}){1,8}", re.I)
 
 
+def _ipv6(form: str) -> bool:
+    """Whether a form with colons is a compressed address other than the empty one."""
+    try:
+        return "::" in form and form != "::" and ipaddress.IPv6Address(form) is not None
+    except ValueError:
+        return False
+
+
 def loose_spans(text: str, taken: list[Span]) -> list[Span]:
-    """Candidates that overlap no span of ``taken``."""
+    """Candidates that overlap no span of ``taken``.
+
+    The first forms overlap each other nowhere; the wider ones (any run of 7 to 15 digits, compressed IPv6) stand where the first
+    do not, or as a phone number over the very place of a card.
+    """
     found: list[Span] = []
+    wide: list[Span] = []
     if _DIGIT.search(text):
         for kind, form in _LOOSE:
             for m in form.finditer(text):
                 n = sum(map(len, _DIGITS.findall(m[0])))
                 if kind == "ip" or (kind == "phone" and 7 <= n <= 11) or (kind == "card" and 12 <= n <= 19):
                     found.append((kind, *m.span()))
+        for m in _RUN.finditer(text):
+            if 7 <= sum(map(len, _DIGITS.findall(m[0]))) <= 15 and not _TAIL.match(text, m.end()):
+                wide.append(("phone", *m.span()))
+    if "::" in text:
+        wide += [("ip", *m.span()) for m in _IPV6.finditer(text) if _ipv6(m[0])]
     for m in _SPELLED.finditer(text):
         a, b = _BEFORE.search(text[max(0, m.start() - 66) : m.start()]), _AFTER.match(text, m.end())
         if a and b:
             found.append(("email", m.start() - len(a[0]), b.end()))
-    busy = sorted((a, b) for _, a, b in taken)
+    first = _apart(found, [(a, b) for _, a, b in taken])
+    cards = {(a, b) for k, a, b in first if k == "card"}
+    twins = [s for s in wide if s[0] == "phone" and s[1:] in cards]
+    return sorted([*first, *twins, *_apart(wide, [(a, b) for _, a, b in [*taken, *first]])], key=lambda s: (s[1], KINDS.index(s[0])))
+
+
+def _apart(found: list[Span], busy: list[tuple[int, int]]) -> list[Span]:
+    """Spans that overlap neither ``busy`` nor each other, leftmost and longest first."""
+    busy = sorted(busy)
     out, last, i, reach = [], -1, 0, -1
     for s in sorted(found, key=lambda s: (s[1], -s[2], KINDS.index(s[0]))):
         while i < len(busy) and busy[i][0] < s[2]:
