@@ -10,9 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.session import cut_lineage
+
 # A word is a maximal run of characters other than the ASCII white space U+0020 and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 16 << 20
+HEAVY = 10_000  # keys and rows, see spread_join
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -70,3 +73,19 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of values per range of offsets; an empty range gives 0."""
     total = np.concatenate([np.zeros(1, values.dtype if values.dtype.kind == "f" else np.int64), np.cumsum(values)])
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join of left, of any distribution, with right, which holds a key once; inner or left_semi.
+
+    The keys with more than ``HEAVY`` left rows and more than a ``HEAVY``-th of them are fewer than ``HEAVY``: their right rows are
+    broadcast, the others are shuffled.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("_n"))
+    limit = max(HEAVY, left.count() // HEAVY)
+    heavy = cut_lineage(counts.where(F.col("_n") > limit).select(key))
+    if heavy.isEmpty():
+        return left.join(right, key, how)
+    few = F.broadcast(cut_lineage(right.join(F.broadcast(heavy), key, "left_semi")))
+    rest = left.join(F.broadcast(heavy), key, "left_anti")
+    return left.join(F.broadcast(heavy), key, "left_semi").join(few, key, how).unionByName(rest.join(right, key, how))
