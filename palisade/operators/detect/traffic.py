@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from palisade.functions.coerce import JsonBody
 from palisade.functions.text import decode_payload, entropy, host, path_template
+from palisade.operators.automata import run_automaton
 from palisade.operators.detect.rules import pack
 from palisade.operators.joins import first_follower
+from palisade.operators.ordered import ranged_sums
 from palisade.operators.windows import burst
 
 
@@ -138,3 +140,72 @@ def transcript(messages: DataFrame, text: str = "text") -> DataFrame:
     return messages.withColumn("kind", F.when(is_call, "tool_call").otherwise("text")).withColumn(
         "tool", F.when(is_call, method)
     ).withColumn("tool_params", F.when(is_call, F.coalesce(F.get_json_object(text, "$.params"), F.lit("{}"))))
+
+
+# States of a conversation with tools: nothing going on, a call without its result, a result, a failure.
+IDLE, CALLED, ANSWERED, FAILED = range(4)
+SYMBOLS = ("call", "ok", "failed", "other")
+# From each of the states; a note leaves the state as it is.
+STEPS = [
+    [CALLED] * 4,
+    [IDLE, ANSWERED, IDLE, IDLE],
+    [IDLE, FAILED, IDLE, IDLE],
+    [IDLE] * 4,
+]
+RESULT = r"^Tool '([^']*)' executed with result:\n"
+
+
+def transcript_events(messages: DataFrame, role: str = "role", text: str = "text") -> DataFrame:
+    """Messages with ``event``: call, ok, failed, other or note, and ``tool``, the tool called or answering.
+
+    A result is the user's message that reports it; nothing, ``None`` or an object with ``error`` is a failure. What a system
+    says is a note.
+    """
+    said = transcript(messages, text)
+    body = F.regexp_replace(F.regexp_replace(F.col(text), RESULT, ""), r"(?s)\n\nContinue reasoning.*$", "")
+    answer = JsonBody("_body")
+    bad = F.trim("_body").isin("", "None", "null") | (answer.present("error") & (answer.type("error") != "null"))
+    is_result = (F.col(role) == "user") & F.col(text).rlike(RESULT)
+    event = (
+        F.when((F.col("kind") == "tool_call") & (F.col(role) == "assistant"), "call")
+        .when(is_result, F.when(F.coalesce(bad, F.lit(False)), "failed").otherwise("ok"))
+        .when(F.col(role) == "system", "note").otherwise("other")
+    )
+    tool = F.when(F.col("event") == "call", F.col("tool")).when(F.col("event").isin("ok", "failed"), F.regexp_extract(text, RESULT, 1))
+    return said.withColumn("_body", body).withColumn("event", event).select(*messages.columns, "event", tool.alias("tool"))
+
+
+def tool_calls(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """One row per tool call: its chain, its step there, and its outcome (ok, failed or unanswered).
+
+    A call belongs to the chain of the call before if it follows that call's result or failure, notes aside. One automaton
+    scans all conversations, a long one in parts.
+    """
+    events = transcript_events(messages.select(conv, turn, role, text), role, text).select(conv, turn, "event", "tool")
+    code = F.coalesce(*[F.when(F.col("event") == s, F.lit(i)) for i, s in enumerate(SYMBOLS)])
+    moved = run_automaton(events, [conv], [turn], code, STEPS, IDLE)
+    is_call, answers = F.col("event") == "call", F.col("event").isin("ok", "failed") & (F.col("state_before") == CALLED)
+    marked = moved.where(is_call | answers).select(
+        conv, turn, "event", "tool", F.when(is_call, 1).otherwise(0).cast("bigint").alias("_call"),
+        F.when(is_call & ~F.col("state_before").isin(ANSWERED, FAILED), 1).otherwise(0).cast("bigint").alias("_start"))
+    counted = ranged_sums(marked, [conv], [turn], {"call_no": F.col("_call"), "chain": F.col("_start")})
+    # A result's row has the number of the call it answers.
+    mine = lambda c: F.max(F.when(F.col("_call") == 1, F.col(c)))
+    calls = counted.groupBy(conv, "chain", "call_no").agg(
+        mine(turn).alias(turn), mine("tool").alias("tool"),
+        F.coalesce(F.max(F.when(F.col("_call") == 0, F.col("event"))), F.lit("unanswered")).alias("outcome"),
+        F.max(F.when(F.col("_call") == 0, F.col(turn))).alias("answer_turn"))
+    firsts = counted.where(F.col("_start") == 1).select(F.col(conv).alias("_conv"), F.col("chain").alias("_chain"), F.col("call_no").alias("_first"))
+    return calls.join(firsts, calls[conv].eqNullSafe(F.col("_conv")) & (F.col("chain") == F.col("_chain"))).select(
+        conv, "chain", (F.col("call_no") - F.col("_first") + 1).alias("step"), turn, "tool", "outcome", "answer_turn")
+
+
+def call_chains(calls: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """One row per chain of tool calls: its length, failures, its tools and first turn, and whether its last call failed."""
+    failed = F.col("outcome") != "ok"
+    return calls.groupBy(conv, "chain").agg(
+        F.count("*").alias("steps"), F.sum(failed.cast("bigint")).alias("failures"), F.count_distinct("tool").alias("tools"),
+        F.min(turn).alias("first_turn"), F.max("step").alias("last_step"),
+        F.max(F.when(failed, F.col("step"))).alias("last_failure")).select(
+        conv, "chain", "steps", "failures", "tools", "first_turn",
+        F.coalesce(F.col("last_failure") == F.col("last_step"), F.lit(False)).alias("ends_in_failure"))

@@ -144,9 +144,15 @@ def global_order(df: DataFrame, order: Sequence[str], totals: dict[str, Column]
     )
 
 
+def ranged_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], partitions: int | None = None) -> DataFrame:
+    """``running_sum`` in parts of about equal numbers of rows: a key with most of the rows, at any moment, is many parts."""
+    placed = running_sum(_ranged(df, [*keys, *order], partitions), keys, order, F.col("_part"), values)
+    return placed.select(*df.columns, *values)
+
+
 def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "pos") -> DataFrame:
     """0-based position of every row within its key along ``order``, whatever the key's size."""
-    placed = running_sum(_ranged(df, [*keys, *order]), keys, order, F.col("_part"), {"_nth": F.lit(1).cast("bigint")})
+    placed = ranged_sums(df, keys, order, {"_nth": F.lit(1).cast("bigint")})
     return placed.select(*df.columns, (F.col("_nth") - 1).alias(name))
 
 

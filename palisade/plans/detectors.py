@@ -532,6 +532,36 @@ def d24(t: Tables) -> DataFrame:
     return N.transcript(append(calls, t.conversations.select("conv_id", "turn", "text"))).select("conv_id", "turn", "kind", "tool", "tool_params")
 
 
+# The twin reads the messages' text, drops notes and looks one and two messages back.
+_CALLS = (
+    "WITH m AS (SELECT conv_id, turn, role, text, CASE WHEN json_valid(text) THEN json_extract_string(text, '$.method') END AS method, "
+    "regexp_extract(text, '^Tool ''([^'']*)'' executed with result:\\n', 1) AS answering, "
+    "regexp_replace(regexp_replace(text, '^Tool ''[^'']*'' executed with result:\\n', ''), '(?s)\\n\\nContinue reasoning.*$', '') AS body FROM agent_messages), "
+    "e AS (SELECT conv_id, turn, coalesce(method, answering) AS tool, CASE WHEN role = 'assistant' AND method LIKE 'tools.%' THEN 'call' "
+    "WHEN role = 'user' AND answering <> '' THEN CASE WHEN trim(body) IN ('', 'None', 'null') OR (CASE WHEN json_valid(body) THEN json_type(body, '$.error') END) NOT IN ('NULL') THEN 'failed' ELSE 'ok' END "
+    "WHEN role = 'system' THEN 'note' ELSE 'other' END AS event FROM m), "
+    "s AS (SELECT *, lag(event) OVER w AS b1, lag(event, 2) OVER w AS b2, lead(event) OVER w AS f1, lead(turn) OVER w AS f1_turn FROM e WHERE event <> 'note' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), "
+    "c AS (SELECT *, NOT coalesce(b1 IN ('ok', 'failed') AND b2 = 'call', false) AS starts FROM s WHERE event = 'call'), "
+    "n AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS chain FROM c), "
+    "calls AS (SELECT conv_id, CAST(chain AS BIGINT) AS chain, row_number() OVER (PARTITION BY conv_id, chain ORDER BY turn) AS step, turn, tool, "
+    "CASE WHEN f1 IN ('ok', 'failed') THEN f1 ELSE 'unanswered' END AS outcome, CASE WHEN f1 IN ('ok', 'failed') THEN f1_turn END AS answer_turn FROM n) "
+)
+
+
+@query("d24_calls", _CALLS + "SELECT * FROM calls")
+def d24_calls(t: Tables) -> DataFrame:
+    return N.tool_calls(t.agent_messages)
+
+
+@query(
+    "d24_chains",
+    _CALLS + "SELECT conv_id, chain, count(*) AS steps, CAST(sum(CASE WHEN outcome <> 'ok' THEN 1 ELSE 0 END) AS BIGINT) AS failures, count(DISTINCT tool) AS tools, "
+    "min(turn) AS first_turn, arg_max(outcome, step) <> 'ok' AS ends_in_failure FROM calls GROUP BY 1, 2",
+)
+def d24_chains(t: Tables) -> DataFrame:
+    return N.call_chains(N.tool_calls(t.agent_messages))
+
+
 @query("d25_logging", findings_sql("D25", src="code_files"))
 def d25(t: Tables) -> DataFrame:
     return D.detect_logging(t.code_files).select(*COLUMNS)

@@ -165,6 +165,20 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             f"'    Title: AND boolean-based blind' || {NL} || '    Payload: id=1 AND ' || CAST(event_id AS STRING) || '=' || CAST(event_id AS STRING) END AS block",
         ],
     ),
+    # The chats with their assistants calling tools: calls, other JSON and text; results, failures and other requests.
+    "agent_messages": (
+        "conversations",
+        [
+            "conv_id", "turn", "role",
+            f"CASE WHEN role = 'assistant' AND (conv_id + turn) % 5 < 3 THEN '{{' || {Q} || 'method' || {Q} || ':' || {Q} || 'tools.scan' || CAST(turn % 3 AS STRING) || {Q} || ',' || {Q} || 'params' || {Q} || ':{{' "
+            f"|| {Q} || 'n' || {Q} || ':' || CAST(conv_id AS STRING) || '}}}}' "
+            f"WHEN role = 'assistant' AND (conv_id + turn) % 5 = 3 THEN '{{' || {Q} || 'method' || {Q} || ':' || {Q} || 'chat' || {Q} || '}}' "
+            f"WHEN role = 'user' AND turn > 0 AND (conv_id + turn) % 7 = 0 THEN 'Tool ' || {A} || 'tools.scan' || CAST(turn % 3 AS STRING) || {A} || ' executed with result:' || {NL} || 'None' || {NL} || {NL} || 'Continue reasoning or provide next instructions.' "
+            f"WHEN role = 'user' AND turn > 0 AND (conv_id + turn) % 7 = 1 THEN 'Tool ' || {A} || 'tools.scan' || CAST(turn % 3 AS STRING) || {A} || ' executed with result:' || {NL} || '{{' || {Q} || 'error' || {Q} || ': {{}}}}' || {NL} || {NL} || 'Continue reasoning or provide next instructions.' "
+            f"WHEN role = 'user' AND turn > 0 AND (conv_id + turn) % 7 < 6 THEN 'Tool ' || {A} || 'tools.scan' || CAST(turn % 3 AS STRING) || {A} || ' executed with result:' || {NL} || text || {NL} || {NL} || 'Continue reasoning or provide next instructions.' "
+            "ELSE text END AS text",
+        ],
+    ),
     # One API description per page, as JSON text.
     "spec_files": (
         "pages",
