@@ -7,19 +7,15 @@ from pyspark.sql import functions as F
 
 from palisade.functions.coerce import js_trim
 from palisade.operators.ordered import carry_last, running_sum, seq_bucket
+from palisade.sources.lines import read_lines
 
 RUN_START = r"^\[\*\] starting @ (.*)$"
 RUN_END = r"^\[\*\] ending @ (.*)$"
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """log_lines(file, n, text): whole files split into numbered lines."""
-    raw = spark.read.text(path, wholetext=True).select(
-        F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value"
-    )
-    return raw.select("file", F.posexplode(F.split("value", "\r?\n")).alias("n", "text")).withColumn(
-        "n", F.col("n").cast("bigint")
-    )
+    """log_lines(file, n, text): numbered lines, a large log read by many tasks."""
+    return read_lines(spark, path)
 
 
 def segment_runs(log_lines: DataFrame, start, keys=("file",), order=("n",), width: int = 100_000) -> DataFrame:
