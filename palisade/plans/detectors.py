@@ -11,13 +11,14 @@ from palisade.operators.detect import graph as G
 from palisade.operators.detect import traffic as N
 from palisade.operators.detect.rules import match_rules, pack, scan
 from palisade.operators.findings import classify
-from palisade.operators.joins import drift, lookup
+from palisade.operators.joins import constraint_drift, drift, lookup
 from palisade.operators.sets import append
 from palisade.plans.catalog import LINES, ORACLES, findings_ctes, matches_sql, query, sql_text
 from palisade.sources import specs as S
 from palisade.sources.scanner_log import read_scanner_log
 from palisade.sources.tables import Tables
 from palisade.sources.vectors import coverage_sql, vectors
+from palisade.sources.yaml_rows import text_lines, yaml_rows
 
 COLUMNS = ["repo", "path", "line", "rule_id", "severity", "match", "fingerprint"]
 _COLS = ", ".join(COLUMNS)
@@ -386,6 +387,100 @@ def d19(t: Tables) -> DataFrame:
     return S.lint(S.read_openapi(t.spec_files))
 
 
+# YAML descriptions; the twins take the JSON spelling of the same descriptions apart.
+_OPS = (
+    "WITH d AS (SELECT path AS spec, CAST(content AS JSON) AS doc FROM spec_json), "
+    "pa AS (SELECT spec, doc, p, json_extract(doc, '$.paths.\"' || p || '\"') AS ms FROM (SELECT spec, doc, unnest(json_keys(doc, '$.paths')) AS p FROM d)), "
+    "o AS (SELECT spec, doc, p AS path, upper(m) AS method, json_extract(ms, '$.' || m) AS op FROM (SELECT spec, doc, p, ms, unnest(json_keys(ms)) AS m FROM pa)) "
+)
+
+
+def yaml_tables(t: Tables) -> dict[str, DataFrame]:
+    return S.spec_tables(yaml_rows(text_lines(t.spec_yaml)))
+
+
+@query(
+    "s5_yaml_endpoints",
+    _OPS + "SELECT spec, path, method, json_extract_string(op, '$.summary') AS summary, json_extract(doc, '$.security') IS NOT NULL OR json_extract(op, '$.security') IS NOT NULL AS has_security FROM o",
+)
+def s5_yaml_endpoints(t: Tables) -> DataFrame:
+    return yaml_tables(t)["endpoints"]
+
+
+@query(
+    "s5_yaml_params",
+    _OPS + "SELECT spec, path, method, json_extract_string(q, '$.name') AS name, json_extract_string(q, '$.in') AS location, coalesce(json_extract_string(q, '$.required') = 'true', false) AS required, "
+    "json_extract_string(q, '$.schema.type') AS type, CAST(json_extract_string(q, '$.schema.minimum') AS DOUBLE) AS minimum, array_to_string(CAST(json_extract(q, '$.schema.enum') AS VARCHAR[]), '|') AS enum "
+    "FROM (SELECT spec, path, method, unnest(CAST(json_extract(op, '$.parameters') AS JSON[])) AS q FROM o)",
+)
+def s5_yaml_params(t: Tables) -> DataFrame:
+    return yaml_tables(t)["params"].withColumn("enum", F.array_join("enum", "|"))
+
+
+@query(
+    "s5_yaml_responses",
+    _OPS + "SELECT spec, path, method, s AS status, json_extract_string(op, '$.responses.' || s || '.description') AS description, "
+    "nullif(regexp_extract(CAST(json_extract(op, '$.responses.' || s) AS VARCHAR), '\"[$]ref\":\"#/components/schemas/([A-Za-z0-9_]+)\"', 1), '') AS ref "
+    "FROM (SELECT spec, path, method, op, unnest(json_keys(op, '$.responses')) AS s FROM o)",
+)
+def s5_yaml_responses(t: Tables) -> DataFrame:
+    return yaml_tables(t)["responses"]
+
+
+@query(
+    "s5_yaml_fields",
+    _OPS + ", owners AS (SELECT spec, 'body' AS kind, method || ' ' || path AS owner, json_extract(op, '$.requestBody.content.\"application/json\".schema') AS s FROM o "
+    "UNION ALL SELECT spec, 'schema', k, json_extract(doc, '$.components.schemas.' || k) FROM (SELECT spec, doc, unnest(json_keys(doc, '$.components.schemas')) AS k FROM d)), "
+    "f AS (SELECT spec, kind, owner, s, f AS field, json_extract(s, '$.properties.' || f) AS v FROM (SELECT *, unnest(json_keys(s, '$.properties')) AS f FROM owners WHERE s IS NOT NULL)) "
+    "SELECT spec, kind, owner, field, json_extract_string(v, '$.type') AS type, json_extract_string(v, '$.format') AS format, "
+    "nullif(regexp_extract(CAST(v AS VARCHAR), '#/components/schemas/([A-Za-z0-9_]+)', 1), '') AS ref, CAST(json_extract_string(v, '$.minimum') AS DOUBLE) AS minimum, "
+    "CAST(json_extract_string(v, '$.minLength') AS DOUBLE) AS min_length, CAST(json_extract_string(v, '$.minItems') AS DOUBLE) AS min_items, "
+    "CAST(json_extract_string(v, '$.maxLength') AS DOUBLE) AS max_length, coalesce(list_contains(CAST(json_extract(s, '$.required') AS VARCHAR[]), field), false) AS required FROM f",
+)
+def s5_yaml_fields(t: Tables) -> DataFrame:
+    return yaml_tables(t)["schema_fields"].drop("enum")
+
+
+@query(
+    "j6_yaml_code",
+    _OPS + f", c AS (SELECT DISTINCT path, method FROM ({ORACLES['d18_code_endpoints']})) "
+    "SELECT coalesce(s.path, c.path) AS path, coalesce(s.method, c.method) AS method, CASE WHEN c.path IS NULL THEN 'only_spec' WHEN s.path IS NULL THEN 'only_code' ELSE 'both' END AS status "
+    "FROM (SELECT DISTINCT path, method FROM o) s FULL JOIN c ON s.path = c.path AND s.method = c.method",
+)
+def j6_yaml_code(t: Tables) -> DataFrame:
+    """Operations of the YAML descriptions against the handlers in the source, which they share paths with."""
+    return drift(yaml_tables(t)["endpoints"], D.code_endpoints(t.code_files), ["path", "method"])
+
+
+# What the handlers check: limits by the attributes of the parts behind them.
+_CHECKS = "SELECT 'PUT /api/items' || CAST(p_partkey AS STRING) || '/{id}' AS owner, 'name' AS field, CAST(50 + p_size AS DOUBLE) AS max_length, p_size % 2 = 0 AS required FROM part"
+
+
+@query(
+    "j6_constraints",
+    f"WITH y AS ({ORACLES['s5_yaml_fields']}), c AS ({_CHECKS}), b AS (SELECT y.owner, y.field, y.max_length AS s1, c.max_length AS c1, y.required AS s2, c.required AS c2 FROM y JOIN c ON y.owner = c.owner AND y.field = c.field) "
+    "SELECT owner, field, 'max_length' AS attr, CAST(s1 AS STRING) AS spec, CAST(c1 AS STRING) AS code FROM b WHERE s1 IS DISTINCT FROM c1 UNION ALL "
+    "SELECT owner, field, 'required', CAST(s2 AS STRING), CAST(c2 AS STRING) FROM b WHERE s2 IS DISTINCT FROM c2",
+)
+def j6_constraints(t: Tables) -> DataFrame:
+    """Limits that the YAML descriptions and the handlers state differently for the same field."""
+    code = t.part.selectExpr(
+        "'PUT /api/items' || CAST(p_partkey AS STRING) || '/{id}' AS owner", "'name' AS field", "CAST(50 + p_size AS DOUBLE) AS max_length", "p_size % 2 = 0 AS required")
+    spec = yaml_tables(t)["schema_fields"].where("kind = 'body'")
+    return constraint_drift(spec, code, ["owner", "field"], ["max_length", "required"])
+
+
+@query(
+    "d19_yaml_lint",
+    _OPS + "SELECT spec, 'no_security' AS lint, method || ' ' || path AS at FROM o WHERE json_extract(doc, '$.security') IS NULL UNION ALL "
+    "SELECT spec, 'no_401_403', method || ' ' || path FROM o WHERE NOT list_has_any(json_keys(op, '$.responses'), ['401', '403']) UNION ALL "
+    "SELECT spec, 'unbounded_string', 'Page.title' FROM d UNION ALL "
+    "SELECT spec, 'plain_http', json_extract_string(doc, '$.servers[0].url') FROM d WHERE json_extract_string(doc, '$.servers[0].url') LIKE 'http://%'",
+)
+def d19_yaml(t: Tables) -> DataFrame:
+    return S.lint(yaml_tables(t))
+
+
 _RUNS = (
     "WITH l AS (SELECT file, n, block, sum(CASE WHEN block LIKE '[*] starting%' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY n ROWS UNBOUNDED PRECEDING) AS run FROM scanner_lines) "
 )

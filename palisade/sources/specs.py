@@ -1,4 +1,4 @@
-"""API descriptions (OpenAPI 3 as JSON) as flat tables."""
+"""API descriptions (OpenAPI 3, as JSON or YAML) as flat tables."""
 
 from __future__ import annotations
 
@@ -74,6 +74,66 @@ def read_openapi(files: DataFrame) -> dict[str, DataFrame]:
     return {"endpoints": endpoints, "params": params, "responses": responses, "schema_fields": fields, "servers": servers}
 
 
+METHODS = ("get", "put", "post", "delete", "options", "head", "patch", "trace")
+SCHEMA_REF = "#/components/schemas/([A-Za-z0-9_]+)"
+
+
+def spec_tables(rows: DataFrame) -> dict[str, DataFrame]:
+    """The tables of ``read_openapi`` from leaves (file, n, path, type, value), as ``yaml_rows`` gives them.
+
+    Every table is a filter on paths and one aggregation, so a description may be of any size.
+    """
+    p = lambda i: F.get("path", F.lit(i))
+    rows = cut_lineage(rows.select(F.col("file").alias("spec"), "n", "path", "type", "value"))
+    size = F.size("path")
+    ops = rows.where((p(0) == "paths") & (size >= 3) & p(2).isin(*METHODS)).select(
+        "spec", p(1).alias("path"), F.upper(p(2)).alias("method"), "n", "type", "value", F.slice("path", 4, 1000).alias("in"))
+    i = lambda k: F.get("in", F.lit(k))
+    depth = F.size("in")
+    value_at = lambda *names: F.max(F.when(
+        (depth == len(names)) & F.array_join(F.slice("in", 1, len(names)), "\x01").eqNullSafe("\x01".join(names)), F.col("value")))
+    secured = rows.where(p(0) == "security").select("spec").distinct().withColumn("_all", F.lit(True))
+    endpoints = ops.groupBy("spec", "path", "method").agg(
+        value_at("summary").alias("summary"), F.max((i(0) == "security").cast("int")).alias("_own")).join(secured, "spec", "left").select(
+        "spec", "path", "method", "summary", (F.coalesce("_all", F.lit(False)) | (F.coalesce("_own", F.lit(0)) == 1)).alias("has_security"))
+    # A parameter's leaves are parameters/i/name, parameters/i/schema/type, parameters/i/schema/enum/j.
+    leaf = lambda *names: F.max(F.when((depth == 2 + len(names)) & (F.array_join(F.slice("in", 3, 10), "\x01") == "\x01".join(names)), F.col("value")))
+    listed = lambda cond, nth: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct(nth.cast("int").alias("i"), F.col("value").alias("v"))))), lambda x: x["v"])
+    params = ops.where((i(0) == "parameters") & (depth > 1)).groupBy("spec", "path", "method", i(1).alias("_i")).agg(
+        leaf("name").alias("name"), leaf("in").alias("location"), F.coalesce(leaf("required") == "true", F.lit(False)).alias("required"),
+        leaf("schema", "type").alias("type"), leaf("schema", "minimum").cast("double").alias("minimum"),
+        listed((depth == 5) & (i(2) == "schema") & (i(3) == "enum"), i(4)).alias("enum"))
+    params = params.drop("_i").withColumn("enum", F.when(F.size("enum") > 0, F.col("enum")))
+    target = F.nullif(F.regexp_extract(F.coalesce("value", F.lit("")), f"^{SCHEMA_REF}$", 1), F.lit(""))
+    first_ref = F.min(F.when((last_of("in") == "$ref") & target.isNotNull(), F.struct("n", target.alias("v"))))["v"]
+    responses = ops.where((i(0) == "responses") & (depth > 1)).groupBy("spec", "path", "method", i(1).alias("status")).agg(
+        F.max(F.when((depth == 3) & (i(2) == "description"), F.col("value"))).alias("description"), first_ref.alias("ref"))
+    # What an object schema says about a field, wherever the schema stands.
+    body = ["requestBody", "content", "application/json", "schema"]
+    comp = rows.where((p(0) == "components") & (p(1) == "schemas") & (size >= 4)).select(
+        "spec", F.lit("schema").alias("kind"), p(2).alias("owner"), "n", "value", F.slice("path", 4, 1000).alias("in"))
+    bodies = ops.where((depth > 4) & (F.array_join(F.slice("in", 1, 4), "\x01") == "\x01".join(body))).select(
+        "spec", F.lit("body").alias("kind"), F.concat_ws(" ", "method", "path").alias("owner"), "n", "value", F.slice("in", 5, 1000).alias("in"))
+    about = comp.unionByName(bodies)
+    attr = lambda name: F.max(F.when((depth == 3) & (i(2) == name), F.col("value")))
+    own_ref = F.max(F.when((depth == 3) & (i(2) == "$ref"), F.nullif(F.regexp_extract(F.coalesce("value", F.lit("")), "#/components/schemas/(.*)$", 1), F.lit(""))))
+    item_ref = F.min(F.when((i(2) == "items") & (last_of("in") == "$ref") & target.isNotNull(), F.struct("n", target.alias("v"))))["v"]
+    fields = about.where((i(0) == "properties") & (depth > 1)).groupBy("spec", "kind", "owner", i(1).alias("field")).agg(
+        attr("type").alias("type"), attr("format").alias("format"), F.coalesce(own_ref, item_ref).alias("ref"),
+        attr("minimum").cast("double").alias("minimum"), attr("minLength").cast("double").alias("min_length"), attr("minItems").cast("double").alias("min_items"),
+        attr("maxLength").cast("double").alias("max_length"), listed((depth == 4) & (i(2) == "enum"), i(3)).alias("enum"))
+    needed = about.where((i(0) == "required") & (depth == 2)).select("spec", "kind", "owner", F.col("value").alias("field"), F.lit(True).alias("required")).distinct()
+    fields = fields.withColumn("enum", F.when(F.size("enum") > 0, F.col("enum"))).join(needed, ["spec", "kind", "owner", "field"], "left").select(
+        "spec", "kind", "owner", "field", "type", "format", "ref", "minimum", "min_length", "min_items", "max_length", "enum",
+        F.coalesce("required", F.lit(False)).alias("required"))
+    servers = rows.where((p(0) == "servers") & (size == 3) & (p(2) == "url")).select("spec", F.col("value").alias("url"))
+    return {"endpoints": endpoints, "params": params, "responses": responses, "schema_fields": fields, "servers": servers}
+
+
+def last_of(path: str):
+    return F.element_at(path, -1)
+
+
 def resolve_refs(responses: DataFrame, fields: DataFrame) -> DataFrame:
     """Follow references from responses into fields, down to the last level.
 

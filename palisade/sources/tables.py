@@ -7,6 +7,7 @@ accept, so that a query and its oracle start from the same definition.
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,111 @@ Q = "chr(34)"
 A = "chr(39)"
 NL = "chr(10)"
 
+
+
+def text_sql(template: str, **columns: str) -> str:
+    """SQL for a text: ``<name>`` stands for a column's expression, quotes and line breaks are spelled out."""
+    out = []
+    for piece in re.split(r"(<[a-z]+>|[\n\"'])", template):
+        if piece in ("\n", '"', "'"):
+            out.append({"\n": NL, '"': Q, "'": A}[piece])
+        elif re.fullmatch("<[a-z]+>", piece):
+            out.append(columns[piece[1:-1]])
+        elif piece:
+            out.append(f"'{piece}'")
+    return " || ".join(out)
+
+
+# A description a page, in two spellings with the same content; pages differ in what they declare.
+_PAGE = {
+    "id": "CAST(page_id AS STRING)", "server": "regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)", "low": "CAST(page_id % 7 AS STRING)",
+    "secure": "CASE WHEN page_id % 4 = 0 THEN {} ELSE '' END", "refuse": "CASE WHEN page_id % 3 = 0 THEN {} ELSE '' END",
+}
+_YAML = """# made from a page
+openapi: 3.0.3   # version
+info:
+  title: 'It''s <id>'
+  description: >-
+    paths: are not
+    declared here
+servers:
+- url: <server>
+  description: |
+    - url: http://nowhere
+<secure>paths:
+  /api/items<id>/{id}:
+    get:
+      summary: Read item
+        <id>
+      parameters:
+        - name: q
+          in: query
+          required: true
+          schema: {type: string, enum: [a, "b c", 'd']}
+        -
+          name: "limit"   # of rows
+          in: query
+          schema:
+            type: integer
+            minimum: <low>
+      responses:
+        '200':
+          description: "found,
+            whole"
+          content:
+            application/json:
+              schema: {$ref: '#/components/schemas/Page'}
+<refuse>    put:
+      requestBody:
+        content:
+          application/json:
+            schema:
+              type: object
+              required:
+              - name
+              properties:
+                name: {type: string, maxLength: 80,
+                  minLength: 1}
+                tags:
+                  type: array
+                  minItems: <low>
+                  items:
+                    $ref: '#/components/schemas/Owner'
+      responses: {'204': {description: done}}
+components:
+  schemas:
+    Page:
+      type: object
+      required: [id, "title"]
+      properties:
+        id: {type: integer, minimum: 1}
+        title:
+          type: string
+        owner:
+          $ref: '#/components/schemas/Owner'
+
+    Owner:
+      type: object
+      properties:
+        email:
+          type: string
+          format: email
+"""
+_JSON = (
+    '{"openapi":"3.0.3","servers":[{"url":"<server>"}],<secure>"paths":{"/api/items<id>/{id}":{"get":{"summary":"Read item <id>","parameters":['
+    '{"name":"q","in":"query","required":true,"schema":{"type":"string","enum":["a","b c","d"]}},{"name":"limit","in":"query","schema":{"type":"integer","minimum":<low>}}],'
+    '"responses":{"200":{"description":"found, whole","content":{"application/json":{"schema":{"$ref":"#/components/schemas/Page"}}}}<refuse>}},'
+    '"put":{"requestBody":{"content":{"application/json":{"schema":{"type":"object","required":["name"],"properties":{"name":{"type":"string","maxLength":80,"minLength":1},'
+    '"tags":{"type":"array","minItems":<low>,"items":{"$ref":"#/components/schemas/Owner"}}}}}}},"responses":{"204":{"description":"done"}}}}},'
+    '"components":{"schemas":{"Page":{"type":"object","required":["id","title"],"properties":{"id":{"type":"integer","minimum":1},"title":{"type":"string"},"owner":{"$ref":"#/components/schemas/Owner"}}},'
+    '"Owner":{"type":"object","properties":{"email":{"type":"string","format":"email"}}}}}}'
+)
+
+
+def _page_text(template: str, secure: str, refuse: str) -> str:
+    return text_sql(template, **{**_PAGE, "secure": _PAGE["secure"].format(text_sql(secure)), "refuse": _PAGE["refuse"].format(text_sql(refuse))})
+
+
 VIEWS: dict[str, tuple[str, list[str]]] = {
     "users": (
         "customer",
@@ -198,8 +304,11 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             f"{Q} || 'type' || {Q} || ':' || {Q} || 'string' || {Q} || ',' || {Q} || 'maxLength' || {Q} || ':254}}}}}}}}}}}}' AS content",
         ],
     ),
+    "spec_yaml": ("pages", ["CAST(page_id AS STRING) AS path", _page_text(_YAML, "security: []\n", '        "401":\n          description: who\n') + " AS content"]),
+    "spec_json": ("pages", ["CAST(page_id AS STRING) AS path", _page_text(_JSON, '"security":[],', ',"401":{"description":"who"}') + " AS content"]),
 }
 
+
 class Tables:
     """Lazy access to the base tables and views of one data folder."""
 
