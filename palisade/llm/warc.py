@@ -9,10 +9,10 @@ that can only be read from its start: the form that ``normalise`` mends.
 ``normalise`` reads each such file once, as a stream: Spark inflates it, lines come in order, and a parser that follows
 Content-Length puts records together from them (a line end within a payload stays what it was). Each record is compressed as a
 member of its own. Members are collected in volumes of about ``VOLUME`` bytes, with a sidecar index of (volume, offset, length) a
-record. Volumes are written by Spark's text writer, too, whose rows end by a separator: a member ends by the high byte of its
-record's size, zero below 16 MiB, so the separator is that zero; a larger record is followed by an empty member, which ends by
-zero. Volumes are plain concatenations of members that any gzip reader takes, written by Spark's commit protocol to any file
-system, without file handles in the tasks. ``read_volumes`` inflates member by member; ``lookup`` reads the members of given
+record; both leave the task in one write. Volumes are written by Spark's text writer, too, whose rows end by a separator: a member
+ends by the high byte of its record's size, zero below 16 MiB, so the separator is that zero; a larger record is followed by an
+empty member, which ends by zero. Volumes are plain concatenations of members that any gzip reader takes, written by Spark's
+commit protocol to any file system, without file handles in the tasks. ``read_volumes`` inflates member by member; ``lookup`` reads the members of given
 records by offset.
 
 Nulls: a null html is an empty payload; a null page_id is the largest and an empty number in the record's id; a null url is left
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -47,7 +48,7 @@ PIECE = 1 << 20  # inflated at a time
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 RECORD_ID = re.compile(rb"<urn:page:(-?\d*)>")
-MEMBERS = "volume string, record_id string, record_type string, offset bigint, length bigint, member binary"
+INDEX = "record_id string, record_type string, offset bigint, length bigint"
 
 
 def _line(name: str, value: Column) -> Column:
@@ -170,24 +171,36 @@ def member_of(record: bytes) -> bytes:
     return member if member[-1] == 0 else member + EMPTY_MEMBER
 
 
-def members(spark: SparkSession, path: str, volume_bytes: int = VOLUME) -> DataFrame:
-    """Written table of the records of the archives at ``path``, each as a gzip member with its place in a volume."""
+def normalised(spark: SparkSession, path: str, volume_bytes: int = VOLUME) -> DataFrame:
+    """(kind, volume, offset, value): per record of the archives at ``path`` its gzip member and its line of the index.
+
+    A member lacks its last byte, the zero that the text writer adds behind a row.
+    """
     lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream, base, volume, offset = None, "", 0, 0
+        rows: list[tuple] = []
+        held = 0
 
-        def row(record: bytes) -> pa.RecordBatch:
-            nonlocal volume, offset
+        def add(record: bytes) -> None:
+            nonlocal volume, offset, held
             if offset >= volume_bytes:
                 volume, offset = volume + 1, 0
             head = record[: record.index(b"\r\n\r\n") + 2]
             member = member_of(record)
+            about = {"record_id": header(head, b"warc-record-id", stream.name).decode(), "record_type": header(head, b"warc-type", stream.name).decode(),
+                     "offset": offset, "length": len(member)}
+            rows.append((f"{base}-{volume:06d}", offset, member[:-1], json.dumps(about).encode()))
+            offset, held = offset + len(member), held + len(member)
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held
             out = pa.RecordBatch.from_pydict({
-                "volume": [f"{base}-{volume:06d}"], "record_id": [header(head, b"warc-record-id", stream.name).decode()],
-                "record_type": [header(head, b"warc-type", stream.name).decode()], "offset": pa.array([offset], pa.int64()),
-                "length": pa.array([len(member)], pa.int64()), "member": [member]})
-            offset += len(member)
+                "kind": pa.array(["members"] * len(rows) + ["index"] * len(rows)), "volume": pa.array([r[0] for r in rows] * 2, pa.string()),
+                "offset": pa.array([r[1] for r in rows] * 2, pa.int64()), "value": pa.array([r[2] for r in rows] + [r[3] for r in rows], pa.binary())})
+            rows.clear()
+            held = 0
             return out
 
         for batch in batches:
@@ -201,31 +214,42 @@ def members(spark: SparkSession, path: str, volume_bytes: int = VOLUME) -> DataF
                     stream, volume, offset = RecordStream(file), 0, 0
                     base = re.sub(r"[^A-Za-z0-9-]", "-", file.rsplit("/", 1)[-1]) + "-" + hashlib.md5(file.encode()).hexdigest()[:8]
                 for record in stream.add(b"\n".join(values[a:b]) + b"\n"):
-                    yield row(record)
+                    add(record)
+                    if held > PIECE:
+                        yield flush()
+        if rows:
+            yield flush()
         if stream:
             stream.close()
 
-    return cut_lineage(lines.mapInArrow(task, MEMBERS))
+    return lines.mapInArrow(task, "kind string, volume string, offset bigint, value binary")
 
 
 def normalise(spark: SparkSession, path: str, to: str, volume_bytes: int = VOLUME) -> None:
-    """Volumes at ``to``/volumes and their index at ``to``/index, from the archives at ``path``."""
-    made = members(spark, path, volume_bytes)
-    made.drop("member").write.parquet(f"{to}/index")
-    # The writer's row separator is the zero that ends every member.
-    row = F.expr("cast(substring(member, 1, length(member) - 1) AS string)")
-    volumes = made.repartition("volume").sortWithinPartitions("volume", "offset").select("volume", row.alias("value"))
-    volumes.write.partitionBy("volume").option("lineSep", "\0").option("compression", "none").text(f"{to}/volumes")
+    """Volumes at ``to``/kind=members and their sidecar index at ``to``/kind=index, from the archives at ``path``.
+
+    One pass and one write without a shuffle: a volume comes from one task, whose rows are sorted into the writer's order.
+    """
+    made = normalised(spark, path, volume_bytes).sortWithinPartitions("kind", "volume", "offset")
+    made.select("kind", "volume", F.col("value").cast("string").alias("value")).write.partitionBy("kind", "volume").option(
+        "lineSep", "\0").option("compression", "none").text(to)
+
+
+def _volume_of(path: str) -> Column:
+    return F.regexp_extract(path, r"volume=([^/]+)/", 1).alias("volume")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/index")
+    """(volume, record_id, record_type, offset, length) per record."""
+    lines = spark.read.option("lineSep", "\0").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path)
+    rows = lines.select("value", F.col("_metadata.file_path").alias("path")).where(F.contains("path", F.lit("/kind=index/")))
+    return rows.select(_volume_of("path"), F.from_json("value", INDEX).alias("r")).select("volume", "r.*")
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
     """(volume, content) of the volumes, whose size is bounded."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/volumes")
-    return files.select(F.regexp_extract("path", r"volume=([^/]+)/", 1).alias("volume"), "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
+    return files.where(F.contains("path", F.lit("/kind=members/"))).select(_volume_of("path"), "content")
 
 
 def parsed(data: bytes, where: str) -> dict:

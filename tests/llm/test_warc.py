@@ -42,8 +42,8 @@ def test_round_trip(spark, sf):
 def stored(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("warc"))
     warc.write_archives(table(spark), f"{path}/in")
-    warc.normalise(spark, f"{path}/in", path, volume_bytes=2000)
-    return path
+    warc.normalise(spark, f"{path}/in", f"{path}/out", volume_bytes=2000)
+    return f"{path}/out"
 
 
 def test_odd_pages(spark, stored):
@@ -52,9 +52,9 @@ def test_odd_pages(spark, stored):
 
 
 def test_archives_are_single_members_and_volumes_are_not(spark, stored):
-    written = sorted(glob.glob(f"{stored}/in/*.gz"))
+    written = sorted(glob.glob(f"{stored}/../in/*.gz"))
     whole = b"".join(gzip.open(p).read() for p in written)
-    volumes = glob.glob(f"{stored}/volumes/*/*.txt")
+    volumes = glob.glob(f"{stored}/kind=members/*/*.txt")
     assert len(volumes) > len(written)
     again = b"".join(gzip.decompress(open(p, "rb").read()) for p in volumes)
     assert len(whole) == len(again) and sorted(whole.split(b"WARC/1.1")) == sorted(again.split(b"WARC/1.1"))
@@ -64,7 +64,7 @@ def test_index_gives_each_record(spark, stored):
     index = warc.read_index(spark, stored).collect()
     assert len(index) == len(ROWS)
     for r in index:
-        (file,) = glob.glob(f"{stored}/volumes/volume={r.volume}/*.txt")
+        (file,) = glob.glob(f"{stored}/kind=members/volume={r.volume}/*.txt")
         data = open(file, "rb").read()[r.offset : r.offset + r.length]
         text = gzip.decompress(data)
         assert text.startswith(b"WARC/1.1\r\nWARC-Type: " + r.record_type.encode()) and r.record_id.encode() in text[:200]
@@ -89,8 +89,11 @@ def test_members_are_taken_as_they_are(spark, stored, tmp_path):
     """An archive that has a member a record is read the same way."""
     record = b"WARC/1.0\r\nWARC-Type: metadata\r\nWARC-Record-ID: <urn:x>\r\nContent-Length: 4\r\n\r\na\r\n\r" + warc.END.encode()
     (tmp_path / "a.warc.gz").write_bytes(gzip.compress(record) * 3)
-    rows = warc.members(spark, str(tmp_path / "a.warc.gz")).collect()
-    assert [gzip.decompress(bytes(r.member)) for r in rows] == [record] * 3 and {r.record_type for r in rows} == {"metadata"}
+    source, to = str(tmp_path / "a.warc.gz"), str(tmp_path / "out")
+    rows = warc.normalised(spark, source).where("kind = 'members'").collect()
+    assert [gzip.decompress(bytes(r.value) + b"\0") for r in rows] == [record] * 3
+    warc.normalise(spark, source, to)
+    assert [r.record_type for r in warc.read_index(spark, to).collect()] == ["metadata"] * 3
 
 
 def test_truncated_archive_is_an_error():
