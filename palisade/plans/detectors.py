@@ -565,6 +565,40 @@ def d20_imports(t: Tables) -> DataFrame:
     return D.import_edges(t.code_files).select("repo", "src", "dst")
 
 
+# Imports read from the text; endings of module and path meet as strings.
+_RESOLVED = (
+    "l AS (SELECT repo, path AS src, unnest(regexp_extract_all(content, '(?m)^(?:from|import) ([A-Za-z0-9_.]+)', 1)) AS module FROM module_files), "
+    "i AS (SELECT repo, path AS file, string_split(regexp_replace(path, '[.]py$', ''), '/') AS parts FROM module_files), "
+    "c AS (SELECT DISTINCT l.repo, l.src, l.module, i.file, k, len(string_split(l.module, '.')) AS n FROM l JOIN (SELECT repo, file, parts, unnest(range(1, len(parts) + 1)) AS k FROM i) i "
+    "ON l.repo = i.repo AND array_to_string(parts[-k:], '/') = array_to_string(string_split(l.module, '.')[-k:], '/') AND i.file <> l.src AND (k > 1 OR len(string_split(l.module, '.')) = 1)), "
+    "b AS (SELECT repo, src, module, file FROM c QUALIFY row_number() OVER (PARTITION BY repo, src, module ORDER BY k DESC, file) = 1), "
+    "resolved AS (SELECT l.repo, l.src, l.module, b.file FROM l LEFT JOIN b ON b.repo = l.repo AND b.src = l.src AND b.module = l.module) "
+)
+
+
+def resolved(t: Tables) -> DataFrame:
+    return G.resolve_imports(D.import_edges(t.module_files), t.module_files)
+
+
+@query("d20_resolved", f"WITH {_RESOLVED} SELECT * FROM resolved")
+def d20_resolved(t: Tables) -> DataFrame:
+    return resolved(t)
+
+
+@query(
+    "d20_code_graph",
+    f"WITH RECURSIVE {_RESOLVED}, e AS MATERIALIZED (SELECT DISTINCT repo, src, file AS dst FROM resolved WHERE file IS NOT NULL), "
+    "r(repo, a, b) AS (SELECT repo, src, dst FROM e UNION SELECT r.repo, a, e.dst FROM r JOIN e ON e.repo = r.repo AND e.src = b), "
+    "ring AS (SELECT x.repo, x.a, x.b FROM r x JOIN r y ON x.repo = y.repo AND x.a = y.b AND x.b = y.a), "
+    "comp AS (SELECT m.repo, m.path, coalesce(least(min(ring.b), m.path), m.path) AS component FROM module_files m LEFT JOIN ring ON ring.repo = m.repo AND ring.a = m.path GROUP BY 1, 2) "
+    "SELECT c.repo, c.path, component, count(*) OVER (PARTITION BY c.repo, component) AS cycle_files, coalesce(n, 0) AS reaches FROM comp c "
+    "LEFT JOIN (SELECT repo, a, count(*) AS n FROM r WHERE a <> b GROUP BY 1, 2) x ON x.repo = c.repo AND x.a = c.path",
+)
+def d20_code_graph(t: Tables) -> DataFrame:
+    """Import cycles and how far a file's imports lead."""
+    return G.code_graph(resolved(t), t.module_files)
+
+
 _DIGITS = "list_transform(string_split(reverse(v), ''), lambda c: CAST(c AS INTEGER))"
 _LUHN = (
     f"list_sum(list_transform({_DIGITS}, lambda d, i: CASE WHEN i % 2 = 1 THEN d WHEN d * 2 > 9 THEN d * 2 - 9 ELSE d * 2 END)) % 10 = 0"

@@ -239,6 +239,17 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             f"ELSE '# ' || p_name || {NL} || 'Released under the MIT License.' END AS content",
         ],
     ),
+    # Modules that import each other: rings of five, a package import further down, one that is not in the repository.
+    "module_files": (
+        "part",
+        [
+            "p_brand AS repo",
+            "'src/m' || CAST(p_partkey % 3 AS STRING) || '/p' || CAST(p_partkey AS STRING) || '.py' AS path",
+            f"'import os' || {NL} || 'from m' || CAST((CASE WHEN p_partkey % 5 = 4 THEN p_partkey - 4 ELSE p_partkey + 1 END) % 3 AS STRING) || '.p' "
+            "|| CAST(CASE WHEN p_partkey % 5 = 4 THEN p_partkey - 4 ELSE p_partkey + 1 END AS STRING) || ' import f' "
+            f"|| CASE WHEN p_size % 2 = 0 THEN {NL} || 'from app.m' || CAST((p_partkey * 2 + 7) % 3 AS STRING) || '.p' || CAST(p_partkey * 2 + 7 AS STRING) || ' import g' ELSE '' END AS content",
+        ],
+    ),
     # One manifest per part.
     "manifests": (
         "part",
