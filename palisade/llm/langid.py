@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 
 from palisade.llm.common import coded, slices, split_words
 from palisade.llm.common import fold as fold_of
+from palisade.session import cut_lineage
 
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
 DOCS_AT_ONCE = 256
+SLICE = 3 << 20
 PARTS = 64
 
 
@@ -44,11 +46,11 @@ class Grams:
         """(word number, code) of all n-grams of the distinct words, and which words hold a letter."""
         lower = pc.utf8_lower(kinds)
         flat = " " + " ".join(lower.to_pylist()) + " "
-        code = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        code = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.int32).copy()
         n = np.asarray(pc.utf8_length(lower), dtype=np.int64)
-        owner = np.zeros(len(code), np.int64)
+        owner = np.zeros(len(code), np.int32)
         if len(n):
-            owner[1:] = np.repeat(np.arange(len(n)), n + 1)
+            owner[1:] = np.repeat(np.arange(len(n), dtype=np.int32), n + 1)
         is_letter = self.letter[code]
         code[~is_letter] = 32
         has = np.zeros(len(n), bool)
@@ -66,7 +68,7 @@ class Grams:
             at = np.flatnonzero(good)
             words.append(owner[at + (1 if k == 3 else 0)] if k != 2 else np.where(is_letter[at], owner[at], owner[at + 1]))
             codes.append(packed[at])
-        return np.concatenate(words) if words else np.zeros(0, np.int64), np.concatenate(codes) if codes else np.zeros(0, np.int64), has
+        return np.concatenate(words) if words else np.zeros(0, np.int32), np.concatenate(codes) if codes else np.zeros(0, np.int64), has
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -76,7 +78,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct n-grams of each text."""
     grams = Grams()
-    for batch in slices(batches):
+    for batch in slices(batches, limit=SLICE):
         out = []
         for i in range(batch.num_rows):
             words, _ = split_words(batch.column("text").slice(i, 1))
@@ -87,15 +89,17 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, per_lang: int = 300, landmarks: int = 48, ridge: float = 1e-2) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, sorted n-gram codes, weights per code and language) from (doc_id, text, lang)."""
     able = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    key = F.xxhash64(F.col("doc_id"), F.lit(11))
+    # A text is a row of its own for the sample, however often its row or its id is repeated.
+    kinds = able.select("lang", "doc_id", F.xxhash64("text").alias("copy")).distinct()
+    dealt = kinds.withColumn("key", F.xxhash64("doc_id", "copy", F.lit(11))).withColumn("part", F.pmod("key", F.lit(PARTS)))
     # The first of a language are among the first of its parts, so a language of most rows is not ranked in one task.
-    dealt = able.select("lang", "doc_id", key.alias("key")).withColumn("part", F.pmod("key", F.lit(PARTS)))
     for part in (["part"], []):
-        dealt = dealt.withColumn("r", F.row_number().over(W.partitionBy("lang", *part).orderBy("key", "doc_id"))).where(F.col("r") <= per_lang)
-    chosen = [r.doc_id for r in dealt.select("doc_id").collect()]
-    sample = able.where(F.col("doc_id").isin(chosen)).select("doc_id", "lang", "text") if chosen else able.where("1 = 0").select("doc_id", "lang", "text")
-    rows = sample.mapInArrow(_sets, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, grams array<bigint>").collect()
-    texts = {(r.lang, r.doc_id): np.array(r.grams) for r in sorted(rows, key=lambda r: (r.lang, str(r.doc_id), r.grams)) if r.grams}
+        dealt = dealt.withColumn("r", F.row_number().over(W.partitionBy("lang", *part).orderBy("key", "doc_id", "copy"))).where(F.col("r") <= per_lang)
+    chosen = cut_lineage(dealt.select("lang", "doc_id", "copy"))
+    sample = able.withColumn("copy", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "doc_id", "copy"]).select("doc_id", "lang", "copy", "text")
+    sample = sample.dropDuplicates(["lang", "doc_id", "copy"])
+    rows = sample.select("doc_id", "lang", "text").mapInArrow(_sets, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, grams array<bigint>").collect()
+    texts = {(r.lang, i): np.array(r.grams) for i, r in enumerate(sorted(rows, key=lambda r: (r.lang, str(r.doc_id), r.grams))) if r.grams}
     langs = sorted({lang for lang, _ in texts})
     if not langs:
         return [], np.zeros(0, np.int64), np.zeros((0, 0), np.float32)
@@ -124,7 +128,7 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, vocab, weights = model.value
         grams = Grams()
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             words, at = split_words(batch.column("text"))
             codes, kinds = coded(words)
             owner, gram, letters = grams.of(kinds)
