@@ -106,10 +106,13 @@ ORACLES["op8_quality"] = (
     "repeats AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(5) r(k) GROUP BY 1), "
     "lines AS (SELECT doc_id, source, text, line, trim(regexp_replace(lower(line), '" + _SPACE + "+', ' ', 'g')) AS norm FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d)), "
     "dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE norm <> '' GROUP BY 1), "
-    "texts AS (SELECT source, count(DISTINCT text) AS n FROM d GROUP BY 1), "
-    "often AS (SELECT l.source, norm FROM (SELECT source, norm, count(DISTINCT text) AS n FROM lines WHERE norm <> '' GROUP BY 1, 2) l "
-    "JOIN texts t ON l.source IS NOT DISTINCT FROM t.source WHERE l.n > 20 AND l.n > t.n * 0.1), "
-    "gone AS (SELECT doc_id, sum(len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'))) AS n FROM lines l JOIN often o ON l.source IS NOT DISTINCT FROM o.source AND l.norm = o.norm GROUP BY 1), "
+    "held AS (SELECT DISTINCT doc_id, source, text, norm, CAST(sum(len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'))) AS BIGINT) AS n FROM lines WHERE norm <> '' GROUP BY 1, 2, 3, 4), "
+    "often AS (SELECT source, norm FROM held GROUP BY 1, 2 HAVING count(*) > 20), "
+    "frequent AS (SELECT h.* FROM held h JOIN often o ON h.source IS NOT DISTINCT FROM o.source AND h.norm = o.norm), "
+    "own AS (SELECT f.doc_id, f.source, f.text FROM (SELECT doc_id, source, text, sum(n) AS n FROM frequent GROUP BY 1, 2, 3) f "
+    "JOIN (SELECT doc_id, source, text, sum(n) AS n FROM held GROUP BY 1, 2, 3) a ON a.doc_id = f.doc_id AND a.source IS NOT DISTINCT FROM f.source AND a.text = f.text WHERE a.n - f.n >= 0.3 * a.n), "
+    "boiler AS (SELECT f.source, f.norm FROM frequent f JOIN own o ON o.doc_id = f.doc_id AND o.source IS NOT DISTINCT FROM f.source AND o.text = f.text GROUP BY 1, 2 HAVING count(*) > 20), "
+    "gone AS (SELECT doc_id, sum(n) AS n FROM frequent f JOIN boiler b ON f.source IS NOT DISTINCT FROM b.source AND f.norm = b.norm GROUP BY 1), "
     "m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, "
     "CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dups.n, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words, "
     "CAST(coalesce(gone.n, 0) AS BIGINT) AS removed_words FROM d LEFT JOIN dups USING (doc_id) LEFT JOIN repeats USING (doc_id) LEFT JOIN gone USING (doc_id)) "

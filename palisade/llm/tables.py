@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 PART = 1 << 14  # entries that travel as one row
 
@@ -43,6 +45,28 @@ def filled(df: DataFrame, fill: Fill, size: int, joined: np.ufunc = np.add) -> n
     return out.reshape(-1)
 
 
+MARKS = 1 << 22
+
+
+def marked(keys: DataFrame, bits: int = MARKS) -> Callable[[Column], Column]:
+    """Test whether a 64-bit hash may be in the column ``key``, by a bit table of fixed size.
+
+    A key is never missed; one that passes by chance costs its transport only.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> None:
+        for batch in batches:
+            table[np.asarray(batch.column("key")).astype(np.uint64) % np.uint64(bits)] = 1
+
+    shared = keys.sparkSession.sparkContext.broadcast(filled(keys, mark, bits, np.maximum).astype(bool))
+
+    @F.pandas_udf("boolean")
+    def known(found: pd.Series) -> pd.Series:
+        return pd.Series(shared.value[found.to_numpy().astype(np.uint64) % np.uint64(bits)])
+
+    return known
+
+
 def _rows(parts: list[int], arrays: list[np.ndarray]) -> pa.RecordBatch:
     data = [pa.compress(np.ascontiguousarray(a).tobytes(), "zstd", asbytes=True) for a in arrays]
     return pa.RecordBatch.from_pydict({"part": pa.array(parts, pa.int32()), "data": pa.array(data, pa.binary())})

@@ -30,20 +30,17 @@ import re
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm.common import spread_join
-from palisade.llm.tables import filled
+from palisade.llm.tables import marked
 from palisade.session import cut_lineage, scratch_path
 
 END = "\r\n\r\n"
 LEAST = 100
 VOLUME = 8 << 20
-MARKS = 1 << 22
 PIECE = 1 << 20  # inflated at a time
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -74,29 +71,13 @@ def _record(kind: str, date: str, block: Column, *more: Column) -> Column:
     return F.concat(*head, block)
 
 
-def marked(keys: DataFrame, bits: int = MARKS) -> np.ndarray:
-    """Bit table of the 64-bit hashes in the column ``key``: a lost key is impossible, a chance hit costs only its transport."""
-
-    def mark(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> None:
-        for batch in batches:
-            table[np.asarray(batch.column("key")).astype(np.uint64) % np.uint64(bits)] = 1
-
-    return filled(keys, mark, bits, np.maximum).astype(bool)
-
-
 def archive_records(pages: DataFrame, least: int = LEAST, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """(record): the text of a record per page, responses and revisits decided."""
-    spark = pages.sparkSession
     src = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
     src = src.withColumn("digest", F.sha2("html", 256)).withColumn("bytes", F.octet_length("html").cast("bigint"))
     long = src.where(F.col("bytes") >= least)
     firsts = cut_lineage(long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n"))
-    bits = spark.sparkContext.broadcast(marked(firsts.select(F.xxhash64("digest").alias("key"))))
-
-    @F.pandas_udf("boolean")
-    def known(keys: pd.Series) -> pd.Series:
-        return pd.Series(bits.value[keys.to_numpy().astype(np.uint64) % np.uint64(MARKS)])
-
+    known = marked(firsts.select(F.xxhash64("digest").alias("key")))
     candidate = (F.col("bytes") >= least) & known(F.xxhash64("digest"))
     told = src.where(candidate)
     # Revisits are found without their texts; texts with a marked digest are dealt by (digest, page_id), which no copies share.
