@@ -8,11 +8,13 @@ of similarity 0.8 miss each other with chance 0.0002.
 
 Candidates are verified by the weighted Jaccard similarity of their whole shingle sets. Copies (equal texts) are one node. In a
 band's bucket every member is compared with one hub, the member whose buckets are largest, so a group of any size costs one
-comparison a member; components are taken; and members of a bucket that are still in different components are then compared
-with each other, so no link between components is lost to the hubs. Two bounds keep these from being all pairs of a large group:
-a member whose own shingles, those that no other open member has, weigh too much cannot reach the threshold with any member of
-its bucket and is dropped before pairs are made (exact); the others first meet a second hub, the member with the least of its own,
-which joins the variants of one text. Pairs whose samples put them far below the threshold are not verified.
+comparison a member, and components are taken. Buckets whose members are still in different components go on in rounds, each of
+one comparison a member again. The hub of a round is the group's lightest member, because of this: if x is not similar to the
+lightest member h, then whatever is similar to x shares with it a shingle beyond h, one that both hold more often than h. (Were all
+that x and y share within h, they would share no more than x and h do, and y weighs no less than h.) So the next round's groups
+are the members that hold one more shingle beyond their hub; of these shingles, from rare to common, a member needs only as many as
+weigh (1 - threshold) of it, as similar texts leave no more unshared. Groups of one member or one component end; no pair of
+similar members of a bucket is lost, and nobody is compared with a whole group.
 
 The idf runs from 1 to 1.25: a stronger one would let a group of thousands of near copies make its own shingles light and its
 edits heavy, and so fall apart.
@@ -34,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import coded, slices, split_words, text_or_empty
+from palisade.llm.common import coded, free_names, slices, split_words, spread_join, text_or_empty
 from palisade.llm.tables import filled
 from palisade.operators.detect.graph import components
 from palisade.session import cut_lineage
@@ -196,12 +198,40 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return cut_lineage(sets.join(wanted.select("node").distinct(), "node", "left_semi"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """Written table (src, dst) of the distinct pairs (hub, node) that are similar enough.
+class Beyond:
+    """Comparison of members with one hub: similarity, and what a member holds beyond it."""
+
+    def __init__(self, idf: np.ndarray, counts: np.ndarray, threshold: float) -> None:
+        self.idf, self.counts, self.threshold = idf, counts, threshold
+
+    def hub(self, found: np.ndarray) -> None:
+        self.kinds, self.times = np.unique(found, return_counts=True)
+        self.weight = (self.times * self.idf[self.kinds >> (32 - IDF_BITS)]).sum(dtype=np.float64)
+
+    def member(self, found: np.ndarray) -> tuple[bool, np.ndarray]:
+        """Whether a member is similar to the hub, and the rare end of its shingles beyond the hub."""
+        kinds, times = np.unique(found, return_counts=True)
+        idf = self.idf[kinds >> (32 - IDF_BITS)].astype(np.float64)
+        weight = (times * idf).sum()
+        if not len(kinds) or not len(self.kinds):
+            return len(kinds) == len(self.kinds), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.kinds, kinds), len(self.kinds) - 1)
+        held = np.where(self.kinds[at] == kinds, self.times[at], 0)
+        low = (np.minimum(times, held) * idf).sum()
+        similar = low / (weight + self.weight - low) >= self.threshold
+        more = np.flatnonzero(times > held)
+        more = more[np.lexsort((kinds[more], self.counts[kinds[more] >> (32 - IDF_BITS)]))]
+        over = ((times[more] - held[more]) * idf[more]).cumsum()
+        needed = np.searchsorted(over, (1 - self.threshold) * weight + SLACK, side="right") + 1
+        return bool(similar), kinds[more[:needed]].astype(np.int64)
+
+
+def compared(pairs: DataFrame, sets: DataFrame, idf: np.ndarray, counts: np.ndarray, threshold: float, beyond: bool) -> DataFrame:
+    """Written table (hub, node, similar, beyond) of the distinct pairs (hub, node).
 
     A hub with many pairs is dealt to several tasks, each of which gets the hub's set once, ahead of its members'.
     """
-    shared = pairs.sparkSession.sparkContext.broadcast(idf)
+    shared = pairs.sparkSession.sparkContext.broadcast((idf, counts))
     pairs = cut_lineage(pairs)
     salts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
     deal = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt")
@@ -211,19 +241,33 @@ def verified(pairs: DataFrame, sets: DataFrame, idf: np.ndarray, threshold: floa
     dealt = hubs.unionByName(members).repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.asc_nulls_first("node"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(0, np.uint32)
+        with_hub = Beyond(*shared.value, threshold)
         for batch in batches:
-            src, dst = [], []
+            rows: list[tuple] = []
             for hub, member, data in zip(*[batch.column(c).to_pylist() for c in ("hub", "node", "found")], strict=True):
                 found = np.frombuffer(data, np.uint32)
                 if member is None:
-                    own = found
-                elif similarity(own, found, shared.value) >= threshold:
-                    src.append(hub)
-                    dst.append(member)
-            yield pa.RecordBatch.from_pydict({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+                    with_hub.hub(found)
+                else:
+                    similar, more = with_hub.member(found)
+                    if similar or beyond:
+                        rows.append((hub, member, similar, more if beyond else None))
+            kinds = {"hub": pa.int64(), "node": pa.int64(), "similar": pa.bool_(), "beyond": pa.list_(pa.int64())}
+            yield pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(kinds.items())})
+
+    return cut_lineage(dealt.mapInArrow(compare, "hub bigint, node bigint, similar boolean, beyond array<bigint>"))
+
+
+def weights(sets: DataFrame, idf: np.ndarray) -> DataFrame:
+    """Written table (node, w): what the shingles of each text weigh."""
+    shared = sets.sparkSession.sparkContext.broadcast(idf)
 
-    return cut_lineage(dealt.mapInArrow(compare, "src bigint, dst bigint"))
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = [float(shared.value[np.frombuffer(d, np.uint32) >> (32 - IDF_BITS)].sum(dtype=np.float64)) for d in batch.column("found").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "w": pa.array(w, pa.float64())})
+
+    return cut_lineage(sets.mapInArrow(weigh, "node bigint, w double"))
 
 
 def links(docs: DataFrame, text: str = "text", threshold: float = 0.8, strength: float = 0.25) -> DataFrame:
@@ -241,32 +285,25 @@ def links(docs: DataFrame, text: str = "text", threshold: float = 0.8, strength:
     hubs = ranked.groupBy("key").agg(F.min("order")["node"].alias("hub"))
     stars = cut_lineage(members.join(hubs, "key").where(F.col("node") != F.col("hub")).select("hub", "node").distinct())
     sets = shingle_sets(src, members.select("node").distinct())
-    near = verified(stars, sets, idf, threshold)
+    pair = lambda met: met.where("similar").select(F.col("hub").alias("src"), F.col("node").alias("dst"))
+    near = pair(compared(stars, sets, idf, counts, threshold, beyond=False))
     grouped = components(near, near.select("src").unionByName(near.select(F.col("dst").alias("src"))))
-    # What is left: members of one bucket in different components.
-    placed = members.select("key", "node").join(grouped, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where(F.col("a") != F.col("b")).select("key")
-    open_members = cut_lineage(placed.join(mixed, "key"))
-    weighed = open_members.join(shareable(sets, open_members.select("node").distinct(), idf), "node")
-    lightest = weighed.groupBy("key").agg(F.min("w").alias("least"))
-    # The best partner of a text holds all that it can share and nothing else: it weighs at most shared / threshold - own.
-    able = weighed.join(lightest, "key").where(F.col("least") <= F.col("shared") / threshold - (F.col("w") - F.col("shared")) + SLACK)
-    able = cut_lineage(able.select("key", "node", "c", "w", "shared"))
-    plain = able.select("key", "node", F.struct(((F.col("w") - F.col("shared")) / (F.col("w") + SLACK)).alias("own"), "node", "c").alias("order"))
-    second = plain.groupBy("key").agg(F.min("order").alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.c").alias("hub_c"))
-    again = able.join(second, "key").where(F.col("c") != F.col("hub_c")).select("hub", "node").distinct()
-    again = cut_lineage(again.join(stars, ["hub", "node"], "left_anti"))
-    grouped = merged(grouped, verified(again, sets, idf, threshold))
-    able = able.drop("c").join(grouped, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    one, two = (able.select("key", *[F.col(x).alias(f"{x}{i}") for x in ("node", "c", "w", "shared")]) for i in (1, 2))
-    most = F.least("shared1", "shared2")
-    rest = one.join(two, "key").where(
-        (F.col("c1") < F.col("c2")) & (most >= threshold * (F.col("w1") + F.col("w2") - most) - SLACK)).select(
-        F.least("node1", "node2").alias("hub"), F.greatest("node1", "node2").alias("node")).distinct()
-    for done in (stars, again):
-        tested = done.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
-        rest = rest.join(tested, ["hub", "node"], "left_anti")
-    return merged(grouped, verified(_plausible(rest, sketched), sets, idf, threshold))
+    # What is left: groups with members of different components.
+    groups, weighed = members.select(F.col("key").alias("g"), "node"), weights(sets, idf)
+    while True:
+        placed = groups.join(grouped, "node", "left").select("g", "node", F.coalesce("component", "node").alias("c"))
+        mixed = placed.groupBy("g").agg(F.min("c").alias("a"), F.max("c").alias("b")).where(F.col("a") != F.col("b")).select("g")
+        left = cut_lineage(spread_join(groups, cut_lineage(mixed), "g", "left_semi"))
+        if left.isEmpty():
+            return grouped
+        hubs = left.join(weighed, "node").groupBy("g").agg(F.min_by("node", "w").alias("hub"))
+        pairs = spread_join(left, cut_lineage(hubs), "g").where(F.col("node") != F.col("hub")).select("hub", "node").distinct()
+        met = compared(pairs, sets, idf, counts, threshold, beyond=True)
+        grouped = merged(grouped, pair(met))
+        # Members of several groups with one hub are one group from here on.
+        held = cut_lineage(met.select(F.explode("beyond").alias("shingle"), "hub", "node").select(F.xxhash64("hub", "shingle").alias("g"), "node").distinct())
+        crowded = held.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("g")
+        groups = cut_lineage(spread_join(held, cut_lineage(crowded), "g", "left_semi"))
 
 
 def merged(grouped: DataFrame, links: DataFrame) -> DataFrame:
@@ -284,41 +321,6 @@ def merged(grouped: DataFrame, links: DataFrame) -> DataFrame:
     return cut_lineage(every.join(label, "component", "left").select("node", F.coalesce("label", "component").alias("component")))
 
 
-def shareable(sets: DataFrame, wanted: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(node, w, shared) of the wanted nodes: the weight of a text, and of its shingles that another wanted node holds, too."""
-    shared = sets.sparkSession.sparkContext.broadcast(idf)
-
-    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node_id, data in zip(batch.column("node").to_pylist(), batch.column("found").to_pylist(), strict=True):
-                kinds, tf = np.unique(np.frombuffer(data, np.uint32), return_counts=True)
-                weight = tf * shared.value[kinds >> (32 - IDF_BITS)].astype(np.float64)
-                # The row without a shingle holds the whole.
-                yield pa.RecordBatch.from_pydict({
-                    "node": np.full(len(kinds) + 1, node_id, np.int64), "weight": np.append(weight, weight.sum()),
-                    "shingle": pa.array(np.append(kinds.astype(np.int64), 0), mask=np.arange(len(kinds) + 1) == len(kinds))})
-
-    rows = cut_lineage(sets.join(wanted, "node", "left_semi").mapInArrow(weights, "node bigint, weight double, shingle bigint"))
-    own = rows.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(
-        F.count("*").alias("n"), F.min("node").alias("node"), F.min("weight").alias("weight")).where(F.col("n") == 1)
-    own = own.groupBy("node").agg(F.sum("weight").alias("own"))
-    return rows.where(F.col("shingle").isNull()).select("node", F.col("weight").alias("w")).join(own, "node", "left").select(
-        "node", "w", (F.col("w") - F.coalesce("own", F.lit(0.0))).alias("shared"))
-
-
-def _plausible(pairs: DataFrame, sketched: DataFrame, least: int = SAMPLES // 2) -> DataFrame:
-    """Pairs with at least half of their samples in common: at 0.8 fewer than that happen once in ten million pairs."""
-    s = sketched.select("node", "sketch")
-    both = pairs.join(s.select(F.col("node").alias("hub"), F.col("sketch").alias("a")), "hub").join(s.withColumnRenamed("sketch", "b"), "node")
-
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, SAMPLES) for c in ("a", "b"))
-            yield batch.select(["hub", "node"]).filter(pa.array((a == b).sum(1) >= least))
-
-    return both.select("hub", "node", "a", "b").mapInArrow(agree, "hub bigint, node bigint")
-
-
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """(doc_id, class_id, class_docs) per document: the smallest doc_id of its class, and the class's documents."""
     grouped = links(docs, text, **how)
@@ -329,14 +331,15 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how)
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One document of each class, the one with the smallest doc_id; all columns stay."""
+    """One document of each class, the one with the smallest doc_id; all columns stay, whatever their names."""
     grouped = links(docs, text, **how)
     rows = docs.select(F.col(doc_id).alias("doc_id"), node(text).alias("node")).groupBy("node", "doc_id").agg(F.count("*").alias("rows"))
     first = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "node", "rows")
     kept = rows.join(grouped, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min(first).alias("k"))
-    kept = cut_lineage(kept.select(F.col("k.node").alias("_node"), F.col("k.doc_id").alias("_id"), F.col("k.rows").alias("_rows")))
-    met = docs.withColumn("_own", node(text)).join(kept, (F.col("_own") == F.col("_node")) & F.col(doc_id).eqNullSafe(F.col("_id")))
-    if kept.where(F.col("_rows") > 1).isEmpty():
+    own, its_node, its_id, times = free_names(docs, "own", "node", "id", "rows")
+    kept = cut_lineage(kept.select(F.col("k.node").alias(its_node), F.col("k.doc_id").alias(its_id), F.col("k.rows").alias(times)))
+    met = docs.withColumn(own, node(text)).join(kept, (F.col(own) == F.col(its_node)) & F.col(doc_id).eqNullSafe(F.col(its_id)))
+    if kept.where(F.col(times) > 1).isEmpty():
         return met.select(*docs.columns)
     # Repeated rows: any of them stands for all.
-    return met.where(F.col("_rows") == 1).unionByName(met.where(F.col("_rows") > 1).dropDuplicates(["_own"])).select(*docs.columns)
+    return met.where(F.col(times) == 1).unionByName(met.where(F.col(times) > 1).dropDuplicates([own])).select(*docs.columns)

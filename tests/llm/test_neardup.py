@@ -108,3 +108,32 @@ def test_similarity_counts_repeats():
     assert neardup.similarity(a, b, idf) == 2 / 4
     found, at = neardup.shingles(pa.array(["a b c", None, "a b c d e f", "a b c d e a b c d e"]))
     assert np.diff(at).tolist() == [1, 0, 2, 6]
+
+
+def test_beyond_the_lightest_member():
+    """Of two members that are similar to each other but not to the hub, the rare ends of what is beyond it meet."""
+    rng = np.random.default_rng(2)
+    counts, idf = rng.integers(1, 50, 1 << neardup.IDF_BITS), 1 + rng.random(1 << neardup.IDF_BITS).astype(np.float32) / 4
+    pool = rng.integers(0, 2**32, 60, dtype=np.uint32)
+    weigh = lambda x: idf[x >> (32 - neardup.IDF_BITS)].sum()
+    seen = 0
+    for _ in range(4000):
+        base = rng.choice(pool, rng.integers(5, 30))
+        mutate = lambda: np.sort(np.concatenate([base[rng.random(len(base)) > 0.1], rng.choice(pool, rng.integers(0, 4))]))  # noqa: B023, E731
+        trio = sorted((mutate() for _ in range(3)), key=weigh)
+        h, x, y = trio
+        cmp = neardup.Beyond(idf, counts, 0.8)
+        cmp.hub(h)
+        (near_x, more_x), (near_y, more_y) = cmp.member(x), cmp.member(y)
+        assert near_x == (neardup.similarity(h, x, idf) >= 0.8)
+        if neardup.similarity(x, y, idf) >= 0.8 and not (near_x and near_y):
+            seen += 1
+            assert set(more_x.tolist()) & set(more_y.tolist())
+    assert seen > 100
+
+
+def test_names_of_helpers_are_free(spark):
+    rows = [(i, "one two three four five six seven", "a", 1, 2, 3, 4) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, own string, node int, id int, rows int, _rows int")
+    out = neardup.deduplicated(df)
+    assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [rows[0]]
