@@ -7,6 +7,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.functions.lexer import only
 from palisade.functions.text import entropy, luhn_valid, redact, word_ngrams
 from palisade.operators.detect.registry import register_detector
 from palisade.operators.detect.rules import match_rules, pack, scan
@@ -203,7 +204,7 @@ def import_edges(files: DataFrame) -> DataFrame:
 
 
 def call_counts(files: DataFrame) -> DataFrame:
-    """Dynamic calls and function heads per Python file, counted on whole Arrow columns."""
+    """Dynamic calls and function heads per Python file, counted on whole Arrow columns; strings and comments do not count."""
 
     @F.arrow_udf("struct<dynamic_calls: int, functions: int>")
     def count(content: pa.Array) -> pa.Array:
@@ -212,4 +213,4 @@ def call_counts(files: DataFrame) -> DataFrame:
         heads = pc.count_substring_regex(content, r"(?m)^[ \t]*(?:async[ ]+)?def[ ]+[A-Za-z_]")
         return pa.StructArray.from_arrays([calls.cast(pa.int32()), heads.cast(pa.int32())], ["dynamic_calls", "functions"])
 
-    return files.where(F.col("path").endswith(".py")).select("repo", "path", count("content").alias("c")).select("repo", "path", "c.*")
+    return files.where(F.col("path").endswith(".py")).select("repo", "path", count(only("code", F.col("content"), F.col("path"))).alias("c")).select("repo", "path", "c.*")

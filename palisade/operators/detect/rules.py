@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import pyarrow as pa
@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.functions.lexer import only
 from palisade.functions.text import entropy, fingerprint, luhn_valid, redact
 
 
@@ -31,6 +32,8 @@ class Rule:
     gate: tuple[str, ...] = ()
     check: tuple = ()
     fix: str = "Review the match and remove it."
+    # any, or the part of a source file that the rule is about: code, string or comment.
+    where: str = "any"
 
 
 # The rule pack (identifier, detector, vector, severity, pattern, positive sample, gate).
@@ -242,13 +245,26 @@ def rule_hits(text: str, low: str, rules: Sequence[Rule], checked: bool = True)
     return F.filter(hits, passes)
 
 
+def in_code(rules: Iterable[Rule]) -> list[Rule]:
+    """The rules, about code only: what strings and comments say does not count."""
+    return [replace(r, where="code") for r in rules]
+
+
 def match_rules(files: DataFrame, rules: Sequence[Rule], keys: Sequence[str] = ("repo", "path"), content: str = "content",
                 checked: bool = True) -> DataFrame:
     """Every line × every rule without a join: (keys…, line, rule_id, match).
 
     Files that cannot match are dropped before they are split into lines. Rules without a gate read all
-    files; they do so in a pass of their own and leave the gate of the others as it is.
+    files; they do so in a pass of their own and leave the gate of the others as it is. Rules about code, strings or
+    comments see the text with the other parts blanked, by the language that the file's path names.
     """
+    by_part = {w: [r for r in rules if r.where == w] for w in dict.fromkeys(r.where for r in rules)}
+    if set(by_part) - {"any"}:
+        gated = lambda group: files.where(text_gate(F.col(content), group)) if all(r.gate for r in group) else files
+        seen = lambda w, group: gated(group).withColumn(content, only(w, F.col(content), F.col(keys[-1])))
+        plain = lambda group: [replace(r, where="any") for r in group]
+        return reduce(lambda a, b: a.unionByName(b), [
+            match_rules(files if w == "any" else seen(w, group), plain(group), keys, content, checked) for w, group in by_part.items()])
     open_rules, gated = [r for r in rules if not r.gate], [r for r in rules if r.gate]
 
     def lines_of(src: DataFrame, group: Sequence[Rule]) -> DataFrame:
