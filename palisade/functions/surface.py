@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.operators.detect.rules import pack
+from palisade.operators.detect.rules import Rule, pack, text_gate
 
 
 def register_sql_functions(spark: SparkSession) -> list[str]:
@@ -27,9 +27,20 @@ def register_views(tables: dict[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
+def finding_rules() -> list[Rule]:
+    """The rules of the table function: those that a pattern alone decides."""
+    return [r for r in pack("D1", "D21") if not r.check]
+
+
+def finding_candidates(df: DataFrame, text: str) -> DataFrame:
+    """The rows whose text a rule of the table function may match, by the rules' gates."""
+    rules = finding_rules()
+    return df.where(text_gate(F.col(text), rules)) if all(r.gate for r in rules) else df
+
+
 def finding_rows():
     """Table function text → (rule_id, match) rows, for LATERAL in SQL."""
-    compiled = [(r.rule_id, r.pattern) for r in pack("D1", "D21") if not r.check]
+    compiled = [(r.rule_id, r.pattern) for r in finding_rules()]
 
     @F.udtf(returnType="rule_id string, match string", useArrow=True)
     class FindingRows:

@@ -6,67 +6,96 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.operators.joins import similar_names
-from palisade.operators.sets import append
 
 
 # Flags, then registry (with a port) and path, then the tag. A digest is part of neither.
 IMAGE = r"(?i)^from\s+(?:--[a-z]+=\S+\s+)*((?:[^\s/]+/)*[^\s:/@]+)(?::([^\s@]+))?"
 
 
+URL_SPEC = r"^(git[+]|https?://|file:|[.]{0,2}/)"
+DEPENDENCY = "struct<ecosystem: string, name: string, spec: string, scope: string>"
+
+
 def dependencies(manifests: DataFrame) -> DataFrame:
-    """manifests(repo, manifest, module, content) → one normalised row per dependency."""
+    """manifests(repo, manifest, module, content) → one normalised row per dependency, in one pass over the manifests.
+
+    The file's name says what is looked for in its text. Options, extras and markers of requirements are no part of a
+    name or spec; images that name an earlier stage of the same file, or nothing (``scratch``), are no packages.
+    """
     keys = ["repo", "manifest", "module"]
     name = F.element_at(F.split("manifest", "/"), -1)
-
-    def rows(src: DataFrame, ecosystem: str, dep: Column, spec: Column, scope: Column) -> DataFrame:
-        out = src.select(*keys, F.lit(ecosystem).alias("ecosystem"), dep.alias("name"), spec.alias("spec"), scope.alias("scope"))
-        return out.where(F.col("name") != "").withColumn("version", F.regexp_extract("spec", r"([0-9]+(?:[.][0-9A-Za-z]+)*)", 1))
-
-    by_line = lambda df: df.select(*keys, F.explode(F.split("content", "\n")).alias("l"))
-    runtime = F.lit("runtime")
-    req = by_line(manifests.where(name.rlike(r"^requirements.*[.]txt$"))).where(~F.col("l").rlike(r"^\s*(#|$)"))
-    pip = rows(req, "pip", F.regexp_extract("l", r"^\s*([A-Za-z0-9_.-]+)", 1), F.regexp_extract("l", r"^\s*[A-Za-z0-9_.-]+\s*(.*?)\s*$", 1), runtime)
+    text = F.col("content")
+    lines = F.split(text, "\r?\n")
+    group = lambda x, pattern, i=1: F.regexp_extract(x, pattern, i)
+
+    def dep(ecosystem: str, dep_name: Column, spec: Column, scope: Column | str = "runtime") -> Column:
+        scope = F.lit(scope) if isinstance(scope, str) else scope
+        return F.struct(F.lit(ecosystem).alias("ecosystem"), dep_name.alias("name"), F.coalesce(spec, F.lit("")).alias("spec"), scope.alias("scope"))
+
+    def each(items: Column, make) -> Column:
+        return F.transform(items, make)
+
+    def requirement(x: Column) -> Column:
+        """A requirement: name [extras] spec ; marker, ``name @ url``, or a url with its name behind #egg=."""
+        x = F.trim(F.regexp_replace(x, r"\s#.*$", ""))
+        url = x.rlike(URL_SPEC)
+        bare = F.regexp_replace(x, r"\s*;.*$", "")
+        named_url = group(bare, r"^[A-Za-z0-9_.-]+\s*(?:\[[^\]]*\])?\s*@\s*(\S+)")
+        spec = F.when(named_url != "", named_url).otherwise(F.trim(group(bare, r"^[A-Za-z0-9_.-]+\s*(?:\[[^\]]*\])?\s*(.*)$")))
+        return F.when(url, dep("pip", group(x, r"#egg=([A-Za-z0-9_.-]+)"), F.regexp_replace(x, "#.*$", ""))).otherwise(
+            dep("pip", group(bare, r"^([A-Za-z0-9_.-]+)"), spec))
+
+    pip = each(F.filter(lines, lambda x: ~x.rlike(r"^\s*(#|$|-)")), requirement)
     packages = "STRUCT<dependencies: MAP<STRING, STRING>, devDependencies: MAP<STRING, STRING>, peerDependencies: MAP<STRING, STRING>, optionalDependencies: MAP<STRING, STRING>>"
-    js = manifests.where(name == "package.json").select(*keys, F.from_json("content", packages).alias("p"))
-    npm = append(*[
-        rows(js.select(*keys, F.explode(f"p.{field}").alias("n", "s")), "npm", F.col("n"), F.col("s"), F.lit(scope))
-        for field, scope in (("dependencies", "runtime"), ("devDependencies", "dev"), ("peerDependencies", "peer"), ("optionalDependencies", "optional"))
-    ])
-    image = by_line(manifests.where(name.startswith("Dockerfile"))).where(F.col("l").rlike(r"(?i)^from "))
-    docker = rows(image, "docker", F.regexp_extract("l", IMAGE, 1), F.regexp_extract("l", IMAGE, 2), F.lit("build"))
-    pom = manifests.where(name == "pom.xml").select(*keys, F.explode(F.regexp_extract_all("content", F.lit(r"(?s)<dependency>.*?</dependency>"), F.lit(0))).alias("d"))
-    maven = rows(pom, "maven",
-                 F.concat(F.regexp_extract("d", "<groupId>([^<]*)", 1), F.lit(":"), F.regexp_extract("d", "<artifactId>([^<]*)", 1)),
-                 F.regexp_extract("d", "<version>([^<]*)", 1), runtime)
-    mod = by_line(manifests.where(name == "go.mod")).where(F.col("l").rlike(r"^\s*(require +)?[a-z0-9.-]+[.][a-z]+/[^ ]+ v"))
-    go = rows(mod, "go", F.regexp_extract("l", r"^\s*(?:require +)?([^ ]+) v", 1), F.regexp_extract("l", r" (v[^ ]+)", 1), runtime)
-
-    def matched(files: DataFrame, ecosystem: str, pattern: str, scope: Column = runtime) -> DataFrame:
+    none = F.array().cast(f"array<{DEPENDENCY}>")
+    # A lambda of two parameters would be handed the index as its second.
+    in_scope = lambda scope: lambda e: dep("npm", e["key"], e["value"], scope)
+    npm = F.concat(*[
+        F.coalesce(each(F.map_entries(F.from_json(text, packages)[field]), in_scope(scope)), none)
+        for field, scope in (("dependencies", "runtime"), ("devDependencies", "dev"), ("peerDependencies", "peer"), ("optionalDependencies", "optional"))])
+    froms = F.filter(lines, lambda x: x.rlike(r"(?i)^\s*from\s"))
+    staged = F.transform(froms, lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("x"), F.lower(group(x, r"(?i)\sas\s+(\S+)\s*$")).alias("stage")))
+    images = F.filter(staged, lambda me: (F.lower(group(me["x"], IMAGE)) != "scratch") & ~F.exists(
+        staged, lambda other: (other["i"] < me["i"]) & (other["stage"] != "") & (other["stage"] == F.lower(group(me["x"], IMAGE)))))
+    docker = each(images, lambda me: dep("docker", group(me["x"], IMAGE), group(me["x"], IMAGE, 2), "build"))
+    all_of = lambda pattern, i=0, src=text: F.regexp_extract_all(src, F.lit(pattern), F.lit(i))
+    maven_scope = lambda d: F.when(group(d, "<scope>([^<]*)").isin("", "compile"), F.lit("runtime")).otherwise(group(d, "<scope>([^<]*)"))
+    maven = each(all_of(r"(?s)<dependency>.*?</dependency>"), lambda d: dep(
+        "maven", F.concat(group(d, "<groupId>([^<]*)"), F.lit(":"), group(d, "<artifactId>([^<]*)")), group(d, "<version>([^<]*)"), maven_scope(d)))
+    go = each(F.filter(lines, lambda x: x.rlike(r"^\s*(require +)?[a-z0-9.-]+[.][a-z]+/[^ ]+ v")),
+              lambda x: dep("go", group(x, r"^\s*(?:require +)?([^ ]+) v"), group(x, r" (v[^ ]+)")))
+
+    def matched(ecosystem: str, pattern: str, scope: Column | str = "runtime") -> Column:
         """Lines with a name and a spec as the pattern's two groups."""
-        found = by_line(files).where(F.col("l").rlike(pattern))
-        return rows(found, ecosystem, F.regexp_extract("l", pattern, 1), F.regexp_extract("l", pattern, 2), scope)
+        return each(F.filter(lines, lambda x: x.rlike(pattern)), lambda x: dep(ecosystem, group(x, pattern), group(x, pattern, 2), scope))
 
-    def blocks(files: DataFrame, ecosystem: str, block: str, dep: str, version: str) -> DataFrame:
+    def blocks(ecosystem: str, block: str, dep_name: str, version: str) -> Column:
         """Lock files: one text block per package, with its name and version."""
-        each = files.select(*keys, F.explode(F.regexp_extract_all("content", F.lit(block), F.lit(0))).alias("b"))
-        return rows(each, ecosystem, F.regexp_extract("b", dep, 1), F.regexp_extract("b", version, 1), F.lit("lock"))
-
-    toml = manifests.where(name == "pyproject.toml")
-    listed = toml.select(*keys, F.explode(F.regexp_extract_all(
-        F.regexp_extract("content", r"(?s)(?:^|\n)dependencies\s*=\s*\[(.*?)\n?\]\s*(?:\n|$)", 1), F.lit("[\"']([^\"']+)[\"']"), F.lit(1))).alias("d"))
-    pyproject = rows(listed, "pip", F.regexp_extract("d", r"^\s*([A-Za-z0-9_.-]+)", 1), F.regexp_extract("d", r"^\s*[A-Za-z0-9_.-]+(?:\[[^\]]*\])?\s*([^;]*)", 1), runtime)
-    poetry = blocks(manifests.where(name == "poetry.lock"), "pip", r"(?s)\[\[package\]\]\nname = .*?\nversion = [^\n]*", 'name = "([^"]+)"', 'version = "([^"]+)"')
-    cargo = blocks(manifests.where(name == "Cargo.lock"), "cargo", r"(?s)\[\[package\]\]\nname = .*?\nversion = [^\n]*", 'name = "([^"]+)"', 'version = "([^"]+)"')
-    yarn = blocks(manifests.where(name == "yarn.lock"), "npm", r'(?m)^"?@?[^\s"#][^\n]*:\n  version[^\n]*', r'^"?(@?[^@"\s]+)@', r'version:? "?([^"\s]+)')
-    packages_of = "STRUCT<packages: MAP<STRING, STRUCT<version: STRING>>>"
-    npm_lock = manifests.where(name == "package-lock.json").select(*keys, F.explode(F.from_json("content", packages_of)["packages"]).alias("n", "v"))
-    locked = rows(npm_lock, "npm", F.regexp_extract("n", "(?:^|/)node_modules/((?:@[^/]+/)?[^/]+)$", 1), F.col("v.version"), F.lit("lock"))
-    gem = matched(manifests.where(name == "Gemfile"), "gem", r"""^\s*gem\s+["']([^"']+)["'](?:\s*,\s*["']([^"']+)["'])?""")
-    gradle = matched(manifests.where(name.rlike(r"^build[.]gradle([.]kts)?$")), "maven",
-                     r"""^\s*(?:implementation|api|compileOnly|runtimeOnly|testImplementation)[\s(]+["']([^:"']+:[^:"']+):([^"']+)["']""")
-    compose = matched(manifests.where(name.rlike(r"^(docker-)?compose([.-][a-z]+)?[.]ya?ml$")), "docker",
-                      r"^\s*image:\s*[\"']?((?:[^\s/\"']+/)*[^\s:/@\"']+)(?::([^\s@\"']+))?", F.lit("deploy"))
-    return append(pip, npm, docker, maven, go, pyproject, poetry, cargo, yarn, locked, gem, gradle, compose)
+        return each(all_of(block), lambda x: dep(ecosystem, group(x, dep_name), group(x, version), "lock"))
+
+    listed = all_of("[\"']([^\"']+)[\"']", 1, group(text, r"(?s)(?:^|\n)dependencies\s*=\s*\[(.*?)\n?\]\s*(?:\n|$)"))
+    toml_lock = (r"(?s)\[\[package\]\]\nname = .*?\nversion = [^\n]*", 'name = "([^"]+)"', 'version = "([^"]+)"')
+    locked_npm = F.from_json(text, "STRUCT<packages: MAP<STRING, STRUCT<version: STRING>>>")["packages"]
+    found = (
+        F.when(name.rlike(r"^requirements.*[.]txt$"), pip)
+        .when(name == "package.json", npm)
+        .when(name.startswith("Dockerfile"), docker)
+        .when(name == "pom.xml", maven)
+        .when(name == "go.mod", go)
+        .when(name == "pyproject.toml", each(listed, requirement))
+        .when(name == "poetry.lock", blocks("pip", *toml_lock))
+        .when(name == "Cargo.lock", blocks("cargo", *toml_lock))
+        .when(name == "yarn.lock", blocks("npm", r'(?m)^"?@?[^\s"#][^\n]*:\n  version[^\n]*', r'^"?(@?[^@"\s]+)@', r'version:? "?([^"\s]+)'))
+        .when(name == "package-lock.json", each(F.map_entries(locked_npm), lambda e: dep(
+            "npm", group(e["key"], "(?:^|/)node_modules/((?:@[^/]+/)?[^/]+)$"), e["value"]["version"], "lock")))
+        .when(name == "Gemfile", matched("gem", r"""^\s*gem\s+["']([^"']+)["'](?:\s*,\s*["']([^"']+)["'])?"""))
+        .when(name.rlike(r"^build[.]gradle([.]kts)?$"), matched(
+            "maven", r"""^\s*(?:implementation|api|compileOnly|runtimeOnly|testImplementation)[\s(]+["']([^:"']+:[^:"']+):([^"']+)["']"""))
+        .when(name.rlike(r"^(docker-)?compose([.-][a-z]+)?[.]ya?ml$"), matched(
+            "docker", r"^\s*image:\s*[\"']?((?:[^\s/\"']+/)*[^\s:/@\"']+)(?::([^\s@\"']+))?", "deploy"))
+    )
+    rows = manifests.select(*keys, F.inline(found)).where(F.col("name") != "")
+    return rows.withColumn("version", F.regexp_extract("spec", r"([0-9]+(?:[.][0-9A-Za-z]+)*)", 1))
 
 
 def spec_signals(spec: Column) -> Column:

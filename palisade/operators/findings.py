@@ -108,10 +108,10 @@ SARIF = (
 
 
 def import_sarif(documents: DataFrame, repo: str = "repo", body: str = "content") -> DataFrame:
-    """SARIF documents of static tools → findings, one per location of a result; text that is no SARIF gives none."""
+    """SARIF documents of static tools → findings, one per location of a result, or one without a place; text that is no SARIF gives none."""
     runs = documents.select(F.col(repo).alias("repo"), F.explode(F.from_json(body, SARIF)["runs"]).alias("run"))
     results = runs.select("repo", F.col("run.tool.driver.name").alias("tool"), F.explode("run.results").alias("r"))
-    each = results.select("repo", "tool", "r", F.explode("r.locations").alias("l"))
+    each = results.select("repo", "tool", "r", F.explode_outer("r.locations").alias("l"))
     place = F.col("l.physicalLocation")
     # The default level of a result is a warning.
     severity = F.when(F.col("r.level") == "error", 4).when(F.col("r.level").isin("note", "none"), 2).otherwise(3)

@@ -264,3 +264,42 @@ def test_organizer_of_every_detector():
 
     assert {r.detector for r in PACK} <= {d for ds in ORGANIZERS.values() for d in ds}
     assert len(ORGANIZERS) == 9
+
+
+def test_manifests_as_they_are_written(spark):
+    """Stages, options, urls, extras, markers and scopes."""
+    rows = {
+        "requirements.txt": "-r other.txt\n--index-url https://x/y\nflask[async]>=2.0 ; python_version>'3'\ngit+https://h/p.git@v1#egg=tool\nhttps://h/w.whl\nlib @ https://h/l.zip\n"
+                            "plain\n# note\nspaced == 1.2  # why\n",
+        "Dockerfile": "FROM golang:1.22 AS build\nFROM --platform=linux/amd64 node:20 as web\nFROM build\nFROM scratch\nFROM reg.io:5000/a/b:3\nCOPY --from=build /x /x\nFROM python AS python\n",
+        "pom.xml": "<dependency><groupId>g</groupId><artifactId>a</artifactId><version>1</version><scope>test</scope></dependency>\n"
+                   "<dependency><groupId>g</groupId><artifactId>b</artifactId><scope>compile</scope></dependency>",
+        "other.txt": "flask==1",
+    }
+    df = spark.createDataFrame([("r", k, "m", v) for k, v in rows.items()] + [("r", "pom.xml", "m", None)], "repo string, manifest string, module string, content string")
+    got = sorted((r["ecosystem"], r["name"], r["spec"], r["scope"]) for r in P.dependencies(df).collect())
+    assert got == sorted([
+        ("pip", "flask", ">=2.0", "runtime"), ("pip", "tool", "git+https://h/p.git@v1", "runtime"), ("pip", "lib", "https://h/l.zip", "runtime"), ("pip", "plain", "", "runtime"),
+        ("pip", "spaced", "== 1.2", "runtime"), ("docker", "golang", "1.22", "build"), ("docker", "node", "20", "build"), ("docker", "reg.io:5000/a/b", "3", "build"), ("docker", "python", "", "build"),
+        ("maven", "g:a", "1", "test"), ("maven", "g:b", "", "runtime")])
+
+
+def test_sarif_results_without_a_place(spark):
+    from palisade.operators.findings import import_sarif
+
+    doc = '{"runs":[{"tool":{"driver":{"name":"T"}},"results":[{"ruleId":"a","message":{"text":"x"}},{"ruleId":"b","locations":[],"message":{"text":"y"}},' \
+          '{"ruleId":"c","message":{"text":"z"},"locations":[{"physicalLocation":{"artifactLocation":{"uri":"f.py"},"region":{"startLine":3}}}]}]}]}'
+    got = sorted((r.rule_id, r.path, r.line) for r in import_sarif(spark.createDataFrame([("r", doc)], "repo string, content string")).collect())
+    assert got == [("t.a", None, None), ("t.b", None, None), ("t.c", "f.py", 3)]
+
+
+def test_table_function_sees_every_candidate(spark):
+    from palisade.functions import surface as U
+
+    texts = [*[r.sample for r in U.finding_rules()], "COPY .env /app", "nothing here", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    spark.udtf.register("finding_rows", U.finding_rows())
+    df.createOrReplaceTempView("all_texts")
+    U.finding_candidates(df, "text").createOrReplaceTempView("some_texts")
+    found = lambda view: sorted(tuple(r) for r in spark.sql(f"SELECT doc_id, f.rule_id, f.match FROM {view}, LATERAL finding_rows(text) f").collect())
+    assert found("some_texts") == found("all_texts") and {r[0] for r in found("some_texts")} == set(range(len(texts) - 2))
