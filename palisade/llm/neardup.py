@@ -13,8 +13,9 @@ one comparison a member again. The hub of a round is the group's lightest member
 lightest member h, then whatever is similar to x shares with it a shingle beyond h, one that both hold more often than h. (Were all
 that x and y share within h, they would share no more than x and h do, and y weighs no less than h.) So the next round's groups
 are the members that hold one more shingle beyond their hub; of these shingles, from rare to common, a member needs only as many as
-weigh (1 - threshold) of it, as similar texts leave no more unshared. Groups of one member or one component end; no pair of
-similar members of a bucket is lost, and nobody is compared with a whole group.
+weigh (1 - threshold) of it, as similar texts leave no more unshared. Groups of one component end; in groups with at most ``FEW``
+members outside the largest component these few are compared with all others, and the group ends. No pair of similar members of a
+bucket is lost, and no member meets more than ``FEW`` others of a group in a round.
 
 The idf runs from 1 to 1.25: a stronger one would let a group of thousands of near copies make its own shingles light and its
 edits heavy, and so fall apart.
@@ -48,6 +49,7 @@ IDF_BITS = 20
 DRAWS = 1 << 16
 BLOOM = 1 << 23
 SALT_ROWS = 256
+FEW = 48  # members outside a group's largest component that are held in a task
 SLACK = 1e-6  # of rounding
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -291,21 +293,69 @@ def links(docs: DataFrame, text: str = "text", threshold: float = 0.8, strength:
     # What is left: groups with members of different components.
     groups, weighed = members.select(F.col("key").alias("g"), "node"), weights(sets, idf)
     while True:
-        placed = groups.join(grouped, "node", "left").select("g", "node", F.coalesce("component", "node").alias("c"))
-        mixed = placed.groupBy("g").agg(F.min("c").alias("a"), F.max("c").alias("b")).where(F.col("a") != F.col("b")).select("g")
-        left = cut_lineage(spread_join(groups, cut_lineage(mixed), "g", "left_semi"))
-        if left.isEmpty():
+        placed = cut_lineage(groups.join(grouped, "node", "left").select("g", "node", F.coalesce("component", "node").alias("c")))
+        parts = placed.groupBy("g", "c").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+        open_groups = parts.groupBy("g").agg(
+            F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("c", "n").alias("top"), F.count("*").alias("kinds"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+        # Groups of the same members are one.
+        open_groups = open_groups.where(F.col("kinds") > 1).groupBy("n", "x", "y").agg(F.min_by(F.struct("g", "top", "most"), "g").alias("g"))
+        open_groups = cut_lineage(open_groups.select("g.g", "n", "g.top", (F.col("n") - F.col("g.most")).alias("others")))
+        if open_groups.isEmpty():
             return grouped
+        left = cut_lineage(spread_join(placed, open_groups, "g"))
+        near = settled(left.where(F.col("others") <= FEW), sets, idf, threshold)
+        left = left.where(F.col("others") > FEW).select("g", "node")
+        if left.isEmpty():
+            return merged(grouped, near)
         hubs = left.join(weighed, "node").groupBy("g").agg(F.min_by("node", "w").alias("hub"))
         pairs = spread_join(left, cut_lineage(hubs), "g").where(F.col("node") != F.col("hub")).select("hub", "node").distinct()
         met = compared(pairs, sets, idf, counts, threshold, beyond=True)
-        grouped = merged(grouped, pair(met))
+        grouped = merged(grouped, near.unionByName(pair(met)))
         # Members of several groups with one hub are one group from here on.
         held = cut_lineage(met.select(F.explode("beyond").alias("shingle"), "hub", "node").select(F.xxhash64("hub", "shingle").alias("g"), "node").distinct())
         crowded = held.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("g")
         groups = cut_lineage(spread_join(held, cut_lineage(crowded), "g", "left_semi"))
 
 
+def settled(members: DataFrame, sets: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """Written table (src, dst): the similar pairs of groups (g, node, c, n, top) with at most ``FEW`` members outside the component ``top``.
+
+    These few are sent ahead of all members, to each task of the group, and every member is compared with them as it comes.
+    No pairs are sent, and a large group is dealt to several tasks.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(idf)
+    salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
+    found = members.join(sets, "node").select("g", "node", "c", "n", "top", "found")
+    few = found.where(F.col("c") != F.col("top")).select("g", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(True).alias("few"), "node", "c", "found")
+    rest = found.select("g", F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"), F.lit(False).alias("few"), "node", "c", "found")
+    dealt = few.unionByName(rest).repartition("g", "salt").sortWithinPartitions("g", "salt", F.desc("few"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []  # the few: node, component, shingles, times, weight
+        for batch in batches:
+            src, dst = [], []
+            for g, salt, ahead, node_id, c, data in zip(*[batch.column(x).to_pylist() for x in ("g", "salt", "few", "node", "c", "found")], strict=True):
+                if (g, salt) != group:
+                    group, held = (g, salt), []
+                kinds, times = np.unique(np.frombuffer(data, np.uint32), return_counts=True)
+                each = shared.value[kinds >> (32 - IDF_BITS)].astype(np.float64)
+                weight = float((times * each).sum())
+                if ahead:
+                    held.append((node_id, c, kinds, times, weight))
+                    continue
+                for other, other_c, other_kinds, other_times, other_weight in held:
+                    if c == other_c or min(weight, other_weight) < threshold * max(weight, other_weight) - SLACK:
+                        continue
+                    _, i, j = np.intersect1d(kinds, other_kinds, assume_unique=True, return_indices=True)
+                    low = (np.minimum(times[i], other_times[j]) * each[i]).sum()
+                    if not weight or low / (weight + other_weight - low) >= threshold:
+                        src.append(other)
+                        dst.append(node_id)
+            yield pa.RecordBatch.from_pydict({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+
+    return cut_lineage(dealt.mapInArrow(compare, "src bigint, dst bigint"))
+
+
 def merged(grouped: DataFrame, links: DataFrame) -> DataFrame:
     """(node, component) after further links (src, dst): components of components."""
     ends = links.select(F.col("src").alias("node")).unionByName(links.select(F.col("dst").alias("node"))).distinct()
