@@ -10,8 +10,10 @@ from palisade.functions.text import decode_payload, entropy, host, path_template
 from palisade.operators.automata import run_automaton
 from palisade.operators.detect.rules import pack
 from palisade.operators.joins import first_follower
-from palisade.operators.ordered import ranged_sums
+from palisade.operators.ordered import int_bucket, ranged_sums
+from palisade.operators.sketches import heavy_hitters
 from palisade.operators.windows import burst
+from palisade.session import cut_lineage
 
 
 def sqli_class(query: Column) -> Column:
@@ -81,6 +83,53 @@ def spraying(events: DataFrame, source: Column, failed: Column, users: int) -> D
     ).where(F.col("users") >= users)
 
 
+def stuffing(events: DataFrame, source: Column, failed: Column, share: float, users: int, per_user: float) -> DataFrame:
+    """Sources with at least ``share`` of all failures, spread over at least ``users`` users with few tries each.
+
+    The sources are found by a frequent-item sketch; only their events are read for the exact counts.
+    """
+    hot = heavy_hitters(events.where(failed), source.cast("string"), share).select(F.col("item").alias("source"))
+    theirs = events.withColumn("source", source.cast("string")).join(F.broadcast(hot), "source")
+    return theirs.groupBy("source").agg(
+        F.sum(failed.cast("bigint")).alias("failures"), F.count_distinct(F.when(failed, F.col("user_id"))).alias("users"),
+        F.count_distinct(F.when(~failed, F.col("user_id"))).alias("entered")).where(
+        (F.col("users") >= users) & (F.col("failures") <= per_user * F.col("users")))
+
+
+def periodicity(events: DataFrame, key: str, ts: str, bin_us: int, lags: int, first_lag: int = 3) -> DataFrame:
+    """(key, events, lag, strength): the lag in bins at which a key's activity repeats most, by autocorrelation.
+
+    An event counts 2 in its bin and 1 in each neighbour, so beats that come a little early or late still meet; a missed beat
+    lowers the sum by one product. Products of bins are joined on (key, bin): a key of any size is spread over its bins. Lags run up to
+    ``lags`` and a third of the key's span.
+    """
+    bin_ = int_bucket(F.unix_micros(F.col(ts).cast("timestamp")), bin_us)
+    spread = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(w).cast("bigint").alias("w")) for d, w in ((-1, 1), (0, 2), (1, 1))]))
+    counts = cut_lineage(events.select(key, bin_.alias("b"), spread.alias("x")).groupBy(key, (F.col("b") + F.col("x.d")).alias("b")).agg(F.sum("x.w").alias("c")))
+    sums = counts.groupBy(key).agg(
+        F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), (F.max("b") - F.min("b") + 1).alias("n"))
+    ahead = counts.select(key, F.explode(F.sequence(F.lit(first_lag), F.lit(lags))).alias("lag"), "b", "c").select(
+        key, "lag", (F.col("b") + F.col("lag")).alias("b"), F.col("c").alias("c0"))
+    products = ahead.join(counts, [key, "b"]).groupBy(key, "lag").agg(F.sum(F.col("c0") * F.col("c")).alias("p"))
+    mean = F.col("s") * F.col("s") / F.col("n")
+    strength = F.round((F.col("p") * F.col("n") / (F.col("n") - F.col("lag")) - mean) / (F.col("q") - mean), 6)
+    scored = products.join(sums, key).where((3 * F.col("lag") <= F.col("n")) & (F.col("q") > mean)).withColumn("strength", strength)
+    best = scored.groupBy(key).agg(F.max(F.struct("strength", (-F.col("lag")).alias("less"), F.expr("s DIV 4").alias("events"))).alias("m"))
+    return best.select(key, F.col("m.events").alias("events"), (-F.col("m.less")).alias("lag"), F.col("m.strength").alias("strength"))
+
+
+def exfiltration(periodic: DataFrame, spikes: DataFrame, hosts: DataFrame, key: str) -> DataFrame:
+    """(key, strength, spikes, entropy, score): one score from 0 to 100 of beat, unusual volumes and random-looking hosts.
+
+    Half of it is the strength of the beat, 30 the number of volume outliers up to three, 20 the entropy of the host's longest
+    label up to 4 bits.
+    """
+    volumes = spikes.groupBy(key).agg(F.count("*").alias("spikes"))
+    joined = periodic.select(key, "strength").join(volumes, key, "left").join(hosts.select(key, "entropy"), key, "left").na.fill({"spikes": 0, "entropy": 0.0})
+    score = 50 * F.greatest(F.col("strength"), F.lit(0.0)) + 10 * F.least(F.col("spikes"), F.lit(3)) + 5 * F.least(F.col("entropy"), F.lit(4.0))
+    return joined.select(key, "strength", "spikes", "entropy", F.round(score, 5).alias("score"))
+
+
 def takeovers(events: DataFrame, delta_us: int) -> DataFrame:
     """Failures followed by a purchase of the same user within delta: the first such purchase."""
     hits = first_follower(

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palisade.functions.text import host
 from palisade.operators.detect import code as D
 from palisade.operators.detect import deps as P
 from palisade.operators.detect import graph as G
 from palisade.operators.detect import traffic as N
 from palisade.operators.detect.rules import match_rules, pack, scan
+from palisade.operators.detect.spans import shared_passages
 from palisade.operators.findings import classify
 from palisade.operators.joins import constraint_drift, drift, lookup
 from palisade.operators.sets import append
+from palisade.operators.windows import outliers
 from palisade.plans.catalog import LINES, ORACLES, findings_ctes, matches_sql, query, sql_text
 from palisade.sources import specs as S
 from palisade.sources.scanner_log import read_scanner_log
@@ -230,6 +233,70 @@ def d12(t: Tables) -> DataFrame:
     return N.host_entropy(t.pages)
 
 
+@query(
+    "d11_stuffing",
+    "WITH e AS (SELECT json_extract_string(props, '$.k') AS source, user_id, event_type = 'error' AS failed FROM events), "
+    "s AS (SELECT source, count(*) FILTER (failed) AS failures, count(DISTINCT user_id) FILTER (failed) AS users, count(DISTINCT user_id) FILTER (NOT failed) AS entered FROM e WHERE source IS NOT NULL GROUP BY 1) "
+    "SELECT * FROM s WHERE failures >= 0.011 * (SELECT sum(failures) FROM s) AND users >= 10 AND failures <= 1.5 * users",
+)
+def d11_stuffing(t: Tables) -> DataFrame:
+    return N.stuffing(t.events, F.get_json_object("props", "$.k"), F.col("event_type") == "error", 0.011, 10, 1.5)
+
+
+_BEAT = (
+    "WITH w AS (SELECT user_id, epoch_us(ts) // 3600000000 AS b FROM events), x AS (SELECT user_id, b + d AS b, CAST(sum(k) AS BIGINT) AS c FROM w, (VALUES (-1, 1), (0, 2), (1, 1)) v(d, k) GROUP BY 1, 2), "
+    "s AS (SELECT user_id, sum(c) AS s, sum(c * c) AS q, max(b) - min(b) + 1 AS n FROM x GROUP BY 1), "
+    "p AS (SELECT a.user_id, b.b - a.b AS lag, sum(a.c * b.c) AS p FROM x a JOIN x b ON a.user_id = b.user_id AND b.b - a.b BETWEEN 3 AND 48 GROUP BY 1, 2), "
+    "r AS (SELECT user_id, CAST(s // 4 AS BIGINT) AS events, lag, round((p * n / (n - lag) - s * s / n) / (q - s * s / n), 6) AS strength FROM p JOIN s USING (user_id) WHERE 3 * lag <= n AND q > s * s / n), "
+    "beat AS (SELECT user_id, events, CAST(lag AS INTEGER) AS lag, strength FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY strength DESC, lag) = 1) "
+)
+
+
+def beat(t: Tables) -> DataFrame:
+    return N.periodicity(t.events_utc, "user_id", "ts", 3_600_000_000, 48)
+
+
+@query("d12_periodicity", _BEAT + "SELECT * FROM beat")
+def d12_periodicity(t: Tables) -> DataFrame:
+    return beat(t)
+
+
+@query(
+    "d12_exfiltration",
+    _BEAT + f", l AS (SELECT page_id AS user_id, unnest(string_split({_HOST}, '.')) AS label FROM pages), h AS (SELECT user_id, round(list_entropy(string_split(arg_max(label, (length(label), label)), '')), 4) AS entropy FROM l GROUP BY 1), "
+    "m AS (SELECT user_id, avg(value) AS mean, stddev(value) AS sd FROM events GROUP BY 1), z AS (SELECT user_id, count(*) AS spikes FROM events JOIN m USING (user_id) WHERE round((value - mean) / nullif(sd, 0), 4) > 2.0 GROUP BY 1) "
+    "SELECT user_id, strength, coalesce(spikes, 0) AS spikes, coalesce(entropy, 0.0) AS entropy, round(50 * greatest(strength, 0.0) + 10 * least(coalesce(spikes, 0), 3) + 5 * least(coalesce(entropy, 0.0), 4.0), 5) AS score "
+    "FROM beat LEFT JOIN z USING (user_id) LEFT JOIN h USING (user_id)",
+)
+def d12_exfiltration(t: Tables) -> DataFrame:
+    """Beat and volumes of each user, and the host of the page with the user's number."""
+    hosts = t.pages.select("page_id", F.concat(F.lit("x://"), host("url"), F.lit("/"), F.col("page_id").cast("string")).alias("url"))
+    entropy = N.host_entropy(hosts).select("host", "entropy")
+    contacted = t.pages.select(F.col("page_id").alias("user_id"), host("url").alias("host")).join(entropy, "host")
+    return N.exfiltration(beat(t), outliers(t.events, "user_id", "value", 2.0), contacted, "user_id")
+
+
+_PRINTS = (
+    "{name}_w AS (SELECT {key}, regexp_extract_all(lower(text), '[A-Za-z0-9À-ÿ]+') AS w FROM {table}), "
+    "{name}_h AS (SELECT {key}, list_transform(range(len(w) - 4), lambda i: md5(array_to_string(w[i + 1 : i + 5], ' '))) AS h FROM {name}_w WHERE len(w) >= 8), "
+    "{name}_s AS (SELECT {key}, h, unnest(range(len(h) - 3)) AS s FROM {name}_h), "
+    "{name} AS (SELECT DISTINCT {key}, list_min(list_transform(range(4), lambda i: {{'hash': h[s + i + 1], 'back': -(s + i)}})) AS k FROM {name}_s)"
+)
+
+
+@query(
+    "d16_spans",
+    "WITH " + _PRINTS.format(name="mine", key="doc_id", table="documents") + ", " + _PRINTS.format(name="theirs", key="item_id", table="benchmark")
+    + ", met AS (SELECT doc_id, item_id, -a.k.back AS place, -b.k.back AS there FROM mine a JOIN theirs b ON a.k.hash = b.k.hash), "
+    "runs AS (SELECT *, there - place AS d, CASE WHEN place - lag(place) OVER w > 9 THEN 1 ELSE 0 END AS s FROM met WINDOW w AS (PARTITION BY doc_id, item_id, there - place ORDER BY place)), "
+    "r AS (SELECT *, sum(s) OVER (PARTITION BY doc_id, item_id, d ORDER BY place) AS r FROM runs) "
+    "SELECT doc_id, item_id, CAST(min(place) AS INTEGER) AS start, CAST(max(place) + 5 AS INTEGER) AS end, CAST(min(there) AS INTEGER) AS known_start, count(*) AS marks FROM r GROUP BY doc_id, item_id, d, r.r HAVING max(place) + 5 - min(place) >= 12",
+)
+def d16_spans(t: Tables) -> DataFrame:
+    """Passages of the benchmark texts in the documents."""
+    return shared_passages(t.documents, t.benchmark, "doc_id", "item_id")
+
+
 _DEPS = (
     "WITH d AS (SELECT p_brand AS repo, CAST(p_partkey AS STRING) AS module, p_type, replace(p_name, ' ', '-') AS n, CAST(p_size AS STRING) AS s FROM part) "
     "SELECT repo, 'requirements.txt' AS manifest, module, 'pip' AS ecosystem, n AS name, '==' || s || '.0' AS spec, s || '.0' AS version, 'runtime' AS scope FROM d WHERE p_type = 'ECONOMY' UNION ALL "

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palisade.operators import aggs as A
 from palisade.operators import findings as R
+from palisade.operators import sketches as SK
 from palisade.operators.detect.rules import COMPLIANCE, ORGANIZERS, PACK, pack, scan
 from palisade.plans.catalog import findings_ctes, query, sql_text
 from palisade.session import scratch_path
@@ -118,6 +119,18 @@ def a7(t: Tables) -> DataFrame:
     return A.benchmark(all_findings(t), 3, "salt")
 
 
+@query(
+    "a7_sketches",
+    f"WITH {ALL}, p AS (SELECT rule_id, repo, count(*) AS n FROM findings GROUP BY 1, 2) SELECT rule_id, count(*) AS n, "
+    "CAST(list_sort(list(n))[CAST(ceil(0.5 * count(*)) AS INTEGER)] AS BIGINT) AS median, CAST(list_sort(list(n))[CAST(ceil(0.9 * count(*)) AS INTEGER)] AS BIGINT) AS p90 FROM p GROUP BY 1",
+)
+def a7_sketches(t: Tables) -> DataFrame:
+    """Findings a repository, per rule: quantiles merged from stored sketches of the repositories' halves."""
+    per_repo = all_findings(t).groupBy("rule_id", "repo").agg(F.count("*").alias("n"))
+    parts = SK.quantile_sketches(per_repo, F.pmod(F.crc32("repo"), F.lit(2)), "rule_id", F.col("n"))
+    return SK.merged_quantiles(parts, "rule_id", {"median": 0.5, "p90": 0.9})
+
+
 @query(
     "a8_meter",
     "SELECT repo, count(*) AS files, CAST(sum(strlen(content)) AS BIGINT) AS bytes, CAST(sum(length(content) - length(replace(content, chr(10), '')) + 1) AS BIGINT) AS lines, "

@@ -159,3 +159,14 @@ def t9_left(t: Tables) -> DataFrame:
     """Outer rows appear once the watermark rules out a later partner."""
     out = J.interval_join(stream(t).where("event_type = 'error'"), stream(t).where("event_type = 'purchase'"), "user_id", 3_600_000_000, how="left")
     return J.run_to_parquet(out.select("a_id", "b_id", F.col("a_key").alias("user_id")), "t9l")
+
+
+@query(
+    "d11_token_replay",
+    "WITH s AS (SELECT json_extract_string(props, '$.k') AS token, user_id, ts, event_id, epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) - k * CAST(3600000000 AS BIGINT) AS start_us FROM events, (VALUES (0), (1)) v(k)) "
+    "SELECT start_us, token, arg_min(user_id, (ts, event_id)) AS owner, count(*) AS uses FROM s WHERE token IS NOT NULL GROUP BY 1, 2 "
+    f"HAVING count(DISTINCT user_id) > 1 AND start_us + 7200000000 <= {MARK}",
+)
+def d11_token_replay(t: Tables) -> DataFrame:
+    out = J.run_to_parquet(J.token_replay(stream(t), F.get_json_object("props", "$.k")), "replay")
+    return out.select(F.unix_micros("window_start").alias("start_us"), "token", "owner", "uses")

@@ -88,6 +88,17 @@ def interval_join(a: DataFrame, b: DataFrame, key: str, delta_us: int, late: str
     return left.join(right, cond, {"inner": "inner", "left": "leftOuter"}[how]).drop("a_bucket", "b_bucket")
 
 
+def token_replay(events: DataFrame, token: Column, width: str = "2 hours", slide: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """Tokens that a second actor uses within a window: the actor who used it first, and all uses.
+
+    The state of a token in a window is its first and its smallest and largest actor, whatever the number of uses; it goes with the
+    watermark. Uses at most ``width`` - ``slide`` apart always share a window.
+    """
+    seen = events.withWatermark("ts", late).groupBy(F.window("ts", width, slide).alias("w"), token.alias("token")).agg(
+        F.min_by("user_id", F.struct("ts", "event_id")).alias("owner"), F.min("user_id").alias("_a"), F.max("user_id").alias("_b"), F.count("*").alias("uses"))
+    return seen.where((F.col("_a") != F.col("_b")) & F.col("token").isNotNull()).select(F.col("w.start").alias("window_start"), "token", "owner", "uses")
+
+
 ALARM = "user_id bigint, event_id bigint, first_error bigint, second_error bigint"
 
 
