@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from palisade.llm import lm, ppm, queries
+from palisade.llm import ppm, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -37,7 +37,7 @@ def plain(rows, teaches):
     seen = defaultdict(Counter)
     for s, t in zip(framed, teaches, strict=True):
         for i in range(1, len(s) if t else 1):
-            for k in range(min(i, lm.ORDER) + 1):
+            for k in range(min(i, ppm.ORDER) + 1):
                 seen[s[i - k : i]][s[i]] += 1
     memo = {}
 
@@ -53,7 +53,7 @@ def plain(rows, teaches):
         return math.log10(p / (256 - len(out)))
 
     def value(s, i):
-        key = s[max(0, i - lm.ORDER) : i], s[i]
+        key = s[max(0, i - ppm.ORDER) : i], s[i]
         if key not in memo:
             memo[key] = log10(*key)
         return memo[key]
