@@ -49,7 +49,8 @@ IDF_BITS = 20
 DRAWS = 1 << 16
 BLOOM = 1 << 23
 SALT_ROWS = 256
-FEW = 48  # members outside a group's largest component that are held in a task
+FEW = 256  # members outside a group's largest component that are held in a task
+MARKS = 1 << 13
 SLACK = 1e-6  # of rounding
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -331,31 +332,70 @@ def settled(members: DataFrame, sets: DataFrame, idf: np.ndarray, threshold: flo
     dealt = few.unionByName(rest).repartition("g", "salt").sortWithinPartitions("g", "salt", F.desc("few"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, []  # the few: node, component, shingles, times, weight
+        group, held = None, Held(shared.value, threshold)
         for batch in batches:
             src, dst = [], []
             for g, salt, ahead, node_id, c, data in zip(*[batch.column(x).to_pylist() for x in ("g", "salt", "few", "node", "c", "found")], strict=True):
                 if (g, salt) != group:
-                    group, held = (g, salt), []
-                kinds, times = np.unique(np.frombuffer(data, np.uint32), return_counts=True)
-                each = shared.value[kinds >> (32 - IDF_BITS)].astype(np.float64)
-                weight = float((times * each).sum())
+                    group, held = (g, salt), Held(shared.value, threshold)
                 if ahead:
-                    held.append((node_id, c, kinds, times, weight))
+                    held.add(node_id, c, np.frombuffer(data, np.uint32))
                     continue
-                for other, other_c, other_kinds, other_times, other_weight in held:
-                    if c == other_c or min(weight, other_weight) < threshold * max(weight, other_weight) - SLACK:
-                        continue
-                    _, i, j = np.intersect1d(kinds, other_kinds, assume_unique=True, return_indices=True)
-                    low = (np.minimum(times[i], other_times[j]) * each[i]).sum()
-                    if not weight or low / (weight + other_weight - low) >= threshold:
-                        src.append(other)
-                        dst.append(node_id)
+                near = held.similar(c, np.frombuffer(data, np.uint32))
+                src += near
+                dst += [node_id] * len(near)
             yield pa.RecordBatch.from_pydict({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
     return cut_lineage(dealt.mapInArrow(compare, "src bigint, dst bigint"))
 
 
+class Held:
+    """The few of a group, which every member is compared with.
+
+    A set's shingles are also marks in a row of ``MARKS`` bits. A mark that the other set lacks is a shingle that it lacks, of
+    weight 1 at least, so common marks bound the similarity from above; only pairs that may pass are compared in full.
+    """
+
+    def __init__(self, idf: np.ndarray, threshold: float) -> None:
+        self.idf, self.threshold, self.n = idf, threshold, 0
+        self.bits = np.zeros((8, MARKS // 64), np.uint64)
+        self.numbers = np.zeros((8, 2))  # marks and weight
+        self.sets: list[tuple] = []
+        self.components = np.zeros(8, np.int64)
+
+    def _seen(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, np.ndarray]:
+        kinds, times = np.unique(found, return_counts=True)
+        each = self.idf[kinds >> (32 - IDF_BITS)].astype(np.float64)
+        marks = np.zeros(MARKS, bool)
+        marks[kinds % MARKS] = True
+        return kinds, times, each, float((times * each).sum()), np.packbits(marks).view(np.uint64)
+
+    def add(self, node_id: int, component: int, found: np.ndarray) -> None:
+        kinds, times, _, weight, bits = self._seen(found)
+        if self.n == len(self.bits):
+            self.bits, self.numbers = np.concatenate([self.bits, np.zeros_like(self.bits)]), np.concatenate([self.numbers, np.zeros_like(self.numbers)])
+            self.components = np.concatenate([self.components, np.zeros_like(self.components)])
+        self.bits[self.n], self.numbers[self.n], self.components[self.n] = bits, (np.bitwise_count(bits).sum(), weight), component
+        self.sets.append((node_id, kinds, times))
+        self.n += 1
+
+    def similar(self, component: int, found: np.ndarray) -> list[int]:
+        """The held nodes of other components that are similar to a set."""
+        kinds, times, each, weight, bits = self._seen(found)
+        common = np.bitwise_count(self.bits[: self.n] & bits).sum(1, dtype=np.int64)
+        marks, weights = self.numbers[: self.n].T
+        most = np.minimum(weight - (np.bitwise_count(bits).sum() - common), weights - (marks - common))
+        able = (self.components[: self.n] != component) & (most >= self.threshold * (weight + weights - most) - SLACK)
+        out = []
+        for i in np.flatnonzero(able).tolist():
+            node_id, other, other_times = self.sets[i]
+            _, at, there = np.intersect1d(kinds, other, assume_unique=True, return_indices=True)
+            low = (np.minimum(times[at], other_times[there]) * each[at]).sum()
+            if (not weight and not weights[i]) or low / (weight + weights[i] - low) >= self.threshold:
+                out.append(node_id)
+        return out
+
+
 def merged(grouped: DataFrame, links: DataFrame) -> DataFrame:
     """(node, component) after further links (src, dst): components of components."""
     ends = links.select(F.col("src").alias("node")).unionByName(links.select(F.col("dst").alias("node"))).distinct()

@@ -137,3 +137,20 @@ def test_names_of_helpers_are_free(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, own string, node int, id int, rows int, _rows int")
     out = neardup.deduplicated(df)
     assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [rows[0]]
+
+
+def test_held_sets_find_what_a_full_comparison_finds():
+    rng = np.random.default_rng(7)
+    idf = 1 + rng.random(1 << neardup.IDF_BITS).astype(np.float32) / 4
+    pool = rng.integers(0, 2**32, 400, dtype=np.uint32)
+    sets = [np.zeros(0, np.uint32)] + [np.sort(np.concatenate([b := rng.choice(pool, rng.integers(1, 60)), rng.choice(pool, rng.integers(0, 4)), b[:3]])) for _ in range(40)]
+    sets += [np.sort(np.concatenate([s, rng.choice(pool, k)])) for s in sets[1:20] for k in (1, 4)]
+    held = neardup.Held(idf, 0.8)
+    for i, s in enumerate(sets):
+        held.add(i, i % 3, s)
+    hits = 0
+    for j, s in enumerate(sets):
+        want = [i for i, o in enumerate(sets) if i % 3 != j % 3 and neardup.similarity(s, o, idf) >= 0.8]
+        hits += len(want)
+        assert held.similar(j % 3, s) == want
+    assert hits > 20
