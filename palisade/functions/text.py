@@ -40,8 +40,23 @@ def fingerprint(repo: Column, path: Column, rule_id: Column, match: Column) -> C
     return F.sha2(F.concat_ws(SEPARATOR, repo, path, rule_id, normalize_match(match)), 256)
 
 
+def url_decoded(x: Column | str) -> Column:
+    """URL-decode until nothing changes: a sign that was encoded n times over is told by the ``25`` behind its percent sign."""
+    x = _col(x)
+    once = lambda v: F.coalesce(F.try_url_decode(v), v)
+    again = F.array_max(F.transform(F.regexp_extract_all(x, F.lit("%((?:25)+)"), F.lit(1)), F.length))
+    deep = F.aggregate(F.sequence(F.lit(0), F.floor(again / 2).cast("int")), x, lambda acc, _: once(acc))
+    return F.when(F.contains(x, F.lit("%25")), deep).otherwise(once(x))
+
+
+def without_sql_comments(x: Column) -> Column:
+    """Comments that stand for white space become a blank; of ``/*! … */`` the inside is code."""
+    plain = F.regexp_replace(F.regexp_replace(x, r"/\*![0-9]*([\s\S]*?)\*/", " $1 "), r"/\*[\s\S]*?\*/", " ")
+    return F.when(F.contains(x, F.lit("/*")), plain).otherwise(x)
+
+
 def decode_payload(x: Column | str) -> Column:
-    """URL-decode, then replace CHAR(n,…) runs by the characters they spell."""
+    """URL-decode, blank SQL comments, then replace CHAR(n,…) runs by the characters they spell."""
 
     def spell(acc: Column, numbers: Column) -> Column:
         text = F.array_join(
@@ -55,8 +70,7 @@ def decode_payload(x: Column | str) -> Column:
         # Most requests hold no such call: those skip the pattern.
         return F.when(F.contains(F.lower(plain), F.lit("char(")), F.aggregate(calls, plain, spell)).otherwise(plain)
 
-    x = _col(x)
-    return let(F.coalesce(F.try_url_decode(x), x), decode)
+    return let(without_sql_comments(url_decoded(x)), decode)
 
 
 def luhn_valid(digits: Column | str) -> Column:

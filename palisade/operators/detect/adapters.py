@@ -62,6 +62,13 @@ ADAPTERS = {
     "third_party": Adapter("D23", "'pages'", _text("page_id"), "'page.third_party'", "116", "2", where="third_party > 0"),
     "open_forms": Adapter("D23", "'pages'", _text("page_id"), "'page.open_form'", "153", "3", where="open_forms > 0"),
     "comments": Adapter("D23", "'pages'", _text("page_id"), "'page.comment'", "175", "1", where="comments > 0"),
+    "packages": Adapter("D13", "repo", "manifest", "'dep.' || ecosystem", "58", "1", "name"),
+    "exfiltration": Adapter("D12", "'users'", _text("user_id"), "'exfil.score'", "103", "3", where="score >= 30"),
+    "stuffing": Adapter("D11", "'sources'", "source", "'login.stuffing'", "17", "4"),
+    "tenants": Adapter("D9", "'requests'", _text("event_id"), "'access.tenant'", "20", "5", _text("owner")),
+    "endpoints": Adapter("D18", "repo", "path", "'api.endpoint'", "77", "1", "method"),
+    "cycles": Adapter("D20", "repo", "path", "'graph.cycle'", "0", "1", "component", where="cycle_files > 1"),
+    "failed_calls": Adapter("D24", "'conversations'", f"{_text('conv_id')} || '-' || {_text('turn')}", "'agent.' || outcome", "0", "2", "tool", where="outcome <> 'ok'"),
     "tool_calls": Adapter("D24", "'conversations'", f"{_text('conv_id')} || '-' || {_text('turn')}", "'agent.tool_call'", "0", "1", "tool", where="kind = 'tool_call'"),
 }
 

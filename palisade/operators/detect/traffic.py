@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions.coerce import JsonBody
-from palisade.functions.text import decode_payload, entropy, host, path_template
+from palisade.functions.text import decode_payload, entropy, host, path_template, url_decoded
 from palisade.operators.automata import run_automaton
 from palisade.operators.detect.rules import pack
 from palisade.operators.joins import first_follower
@@ -31,7 +31,7 @@ def sqli_class(query: Column) -> Column:
 
 def payload_flags(df: DataFrame, query: str, *keys: str) -> DataFrame:
     """Other request payload attacks as one row per (request, kind)."""
-    text = F.coalesce(F.try_url_decode(F.col(query)), F.col(query))
+    text = url_decoded(query)
     p = {r.rule_id: r.pattern for r in pack("D7")}
     names = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.split(x, "=", 2)[0])
     kinds = F.array_compact(F.array(
@@ -62,6 +62,14 @@ def foreign_access(requests: DataFrame, object_id: str, caller: str, objects: Da
     return requests.join(own, F.col(object_id) == F.col("_pk")).where(F.col(caller) != F.col("owner")).drop("_pk")
 
 
+def cross_tenant(requests: DataFrame, object_id: str, caller: str, objects: DataFrame, pk: str, owner: str, members: DataFrame, member: str, tenant: str) -> DataFrame:
+    """Requests for objects of another tenant: the caller's tenant and the owner's differ, both known."""
+    of = lambda who, name: members.select(F.col(member).alias(who), F.col(tenant).alias(name))
+    foreign = foreign_access(requests, object_id, caller, objects, pk, owner)
+    return foreign.join(of("_m", "tenant"), F.col(caller) == F.col("_m")).drop("_m").join(
+        of("_o", "owner_tenant"), F.col("owner") == F.col("_o")).drop("_o").where(F.col("tenant") != F.col("owner_tenant"))
+
+
 def mass_assignment(requests: DataFrame, allowed: list[str], body: str, *keys: str) -> DataFrame:
     """Body keys outside the allowed list, one row each."""
     extra = F.array_except(JsonBody(body).keys(), F.array(*[F.lit(a) for a in allowed]).cast("array<string>"))

@@ -10,7 +10,7 @@ from palisade.operators.detect import code as D
 from palisade.operators.detect import deps as P
 from palisade.operators.detect import graph as G
 from palisade.operators.detect import traffic as N
-from palisade.operators.detect.rules import match_rules, pack, scan
+from palisade.operators.detect.rules import in_code, match_rules, pack, scan
 from palisade.operators.detect.spans import shared_passages
 from palisade.operators.findings import classify
 from palisade.operators.joins import constraint_drift, drift, lookup
@@ -136,6 +136,20 @@ def d6(t: Tables) -> DataFrame:
     return t.payloads.select("req_id", N.sqli_class(F.col("query")).alias("class"))
 
 
+_PLAIN = "url_decode(url_decode(url_decode(url_decode(query))))"
+
+
+@query(
+    "d6_hidden",
+    f"WITH t AS (SELECT req_id, regexp_replace(regexp_replace({_PLAIN}, '/\\*![0-9]*((?:.|\\n)*?)\\*/', ' \\1 ', 'g'), '/\\*(?:.|\\n)*?\\*/', ' ', 'g') AS q FROM hidden_payloads) "
+    "SELECT req_id, CASE WHEN regexp_matches(q, '(?i)union([ ]+all)?[ ]+select') THEN 'union' WHEN regexp_matches(q, '(?i)(sleep|benchmark|randomblob)[ ]*[(]') THEN 'time' "
+    "WHEN contains(q, chr(39)) THEN 'quote' END AS class FROM t",
+)
+def d6_hidden(t: Tables) -> DataFrame:
+    """Injections behind comments and several layers of encoding."""
+    return t.hidden_payloads.select("req_id", N.sqli_class(F.col("query")).alias("class"))
+
+
 @query(
     "d7_url_payload",
     "SELECT 'request' AS src, event_id AS id, CASE WHEN event_type = 'click' AND value < 40 THEN 'traversal' WHEN event_type = 'click' THEN 'parameter_pollution' ELSE 'ssrf' END AS kind "
@@ -176,6 +190,16 @@ def d9(t: Tables) -> DataFrame:
     return N.foreign_access(asked, "event_id", "user_id", t.orders, "o_orderkey", "o_custkey")
 
 
+@query(
+    "d9_cross_tenant",
+    "SELECT event_id, user_id, o_custkey AS owner, a.c_nationkey AS tenant, b.c_nationkey AS owner_tenant FROM events JOIN orders ON event_id = o_orderkey "
+    "JOIN customer a ON a.c_custkey = user_id JOIN customer b ON b.c_custkey = o_custkey WHERE user_id <> o_custkey AND a.c_nationkey <> b.c_nationkey",
+)
+def d9_tenant(t: Tables) -> DataFrame:
+    """Nations as tenants: users at orders of another nation's customers."""
+    return N.cross_tenant(t.events.select("event_id", "user_id"), "event_id", "user_id", t.orders, "o_orderkey", "o_custkey", t.customer, "c_custkey", "c_nationkey")
+
+
 @query("d10_mass_assign", "SELECT event_id, unnest(list_filter(json_keys(props), lambda k: k NOT IN ('name', 'role'))) AS key FROM events")
 def d10(t: Tables) -> DataFrame:
     return N.mass_assignment(t.events, ["name", "role"], "props", "event_id")
@@ -632,6 +656,26 @@ def d20_imports(t: Tables) -> DataFrame:
     return D.import_edges(t.code_files).select("repo", "src", "dst")
 
 
+# The twin takes strings and comments out by one alternation, whose leftmost match decides.
+_STRINGS = "'(?:\\\\.|[^'\\\\\\n])*'|\"(?:\\\\.|[^\"\\\\\\n])*\""
+_OUT = {
+    "py": sql_text('\'\'\'(?:.|\\n)*?\'\'\'|"""(?:.|\\n)*?"""|' + _STRINGS + "|#[^\\n]*"),
+    "js": sql_text("//[^\\n]*|/\\*(?:.|\\n)*?\\*/|`[^`]*`|" + _STRINGS),
+}
+_CALLED = "len(regexp_extract_all(code, '(?:^|[^A-Za-z0-9_.])(?:eval|exec)[(]'))"
+
+
+@query(
+    "d3_code_calls",
+    f"WITH c AS (SELECT repo, path, CASE WHEN path LIKE '%.py' THEN regexp_replace(content, {_OUT['py']}, ' ', 'g') ELSE regexp_replace(content, {_OUT['js']}, ' ', 'g') END AS code FROM talking_files) "
+    f"SELECT repo, path, CAST({_CALLED} AS BIGINT) AS calls FROM c WHERE {_CALLED} > 0",
+)
+def d3_code_calls(t: Tables) -> DataFrame:
+    """Dynamic calls that are code: what strings and comments say does not count."""
+    rules = in_code([r for r in pack("D3") if r.rule_id == "sink.eval"])
+    return match_rules(t.talking_files, rules).groupBy("repo", "path").agg(F.count("*").alias("calls"))
+
+
 # Imports read from the text; endings of module and path meet as strings.
 _RESOLVED = (
     "l AS (SELECT repo, path AS src, unnest(regexp_extract_all(content, '(?m)^(?:from|import) ([A-Za-z0-9_.]+)', 1)) AS module FROM module_files), "

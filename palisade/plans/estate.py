@@ -24,15 +24,25 @@ ROWS = {
     "host_entropy": ("d12_host_entropy", D.d12), "dependencies": ("d14_risk_signals", D.d14), "obfuscation": ("d15_obfuscation", D.d15),
     "signature": ("d16_signature", D.d16), "database": ("d17_db_artifacts", D.d17), "spec_lint": ("d19_spec_lint", D.d19),
     "personal": ("d21_pii", D.d21), "inline_scripts": ("d23_page_risks", D.d23), "third_party": ("d23_page_risks", D.d23),
-    "open_forms": ("d23_page_risks", D.d23), "comments": ("d23_page_risks", D.d23), "tool_calls": ("d24_transcript", D.d24),
+    "packages": ("d13_dependencies", D.d13), "exfiltration": ("d12_exfiltration", D.d12_exfiltration), "stuffing": ("d11_stuffing", D.d11_stuffing),
+    "tenants": ("d9_cross_tenant", D.d9_tenant), "endpoints": ("d18_code_endpoints", D.d18_code), "cycles": ("d20_code_graph", D.d20_code_graph),
+    "failed_calls": ("d24_calls", D.d24_calls), "open_forms": ("d23_page_risks", D.d23), "comments": ("d23_page_risks", D.d23), "tool_calls": ("d24_transcript", D.d24),
 }
 assert ROWS.keys() == ADAPTERS.keys()
 
 
+TEXTS = ("files", "web_files", "code_files", "chats")
+
+
+def all_texts(t: Tables) -> DataFrame:
+    """Documents, pages, source and chats as files of one estate."""
+    return reduce(lambda a, b: a.unionByName(b), [getattr(t, v).select("repo", "path", "content") for v in TEXTS])
+
+
 def estate(t: Tables) -> DataFrame:
-    """Findings of every detector; a table that several adapters read is made once."""
+    """Findings of every detector: one scan of all texts, and the adapted tables, of which one that several adapters read is made once."""
     made: dict[str, DataFrame] = {}
-    parts = [scan(t.files)]
+    parts = [scan(all_texts(t))]
     for name, (key, rows) in ROWS.items():
         if key not in made:
             made[key] = rows(t) if sum(k == key for k, _ in ROWS.values()) == 1 else cut_lineage(rows(t))
@@ -42,7 +52,8 @@ def estate(t: Tables) -> DataFrame:
 
 _ROWS_SQL = " UNION ALL ".join(adapted_sql(ORACLES[key], name) for name, (key, _) in ROWS.items())
 ESTATE = (
-    f"{findings_ctes(pack(), 'files', 'scanned')}, estate AS (SELECT repo, path, detector, rule_id, vector_id, severity, fingerprint FROM scanned UNION ALL "
+    "all_texts AS (" + " UNION ALL ".join(f"SELECT repo, path, content FROM {v}" for v in TEXTS) + "), "
+    f"{findings_ctes(pack(), 'all_texts', 'scanned')}, estate AS (SELECT repo, path, detector, rule_id, vector_id, severity, fingerprint FROM scanned UNION ALL "
     f"SELECT repo, path, detector, rule_id, vector_id, severity, {FINGERPRINT} AS fingerprint FROM ({_ROWS_SQL}))"
 )
 

@@ -239,6 +239,30 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             f"ELSE '# ' || p_name || {NL} || 'Released under the MIT License.' END AS content",
         ],
     ),
+    "chats": ("conversations", ["'chats' AS repo", "CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) || '.txt' AS path", "text AS content"]),
+    # Requests that hide what they send: comments between words, signs encoded twice and three times, code in comments.
+    "hidden_payloads": (
+        "events",
+        [
+            "event_id AS req_id",
+            "CASE event_type WHEN 'signup' THEN 'q=' || CAST(user_id AS STRING) || ' UNION/**/ALL/*x*/SELECT ' || CAST(event_id AS STRING) "
+            "WHEN 'click' THEN 'q=1%252f%252a%252a%252fUNION%2520SELECT%25201,' || CAST(user_id AS STRING) "
+            "WHEN 'view' THEN 'q=1 /*!50000UNION*/ /*!SELECT*/ ' || CAST(user_id AS STRING) "
+            "WHEN 'error' THEN 'q=1%25252520AND%25252520SLEEP(5)%25252520' || CAST(user_id AS STRING) "
+            "ELSE 'note=union of ' || CAST(user_id AS STRING) || ' clubs /* select */ 100%' END AS query",
+        ],
+    ),
+    # Source that talks about calls as well as making them.
+    "talking_files": (
+        "part",
+        [
+            "p_brand AS repo",
+            "'app/' || CAST(p_partkey AS STRING) || CASE WHEN p_size % 3 = 0 THEN '.js' ELSE '.py' END AS path",
+            f"CASE WHEN p_size % 3 = 0 THEN '// eval(a)' || {NL} || 'const s = ' || {Q} || 'eval(b) // no' || {Q} || ' + `eval(c)`;' || {NL} || '/* eval(d)' || {NL} || 'eval(e) */ eval(f' || CAST(p_size AS STRING) || ')' "
+            f"WHEN p_size % 3 = 1 THEN '# eval(a) it' || {A} || 's' || {NL} || 's = ' || {Q} || 'eval(b) # ' || {Q} || ' + ' || {A} || 'exec(c)' || {A} || {NL} || 'x = eval(d' || CAST(p_size AS STRING) || ') # exec(e)' "
+            f"ELSE {Q} || {Q} || {Q} || 'doc' || {NL} || 'exec(a)' || {NL} || {Q} || {Q} || {Q} || {NL} || 'exec(' || {A} || 'eval(' || CAST(p_size AS STRING) || ')' || {A} || ')' END AS content",
+        ],
+    ),
     # Modules that import each other: rings of five, a package import further down, one that is not in the repository.
     "module_files": (
         "part",

@@ -303,3 +303,17 @@ def test_table_function_sees_every_candidate(spark):
     U.finding_candidates(df, "text").createOrReplaceTempView("some_texts")
     found = lambda view: sorted(tuple(r) for r in spark.sql(f"SELECT doc_id, f.rule_id, f.match FROM {view}, LATERAL finding_rows(text) f").collect())
     assert found("some_texts") == found("all_texts") and {r[0] for r in found("some_texts")} == set(range(len(texts) - 2))
+
+
+def test_hidden_injections(spark):
+    from palisade.functions.text import url_decoded
+    from palisade.operators.detect import traffic
+
+    cases = {
+        "id=1 UNION/**/SELECT 1": "union", "id=1 union/*a*/all/*b*/select 2": "union", "id=1%2520UNION%2520SELECT%25201": "union", "id=1 /*!50000UNION*/ /*!SELECT*/ 1": "union",
+        "id=%2525252527": "quote", "note=a /* union select */ b": None, "p=100%": None, "id=1%20AND%20SLEEP%28%35%29": "time",
+    }
+    df = spark.createDataFrame([(q,) for q in cases], "q string")
+    assert {r.q: r.c for r in df.select("q", traffic.sqli_class(df.q).alias("c")).collect()} == cases
+    deep = spark.createDataFrame([("%25252541",), ("%41%2542",), ("50%",), (None,), ("%25",)], "q string")
+    assert [r.d for r in deep.select(url_decoded("q").alias("d")).collect()] == ["A", "AB", "50%", None, "%"]
