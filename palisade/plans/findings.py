@@ -9,12 +9,13 @@ from palisade.operators import aggs as A
 from palisade.operators import findings as R
 from palisade.operators import sketches as SK
 from palisade.operators.detect.rules import COMPLIANCE, ORGANIZERS, PACK, pack, scan
-from palisade.plans.catalog import findings_ctes, query, sql_text
-from palisade.session import scratch_path
+from palisade.plans.catalog import ORACLES, findings_ctes, query, sql_text
+from palisade.session import cut_lineage, scratch_path
 from palisade.sources.files import corpus_layout, describe
 from palisade.sources.sinks import report_rows, write_report
 from palisade.sources.tables import Tables
 from palisade.sources.vectors import vectors
+from palisade.streaming.kept_report import KeptReport
 
 ALL = findings_ctes(pack())
 
@@ -315,3 +316,28 @@ def r8(t: Tables) -> DataFrame:
 )
 def r9(t: Tables) -> DataFrame:
     return R.compliance(all_findings(t))
+
+
+# The twin of the report that is made at once.
+ORACLES["r8_kept"] = ORACLES["r8_report"]
+
+
+@query("r8_kept")
+def r8_kept(t: Tables) -> DataFrame:
+    """The same report kept up to date: the previous scan and all documents arrive, then toxic ones go and the pages come."""
+    folder, base = scratch_path(t.spark, "changes"), scratch_path(t.spark, "kept")
+    signed = lambda df, side, sign: df.select("detector", "rule_id", "severity", "repo", "path", "fingerprint", F.lit(side).alias("side"), F.lit(sign).alias("sign"))
+    toxic = t.labels.where("toxic = 1").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path")).distinct()
+    chats = t.conversations.select(
+        F.col("role").alias("repo"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("path"), F.col("text").alias("content"))
+    found = cut_lineage(scan(t.files))
+    arrivals = [
+        signed(found, "current", 1).unionByName(signed(found, "previous", 1)).unionByName(signed(scan(chats), "previous", 1)),
+        signed(found.join(toxic, "path", "left_semi"), "current", -1).unionByName(signed(scan(t.web_files), "current", 1)),
+    ]
+    kept = KeptReport(t.spark, base)
+    for i, rows in enumerate(arrivals):
+        rows.write.parquet(f"{folder}/{i}")
+        # Each arrival is one run that goes on from the checkpoint of the last.
+        kept.run(t.spark.readStream.schema(rows.schema).parquet(f"{folder}/*"))
+    return kept.report()
