@@ -94,10 +94,11 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
     broadcast, the others are shuffled.
     """
     counts = left.groupBy(key).agg(F.count("*").alias("_n"))
-    limit = max(HEAVY, left.count() // HEAVY)
-    heavy = cut_lineage(counts.where(F.col("_n") > limit).select(key))
-    if heavy.isEmpty():
+    most, total = counts.agg(F.max("_n"), F.sum("_n")).first()
+    limit = max(HEAVY, (total or 0) // HEAVY)
+    if (most or 0) <= limit:
         return left.join(right, key, how)
+    heavy = cut_lineage(counts.where(F.col("_n") > limit).select(key))
     few = F.broadcast(cut_lineage(right.join(F.broadcast(heavy), key, "left_semi")))
     rest = left.join(F.broadcast(heavy), key, "left_anti")
     return left.join(F.broadcast(heavy), key, "left_semi").join(few, key, how).unionByName(rest.join(right, key, how))

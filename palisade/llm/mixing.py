@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import n_words, text_or_empty
+from palisade.llm.common import free_names, n_words, text_or_empty
 from palisade.operators.ordered import global_order
 from palisade.session import cut_lineage
 
@@ -163,11 +163,11 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
 
     Rows meet their copies on the row key; rows that are alike share the sum of their copies.
     """
-    taken = mix(docs, doc_id, text, source, seed=seed, **how).groupBy("key").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_alike"))
-    taken = cut_lineage(taken.where(F.col("_copies") > 0)).withColumnRenamed("key", "_key")
-    keyed = docs.withColumn("_key", F.xxhash64(F.lit(seed), F.col(doc_id), F.col(source), text_or_empty(text)))
-    met = keyed.join(taken, "_key")
+    key, copies, alike, nth = free_names(docs, "key", "copies", "alike", "nth")
+    taken = mix(docs, doc_id, text, source, seed=seed, **how).groupBy(F.col("key").alias(key)).agg(F.sum("copies").alias(copies), F.count("*").alias(alike))
+    taken = cut_lineage(taken.where(F.col(copies) > 0))
+    met = docs.withColumn(key, F.xxhash64(F.lit(seed), F.col(doc_id), F.col(source), text_or_empty(text))).join(taken, key)
     one = met
-    if not taken.where(F.col("_alike") > 1).isEmpty():
-        one = met.where(F.col("_alike") == 1).unionByName(met.where(F.col("_alike") > 1).dropDuplicates(["_key"]))
-    return one.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    if not taken.where(F.col(alike) > 1).isEmpty():
+        one = met.where(F.col(alike) == 1).unionByName(met.where(F.col(alike) > 1).dropDuplicates([key]))
+    return one.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)

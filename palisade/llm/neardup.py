@@ -49,7 +49,7 @@ IDF_BITS = 20
 DRAWS = 1 << 16
 BLOOM = 1 << 23
 SALT_ROWS = 256
-FEW = 256  # members outside a group's largest component that are held in a task
+FEW = 1024  # members outside a group's largest component that are held in a task
 MARKS = 1 << 13
 SLACK = 1e-6  # of rounding
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -325,7 +325,7 @@ def settled(members: DataFrame, sets: DataFrame, idf: np.ndarray, threshold: flo
     No pairs are sent, and a large group is dealt to several tasks.
     """
     shared = sets.sparkSession.sparkContext.broadcast(idf)
-    salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
+    salts = F.ceil(F.col("n") / FEW).cast("int")
     found = members.join(sets, "node").select("g", "node", "c", "n", "top", "found")
     few = found.where(F.col("c") != F.col("top")).select("g", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(True).alias("few"), "node", "c", "found")
     rest = found.select("g", F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"), F.lit(False).alias("few"), "node", "c", "found")

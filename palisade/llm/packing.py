@@ -190,7 +190,9 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
     done, rest = [table.where(F.col("node").isNull())], table.where(F.col("node").isNotNull())
     tasks = (rest.agg(F.max("node")).first()[0] or 0) + 1
     level = 0
-    while tasks > 1:
+    # A task of several windows has bins that did not meet yet, even if it is the only one.
+    apart = tasks == 1 and not rest.groupBy("node").agg(F.count_distinct("sequence_id").alias("n")).where(F.col("n") > FAN_IN).isEmpty()
+    while tasks > 1 or (apart and not level):
         tasks = -(-tasks // FAN_IN)
         level += 1
         dealt = rest.withColumn("node", F.floor(F.col("node") / FAN_IN).cast("bigint")).repartition("node").sortWithinPartitions("node", "sequence_id", "offset")

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import WORD, coded, slices, split_words
+from palisade.llm.common import WORD, coded, free_names, slices, split_words
 from palisade.llm.tables import filled
 from palisade.session import cut_lineage
 
@@ -317,18 +317,19 @@ def report(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The documents with every span replaced by its kind in brackets; all columns stay."""
-    found = discover(scan(docs, doc_id, text), docs.select(F.col(text).alias("text")), **how).select(F.hex("copy").alias("_copy"), F.col("found").alias("_found"))
-    met = docs.withColumn("_md5", F.upper(F.md5(F.coalesce(F.col(text), F.lit(""))))).join(found, F.col("_md5") == F.col("_copy"), "left").drop("_md5", "_copy")
+    own, copy, more = free_names(docs, "own", "copy", "found")
+    found = discover(scan(docs, doc_id, text), docs.select(F.col(text).alias("text")), **how).select(F.hex("copy").alias(copy), F.col("found").alias(more))
+    met = docs.withColumn(own, F.upper(F.md5(F.coalesce(F.col(text), F.lit(""))))).join(found, F.col(own) == F.col(copy), "left").drop(own, copy)
 
     names = docs.columns
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             out = []
-            for t, more in zip(batch.column(text).to_pylist(), batch.column("_found").to_pylist(), strict=True):
+            for t, others in zip(batch.column(text).to_pylist(), batch.column(more).to_pylist(), strict=True):
                 if t:
                     parts, at = [], 0
-                    every = base_spans(t) + [(s["kind"], s["start"], s["end"]) for s in more or []]
+                    every = base_spans(t) + [(s["kind"], s["start"], s["end"]) for s in others or []]
                     for k, a, b in sorted(every, key=lambda s: (s[1], -s[2])):
                         if a >= at:
                             parts += [t[at:a], f"[{k.upper()}]"]

@@ -36,11 +36,11 @@ from palisade.session import cut_lineage
 
 ORDER = 5
 TOP = 2  # longest order of the table that all parts share
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 END = "\n"  # no word holds it
 SYMBOLS = 256
 PARTS = (16, 4096)  # least and most
-PIECE = 1 << 21  # bytes that are looked at together
+PIECE = 1 << 20  # bytes that are looked at together
 MERGE = 1 << 21  # grams that a part holds besides its distinct ones
 
 
@@ -53,24 +53,38 @@ def grams(data: np.ndarray, inside: np.ndarray) -> np.ndarray:
     return packed | (np.minimum(inside, ORDER) << 56)
 
 
-def pieces(texts: pa.Array, limit: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(grams, their texts' numbers) of framed texts. A text is cut only if it is longer than ``limit``, always at the same places."""
-    size = np.asarray(pc.binary_length(texts), dtype=np.int64)
+def stretches(size: np.ndarray, limit: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first text, text behind, from, to) of pieces of framed texts. A text is cut only if it is longer than ``limit``, always at the same places."""
     group, giant = (np.cumsum(size) - size) // limit, size > limit
     new = np.diff(group, prepend=-1) != 0
     new |= giant
     new[1:] |= giant[:-1]
     cuts = [*np.flatnonzero(new).tolist(), len(size)]
     for a, b in zip(cuts, cuts[1:], strict=False):
-        data = np.frombuffer("".join(texts.slice(a, b - a).to_pylist()).encode(), np.uint8)
-        step = limit if giant[a] else len(data)
-        start = np.repeat(np.cumsum(size[a:b]) - size[a:b], size[a:b]) if not giant[a] else None
-        for lo in range(0, len(data), step):
-            ahead, hi = min(lo, ORDER), min(lo + step, len(data))
-            owner = np.full(hi - lo, a) if giant[a] else np.repeat(np.arange(a, b), size[a:b])
-            inside = np.arange(lo - ahead, hi) - (0 if giant[a] else start)
-            gram, later = grams(data[lo - ahead : hi], inside)[ahead:], inside[ahead:] > 0
-            yield gram[later], owner[later]
+        total = int(size[a:b].sum())
+        for lo in range(0, total, limit if giant[a] else max(total, 1)):
+            yield a, b, lo, min(lo + limit, total) if giant[a] else total
+
+
+def pieces(texts: pa.Array, limit: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(grams, their texts' numbers) of framed texts, piece by piece."""
+    size = np.asarray(pc.binary_length(texts), dtype=np.int64)
+    held, data = None, np.zeros(0, np.uint8)
+    for (a, b, lo, hi), owner in zip(stretches(size, limit), owners(texts, limit), strict=True):
+        if held != a:
+            held, data = a, np.frombuffer("".join(texts.slice(a, b - a).to_pylist()).encode(), np.uint8)
+        ahead = min(lo, ORDER)
+        begins = np.repeat(np.cumsum(size[a:b]) - size[a:b], size[a:b])[lo - ahead : hi] if b - a > 1 else 0
+        inside = np.arange(lo - ahead, hi) - begins
+        gram, later = grams(data[lo - ahead : hi], inside)[ahead:], inside[ahead:] > 0
+        yield gram[later], owner
+
+
+def owners(texts: pa.Array, limit: int = PIECE) -> Iterator[np.ndarray]:
+    """The texts' numbers of the grams of each piece: a text has one gram less than bytes."""
+    size = np.asarray(pc.binary_length(texts), dtype=np.int64)
+    for a, b, lo, hi in stretches(size, limit):
+        yield np.repeat(np.arange(a, b), np.maximum(size[a:b] - 1, 0)) if b - a > 1 else np.full(hi - lo - (lo == 0), a)
 
 
 def text_blocks(docs: DataFrame, limit: int) -> DataFrame:
@@ -120,38 +134,60 @@ def part_of(gram: np.ndarray, parts: int) -> np.ndarray:
 class Block:
     """Distinct grams and words of a block's texts, by part and in order, and where the texts hold them."""
 
-    def __init__(self, framed: pa.Array, teaches: np.ndarray, parts: int) -> None:
-        self.framed, self.teaches, self.parts = framed, teaches, parts
-        words, self.at = split_words(framed)
+    def __init__(self, framed: pa.Array, parts: int) -> None:
+        self.framed, self.parts = framed, parts
+        words, at = split_words(framed)
         n = len(framed)
         codes, kinds = coded(words)
-        listed = [*kinds.to_pylist(), END]
-        part = (pd.util.hash_array(np.array(listed, dtype=object), categorize=False) % np.uint64(parts)).astype(np.int64)
-        order = sorted(range(len(listed)), key=lambda i: (part[i], listed[i]))
-        self.words, self.word_part = [listed[i] for i in order], part[order]
+        kinds = pa.concat_arrays([kinds.cast(pa.string()), pa.array([END])])
+        part = (pd.util.hash_array(np.asarray(kinds.to_pandas(), dtype=object), categorize=False) % np.uint64(parts)).astype(np.int64)
+        order = np.asarray(pc.sort_indices(pa.table({"part": part, "word": kinds}), sort_keys=[("part", "ascending"), ("word", "ascending")]))
+        self.words, self.word_part = kinds.take(pa.array(order)), part[order]
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         # Each text's words, and its end.
-        tokens = np.full(len(codes) + n, place[-1], np.int64)
-        is_word = np.ones(len(tokens), bool)
-        is_word[self.at[1:] + np.arange(n)] = False
-        tokens[is_word] = place[codes]
-        self.tokens, self.at = tokens, self.at + np.arange(n + 1)
+        self.tokens = np.full(len(codes) + n, place[-1], np.int64)
+        is_word = np.ones(len(self.tokens), bool)
+        is_word[at[1:] + np.arange(n)] = False
+        self.tokens[is_word] = place[codes]
+        self.at = at + np.arange(n + 1)
 
-    def word_counts(self) -> np.ndarray:
-        taught = np.repeat(self.teaches, np.diff(self.at))
-        return np.bincount(self.tokens[taught], minlength=len(self.words)).astype(np.int64)
+    def word_counts(self, teaches: np.ndarray) -> np.ndarray:
+        return np.bincount(self.tokens[np.repeat(teaches, np.diff(self.at))], minlength=len(self.words)).astype(np.int64)
 
-    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(gram, part, times in training texts), by part and gram."""
-        found = [(np.zeros(0, np.int64),) * 2]
+    def pieces(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(grams' numbers, texts' numbers, distinct grams) of a piece of the texts after the other."""
         for gram, owner in pieces(self.framed):
             codes, kinds = coded(pa.array(gram))
-            found.append((np.asarray(kinds), np.bincount(codes, self.teaches[owner], len(kinds)).astype(np.int64)))
-        kinds, n = summed(np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]))
+            yield codes, owner, np.asarray(kinds)
+
+    def in_parts(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of distinct grams, by part and gram, and the parts there."""
         part = part_of(kinds, self.parts)
         order = np.argsort(part, kind="stable")
-        return kinds[order], part[order], n[order]
+        return order, part[order]
+
+    def gram_counts(self, teaches: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(gram, part, times in training texts), by part and gram."""
+        found = [(np.zeros(0, np.int64),) * 2]
+        for codes, owner, kinds in self.pieces():
+            found.append((kinds, np.bincount(codes, teaches[owner], len(kinds)).astype(np.int64)))
+        kinds, n = summed(np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]))
+        order, part = self.in_parts(kinds)
+        return kinds[order], part, n[order]
+
+    def scores(self, value: np.ndarray) -> np.ndarray:
+        """Sums per text of the grams' values, which come by part and gram."""
+        held = [(codes.astype(np.int32), kinds) for codes, _, kinds in self.pieces()]
+        every = np.unique(np.concatenate([np.zeros(0, np.int64), *[k for _, k in held]]))
+        order, _ = self.in_parts(every)
+        by_gram = np.empty(len(every))
+        by_gram[order] = value
+        out = np.zeros(len(self.framed))
+        for (codes, kinds), owner in zip(held, owners(self.framed), strict=True):
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            out[owner[first]] += np.add.reduceat(by_gram[np.searchsorted(every, kinds)][codes], first)
+        return out
 
 
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,14 +213,14 @@ def sent_items(parts: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                block = Block(batch.column("framed")[r].values, np.asarray(batch.column("teaches")[r].values.to_pylist(), dtype=bool), parts)
+                block, teaches = Block(batch.column("framed")[r].values, parts), np.asarray(batch.column("teaches")[r].values.to_pylist(), dtype=bool)
                 rows = []
-                gram, part, n = block.grams()
+                gram, part, n = block.gram_counts(teaches)
                 for p, s in by_part(part):
                     rows.append(("g", p, len(gram[s]), 0, shrunk(np.diff(gram[s], prepend=0)), shrunk(n[s])))
-                counts = block.word_counts()
+                counts = block.word_counts(teaches)
                 for p, s in by_part(block.word_part):
-                    data, size = shrunk_words(block.words[s])
+                    data, size = shrunk_words(block.words.slice(s.start, s.stop - s.start).to_pylist())
                     rows.append(("w", p, s.stop - s.start, size, data, shrunk(counts[s])))
                 own = batch.column("block")[r].as_py()
                 kinds = {"kind": pa.string(), "part": pa.int32(), "size": pa.int32(), "bytes": pa.int32(), "items": pa.binary(), "counts": pa.binary()}
@@ -406,15 +442,8 @@ def added(parts: int, tokens: int, distinct: int):
                     held[kind[r]].append(grown(data[r], size[r], "<f8" if kind[r] == "g" else "<i8"))
                     continue
                 framed = batch.column("framed")[r].values
-                block = Block(framed, np.zeros(len(framed), bool), parts)
-                gram, _, _ = block.grams()
-                value = np.concatenate([np.zeros(0), *held["g"]])
-                by_gram = np.argsort(gram, kind="stable")
-                gram, value = gram[by_gram], value[by_gram]
-                score = np.zeros(len(framed))
-                for found, owner in pieces(framed):
-                    first = np.flatnonzero(np.diff(owner, prepend=-1))
-                    score[owner[first]] += np.add.reduceat(value[np.searchsorted(gram, found)], first)
+                block = Block(framed, parts)
+                score = block.scores(np.concatenate([np.zeros(0), *held["g"]]))
                 c = np.concatenate([np.zeros(0, np.int64), *held["w"]])
                 doc, word, times = frequencies(block.tokens, block.at, len(block.words))
                 starts = np.searchsorted(doc, np.arange(len(framed)))

@@ -1,8 +1,9 @@
 """Exact top-k by integer inner product: tiles of queries times tiles of rows, partial selection, tree merge.
 
 Components become floor(scale * x). Rows and queries are packed into tiles (matrices of at most ``TILE`` rows); every query
-tile is copied to each slot, and the tiles of the rows are dealt to the slots, so a row moves once. A slot keeps one running
-list per query; the lists of the slots are merged 16 at a time. Products run in floating point as long as no sum can pass 2^53,
+tile is copied to each slot, and the tiles of the rows are dealt to the slots, so a row moves once. A slot takes one query tile after
+the other, keeps a running list for each query of the tile, and sends them on when the next tile begins; the lists of the slots are
+merged 16 at a time. Products run in floating point as long as no sum can pass 2^53,
 which keeps them exact; otherwise in Python integers, and a score beyond 64 bits is held at the end of that range.
 
 Vectors that are null or hold null or non-finite components take no part; a query meets the rows of its own length only.
@@ -93,14 +94,32 @@ def best(scores: np.ndarray, ids: np.ndarray, known: np.ndarray, k: int) -> np.n
     return np.array(order[:k], dtype=np.int64)
 
 
+def sent(top: dict[tuple[int, int], tuple]) -> Iterator[pa.RecordBatch]:
+    """The lists of a tile's queries as one batch."""
+    if not top:
+        return
+    sizes = [len(v[2]) for v in top.values()]
+    ids = np.concatenate([v[3] for v in top.values()])
+    known = np.concatenate([v[4] for v in top.values()])
+    per = lambda values, kind: pa.array([x for x, n in zip(values, sizes, strict=True) for _ in range(n)], kind)
+    yield pa.RecordBatch.from_pydict({
+        "q_tile": per([t for t, _ in top], pa.int64()), "q_place": per([p for _, p in top], pa.int32()), "query_id": per([v[0] for v in top.values()], pa.int64()),
+        "part": per([v[1] for v in top.values()], pa.int32()), "vec_id": pa.array(ids, pa.int64(), mask=~known),
+        "score": pa.array([int(x) for v in top.values() for x in v[2]], pa.int64())})
+
+
 def select(k: int):
     """Joined tiles (query tile, row tile) of a task to one running list per query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top: dict[tuple[int, int], tuple] = {}  # (tile, place) to (query id, slot, scores, ids, known)
+        last = None
         for batch in batches:
             for r in range(batch.num_rows):
                 dim, slot, tile = (batch.column(c)[r].as_py() for c in ("dim", "slot", "q_tile"))
+                if (slot, tile) != last:  # a tile that comes again has two lists, which are merged as those of two slots
+                    yield from sent(top)
+                    top, last = {}, (slot, tile)
                 side = lambda i, m, r=r, batch=batch, dim=dim: (
                     batch.column(i)[r].values, np.frombuffer(batch.column(m)[r].as_py(), "<f8").reshape(len(batch.column(i)[r].values), dim))
                 (q_ids, q), (v_ids, v) = side("q_ids", "q_matrix"), side("ids", "matrix")
@@ -119,11 +138,7 @@ def select(k: int):
                             pick = best(row, row_ids, row_known, k)
                             row, row_ids, row_known = row[pick], row_ids[pick], row_known[pick]
                         top[tile, a + i] = (me, slot, row, row_ids, row_known)
-        for (tile, place), (me, slot, row, ids, known) in top.items():
-            n = len(row)
-            yield pa.RecordBatch.from_pydict({
-                "q_tile": pa.array([tile] * n, pa.int64()), "q_place": pa.array([place] * n, pa.int32()), "query_id": pa.array([me] * n, pa.int64()),
-                "part": pa.array([slot] * n, pa.int32()), "vec_id": pa.array(ids, mask=~known), "score": pa.array([int(x) for x in row], pa.int64())})
+        yield from sent(top)
 
     return run
 
@@ -138,7 +153,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_i
         "dim", F.col("tile").alias("q_tile"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"),
         F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
     dealt = tiles(plain(rows), scale).withColumn("slot", F.pmod(F.xxhash64("tile"), F.lit(slots)).cast("int"))
-    lists = dealt.join(asked, ["dim", "slot"]).select("dim", "slot", "q_tile", "q_ids", "q_matrix", "ids", "matrix").mapInArrow(
+    # A merge join goes through its left side once, so the tiles of a slot come one after the other.
+    lists = asked.hint("merge").join(dealt, ["dim", "slot"]).select("dim", "slot", "q_tile", "q_ids", "q_matrix", "ids", "matrix").mapInArrow(
         select(k), "q_tile bigint, q_place int, query_id bigint, part int, vec_id bigint, score bigint")
     order = [F.desc("score"), F.asc_nulls_last("vec_id")]
     while slots > FAN_IN:

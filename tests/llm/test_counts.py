@@ -166,3 +166,30 @@ def test_empty(no_docs):
     assert packing.pack(no_docs, BYTES_FILE).count() == 0
     assert quality.judge(no_docs).count() == 0 and quality.clean(no_docs).count() == 0
     assert mixing.mix(no_docs).count() == 0 and mixing.mixed(no_docs).count() == 0
+
+
+def test_windows_of_one_task_merge(spark, monkeypatch):
+    """One partition of several windows: what the windows leave over is packed together."""
+    monkeypatch.setattr(packing, "WINDOW", 50)
+    df = spark.range(330, numPartitions=1).selectExpr("id as doc_id", "repeat('a b ', 50) as text")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    rows = packing.pack(df, BYTES_FILE).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    fills = Counter()
+    for r in rows:
+        fills[r.sequence_id] += r.length
+    total = sum(fills.values())
+    each = rows[0].length
+    assert max(fills.values()) <= 2048 and len(fills) == -(-len(rows) // (2048 // each)) and total == each * 330
+
+
+def test_names_of_helpers_are_free(spark):
+    rows = [(i, f"w{i} " * 30, "a", 1, 2, 3, 4) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, key int, copies int, _key int, nth int")
+    out = mixing.mixed(df)
+    assert out.columns == df.columns and {tuple(r) for r in out.collect()} <= set(rows)
+    odd = df.selectExpr("doc_id", "text", "source", "key AS doc", "copies AS words", "_key AS lines", "nth AS removed")
+    assert quality.clean(odd).columns == odd.columns and quality.clean(odd).count() == 0
+    more = df.selectExpr("doc_id", "concat('alpha beta gamma delta epsilon zeta eta theta iota kappa ', doc_id) AS text", "source", "key AS doc", "copies AS words", "_key AS lines", "nth AS repeat")
+    assert {tuple(r) for r in quality.clean(more).collect()} == {tuple(r) for r in more.collect()}

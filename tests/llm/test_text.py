@@ -168,3 +168,10 @@ def test_kernel_of_presence():
             want |= {(i, p[k : k + n]) for n in (1, 2, 3) for k in range(len(p) - n + 1) if p[k : k + n].strip()}
     assert {g for g in got if g[1].strip() and not re.search(r"\S \S", g[1])} == want
     assert has.tolist() == [True, True, True, False, True] and isinstance(code, np.ndarray)
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    rows = [(1, "mail a.b@example.com now", 1, 2, 3), (2, None, 4, 5, 6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, own int, copy int, found int")
+    out = pii.redact(df)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect()), key=str) == [(1, "mail [EMAIL] now", 1, 2, 3), (2, None, 4, 5, 6)]
