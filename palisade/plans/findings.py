@@ -335,7 +335,7 @@ def r8_kept(t: Tables) -> DataFrame:
         signed(found, "current", 1).unionByName(signed(found, "previous", 1)).unionByName(signed(scan(chats), "previous", 1)),
         signed(found.join(toxic, "path", "left_semi"), "current", -1).unionByName(signed(scan(t.web_files), "current", 1)),
     ]
-    kept = KeptReport(t.spark, base)
+    kept = KeptReport(t.spark, base, parts=8)
     for i, rows in enumerate(arrivals):
         rows.write.parquet(f"{folder}/{i}")
         # Each arrival is one run that goes on from the checkpoint of the last.
