@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions.coerce import js_parse_int
-from palisade.operators.ordered import DAY_US, carry_last, int_bucket, time_bucket
+from palisade.operators.ordered import carry_last, time_bucket
 
 
 def split_duplicates(new: DataFrame, state: DataFrame, key: str, id_col: str = "id",
@@ -75,19 +75,19 @@ def constraint_drift(spec: DataFrame, code: DataFrame, keys: Sequence[str], attr
 
 
 def asof(left: DataFrame, right: DataFrame, key: str, ts: str, tie: str, bring: Mapping[str, str],
-         width_us: int = DAY_US) -> DataFrame:
+         width_us: int | None = None) -> DataFrame:
     """Latest right row at or before each left row, per key.
 
     Both sides are unioned and the last right row is carried along (key, ts):
-    one shuffle of the rows, no pairs, hot keys cut into time buckets.
-    ``tie`` orders rows with the same ``ts``.
+    no pairs; hot keys are cut into parts of about equal numbers of rows, or into
+    time buckets if a width is given. ``tie`` orders rows with the same ``ts``.
     """
     l = left.select(F.lit(1).alias("_side"), F.col(key), F.col(ts), F.col(tie), F.struct("*").alias("_l"),
                     F.lit(None).cast(_struct_type(right, bring)).alias("_r"))
     r = right.select(F.lit(0).alias("_side"), F.col(key), F.col(ts), F.col(tie),
                      F.lit(None).cast(l.schema["_l"].dataType).alias("_l"),
                      F.struct(*[F.col(c).alias(n) for n, c in bring.items()]).alias("_r"))
-    both = carry_last(l.unionByName(r), [key], [ts, tie, "_side"], time_bucket(ts, width_us), {"_hit": F.col("_r")})
+    both = carry_last(l.unionByName(r), [key], [ts, tie, "_side"], time_bucket(ts, width_us) if width_us else None, {"_hit": F.col("_r")})
     return both.where(F.col("_side") == 1).select("_l.*", *[F.col(f"_hit.{n}").alias(n) for n in bring])
 
 
@@ -113,15 +113,14 @@ def followed_by(a: DataFrame, b: DataFrame, key: str, ts: str, delta_us: int) ->
 
 
 def first_follower(a: DataFrame, b: DataFrame, key: str, ts: str, tie: str, delta_us: int) -> DataFrame:
-    """Each a row with the earliest b row within delta (NULL if none): linear, no pairs."""
+    """Each a row with the earliest b row within delta (NULL if none): linear, no pairs, a hot key in many parts."""
     back = lambda df: df.withColumn("_neg", -F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_negtie", -F.col(tie))
     rows = back(a).withColumn("_side", F.lit(1)).select(key, ts, tie, "_neg", "_negtie", "_side", F.lit(None).cast("struct<t:timestamp,i:bigint>").alias("_v"))
     marks = back(b).withColumn("_side", F.lit(0)).select(
         key, ts, tie, "_neg", "_negtie", "_side",
         F.struct(F.col(ts).cast("timestamp").alias("t"), F.col(tie).cast("bigint").alias("i")).alias("_v"),
     )
-    bucket = int_bucket(F.col("_neg"), DAY_US)
-    seen = carry_last(rows.unionByName(marks), [key], ["_neg", "_side", "_negtie"], bucket, {"_next": F.col("_v")})
+    seen = carry_last(rows.unionByName(marks), [key], ["_neg", "_side", "_negtie"], None, {"_next": F.col("_v")})
     near = (F.unix_micros("_next.t") + F.col("_neg")) <= delta_us
     return seen.where(F.col("_side") == 1).select(
         key, ts, tie,

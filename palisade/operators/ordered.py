@@ -38,20 +38,21 @@ def carry_last(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    bucket: Column,
+    bucket: Column | None,
     values: dict[str, Column],
     inclusive: bool = True,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Add, per name in ``values``, the last non-null value at or before the row.
 
     ``inclusive=False`` looks strictly before the row. ``bucket`` must not
-    decrease along ``order``.
+    decrease along ``order``; without one the rows are cut into parts of about
+    equal numbers of rows, so a key with most rows of any moment is many parts.
     """
     end = 0 if inclusive else -1
     local = W.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, end)
-    src = df.withColumn("_b", bucket)
-    for name, value in values.items():
-        src = src.withColumn(f"_v_{name}", value)
+    src = df.select("*", *[value.alias(f"_v_{name}") for name, value in values.items()])
+    src = _ranged(src, [*keys, *order], partitions).withColumnRenamed("_part", "_b") if bucket is None else src.withColumn("_b", bucket)
     ranked = F.struct(*[F.col(c) for c in order])
     per_bucket = src.groupBy(*keys, "_b").agg(
         *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), ranked)).alias(f"_l_{n}") for n in values]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palisade.operators.ordered import DAY_US, carry_last, global_order, int_bucket, running_sum
+from palisade.operators.ordered import carry_last, global_order, int_bucket, ranged_sums
 
 
 def latest(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
@@ -87,8 +87,7 @@ def beacons(events: DataFrame, key: str, ts: str, tie: str, min_gaps: int = 3) -
     """
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     src = events.select(key, F.col(tie), us.alias("_us"))
-    gaps = carry_last(src, [key], ["_us", tie], int_bucket(F.col("_us"), DAY_US),
-                      {"_prev": F.col("_us")}, inclusive=False)
+    gaps = carry_last(src, [key], ["_us", tie], None, {"_prev": F.col("_us")}, inclusive=False)
     gap = (F.col("_us") - F.col("_prev")) / F.lit(1_000_000.0)
     stats = (
         gaps.where(F.col("_prev").isNotNull())
@@ -136,14 +135,13 @@ def outliers(events: DataFrame, key: str, value: str, z: float) -> DataFrame:
 def sessions(events: DataFrame, key: str, ts: str, tie: str, gap_us: int) -> DataFrame:
     """Activity sessions per key: a pause of ``gap_us`` or more starts a new one.
 
-    The batch form of a session window; hot keys are cut into time buckets.
+    The batch form of a session window; a hot key is cut into parts of about equal numbers of rows.
     """
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    bucket = int_bucket(F.col("_us"), DAY_US)
     src = events.select(key, F.col(tie), us.alias("_us"))
-    seen = carry_last(src, [key], ["_us", tie], bucket, {"_prev": F.col("_us")}, inclusive=False)
+    seen = carry_last(src, [key], ["_us", tie], None, {"_prev": F.col("_us")}, inclusive=False)
     starts = F.when(F.col("_prev").isNull() | (F.col("_us") - F.col("_prev") >= gap_us), 1).otherwise(0)
-    numbered = running_sum(seen, [key], ["_us", tie], bucket, {"_s": starts})
+    numbered = ranged_sums(seen, [key], ["_us", tie], {"_s": starts})
     return numbered.groupBy(key, "_s").agg(
         F.min("_us").alias("start_us"), (F.max("_us") + gap_us).alias("end_us"), F.count("*").alias("n")
     ).drop("_s")

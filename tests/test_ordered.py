@@ -32,6 +32,25 @@ def test_carry_last(rows, inclusive):
     same(carry_last(rows, ["key"], ["seq"], seq_bucket("seq", 13), {"x": F.col("v")}, inclusive), want)
 
 
+@pytest.mark.parametrize("inclusive", [True, False])
+def test_carry_last_in_parts_of_equal_size(rows, inclusive):
+    w = W.partitionBy("key").orderBy("seq").rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    want = rows.select("*", F.last("v", ignorenulls=True).over(w).alias("x"))
+    same(carry_last(rows, ["key"], ["seq"], None, {"x": F.col("v")}, inclusive, partitions=9), want)
+
+
+def test_a_key_with_most_rows_of_one_moment(spark):
+    """All rows of a key within a second: as-of and sessions cut them by number, not by the clock."""
+    events = spark.range(3000).selectExpr("if(id < 2700, 1, id) AS k", "id AS i", "timestamp_micros(1700000000000000 + id * 100) AS ts")
+    ranged = events.repartitionByRange(8, "k", "ts", "i").selectExpr("k", "spark_partition_id() AS p").where("k = 1").distinct()
+    assert ranged.count() >= 6
+    seen = J.asof(events.where("i % 3 = 0"), events.where("i % 3 <> 0"), "k", "ts", "i", {"hit": "i"})
+    w = W.partitionBy("k").orderBy("ts", "i").rowsBetween(W.unboundedPreceding, 0)
+    want = events.select("*", F.last(F.when(F.col("i") % 3 != 0, F.col("i")), ignorenulls=True).over(w).alias("hit")).where("i % 3 = 0")
+    same(seen, want.select("k", "i", "ts", "hit"))
+    assert {(r.k, r.n) for r in WN.sessions(events, "k", "ts", "i", 10_000_000).collect()} >= {(1, 2700)}
+
+
 def test_running_sum(rows):
     w = W.partitionBy("key").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
     want = rows.select("*", F.sum("n").over(w).alias("x"))
