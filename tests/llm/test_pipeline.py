@@ -44,3 +44,28 @@ def test_stages_do_what_their_operators_say(spark, stages):
 
 def test_run(spark, sf, stages):
     assert corpus_pipeline.run(spark, sf).count() == stages[-1].count()
+
+
+def test_empty_table(spark, sf, no_docs):
+    docs = no_docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert tuple(docs.columns) == corpus_pipeline.COLUMNS and docs.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == 0
+
+
+def test_odd_and_repeated_rows_beside_copies_of_clean_documents(spark, sf, odd):
+    """Null texts, repeated rows and a host of copies: of every clean text one document reaches the mix."""
+    clean = [" ".join(f"{w}{i}x{k}" for k, w in enumerate(["amber", "birch", "cedar", "delta", "ember", "fjord"] * 6)) for i in range(4)]
+    rows = [(1000 + 50 * i + j, text, "en", "host", len(text)) for i, text in enumerate(clean) for j in range(30)]
+    rows += rows[:3] + [(None, clean[3], None, None, None), (None, None, None, None, None), (7, None, "en", "host", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").unionByName(odd.select(*corpus_pipeline.COLUMNS))
+    (_, rules), (_, dedup) = corpus_pipeline.STAGES[:2]
+    kept = rules(spark, docs, sf).cache()
+    assert {r.text for r in kept.collect()} >= set(clean) and kept.where("text IS NULL").count() == 0
+    single = [r for r in dedup(spark, kept, sf).collect() if r.text in clean]
+    assert sorted(r.doc_id for r in single) == [1000, 1050, 1100, 1150]
+    # All stages take the table as it is.
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+    assert docs.count() > 0
