@@ -88,7 +88,7 @@ def owners(texts: pa.Array, limit: int = PIECE) -> Iterator[np.ndarray]:
 
 
 def text_blocks(docs: DataFrame, limit: int) -> DataFrame:
-    """Written table (block, doc_id, held_out, teaches, framed) of slices of documents."""
+    """Written table (block, doc_id, held_out, teaches, sizes, data) of slices of documents; the framed texts are one compressed value."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,12 +97,21 @@ def text_blocks(docs: DataFrame, limit: int) -> DataFrame:
             words, at = split_words(pc.ascii_lower(batch.column("text")))
             joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), words), " ")
             framed = pc.if_else(pa.array(np.diff(at) > 0), pc.binary_join_element_wise(" ", joined, " " + END, ""), " " + END)
+            sizes = pc.binary_length(framed).cast(pa.int64())
+            data = pa.compress("".join(framed.to_pylist()).encode(), "zstd", asbytes=True)
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             yield pa.RecordBatch.from_pydict({
                 "block": pa.array([(task << 32) + i], pa.int64()), **{c: one(batch.column(c)) for c in ("doc_id", "held_out", "teaches")},
-                "framed": one(framed.cast(pa.string()))})
+                "sizes": one(sizes), "data": pa.array([data], pa.binary())})
 
-    return cut_lineage(docs.mapInArrow(pack, f"block bigint, doc_id array<{kind}>, held_out array<boolean>, teaches array<boolean>, framed array<string>"))
+    return cut_lineage(docs.mapInArrow(pack, f"block bigint, doc_id array<{kind}>, held_out array<boolean>, teaches array<boolean>, sizes array<bigint>, data binary"))
+
+
+def framed_texts(batch: pa.RecordBatch, r: int, data: str = "data") -> pa.Array:
+    """The texts of a block."""
+    at = np.concatenate([[0], np.cumsum(np.asarray(batch.column("sizes")[r].values, dtype=np.int64))])
+    raw = pa.decompress(batch.column(data)[r].as_py(), int(at[-1]), "zstd")
+    return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at.tobytes()), raw)
 
 
 def shrunk(numbers: np.ndarray) -> bytes:
@@ -213,7 +222,7 @@ def sent_items(parts: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                block, teaches = Block(batch.column("framed")[r].values, parts), np.asarray(batch.column("teaches")[r].values.to_pylist(), dtype=bool)
+                block, teaches = Block(framed_texts(batch, r), parts), np.asarray(batch.column("teaches")[r].values.to_pylist(), dtype=bool)
                 rows = []
                 gram, part, n = block.gram_counts(teaches)
                 for p, s in by_part(part):
@@ -441,7 +450,7 @@ def added(parts: int, tokens: int, distinct: int):
                 if kind[r] is not None and kind[r] != "z":
                     held[kind[r]].append(grown(data[r], size[r], "<f8" if kind[r] == "g" else "<i8"))
                     continue
-                framed = batch.column("framed")[r].values
+                framed = framed_texts(batch, r)
                 block = Block(framed, parts)
                 score = block.scores(np.concatenate([np.zeros(0), *held["g"]]))
                 c = np.concatenate([np.zeros(0, np.int64), *held["w"]])
@@ -465,9 +474,10 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_byt
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(f == 1, F.lit(False)).alias("held_out"),
                       F.coalesce(f != 1, F.lit(False)).alias("teaches"))
     table = text_blocks(src, block_bytes)
-    parts = min(max(table.count(), PARTS[0]), PARTS[1])
-    items = cut_lineage(table.select("block", "framed", "teaches").mapInArrow(sent_items(parts), ITEMS))
-    merged = cut_lineage(items.repartition("kind", "part").sortWithinPartitions("kind", "part").mapInArrow(merged_items(parts), MERGED))
+    blocks = max(table.count(), 1)
+    parts = min(max(blocks, PARTS[0]), PARTS[1])
+    items = cut_lineage(table.select("block", "sizes", "data", "teaches").mapInArrow(sent_items(parts), ITEMS))
+    merged = cut_lineage(items.repartition(parts, "kind", "part").sortWithinPartitions("kind", "part").mapInArrow(merged_items(parts), MERGED))
     n, v = merged.where("kind = 'w'").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
 
     short = merged.where("kind = 'g'").select(F.explode(F.arrays_zip("short", "short_n")).alias("s")).groupBy(F.col("s.short").alias("gram")).agg(F.sum("s.short_n").alias("n"))
@@ -485,13 +495,14 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_byt
         "kind", "part", F.lit(role).alias("role"), block, "size", "bytes", "items", "counts", *[none(c, t) for c, t in NUMBERS.items()])
     role1 = rest(merged.where((F.col("kind") == "w") | (F.col("part") < parts)), 1, none("block", "bigint"))
     role2 = rest(items.withColumn("counts", none("counts", "binary")), 2, F.col("block"))
-    dealt = role0.unionByName(role1).unionByName(role2).repartition("kind", "part").sortWithinPartitions("kind", "part", "role")
+    dealt = role0.unionByName(role1).unionByName(role2).repartition(parts, "kind", "part").sortWithinPartitions("kind", "part", "role")
     valued = dealt.mapInArrow(valued_items(parts), VALUED)
 
     kind = table.schema["doc_id"].dataType
-    texts = table.select("block", F.lit("z").alias("kind"), none("part", "int"), none("size", "int"), none("data", "binary"), "doc_id", "held_out", "framed")
-    valued = valued.select("*", F.lit(None).cast(kind).alias("doc_id"), none("held_out", "array<boolean>"), none("framed", "array<string>"))
-    by_block = valued.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind", "part")
+    texts = table.select("block", F.lit("z").alias("kind"), none("part", "int"), none("size", "int"), "data", "doc_id", "held_out", "sizes")
+    valued = valued.select("*", F.lit(None).cast(kind).alias("doc_id"), none("held_out", "array<boolean>"), none("sizes", "array<bigint>"))
+    # About a block a task: what a task gets at once is then a block, however few the parts are.
+    by_block = valued.unionByName(texts).repartition(min(blocks, PARTS[1]), "block").sortWithinPartitions("block", "kind", "part")
     out = by_block.mapInArrow(added(parts, int(n), int(v)), (
         f"doc_id {kind.elementType.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
