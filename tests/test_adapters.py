@@ -18,5 +18,4 @@ def test_rows_become_findings(spark):
 def test_every_mapped_detector_can_give_findings():
     giving = {a.detector for a in ADAPTERS.values()} | {r.detector for r in PACK}
     wanted = {d for m in (ORGANIZERS, COMPLIANCE) for ds in m.values() for d in ds}
-    # Inventories list what there is; they find nothing by themselves.
-    assert wanted - giving == {"D13", "D18", "D20"}
+    assert wanted <= giving
