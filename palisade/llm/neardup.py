@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.common import coded, free_names, slices, split_words, spread_join, text_or_empty
-from palisade.llm.tables import filled
+from palisade.llm.tables import filled, marked
 from palisade.operators.detect.graph import components
 from palisade.session import cut_lineage
 
@@ -424,12 +424,18 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
     """One document of each class, the one with the smallest doc_id; all columns stay, whatever their names."""
     grouped = links(docs, text, **how)
     rows = docs.select(F.col(doc_id).alias("doc_id"), node(text).alias("node")).groupBy("node", "doc_id").agg(F.count("*").alias("rows"))
+    placed = cut_lineage(rows.join(grouped, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"))
     first = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "node", "rows")
-    kept = rows.join(grouped, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min(first).alias("k"))
+    chosen = cut_lineage(placed.groupBy("c").agg(F.min(first).alias("k"), F.sum("rows").alias("docs")))
+    # A document that is alone in its class stays where it is; only the texts of the others move.
+    known = marked(spread_join(placed, chosen.where(F.col("docs") > 1).select("c"), "c", "left_semi").select(F.col("node").alias("key")))
     own, its_node, its_id, times = free_names(docs, "own", "node", "id", "rows")
-    kept = cut_lineage(kept.select(F.col("k.node").alias(its_node), F.col("k.doc_id").alias(its_id), F.col("k.rows").alias(times)))
-    met = docs.withColumn(own, node(text)).join(kept, (F.col(own) == F.col(its_node)) & F.col(doc_id).eqNullSafe(F.col(its_id)))
+    kept = chosen.select(F.col("k.node").alias(its_node), F.col("k.doc_id").alias(its_id), F.col("k.rows").alias(times))
+    src = docs.withColumn(own, node(text))
+    alone = src.where(~known(F.col(own))).select(*docs.columns)
+    met = src.where(known(F.col(own))).join(kept, (F.col(own) == F.col(its_node)) & F.col(doc_id).eqNullSafe(F.col(its_id)))
     if kept.where(F.col(times) > 1).isEmpty():
-        return met.select(*docs.columns)
+        return alone.unionByName(met.select(*docs.columns))
     # Repeated rows: any of them stands for all.
-    return met.where(F.col(times) == 1).unionByName(met.where(F.col(times) > 1).dropDuplicates([own])).select(*docs.columns)
+    one = met.where(F.col(times) == 1).unionByName(met.where(F.col(times) > 1).dropDuplicates([own]))
+    return alone.unionByName(one.select(*docs.columns))
