@@ -46,6 +46,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         starts = np.flatnonzero(np.diff(group, prepend=-1))
         for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
             yield batch.slice(a, b - a)
+        # Workers are kept for later tasks; what they do not use goes back.
+        pa.default_memory_pool().release_unused()
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

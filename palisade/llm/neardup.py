@@ -49,6 +49,7 @@ IDF_BITS = 20
 DRAWS = 1 << 16
 BLOOM = 1 << 23
 SALT_ROWS = 256
+SLICE = 2 << 20  # bytes of text that a task looks at together
 FEW = 1024  # members outside a group's largest component that are held in a task
 MARKS = 1 << 13
 SLACK = 1e-6  # of rounding
@@ -89,7 +90,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
     """Hashed document frequencies over all documents, and the number of documents."""
 
     def count(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> None:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", SLICE):
             found, at = shingles(batch.column("text"))
             owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
             first = np.ones(len(found), bool)
@@ -158,7 +159,7 @@ def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(shared.value)
         salt = np.random.default_rng(19).integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
-        for batch in slices(batches, limit=4 << 20):
+        for batch in slices(batches, limit=SLICE):
             found, at = shingles(batch.column("text"))
             all_samples = np.array([sampler.of(found[a:b]) for a, b in zip(at, at[1:], strict=False)])
             keys = ((all_samples.reshape(-1, BANDS, ROWS).astype(np.uint64) + np.uint64(1)) * salt).sum(2, dtype=np.uint64)
@@ -192,7 +193,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for i in np.flatnonzero(keep).tolist():  # a copy was sent already
                 keep[i] = nodes[i] not in done
                 done.add(nodes[i])
-            for batch in slices(iter([whole.filter(pa.array(keep))]), limit=4 << 20):
+            for batch in slices(iter([whole.filter(pa.array(keep))]), limit=SLICE):
                 found, at = shingles(batch.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("node"), pa.array([found[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())], ["node", "found"])

@@ -27,7 +27,7 @@ from palisade.llm.common import coded, free_names, n_words, slices, split_words,
 from palisade.llm.tables import marked
 from palisade.session import cut_lineage
 
-SLICE = 4 << 20
+SLICE = 2 << 20
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
