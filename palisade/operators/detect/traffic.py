@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,26 +109,78 @@ def stuffing(events: DataFrame, source: Column, failed: Column, share: float, us
         (F.col("users") >= users) & (F.col("failures") <= per_user * F.col("users")))
 
 
-def periodicity(events: DataFrame, key: str, ts: str, bin_us: int, lags: int, first_lag: int = 3) -> DataFrame:
+def periodicity(events: DataFrame, key: str, ts: str, bin_us: int, lags: int, first_lag: int = 3, width: int = 1024) -> DataFrame:
     """(key, events, lag, strength): the lag in bins at which a key's activity repeats most, by autocorrelation.
 
     An event counts 2 in its bin and 1 in each neighbour, so beats that come a little early or late still meet; a missed beat
-    lowers the sum by one product. Products of bins are joined on (key, bin): a key of any size is spread over its bins. Lags run up to
-    ``lags`` and a third of the key's span.
+    lowers the sum by one product. Lags run up to ``lags`` and a third of the key's span. A key's bins are cut into blocks of ``width``
+    bins, each with the next bins that its lags reach; products are made within a block, and one row of sums per block moves on. So
+    every counted bin moves once, those near a block's border twice, and a key of any size is spread over its blocks.
     """
     bin_ = int_bucket(F.unix_micros(F.col(ts).cast("timestamp")), bin_us)
-    spread = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(w).cast("bigint").alias("w")) for d, w in ((-1, 1), (0, 2), (1, 1))]))
-    counts = cut_lineage(events.select(key, bin_.alias("b"), spread.alias("x")).groupBy(key, (F.col("b") + F.col("x.d")).alias("b")).agg(F.sum("x.w").alias("c")))
-    sums = counts.groupBy(key).agg(
-        F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), (F.max("b") - F.min("b") + 1).alias("n"))
-    ahead = counts.select(key, F.explode(F.sequence(F.lit(first_lag), F.lit(lags))).alias("lag"), "b", "c").select(
-        key, "lag", (F.col("b") + F.col("lag")).alias("b"), F.col("c").alias("c0"))
-    products = ahead.join(counts, [key, "b"]).groupBy(key, "lag").agg(F.sum(F.col("c0") * F.col("c")).alias("p"))
+    counts = events.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key"), bin_.alias("b")).agg(F.count("*").alias("n"))
+    # Events without a time have no bin and lie in no block, but count among the key's events.
+    blocks = F.sequence(int_bucket(F.col("b") - (lags + 1), width), int_bucket(F.col("b") + 1, width))
+    dealt = counts.select("_key", F.explode_outer(blocks).alias("block"), "b", "n").groupBy("_key", "block").agg(F.collect_list(F.struct("b", "n")).alias("bins"))
+    kind = events.schema[key].dataType.simpleString()
+    parts = dealt.mapInArrow(_block_sums(first_lag, lags, width), f"_key {kind}, s bigint, q bigint, low bigint, high bigint, p array<bigint>")
+    each = range(lags - first_lag + 1)
+    sums = parts.groupBy("_key").agg(
+        F.sum("s").alias("s"), F.sum("q").alias("q"), (F.max("high") - F.min("low") + 1).alias("n"), F.array(*[F.sum(F.col("p")[i]) for i in each]).alias("p"))
     mean = F.col("s") * F.col("s") / F.col("n")
-    strength = F.round((F.col("p") * F.col("n") / (F.col("n") - F.col("lag")) - mean) / (F.col("q") - mean), 6)
-    scored = products.join(sums, key).where((3 * F.col("lag") <= F.col("n")) & (F.col("q") > mean)).withColumn("strength", strength)
-    best = scored.groupBy(key).agg(F.max(F.struct("strength", (-F.col("lag")).alias("less"), F.expr("s DIV 4").alias("events"))).alias("m"))
-    return best.select(key, F.col("m.events").alias("events"), (-F.col("m.less")).alias("lag"), F.col("m.strength").alias("strength"))
+
+    def scored(p: Column, i: Column) -> Column:
+        lag = i + first_lag
+        strength = F.round((p * F.col("n") / (F.col("n") - lag) - mean) / (F.col("q") - mean), 6)
+        return F.when((p > 0) & (3 * lag <= F.col("n")) & (F.col("q") > mean), F.struct(strength.alias("strength"), (-lag).alias("less")))
+
+    best = sums.select("_key", F.expr("s DIV 4").alias("events"), F.array_max(F.transform("p", scored)).alias("m")).where(F.col("m").isNotNull())
+    return best.select(F.col("_key").alias(key), "events", (-F.col("m.less")).alias("lag"), F.col("m.strength").alias("strength"))
+
+
+def _block_sums(first_lag: int, lags: int, width: int):
+    """Per (key, block) of bins (b, n), in any order: sum, sum of squares, ends and products by lag of the spread counts of the block's own bins."""
+    span = width + 2 * lags + 8  # of a block's places; bins of different rows are more than ``lags`` apart
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Few enough rows at once that full blocks stay small.
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
+            groups, lists = batch.num_rows, batch.column("bins")
+            bins = lists.flatten()
+            row = np.repeat(np.arange(groups), np.asarray(pc.list_value_length(lists), dtype=np.int64))
+            n = np.asarray(bins.field("n"), dtype=np.int64)
+            start = np.asarray(pc.fill_null(batch.column("block"), 0), dtype=np.int64) * width
+            dated = np.asarray(bins.field("b").is_valid(), dtype=bool)
+            s, q = np.zeros(groups, np.int64), np.zeros(groups, np.int64)
+            s[row[~dated]], q[row[~dated]] = 4 * n[~dated], 16 * n[~dated] ** 2
+            row, n = row[dated], n[dated]
+            place = np.asarray(bins.field("b").drop_null(), dtype=np.int64) - start[row] + 2
+            # Sorted by row and place; a bin has what its events and those of its neighbours add to it.
+            at, which = np.unique(np.concatenate([row * span + place + d for d in (-1, 0, 1)]), return_inverse=True)
+            x = np.zeros(len(at), np.int64)
+            np.add.at(x, which, np.concatenate([n, 2 * n, n]))
+            row, place = np.divmod(at, span)
+            i = np.flatnonzero((place >= 2) & (place < width + 2))
+            np.add.at(s, row[i], x[i])
+            np.add.at(q, row[i], x[i] * x[i])
+            low, high = np.full(groups, span), np.full(groups, -1)
+            np.minimum.at(low, row[i], place[i])
+            np.maximum.at(high, row[i], place[i])
+            products, k = np.zeros((groups, lags + 1), np.int64), 0
+            while len(i):
+                k += 1
+                i = i[i + k < len(at)]
+                lag = at[i + k] - at[i]
+                near = lag <= lags
+                i, lag = i[near], lag[near]
+                np.add.at(products, (row[i], lag), x[i] * x[i + k])
+            none, wide = high < 0, lags - first_lag + 1
+            yield pa.RecordBatch.from_arrays([
+                batch.column("_key"), pa.array(s), pa.array(q), pa.array(low + start - 2, mask=none), pa.array(high + start - 2, mask=none),
+                pa.ListArray.from_arrays(pa.array(np.arange(groups + 1) * wide, pa.int32()), pa.array(products[:, first_lag:].ravel())),
+            ], ["_key", "s", "q", "low", "high", "p"])
+
+    return sums
 
 
 def exfiltration(periodic: DataFrame, spikes: DataFrame, hosts: DataFrame, key: str) -> DataFrame:

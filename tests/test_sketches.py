@@ -72,6 +72,33 @@ def test_a_beat_with_jitter_and_gaps(spark):
     assert got["person"].strength < 0.35
 
 
+def test_beats_are_summed_within_blocks(spark):
+    """Whatever the blocks, strengths are those of a plain autocorrelation, and no row is made per bin and lag."""
+    rng = random.Random(6)
+    rows = [(str(k), rng.choice([rng.randrange(400), 9 * rng.randrange(44)])) for k, n in enumerate([1, 3, 40, 300, 900]) for _ in range(n)]
+    rows += [("2", None), ("gone", None), (None, 5)]
+    df = spark.createDataFrame(rows, "key string, h long").selectExpr("key", "timestamp_seconds(1700000000 div 3600 * 3600 + h * 3600) AS ts")
+    want = {}
+    for key in {k for k, _ in rows if k}:
+        x, undated = {}, sum(k == key and h is None for k, h in rows)
+        for _, h in ((k, h) for k, h in rows if k == key and h is not None):
+            for d, w in ((-1, 1), (0, 2), (1, 1)):
+                x[h + d] = x.get(h + d, 0) + w
+        s, q, n = sum(x.values()) + 4 * undated, sum(v * v for v in x.values()) + 16 * undated**2, max(x, default=0) - min(x, default=0) + 1
+        found = []
+        for lag in range(3, 31):
+            p = sum(v * x.get(b + lag, 0) for b, v in x.items())
+            if p and 3 * lag <= n and q > s * s / n:
+                found.append((round((p * n / (n - lag) - s * s / n) / (q - s * s / n), 6), -lag))
+        if found:
+            want[key] = (s // 4, -max(found)[1], max(found)[0])
+    for width in (40, 1024):
+        out = traffic.periodicity(df, "key", "ts", 3_600_000_000, 30, width=width)
+        assert {r.key: (r.events, r.lag, r.strength) for r in out.collect()} == want
+    assert len(want) >= 3
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_passages(spark):
     rng = random.Random(4)
     word = lambda: rng.choice("abcdefgh") + rng.choice("ijklmnop") + str(rng.randrange(300))
