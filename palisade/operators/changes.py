@@ -196,30 +196,28 @@ def apply_updates(state: DataFrame, requests: DataFrame, entity: str, now: Colum
         *[written(f) for f in fields],
     ))
     old = state.select(F.col("id").alias("_sid"), *([F.col(unique).alias("_own")] if unique else []))
-    src = asked.join(old, asked._id == F.col("_sid"), "left").withColumn(
+    # Requests without an id meet nothing: they stay out of the joins, where all of them would be one key.
+    lost = asked.where(F.col("_id").isNull()).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in old.schema])
+    src = asked.where(F.col("_id").isNotNull()).join(old, F.col("_id") == F.col("_sid"), "left").withColumn(
         "_ok", F.coalesce(F.col("_sid").isNotNull() & (F.size("_errors") == 0), F.lit(False))
     )
     if unique:
         # A claim is a changed key of a request that passed everything before it.
         changed = F.col("_ok") & (F.col("_ask") != F.col("_own"))
         src = src.withColumn("_want", F.when(changed, F.col("_ask")))
+        claims = src.where(F.col("_want").isNotNull())
         held = state.select(F.col(unique).alias("_held")).distinct()
-        first = (
-            src.where(F.col("_want").isNotNull())
-            .groupBy(F.col("_want").alias("_key"))
-            .agg(F.min_by("_id", "seq").alias("_winner"))
-        )
-        src = (
-            src.join(held, src._want == F.col("_held"), "left")
-            .join(first, src._want == F.col("_key"), "left")
-            .withColumn(
-                "_dup",
-                F.col("_want").isNotNull() & (F.col("_held").isNotNull() | (F.col("_winner") != F.col("_id"))),
-            )
-            .drop("_held", "_key", "_winner")
-        )
+        first = claims.groupBy(F.col("_want").alias("_key")).agg(F.min_by("_id", "seq").alias("_winner"))
+        asked_for = claims.select(F.col("_id").alias("_by"), F.col("_want").alias("_for")).distinct()
+        judged = asked_for.join(held, F.col("_for") == F.col("_held"), "left").join(first, F.col("_for") == F.col("_key"), "left").select(
+            "_by", "_for", (F.col("_held").isNotNull() | (F.col("_winner") != F.col("_by"))).alias("_taken"))
+        # Joined by id and key, so that requests without a claim are spread by their ids.
+        src = src.join(judged, (F.col("_id") == F.col("_by")) & (F.col("_want") == F.col("_for")), "left").withColumn(
+            "_dup", F.when(F.col("_want").isNull(), F.lit(False)).otherwise(F.col("_taken"))).drop("_by", "_for", "_taken")
+        lost = lost.withColumn("_want", F.lit(None).cast("string"))
     else:
         src = src.withColumn("_dup", F.lit(False))
+    src = src.unionByName(lost.withColumn("_ok", F.lit(False)).withColumn("_dup", F.lit(False)))
     status = (
         F.when(F.col("_id").isNull(), 400)
         .when(F.col("_sid").isNull(), 404)

@@ -200,3 +200,31 @@ def test_read_entities_has_fixed_schema(spark, users, tmp_path):
     got = read_entities(spark, str(tmp_path / "u"), "users")
     assert got.schema == ENTITIES["users"]
     assert ids(got) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("raw_id", ["id", "'abc'"])
+def test_requests_without_a_claim_are_spread(spark, raw_id):
+    """Requests that ask for no key, or have no id, do not meet in one task."""
+    state = spark.range(400).selectExpr("id", "concat('u', id) AS name", "concat('u', id, '@x') AS email", "'user' AS role").select(
+        "*", now().alias("createdAt"), now().alias("updatedAt"))
+    requests = spark.range(400).selectExpr("id AS req_id", "id AS seq", f"string({raw_id}) AS raw_id", "'{\"name\":\"new name\"}' AS body").repartition(4, "seq")
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in plain}
+    try:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+        _, responses, _ = M.apply_updates(state, requests, "users", now(), unique="email")
+        per_task = [r["count"] for r in responses.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(per_task) == 400 and max(per_task) < 200
+
+
+def test_claims_of_one_key(spark, users):
+    """Of two that ask for a free key the first gets it; a held key and one asked for again by its winner."""
+    asked = [(1, "1", "New@x.com"), (2, "2", "new@x.com"), (3, "1", "new@x.com"), (4, "3", "ann@example.com"), (5, None, "q@x.com"), (6, "2", "ben@example.com")]
+    requests = spark.createDataFrame([(i, i, r, json.dumps({"email": e})) for i, r, e in asked], "req_id int, seq int, raw_id string, body string")
+    state, responses, _ = M.apply_updates(users, requests, "users", now(), unique="email")
+    assert {r.req_id: r.status for r in responses.collect()} == {1: 200, 2: 409, 3: 200, 4: 409, 5: 400, 6: 200}
+    assert sorted(r.email for r in state.collect()) == ["ben@example.com", "cat@example.com", "new@x.com"]
