@@ -5,6 +5,9 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from palisade.plans.relational import j5
+from palisade.session import tasks_for
+from palisade.sources.tables import Tables
 
 
 def plan(df) -> str:
@@ -64,3 +67,10 @@ def test_shared_folder_is_required_on_a_cluster(monkeypatch):
 
     with pytest.raises(RuntimeError):
         shared_dir(Session())
+
+
+def test_tasks_follow_the_rows(spark, sf):
+    """A task's share of a table's rows is bounded; j5 tells orders apart in that many tasks."""
+    assert tasks_for(spark.range(100), rows=10) == 10 and tasks_for(spark.range(100)) == 4
+    plan = j5(Tables(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [l_orderkey" in plan
