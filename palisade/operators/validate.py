@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.functions.coerce import JsonBody, json_type, trimmed_length
+from palisade.functions.coerce import JsonBody, json_type, let, trimmed_length
 
 # Enumerations and messages of the API being validated.
 ROLES = ["admin", "user"]
@@ -81,9 +81,10 @@ def item_errors(body: JsonBody) -> Column:
 
     def check(item: Column, n: Column) -> Column:
         def message(key: str, label: str) -> Column:
-            v = F.try_variant_get(item, f"$.{key}", "variant")
-            # An absent key gives a NULL variant, whose type is not 'number' either.
-            ok = (json_type(v) == "number") & (F.try_variant_get(item, f"$.{key}", "double") > 0)
+            # The value is taken out once and its type read once. An absent key gives a NULL variant, which is no number either.
+            kind = lambda v: let(F.schema_of_variant(v), lambda k: (
+                ~k.isin("VOID", "STRING", "BOOLEAN") & ~k.startswith("ARRAY") & ~k.startswith("OBJECT")))
+            ok = let(F.try_variant_get(item, f"$.{key}", "variant"), lambda v: kind(v) & (F.try_variant_get(v, "$", "double") > 0))
             text = F.concat(F.lit("Item "), (n + 1).cast("string"), F.lit(f": {label} must be a positive number"))
             return F.when(~F.coalesce(ok, F.lit(False)), text)
 

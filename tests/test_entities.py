@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from palisade.operators import changes as M
 from palisade.operators import filters as P
-from palisade.operators.validate import validate
+from palisade.operators.validate import item_errors, validate
 from palisade.schemas import ENTITIES
 from palisade.sources.entities import read_entities
 
@@ -228,3 +228,14 @@ def test_claims_of_one_key(spark, users):
     state, responses, _ = M.apply_updates(users, requests, "users", now(), unique="email")
     assert {r.req_id: r.status for r in responses.collect()} == {1: 200, 2: 409, 3: 200, 4: 409, 5: 400, 6: 200}
     assert sorted(r.email for r in state.collect()) == ["ben@example.com", "cat@example.com", "new@x.com"]
+
+
+def test_an_items_type_is_read_once(spark):
+    """One look at the type of each of an item's three values, with the same messages."""
+    out = M.JsonBody.prepared(spark.createDataFrame([
+        ('{"items":[{"productId":1,"quantity":"2","price":true},{"productId":0,"quantity":1.5,"price":null},{"quantity":[1],"price":{}},3]}',)], "body string"), "body")
+    df = out[0].select(item_errors(out[1]).alias("e"))
+    label = {"productId": "Product ID", "quantity": "Quantity", "price": "Price"}
+    bad = [(1, "quantity"), (1, "price"), (2, "productId"), (2, "price"), *[(i, k) for i in (3, 4) for k in label]]
+    assert df.first().e == [f"Item {i}: {label[k]} must be a positive number" for i, k in bad]
+    assert df._jdf.queryExecution().analyzed().toString().count("schema_of_variant") == 3
