@@ -15,6 +15,7 @@ import bisect
 import json
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ from palisade.session import cut_lineage
 
 FAN_IN = 16
 WINDOW = 1 << 17  # pieces that are packed together
+SLICE = 2 << 20  # bytes of text tokenised at once: their units, ids and places take many times as much
 # White space before a space: there a run of white space could end in the middle of a unit.
 UNSAFE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] |[\s\x0b\x1c-\x1f\x{85}\p{Z}]\z"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -41,11 +43,16 @@ class Ids:
     """
 
     def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            self.fast = self._ranks(json.load(f))
+        self.path = path
+
+    @cached_property
+    def library(self):
+        """The library's own tokenizer; a worker that goes by ranks does without."""
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        spec = json.load(open(path, encoding="utf-8"))
-        self.fast = self._ranks(spec)
+        return Tokenizer.from_file(self.path)
 
     def _ranks(self, spec: dict):
         import tiktoken
@@ -176,7 +183,7 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, task, made = Ids(tokenizer_path), TaskContext.get().partitionId(), 0
         waiting: list[dict] = []
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             waiting.append(_cut(batch, ids_of, room, end))
             if sum(len(w["length"]) for w in waiting) >= WINDOW:
                 out, made = _pack_pieces(waiting, room, task, made)

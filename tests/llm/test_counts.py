@@ -193,3 +193,11 @@ def test_names_of_helpers_are_free(spark):
     assert quality.clean(odd).columns == odd.columns and quality.clean(odd).count() == 0
     more = df.selectExpr("doc_id", "concat('alpha beta gamma delta epsilon zeta eta theta iota kappa ', doc_id) AS text", "source", "key AS doc", "copies AS words", "_key AS lines", "nth AS repeat")
     assert {tuple(r) for r in quality.clean(more).collect()} == {tuple(r) for r in more.collect()}
+
+
+def test_a_packing_worker_holds_one_tokenizer():
+    """The library is loaded only where the rank encoder cannot do it, and a slice of text is small."""
+    ids = packing.Ids(BYTES_FILE)
+    assert ids.fast is not None and "library" not in vars(ids) and packing.SLICE <= 4 << 20
+    ids.fast = None
+    assert len(ids.whole("two words")) and "library" in vars(ids)
