@@ -88,19 +88,6 @@ def luhn_valid(digits: Column | str) -> Column:
     return let(F.filter(rev, lambda c: c.isNotNull()), check)
 
 
-def word_ngrams(x: Column | str, n: int) -> Column:
-    """Distinct hashes of the n-word shingles of a text (whole text, no prefix)."""
-
-    def hashes(words: Column) -> Column:
-        grams = F.transform(
-            F.sequence(F.lit(1), F.size(words) - (n - 1)),
-            lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " ")),
-        )
-        return F.when(F.size(words) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<bigint>"))
-
-    return let(split_words(x), hashes)
-
-
 def split_words(x: Column | str) -> Column:
     return F.filter(F.split(_col(x), r"[ \n\t\r]+"), lambda w: w != "")
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.functions.lexer import only
-from palisade.functions.text import entropy, luhn_valid, redact, word_ngrams
+from palisade.functions.lexer import only, text_parts
+from palisade.functions.text import entropy, luhn_valid, redact
 from palisade.operators.detect.registry import register_detector
 from palisade.operators.detect.rules import match_rules, pack, scan
 from palisade.sources.files import lines
@@ -80,19 +84,35 @@ def pii(files: DataFrame, *keys: str) -> DataFrame:
     return files.select(*keys, F.inline(hits)).select(*keys, "kind", redact("value").alias("value"))
 
 
+def _long_token(text: Column) -> Column:
+    """Whether a text holds a long token; null for null."""
+
+    @F.arrow_udf("boolean")
+    def found(column: pa.Array) -> pa.Array:
+        return pc.match_substring_regex(column, pattern=LONG_TOKEN)
+
+    return found(text)
+
+
 def obfuscation(files: DataFrame, *keys: str) -> DataFrame:
     """Per file: highest entropy of a long token, longest line, hidden-code runs, non-ASCII share, score."""
     text = F.col("content")
-    tokens = F.regexp_extract_all(text, F.lit(LONG_TOKEN), F.lit(0))
     chars = F.length(text)
-    out = files.select(
+    counted = lambda p: F.size(F.regexp_extract_all(text, F.lit(p), F.lit(0)))
+    gated = lambda test, value: F.when(~test, F.lit(0)).otherwise(value)
+    # Few texts hold a long token: the others are told on whole Arrow columns, and their entropy and runs of base64 are not looked for.
+    long = F.col("_long")
+    out = files.withColumn("_long", _long_token(text)).select(
         *keys,
-        F.coalesce(F.array_max(F.transform(tokens, entropy)), F.lit(0.0)).alias("max_entropy"),
+        F.when(~long, F.lit(0.0)).otherwise(
+            F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit(LONG_TOKEN), F.lit(0)), entropy)), F.lit(0.0))).alias("max_entropy"),
         F.array_max(F.transform(F.split(text, "\n"), F.length)).alias("longest_line"),
-        F.size(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9+/]{40,}={0,2}"), F.lit(0))).alias("base64_runs"),
-        F.size(F.regexp_extract_all(text, F.lit(r"([\\]x[0-9a-fA-F]{2}){8,}"), F.lit(0))).alias("hex_runs"),
-        F.when(text.rlike(r"(eval|exec)[(][ ]*(atob|base64|unescape|bytes[.]fromhex)"), 1).otherwise(0).alias("eval_decode"),
-        F.round(F.try_divide(F.length(F.regexp_replace(text, r"[\x00-\x7F]+", "")), chars), 6).alias("non_ascii"),
+        gated(long, counted(r"[A-Za-z0-9+/]{40,}={0,2}")).alias("base64_runs"),
+        gated(F.contains(text, F.lit("\\x")), counted(r"([\\]x[0-9a-fA-F]{2}){8,}")).alias("hex_runs"),
+        F.when((F.contains(text, F.lit("eval(")) | F.contains(text, F.lit("exec("))) & text.rlike(
+            r"(eval|exec)[(][ ]*(atob|base64|unescape|bytes[.]fromhex)"), 1).otherwise(0).alias("eval_decode"),
+        # A text with as many bytes as characters is ASCII throughout.
+        F.round(F.try_divide(gated(F.octet_length(text) > chars, F.length(F.regexp_replace(text, r"[\x00-\x7F]+", ""))), chars), 6).alias("non_ascii"),
     )
     score = (
         F.when(F.col("max_entropy") > 4.5, 30).otherwise(0)
@@ -114,14 +134,57 @@ def signature_overlap(files: DataFrame, known: DataFrame, key: str, known_key: s
     """
     hashed = known.select(known_key, F.md5("content").alias("k"), "content")
     theirs = hashed.groupBy("k").agg(F.first("content").alias("content"))
-    bad = theirs.select("k", word_ngrams("content", n).alias("gs")).select("k", F.size("gs").alias("total"), F.explode("gs").alias("g"))
-    grams = files.select(key, F.explode(word_ngrams("content", n)).alias("g"))
+    bad = word_shingles(theirs, "k", n)
+    grams = word_shingles(files, key, n).select(key, "g")
     hits = grams.join(bad, "g").groupBy(key, "k").agg(F.count("*").alias("shared"), F.first("total").alias("total"))
     return hits.join(hashed.select(known_key, "k"), "k").select(
         key, known_key, "shared", F.round(F.col("shared") / F.col("total"), 6).alias("overlap")
     )
 
 
+def word_shingles(files: DataFrame, key: str, n: int) -> DataFrame:
+    """(key, g, total): the distinct n-word shingles of each row's whole text as 64-bit hashes, and how many the row has."""
+    src = files.select(F.col(key).alias("_key"), F.col("content").alias("_text"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = 0
+            for texts in text_parts(batch.column("_text")):
+                owner, found = shingle_hashes(texts, n)
+                total = np.bincount(owner, minlength=len(texts))[owner]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("_key").slice(done, len(texts)).take(pa.array(owner)), pa.array(found.view(np.int64)), pa.array(total.astype(np.int64))], ["_key", "g", "total"])
+                done += len(texts)
+
+    kind = src.schema["_key"].dataType.simpleString()
+    return src.mapInArrow(hashed, f"_key {kind}, g bigint, total bigint").withColumnRenamed("_key", key)
+
+
+def shingle_hashes(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of the distinct n-word shingles of each text; words stand between runs of blanks, tabs and line ends."""
+    lists = pc.split_pattern_regex(pc.fill_null(texts, ""), r"[ \n\t\r]+")
+    words = pc.list_flatten(lists)
+    owner = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists), dtype=np.int64))
+    full = pc.not_equal(pc.binary_length(words), 0)
+    coded = words.filter(full).dictionary_encode()
+    owner, m = owner[np.asarray(full)], len(coded) - n + 1
+    if m < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    word = pd.util.hash_array(np.asarray(coded.dictionary.to_pandas(), dtype=object), categorize=False)[np.asarray(coded.indices)]
+    # Places count: each has an odd factor of its own, the same in every task.
+    factor = np.random.default_rng(16).integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    found = np.zeros(m, np.uint64)
+    for k in range(n):
+        found += word[k : k + m] * factor[k]
+    inside = owner[:m] == owner[n - 1 :]
+    owner, found = owner[:m][inside], found[inside]
+    order = np.lexsort((found, owner))
+    owner, found = owner[order], found[order]
+    first = np.ones(len(found), bool)
+    first[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
+    return owner[first], found[first]
+
+
 def licences(files: DataFrame) -> DataFrame:
     """Licence phrases as SPDX identifiers, counted per repo."""
     spdx = F.when(F.col("rule_id") == "licence.mit", "MIT").otherwise("Apache-2.0")

@@ -317,3 +317,45 @@ def test_hidden_injections(spark):
     assert {r.q: r.c for r in df.select("q", traffic.sqli_class(df.q).alias("c")).collect()} == cases
     deep = spark.createDataFrame([("%25252541",), ("%41%2542",), ("50%",), (None,), ("%25",)], "q string")
     assert [r.d for r in deep.select(url_decoded("q").alias("d")).collect()] == ["A", "AB", "50%", None, "%"]
+
+
+def test_signature_shingles_against_plain(spark):
+    import re
+
+    import pyarrow as pa
+
+    from palisade.operators.detect.code import shingle_hashes, signature_overlap
+
+    texts = ["a b c d e f g h i", "", None, "  a\tb\nc d e f g h\r\n", "a b c d e f g h a b c d e f g h", "é x b c d e f g h i", "one two"]
+    owner, found = shingle_hashes(pa.array(texts), 8)
+
+    def plain(text):
+        w = [x for x in re.split("[ \n\t\r]+", text or "") if x]
+        return {tuple(w[i : i + 8]) for i in range(len(w) - 7)}
+
+    sets = [set(found[owner == i].tolist()) for i in range(len(texts))]
+    assert [len(s) for s in sets] == [len(plain(t)) for t in texts] and len(found) == sum(map(len, sets))
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            assert len(sets[i] & sets[j]) == len(plain(a) & plain(b))
+    files = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, content string")
+    known = spark.createDataFrame([(7, texts[0]), (8, texts[0]), (9, texts[6])], "item int, content string")
+    got = signature_overlap(files, known, "id", "item")
+    want = {(i, k, len(plain(t) & plain(texts[0])), len(plain(t) & plain(texts[0])) / 2) for i, t in enumerate(texts) for k in (7, 8) if plain(t) & plain(texts[0])}
+    assert {tuple(r) for r in got.collect()} == want
+    # Shingles are hashed on whole columns and not made as rows of words in the JVM.
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_obfuscation_of_odd_texts(spark):
+    from palisade.operators.detect.code import obfuscation
+
+    texts = [None, "", "plain words only", "x" * 19, "y" * 20, "A1b2" * 10 + "==", "é" * 30, "exec( atob(1)) eval (atob", "\\x41" * 8 + " \\x", "\\x41" * 7, "a\n" + "b " * 1500]
+    rows = obfuscation(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, content string"), "id")
+    got = {r.id: tuple(r)[1:] for r in rows.collect()}
+    # In order: the entropy of the longest tokens, longest line, base64, hex, eval, share of other characters, score.
+    assert got[1] == (0.0, 0, 0, 0, 0, None, 0) and got[2] == (0.0, 16, 0, 0, 0, 0.0, 0) and got[3] == (0.0, 19, 0, 0, 0, 0.0, 0)
+    assert got[4] == (0.0, 20, 0, 0, 0, 0.0, 0) and got[5][1:] == (42, 1, 0, 0, 0.0, 10) and got[6] == (0.0, 30, 0, 0, 0, 1.0, 10)
+    assert got[7][4] == 1 and got[8][3] == 1 and got[9][3] == 0 and got[10][1] == 3000 and got[10][6] == 20
+    # One linear test on whole columns keeps the patterns of long tokens from most texts.
+    assert "ArrowEvalPython" in rows._jdf.queryExecution().executedPlan().toString()
