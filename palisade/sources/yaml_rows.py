@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -198,24 +199,31 @@ class Stretch:
         kind, value = value_kind(rest)
         if kind not in ("", "done"):
             self.stack[-1]["open"] = kind
-        return self._row(n, "node", value, DEEPEST, text) | {"kind": "node:" + kind}
+        return self._row(n, "node:" + kind, value, DEEPEST, text)
 
     def _inside(self, rank: int) -> bool:
-        return any(e["open"] and e["rank"] < rank for e in self.stack)
+        for e in self.stack:  # from the outside in: the first that is open is the outermost
+            if e["open"]:
+                return e["rank"] < rank
+        return False
 
     def _row(self, n: int, kind: str, value: str, rank: int, text: str) -> dict:
         return {"n": n, "kind": kind, "value": value, "least": min(self.least, rank), "text": text,
-                "entries": [e.copy() for e in self.stack if e["rank"] < rank]}
+                "entries": [e for e in self.stack if e["rank"] < rank]}  # an entry does not change once a row holds it
 
 
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines (file, n, text), in order, to rows; behind the last line of a file in a task a row with its stack."""
     part, now, name = TaskContext.get().partitionId(), None, None
-    entry = pa.list_(pa.struct([("rank", pa.int32()), ("label", pa.string()), ("item", pa.bool_()), ("nth", pa.int64()), ("again", pa.bool_()), ("at", pa.int64()), ("open", pa.string())]))
+    kinds = {"file": pa.string(), "part": pa.int32(), "n": pa.int64(), "kind": pa.string(), "value": pa.string(), "least": pa.int32(), "text": pa.string()}
+    fields = {"rank": pa.int32(), "label": pa.string(), "item": pa.bool_(), "nth": pa.int64(), "again": pa.bool_(), "at": pa.int64(), "open": pa.string()}
 
     def batch_of(rows: list[dict]) -> pa.RecordBatch:
-        kinds = {"file": pa.string(), "part": pa.int32(), "n": pa.int64(), "kind": pa.string(), "value": pa.string(), "least": pa.int32(), "text": pa.string(), "entries": entry}
-        return pa.RecordBatch.from_pydict({c: pa.array([r[c] for r in rows], t) for c, t in kinds.items()})
+        held = [e for r in rows for e in r["entries"]]
+        ends = list(accumulate((len(r["entries"]) for r in rows), initial=0))
+        entries = pa.StructArray.from_arrays([pa.array([e[f] for e in held], t) for f, t in fields.items()], list(fields))
+        columns = {c: pa.array([r[c] for r in rows], t) for c, t in kinds.items()}
+        return pa.RecordBatch.from_pydict(columns | {"entries": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)})
 
     def end() -> dict:
         return {"file": name, "part": part, "n": None, "kind": "end", "value": None, "least": now.least, "text": None, "entries": now.stack}
@@ -227,7 +235,9 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if now is not None:
                     rows.append(end())
                 now, name = Stretch(), file
-            rows.append(now.line(n, text or "") | {"file": file, "part": part})
+            row = now.line(n, text or "")
+            row["file"], row["part"] = file, part
+            rows.append(row)
             if len(rows) >= 2000:
                 yield batch_of(rows)
                 rows = []
@@ -296,10 +306,9 @@ def yaml_rows(lines: DataFrame, partitions: int | None = None) -> DataFrame:
     nodes = placed.where(F.col("_owner").isNull() & is_node)
     me, parent = F.element_at("all", -1), F.get("all", F.size("all") - 2)
     nodes = nodes.select("file", "n", F.substring("kind", 6, 10).alias("open"), "value", "all", me["at"].alias("at"), me["rank"].alias("rank"))
-    # A key or item is a parent if another entry stands on it.
-    parents = nodes.select("file", F.explode(F.transform(
-        F.sequence(F.lit(1), F.size("all")), lambda i: F.when(i < F.size("all"), key_of(F.get("all", i - 1))))).alias("p"))
-    parents = parents.where(F.col("p").isNotNull()).select("file", "p.at", "p.rank").distinct()
+    # A key or item is a parent if another entry stands on it; the line that makes the other one says so.
+    below = F.filter(F.slice("all", F.lit(1), F.size("all") - 1), lambda e, i: F.get("all", i + 1)["at"] == F.col("n"))
+    parents = nodes.select("file", F.explode(F.transform(below, key_of)).alias("p")).select("file", "p.at", "p.rank").distinct()
     label = lambda e: F.when(e["item"], e["nth"].cast("string")).otherwise(e["label"])
     is_document = lambda e: e["rank"] == DOCUMENT
     leaves = nodes.join(parents, ["file", "at", "rank"], "left_anti").join(texts, ["file", "at", "rank"], "left").select(
@@ -377,10 +386,11 @@ def value_of(kind: str, value: str, lines: list[dict], column: int) -> Iterator[
 def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: dict[str, list] = {c: [] for c in ("file", "doc", "n", "path", "type", "value")}
-        for r in batch.to_pylist():
-            for path, kind, value in value_of(r["open"], r["value"] or "", r["lines"] or [], r["column"]):
-                for c, v in zip(out, (r["file"], r["doc"], r["n"], [*r["path"], *path], kind, value), strict=True):
-                    out[c].append(v)
+        file, doc, n, above, *texts = (batch.column(c).to_pylist() for c in ("file", "doc", "n", "path", "open", "value", "lines", "column"))
+        for row, (opened, text, lines, column) in enumerate(zip(*texts, strict=True)):
+            for path, kind, value in value_of(opened, text or "", lines or [], column):
+                for c, v in zip(out.values(), (file[row], doc[row], n[row], above[row] + path, kind, value), strict=True):
+                    c.append(v)
         kinds = {"file": pa.string(), "doc": pa.int64(), "n": pa.int64(), "path": pa.list_(pa.string()), "type": pa.string(), "value": pa.string()}
         yield pa.RecordBatch.from_pydict({c: pa.array(out[c], t) for c, t in kinds.items()})
 
