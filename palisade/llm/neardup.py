@@ -46,7 +46,7 @@ N = 5
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
 IDF_BITS = 20
-DRAWS = 1 << 16
+DRAWS, DRAW_ROWS = 1 << 16, 1 << 12
 BLOOM = 1 << 23
 SALT_ROWS = 256
 SLICE = 2 << 20  # bytes of text that a task looks at together
@@ -111,11 +111,16 @@ class Sampler:
     def __init__(self, idf: np.ndarray) -> None:
         rng = np.random.default_rng(17)
         shape = (DRAWS, SAMPLES)
-        r = rng.gamma(2.0, 1.0, shape).astype(np.float32)
+        parts = range(0, DRAWS, DRAW_ROWS)  # drawn in parts: the draws of 64 bits are twice the table
+        r, fixed = np.empty(shape, np.float32), np.empty(shape, np.float32)
+        for a in parts:
+            r[a : a + DRAW_ROWS] = rng.gamma(2.0, 1.0, (DRAW_ROWS, SAMPLES))
         b = rng.random(shape, np.float32)
-        self.idf, self.r, self.b, self.r_inverse = idf, r, b, 1 / r
         # ln a = ln c - r (t - b) - r
-        self.fixed = np.log(rng.gamma(2.0, 1.0, shape).astype(np.float32)) + r * b - r
+        for a in parts:
+            at = slice(a, a + DRAW_ROWS)
+            fixed[at] = np.log(rng.gamma(2.0, 1.0, (DRAW_ROWS, SAMPLES)).astype(np.float32)) + r[at] * b[at] - r[at]
+        self.idf, self.r, self.b, self.fixed = idf, r, b, fixed
         self.sample = rng.integers(0, 2**63, SAMPLES, dtype=np.uint64)
 
     def of(self, found: np.ndarray) -> np.ndarray:
@@ -130,8 +135,9 @@ class Sampler:
         for a in range(0, len(kinds), 4096):
             part = kinds[a : a + 4096]
             row = part & np.uint32(DRAWS - 1)
-            t = np.floor(log_w[a : a + 4096, None] * self.r_inverse[row] + self.b[row])
-            ln_a = self.fixed[row] - self.r[row] * t
+            r = self.r[row]
+            t = np.floor(log_w[a : a + 4096, None] * (1 / r) + self.b[row])
+            ln_a = self.fixed[row] - r * t
             best = ln_a.argmin(0)
             value = ln_a[best, every]
             less = value < low

@@ -154,3 +154,15 @@ def test_held_sets_find_what_a_full_comparison_finds():
         hits += len(want)
         assert held.similar(j % 3, s) == want
     assert hits > 20
+
+
+def test_sampler_tables_are_small():
+    import tracemalloc
+
+    idf = np.ones(1 << neardup.IDF_BITS, np.float32)
+    tracemalloc.start()
+    neardup.Sampler(idf)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Three tables of 16 MB, and one part of a fourth.
+    assert peak < 64 << 20

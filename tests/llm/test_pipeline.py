@@ -69,3 +69,26 @@ def test_odd_and_repeated_rows_beside_copies_of_clean_documents(spark, sf, odd):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.count() > 0
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    import pyarrow as pa
+
+    import corpus_pipeline
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    docs = spark.createDataFrame([(i, f"{i} word " * 2000, "en", "s", 1) for i in range(800)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    try:
+        spark.conf.unset(name)
+        corpus_pipeline.quality_stage(spark, docs, "")
+        met = [r.n for r in docs.select("text").mapInArrow(sizes, "n long").collect()]
+        assert max(met) < 3 << 20 < sum(met)
+        spark.conf.set(name, "1000000")
+        corpus_pipeline.quality_stage(spark, docs, "")
+        assert spark.conf.get(name) == "1000000"
+    finally:
+        spark.conf.unset(name)
+        if before is not None:
+            spark.conf.set(name, before)
