@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.common import free_names, n_words, text_or_empty
+from palisade.llm.tables import MARKS, told
 from palisade.operators.ordered import global_order
 from palisade.session import cut_lineage
 
 GROUP = 4096
 FAN_IN = 64
+JOINED = 7  # copies that a table of small numbers does not hold
 ROWS = "doc_id {kind}, source string, size bigint, source_size bigint, target double, key bigint, bucket bigint, copies int, open double"
 
 
@@ -158,16 +160,27 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"), "key")
 
 
-def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, **how) -> DataFrame:
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7,
+          entries: int = MARKS, **how) -> DataFrame:
     """The documents as often as the mix takes them, with the columns of ``docs``.
 
-    Rows meet their copies on the row key; rows that are alike share the sum of their copies.
+    A table of ``entries`` numbers tells most rows their copies where they are, by the row key. Only rows that share an entry with
+    rows taken another number of times, and rows that are alike, meet their copies in a join; rows that are alike share the
+    sum of their copies.
     """
     key, copies, alike, nth = free_names(docs, "key", "copies", "alike", "nth")
-    taken = mix(docs, doc_id, text, source, seed=seed, **how).groupBy(F.col("key").alias(key)).agg(F.sum("copies").alias(copies), F.count("*").alias(alike))
-    taken = cut_lineage(taken.where(F.col(copies) > 0))
-    met = docs.withColumn(key, F.xxhash64(F.lit(seed), F.col(doc_id), F.col(source), text_or_empty(text))).join(taken, key)
-    one = met
-    if not taken.where(F.col(alike) > 1).isEmpty():
-        one = met.where(F.col(alike) == 1).unionByName(met.where(F.col(alike) > 1).dropDuplicates([key]))
+    taken = cut_lineage(mix(docs, doc_id, text, source, seed=seed, **how).groupBy(F.col("key").alias(key)).agg(
+        F.sum("copies").alias(copies), F.count("*").alias(alike)))
+    # The last value stands for what only the join can say.
+    value = F.when((F.col(alike) > 1) | (F.col(copies) >= JOINED), F.lit(JOINED)).otherwise(F.col(copies).cast("int"))
+    known = told(taken.select(F.col(key).alias("key"), value.alias("value")), entries)
+    here = F.coalesce(known(F.col(key)), F.lit(JOINED))
+    keyed = docs.withColumn(key, F.xxhash64(F.lit(seed), F.col(doc_id), F.col(source), text_or_empty(text)))
+    one = keyed.withColumn(copies, here.cast("bigint")).where((F.col(copies) > 0) & (F.col(copies) < JOINED)).drop(key)
+    open_ = cut_lineage(taken.where((F.col(copies) > 0) & (here == JOINED)))
+    met = keyed.where(here == JOINED).join(open_, key)
+    single = met
+    if not open_.where(F.col(alike) > 1).isEmpty():
+        single = met.where(F.col(alike) == 1).unionByName(met.where(F.col(alike) > 1).dropDuplicates([key]))
+    one = one.unionByName(single.drop(key, alike))
     return one.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)

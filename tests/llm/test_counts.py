@@ -9,9 +9,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from palisade.llm import mixing, packing, quality, token_counts
+from palisade.llm import mixing, packing, quality, tables, token_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORDS_FILE, BYTES_FILE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -155,6 +156,31 @@ def test_mixing(spark, odd, docs, name):
     assert sum(out.values()) == sum(r.copies for r in rows)
 
 
+def test_copies_are_told_by_a_table_and_the_rest_joined(spark, odd, docs):
+    """Whatever shares an entry, copies are the same; with room for all, only rows that are alike take part in the join."""
+    rows = spark.createDataFrame([(i, i % 4) for i in range(300)] + [((1 << 40) + 5000, 7), (-5, 2)], "key long, value int")
+    wide, narrow = tables.told(rows, 1 << 20), tables.told(rows, 1 << 14 >> 8)
+    assert all(r.w == r.value for r in rows.select("value", wide("key").alias("w")).collect())
+    assert all(r.w in (None, r.value) for r in rows.select("value", narrow("key").alias("w")).collect())
+    for df in (odd, docs.unionByName(docs.where("doc_id % 7 = 0"))):
+        want = Counter({(r.doc_id, r.key): 0 for r in mixing.mix(df).collect()})
+        for r in mixing.mix(df).collect():
+            want[(r.doc_id, r.key)] += r.copies
+        key = F.xxhash64(F.lit(7), "doc_id", "source", F.coalesce("text", F.lit("")))
+        for entries in (1, 64, mixing.MARKS):
+            got = mixing.mixed(df, entries=entries).select("doc_id", key.alias("k")).collect()
+            assert Counter((r.doc_id, r.k) for r in got) == +want
+    plan = mixing.mixed(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") > plan.index("Union")
+
+
+def test_rows_of_different_keys_do_not_move(spark):
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "key long, text string")
+    assert "Exchange" not in quality.once(df, "key")._jdf.queryExecution().executedPlan().toString()
+    twice = df.unionByName(df.where("key % 3 = 0")).unionByName(df.where("key = 6"))
+    assert Counter(tuple(r) for r in quality.once(twice, "key").collect()) == Counter(tuple(r) for r in df.collect())
+
+
 def test_large_source_meets_in_rounds(spark):
     df = spark.range(9000, numPartitions=4).selectExpr("id as doc_id", "repeat('w ', cast(1 + id % 37 as int)) as text", "if(id % 3 = 0, 'b', 'a') as source")
     rows = mixing.mix(df).groupBy("source", "target").sum("taken").collect()
