@@ -1,10 +1,10 @@
-"""Best-fit packing of documents into sequences: local best-fit, full bins leave, the rest merges up a tree.
+"""Best-fit packing of documents into sequences: local best-fit, full bins leave, all the others merge by their counts.
 
-Round 0 tokenises, cuts longer documents into pieces and packs each slice of pieces by best-fit decreasing. After that no two
-bins of a task fit together, so at most one of them is half full or less. Bins as items can only gain from a merge when a
-half-full bin of one task goes into another task's gap; each merge of ``FAN_IN`` tasks has at most ``FAN_IN`` such bins, and if
-they fit anywhere they fit the emptiest bins of a task. A task therefore passes on its ``FAN_IN`` emptiest bins and emits all
-others; nothing that a merge could use is lost, and no task ever gathers more than ``FAN_IN`` squared bins.
+Round 0 tokenises, cuts longer documents into pieces and packs each slice of pieces by best-fit decreasing. Every bin that is
+not full then meets those of all tasks, as an item of its fill: best-fit decreasing over all of them, so that no two sequences
+of the result fit together. Items of one size are alike and best-fit depends on sizes alone, so it needs to know only how many
+bins have each fill: ``room`` numbers, whatever the size of the table. It works on stretches of equal bins and gives each
+stretch its place; a bin finds its own by its fill and its rank among the bins of that fill. No task gathers bins.
 
 Nulls: a null text is empty: one end id. Every row is packed, repeated ids and rows included. An empty table gives no rows.
 """
@@ -21,13 +21,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.llm.common import coded, slices, text_or_empty
 from palisade.session import cut_lineage
 
-FAN_IN = 16
+LEFT = 1 << 62  # numbers from here on are those of sequences of bins that were not full
 WINDOW = 1 << 17  # pieces that are packed together
 SLICE = 2 << 20  # bytes of text tokenised at once: their units, ids and places take many times as much
 # White space before a space: there a run of white space could end in the middle of a unit.
@@ -164,7 +164,7 @@ def best_fit(sizes: np.ndarray, room: int) -> list[list[int]]:
     return bins
 
 
-PIECE = "doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint, node bigint, fill int"
+PIECE = "doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint, node bigint, fill int, rank bigint"
 
 
 def _emit(cols: dict[str, np.ndarray | pa.Array], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -181,35 +181,26 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
     schema = PIECE.format(kind=kind)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, task, made = Ids(tokenizer_path), TaskContext.get().partitionId(), 0
+        ids_of, task, made, met = Ids(tokenizer_path), TaskContext.get().partitionId(), 0, np.zeros(room + 1, np.int64)
         waiting: list[dict] = []
         for batch in slices(batches, limit=SLICE):
             waiting.append(_cut(batch, ids_of, room, end))
             if sum(len(w["length"]) for w in waiting) >= WINDOW:
-                out, made = _pack_pieces(waiting, room, task, made)
+                out, made = _pack_pieces(waiting, room, task, made, met)
                 yield out
                 waiting = []
         if waiting:
-            yield _pack_pieces(waiting, room, task, made)[0]
+            yield _pack_pieces(waiting, room, task, made, met)[0]
 
-    # node: the task that may still merge the bin, null for a bin that is done.
+    # node: the task that the bin waits in, null for a bin that is full; rank: its place among the task's bins of its fill.
     table = cut_lineage(src.mapInArrow(first, schema))
-    done, rest = [table.where(F.col("node").isNull())], table.where(F.col("node").isNotNull())
-    tasks = (rest.agg(F.max("node")).first()[0] or 0) + 1
-    level = 0
-    # A task of several windows has bins that did not meet yet, even if it is the only one.
-    apart = tasks == 1 and not rest.groupBy("node").agg(F.count_distinct("sequence_id").alias("n")).where(F.col("n") > FAN_IN).isEmpty()
-    while tasks > 1 or (apart and not level):
-        tasks = -(-tasks // FAN_IN)
-        level += 1
-        dealt = rest.withColumn("node", F.floor(F.col("node") / FAN_IN).cast("bigint")).repartition("node").sortWithinPartitions("node", "sequence_id", "offset")
-        merged = cut_lineage(dealt.mapInArrow(_merge(room, level), schema))
-        done.append(merged.where(F.col("node").isNull()))
-        rest = merged.where(F.col("node").isNotNull())
-    out = rest
-    for d in done:
-        out = out.unionByName(d)
-    return out.drop("node", "fill")
+    done, rest = table.where(F.col("node").isNull()), table.where(F.col("node").isNotNull())
+    # Of each fill: the bins of the tasks ahead, and all.
+    found = cut_lineage(rest.groupBy("node", "fill").agg((F.max("rank") + 1).alias("n")))
+    ahead = found.select("node", "fill", (F.sum("n").over(Window.partitionBy("fill").orderBy("node")) - F.col("n")).alias("ahead"))
+    total = {r.fill: r.n for r in found.groupBy("fill").agg(F.sum("n").alias("n")).collect()}
+    placed = rest.join(ahead, ["node", "fill"]).withColumn("rank", F.col("rank") + F.col("ahead")).select(*table.columns)
+    return done.unionByName(placed.mapInArrow(_moved(counted_best_fit(total, room)), schema)).drop("node", "fill", "rank")
 
 
 def _cut(batch: pa.RecordBatch, ids_of: Ids, room: int, end: int) -> dict:
@@ -232,7 +223,8 @@ def _cut(batch: pa.RecordBatch, ids_of: Ids, room: int, end: int) -> dict:
     return {"doc_id": batch.column("doc_id").take(pa.array(doc)), "piece": nth, "start": start, "length": length, "ids_crc32": crc}
 
 
-def _pack_pieces(waiting: list[dict], room: int, task: int, made: int) -> tuple[pa.RecordBatch, int]:
+def _pack_pieces(waiting: list[dict], room: int, task: int, made: int, met: np.ndarray) -> tuple[pa.RecordBatch, int]:
+    """The packed pieces; ``met`` counts the task's bins of each fill."""
     cols = {c: np.concatenate([w[c] for w in waiting]) for c in ("piece", "start", "length", "ids_crc32")}
     doc_id = pa.concat_arrays([w["doc_id"] for w in waiting])
     n = len(doc_id)
@@ -246,58 +238,76 @@ def _pack_pieces(waiting: list[dict], room: int, task: int, made: int) -> tuple[
             at += int(cols["length"][i])
         fills[b] = at
         fill[items] = at
-    open_bins = np.zeros(len(bins), bool)
-    open_bins[_passed_on(fills, room)] = True
-    node = pa.array(np.full(n, task, np.int64), mask=~open_bins[seq])
+    rank = np.zeros(len(bins), np.int64)
+    order = np.argsort(fills, kind="stable")
+    sizes, at, n_of = np.unique(fills[order], return_index=True, return_counts=True)
+    rank[order] = np.arange(len(bins)) - np.repeat(at - met[sizes], n_of)
+    met[sizes] += n_of
+    node = pa.array(np.full(n, task, np.int64), mask=fill == room)
     ids = (task << 40) + made + seq
-    types = [doc_id.type, pa.int32(), *[pa.int64()] * 6, pa.int32()]
-    return _emit({"doc_id": doc_id, **cols, "sequence_id": ids, "offset": offset, "node": node, "fill": fill}, types), made + len(bins)
+    types = [doc_id.type, pa.int32(), *[pa.int64()] * 6, pa.int32(), pa.int64()]
+    return _emit({"doc_id": doc_id, **cols, "sequence_id": ids, "offset": offset, "node": node, "fill": fill, "rank": rank[seq]}, types), made + len(bins)
 
 
-def _passed_on(fills: np.ndarray, room: int) -> np.ndarray:
-    """The emptiest bins, those that a merge could still use."""
-    order = np.argsort(fills, kind="stable")[:FAN_IN]
-    return order[fills[order] < room]
+def counted_best_fit(total: dict[int, int], room: int) -> dict[str, np.ndarray]:
+    """Best-fit decreasing of ``total[size]`` items of each size, as stretches of items.
 
+    A stretch: the items of one ``size`` from rank ``first`` on, ``each`` of them a bin, from the bin ``bin`` on, in it from
+    ``offset`` on. Stretches are sorted by size and rank and hold every item. Bins of one content are a row: what is left of its
+    room, how many there are, and per size (size, rank of its first item, items a bin, offset). An item goes to the smallest gap
+    that takes it and so do its like, until that bin takes no more; then comes the next bin of the row.
+    """
+    by_gap: dict[int, list[tuple[int, tuple]]] = {}
+    gaps: list[int] = []  # the different gaps, sorted
 
-def _merge(room: int, level: int):
-    """Best-fit of bins as items, per node. A bin that is put after others keeps its pieces, moved by their fill."""
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, held = None, []
+    def keep(gap: int, n: int, content: tuple) -> None:
+        if n and gap not in by_gap:
+            bisect.insort(gaps, gap)
+            by_gap[gap] = []
+        if n:
+            by_gap[gap].append((n, content))
+
+    for size in sorted(total, reverse=True):
+        left, rank = total[size], 0
+        while left:
+            k = bisect.bisect_left(gaps, size)
+            if k < len(gaps):
+                gap = gaps[k]
+                n, content = by_gap[gap].pop()
+                if not by_gap[gap]:
+                    del by_gap[gap], gaps[k]
+            else:
+                gap, n, content = room, -(-left // (room // size)), ()
+            each = gap // size
+            whole = min(n, left // each)  # bins that take as many as fit
+            more = left - whole * each if whole < n else 0  # and one that takes the last
+            for bins, items in ((whole, each), (int(more > 0), more)):
+                keep(gap - items * size, bins, (*content, (size, rank, items, room - gap)))
+                rank, left, content = rank + bins * items, left - bins * items, _behind(content, bins)
+            keep(gap, n - whole - (more > 0), content)
+    rows, at = [], 0
+    for gap in gaps:
+        for n, content in by_gap[gap]:
+            rows += [(size, first, items, at, offset) for size, first, items, offset in content]
+            at += n
+    return dict(zip(("size", "first", "each", "bin", "offset"), np.array(sorted(rows), np.int64).reshape(-1, 5).T, strict=True))
+
+
+def _behind(content: tuple, bins: int) -> tuple:
+    """The content of a row behind its first bins."""
+    return tuple((size, first + bins * items, items, offset) for size, first, items, offset in content)
+
+
+def _moved(plan: dict[str, np.ndarray]):
+    """Pieces of the bins that were not full, where the plan has these; a bin's pieces move by what lies ahead of it."""
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = (plan["size"] << 48) + plan["first"]
         for batch in batches:
-            nodes = np.asarray(batch.column("node"))
-            cuts = [0, *(np.flatnonzero(np.diff(nodes)) + 1).tolist(), len(nodes)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a == b:
-                    continue
-                if nodes[a] != node and held:
-                    yield one(held)
-                    held = []
-                node = nodes[a]
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield one(held)
-
-    def one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-        _, first, of = np.unique(np.asarray(t.column("sequence_id")), return_index=True, return_inverse=True)
-        fills = np.asarray(t.column("fill"), dtype=np.int64)[first]
-        ids = np.asarray(t.column("sequence_id"))[first]
-        bins = best_fit(fills, room)
-        target, moved, total = np.zeros(len(fills), np.int64), np.zeros(len(fills), np.int64), np.zeros(len(bins), np.int64)
-        for b, items in enumerate(bins):
-            at = 0
-            for i in items:
-                target[i], moved[i] = b, at
-                at += int(fills[i])
-            total[b] = at
-        open_bins = np.zeros(len(bins), bool)
-        open_bins[_passed_on(total, room)] = True
-        name = np.array([ids[items[0]] for items in bins])  # a merged sequence keeps the number of its first bin
-        node = pa.array(np.asarray(t.column("node")), mask=~open_bins[target[of]])
-        cols = {c: t.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")}
-        types = [t.schema.field(c).type for c in t.schema.names]
-        return _emit({**cols, "sequence_id": name[target[of]], "offset": np.asarray(t.column("offset")) + moved[of], "node": node, "fill": total[target[of]]}, types)
-
-    return merge
+            fill, rank, offset = (np.asarray(batch.column(c)).astype(np.int64) for c in ("fill", "rank", "offset"))
+            i = np.searchsorted(key, (fill << 48) + rank, "right") - 1
+            nth, inside = np.divmod(rank - plan["first"][i], plan["each"][i])
+            new = {"sequence_id": LEFT + plan["bin"][i] + nth, "offset": offset + plan["offset"][i] + inside * fill}
+            yield pa.RecordBatch.from_arrays([pa.array(new[c]) if c in new else batch.column(c) for c in batch.schema.names], batch.schema.names)
+
+    return move
