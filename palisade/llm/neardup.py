@@ -13,9 +13,10 @@ one comparison a member again. The hub of a round is the group's lightest member
 lightest member h, then whatever is similar to x shares with it a shingle beyond h, one that both hold more often than h. (Were all
 that x and y share within h, they would share no more than x and h do, and y weighs no less than h.) So the next round's groups
 are the members that hold one more shingle beyond their hub; of these shingles, from rare to common, a member needs only as many as
-weigh (1 - threshold) of it, as similar texts leave no more unshared. Groups of one component end; in groups with at most ``FEW``
-members outside the largest component these few are compared with all others, and the group ends. No pair of similar members of a
-bucket is lost, and no member meets more than ``FEW`` others of a group in a round.
+weigh (1 - threshold) of it, as similar texts leave no more unshared. Groups of one component end; in groups with at most ``MANY``
+members outside the largest component these are compared with all others, ``FEW`` at a time, and the group ends: a round leaves a
+member in tens of groups, so it costs more than these comparisons. No pair of similar members of a bucket is lost, and no member
+meets more than ``MANY`` others of a group in a round.
 
 The idf runs from 1 to 1.25: a stronger one would let a group of thousands of near copies make its own shingles light and its
 edits heavy, and so fall apart.
@@ -47,12 +48,16 @@ BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
 IDF_BITS = 20
 DRAWS, DRAW_ROWS = 1 << 16, 1 << 12
+TOGETHER = 256  # shingles sampled together: their draws stay in the processor's cache
 BLOOM = 1 << 23
 SALT_ROWS = 256
 SLICE = 2 << 20  # bytes of text that a task looks at together
 FEW = 1024  # members outside a group's largest component that are held in a task
-MARKS = 1 << 13
+MANY = 8 * FEW  # and those that are compared with all members of the group, in turns
+COLUMNS = 1024  # shingles of the table that all members are multiplied with
+BATCH = 128  # members compared at once
 SLACK = 1e-6  # of rounding
+ROUGH = 1e-4  # of rounding in sums of 32 bits, relative
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -131,17 +136,26 @@ class Sampler:
         kinds, tf = found[first], np.diff(first, append=len(found))
         log_w = np.log(tf * self.idf[kinds >> (32 - IDF_BITS)]).astype(np.float32)
         low, kind, level = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.uint32), np.zeros(SAMPLES, np.int64)
-        every = np.arange(SAMPLES)
-        for a in range(0, len(kinds), 4096):
-            part = kinds[a : a + 4096]
+        for a in range(0, len(kinds), TOGETHER):
+            part = kinds[a : a + TOGETHER]
             row = part & np.uint32(DRAWS - 1)
-            r = self.r[row]
-            t = np.floor(log_w[a : a + 4096, None] * (1 / r) + self.b[row])
-            ln_a = self.fixed[row] - r * t
-            best = ln_a.argmin(0)
-            value = ln_a[best, every]
-            less = value < low
-            low[less], kind[less], level[less] = value[less], part[best[less]], t[best[less], every[less]].astype(np.int64)
+            r = self.r.take(row, 0)
+            t = 1 / r
+            t *= log_w[a : a + TOGETHER, None]
+            t += self.b.take(row, 0)
+            np.floor(t, t)
+            ln_a = self.fixed.take(row, 0)
+            r *= t
+            ln_a -= r
+            value = ln_a.min(0)
+            less = np.flatnonzero(value < low)
+            if not len(less):
+                continue
+            best = np.empty(SAMPLES, np.int64)
+            at, sample = np.nonzero(ln_a == value)
+            best[sample[::-1]] = at[::-1]  # of equal ones the first
+            best = best[less]
+            low[less], kind[less], level[less] = value[less], part[best], t[best, less].astype(np.int64)
         x = (kind.astype(np.uint64) * MIX) ^ (level.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) ^ self.sample
         return ((x ^ (x >> np.uint64(31))) * MIX >> np.uint64(32)).astype(np.uint32)
 
@@ -311,8 +325,8 @@ def links(docs: DataFrame, text: str = "text", threshold: float = 0.8, strength:
         if open_groups.isEmpty():
             return grouped
         left = cut_lineage(spread_join(placed, open_groups, "g"))
-        near = settled(left.where(F.col("others") <= FEW), sets, idf, threshold)
-        left = left.where(F.col("others") > FEW).select("g", "node")
+        near = settled(left.where(F.col("others") <= MANY), sets, idf, threshold)
+        left = left.where(F.col("others") > MANY).select("g", "node")
         if left.isEmpty():
             return merged(grouped, near)
         hubs = left.join(weighed, "node").groupBy("g").agg(F.min_by("node", "w").alias("hub"))
@@ -326,31 +340,42 @@ def links(docs: DataFrame, text: str = "text", threshold: float = 0.8, strength:
 
 
 def settled(members: DataFrame, sets: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """Written table (src, dst): the similar pairs of groups (g, node, c, n, top) with at most ``FEW`` members outside the component ``top``.
+    """Written table (src, dst): the similar pairs of groups (g, node, c, n, top, others) with ``others`` members outside the component ``top``.
 
-    These few are sent ahead of all members, to each task of the group, and every member is compared with them as it comes.
-    No pairs are sent, and a large group is dealt to several tasks.
+    These are dealt into turns of about ``FEW``. A turn's are sent ahead of all members, to each task of the group and turn, and
+    every member is compared with them as it comes. No pairs are sent, and a large group is dealt to several tasks.
     """
     shared = sets.sparkSession.sparkContext.broadcast(idf)
-    salts = F.ceil(F.col("n") / FEW).cast("int")
-    found = members.join(sets, "node").select("g", "node", "c", "n", "top", "found")
-    few = found.where(F.col("c") != F.col("top")).select("g", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(True).alias("few"), "node", "c", "found")
-    rest = found.select("g", F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"), F.lit(False).alias("few"), "node", "c", "found")
-    dealt = few.unionByName(rest).repartition("g", "salt").sortWithinPartitions("g", "salt", F.desc("few"))
+    salts, turns = F.ceil(F.col("n") / FEW).cast("int"), F.ceil(F.col("others") / FEW).cast("int")
+    found = members.join(sets, "node").select("g", "node", "c", "n", "top", "others", "found")
+    few = found.where(F.col("c") != F.col("top")).select(
+        "g", F.pmod(F.xxhash64("node", F.lit(1)), turns).cast("int").alias("turn"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(True).alias("few"), "node", "c", "found")
+    rest = found.select(
+        "g", F.explode(F.sequence(F.lit(0), turns - 1)).alias("turn"), F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"), F.lit(False).alias("few"), "node", "c", "found")
+    dealt = few.unionByName(rest).repartition("g", "turn", "salt").sortWithinPartitions("g", "turn", "salt", F.desc("few"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, Held(shared.value, threshold)
         for batch in batches:
-            src, dst = [], []
-            for g, salt, ahead, node_id, c, data in zip(*[batch.column(x).to_pylist() for x in ("g", "salt", "few", "node", "c", "found")], strict=True):
-                if (g, salt) != group:
-                    group, held = (g, salt), Held(shared.value, threshold)
+            src, dst, waiting = [], [], []
+
+            def compare_waiting() -> None:
+                near = held.similar_to([c for _, c, _ in waiting], [x for *_, x in waiting])  # noqa: B023
+                for (node_id, *_), found in zip(waiting, near, strict=True):  # noqa: B023
+                    src.extend(found)  # noqa: B023
+                    dst.extend([node_id] * len(found))  # noqa: B023
+                waiting.clear()  # noqa: B023
+
+            for g, turn, salt, ahead, node_id, c, data in zip(*[batch.column(x).to_pylist() for x in ("g", "turn", "salt", "few", "node", "c", "found")], strict=True):
+                if (g, turn, salt) != group or len(waiting) == BATCH:
+                    compare_waiting()
+                if (g, turn, salt) != group:
+                    group, held = (g, turn, salt), Held(shared.value, threshold)
                 if ahead:
                     held.add(node_id, c, np.frombuffer(data, np.uint32))
-                    continue
-                near = held.similar(c, np.frombuffer(data, np.uint32))
-                src += near
-                dst += [node_id] * len(near)
+                else:
+                    waiting.append((node_id, c, np.frombuffer(data, np.uint32)))
+            compare_waiting()
             yield pa.RecordBatch.from_pydict({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
     return cut_lineage(dealt.mapInArrow(compare, "src bigint, dst bigint"))
@@ -359,47 +384,75 @@ def settled(members: DataFrame, sets: DataFrame, idf: np.ndarray, threshold: flo
 class Held:
     """The few of a group, which every member is compared with.
 
-    A set's shingles are also marks in a row of ``MARKS`` bits. A mark that the other set lacks is a shingle that it lacks, of
-    weight 1 at least, so common marks bound the similarity from above; only pairs that may pass are compared in full.
+    What a held set weighs in the shingles that a member has bounds from above what they share. The bound of all pairs comes from
+    a table of the ``COLUMNS`` shingles that most held sets have, by a product of matrices, and from lists of the sets that have
+    each other shingle; only pairs that may pass are compared in full.
     """
 
     def __init__(self, idf: np.ndarray, threshold: float) -> None:
-        self.idf, self.threshold, self.n = idf, threshold, 0
-        self.bits = np.zeros((8, MARKS // 64), np.uint64)
-        self.numbers = np.zeros((8, 2))  # marks and weight
+        self.idf, self.threshold = idf, threshold
         self.sets: list[tuple] = []
-        self.components = np.zeros(8, np.int64)
+        self.ready = False
 
-    def _seen(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, np.ndarray]:
+    def _seen(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         kinds, times = np.unique(found, return_counts=True)
         each = self.idf[kinds >> (32 - IDF_BITS)].astype(np.float64)
-        marks = np.zeros(MARKS, bool)
-        marks[kinds % MARKS] = True
-        return kinds, times, each, float((times * each).sum()), np.packbits(marks).view(np.uint64)
+        return kinds, times, each, float((times * each).sum())
 
     def add(self, node_id: int, component: int, found: np.ndarray) -> None:
-        kinds, times, _, weight, bits = self._seen(found)
-        if self.n == len(self.bits):
-            self.bits, self.numbers = np.concatenate([self.bits, np.zeros_like(self.bits)]), np.concatenate([self.numbers, np.zeros_like(self.numbers)])
-            self.components = np.concatenate([self.components, np.zeros_like(self.components)])
-        self.bits[self.n], self.numbers[self.n], self.components[self.n] = bits, (np.bitwise_count(bits).sum(), weight), component
-        self.sets.append((node_id, kinds, times))
-        self.n += 1
+        self.sets.append((node_id, component, *self._seen(found)))
+        self.ready = False
+
+    def _index(self) -> None:
+        n = len(self.sets)
+        self.components = np.array([x[1] for x in self.sets], np.int64)
+        self.weights = np.array([x[5] for x in self.sets])
+        owner = np.repeat(np.arange(n), [len(x[2]) for x in self.sets])
+        weight = np.concatenate([np.zeros(0), *[x[3] * x[4] for x in self.sets]])
+        self.kinds, of, count = np.unique(np.concatenate([np.zeros(0, np.uint32), *[x[2] for x in self.sets]]), return_inverse=True, return_counts=True)
+        most = np.argsort(-count, kind="stable")[:COLUMNS]
+        self.column = np.full(len(count), -1)
+        self.column[most] = np.arange(len(most))
+        column = self.column[of]
+        self.table = np.zeros((len(most), n), np.float32)
+        self.table[column[column >= 0], owner[column >= 0]] = weight[column >= 0]
+        rest = np.flatnonzero(column < 0)
+        rest = rest[np.argsort(of[rest], kind="stable")]
+        self.owner, self.weight = owner[rest], weight[rest]
+        self.start = np.searchsorted(of[rest], np.arange(len(count) + 1))
+        self.ready = True
 
     def similar(self, component: int, found: np.ndarray) -> list[int]:
         """The held nodes of other components that are similar to a set."""
-        kinds, times, each, weight, bits = self._seen(found)
-        common = np.bitwise_count(self.bits[: self.n] & bits).sum(1, dtype=np.int64)
-        marks, weights = self.numbers[: self.n].T
-        most = np.minimum(weight - (np.bitwise_count(bits).sum() - common), weights - (marks - common))
-        able = (self.components[: self.n] != component) & (most >= self.threshold * (weight + weights - most) - SLACK)
-        out = []
-        for i in np.flatnonzero(able).tolist():
-            node_id, other, other_times = self.sets[i]
+        return self.similar_to([component], [found])[0]
+
+    def similar_to(self, components: list[int], founds: list[np.ndarray]) -> list[list[int]]:
+        """The same for each of several sets."""
+        if not self.sets or not founds:
+            return [[] for _ in founds]
+        if not self.ready:
+            self._index()
+        seen = [self._seen(x) for x in founds]
+        has, listed = np.zeros((len(founds), len(self.table)), np.float32), []
+        for i, (kinds, *_) in enumerate(seen):
+            at = np.minimum(np.searchsorted(self.kinds, kinds), max(len(self.kinds) - 1, 0))
+            at = at[self.kinds[at] == kinds] if len(self.kinds) else at[:0]
+            column = self.column[at]
+            has[i, column[column >= 0]] = 1
+            at = at[column < 0]
+            places = np.repeat(self.start[at], count := self.start[at + 1] - self.start[at]) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            listed.append(np.bincount(self.owner[places], self.weight[places], len(self.sets)))
+        most = (has @ self.table + np.array(listed)) * (1 + ROUGH) + SLACK
+        weight = np.array([x[3] for x in seen])[:, None]
+        able = (self.components != np.array(components)[:, None]) & (most >= self.threshold * (weight + self.weights - most))
+        out: list[list[int]] = [[] for _ in founds]
+        for j, i in np.argwhere(able).tolist():
+            kinds, times, each, w = seen[j]
+            node_id, _, other, other_times, _, other_w = self.sets[i]
             _, at, there = np.intersect1d(kinds, other, assume_unique=True, return_indices=True)
             low = (np.minimum(times[at], other_times[there]) * each[at]).sum()
-            if (not weight and not weights[i]) or low / (weight + weights[i] - low) >= self.threshold:
-                out.append(node_id)
+            if (not w and not other_w) or low / (w + other_w - low) >= self.threshold:
+                out[j].append(node_id)
         return out
 
 
