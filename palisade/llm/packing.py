@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from palisade.llm.common import coded, slices, text_or_empty
 from palisade.session import cut_lineage
 
-LEFT = 1 << 62  # numbers from here on are those of sequences of bins that were not full
+LEFT = 1 << 62  # numbers from here on are those of sequences of several bins
 WINDOW = 1 << 17  # pieces that are packed together
 SLICE = 2 << 20  # bytes of text tokenised at once: their units, ids and places take many times as much
 # White space before a space: there a run of white space could end in the middle of a unit.
@@ -253,7 +253,7 @@ def counted_best_fit(total: dict[int, int], room: int) -> dict[str, np.ndarray]:
     """Best-fit decreasing of ``total[size]`` items of each size, as stretches of items.
 
     A stretch: the items of one ``size`` from rank ``first`` on, ``each`` of them a bin, from the bin ``bin`` on, in it from
-    ``offset`` on. Stretches are sorted by size and rank and hold every item. Bins of one content are a row: what is left of its
+    ``offset`` on; ``alone`` if nothing else is in these bins. Stretches are sorted by size and rank and hold every item. Bins of one content are a row: what is left of its
     room, how many there are, and per size (size, rank of its first item, items a bin, offset). An item goes to the smallest gap
     that takes it and so do its like, until that bin takes no more; then comes the next bin of the row.
     """
@@ -288,9 +288,10 @@ def counted_best_fit(total: dict[int, int], room: int) -> dict[str, np.ndarray]:
     rows, at = [], 0
     for gap in gaps:
         for n, content in by_gap[gap]:
-            rows += [(size, first, items, at, offset) for size, first, items, offset in content]
+            alone = len(content) == 1 and content[0][2] == 1
+            rows += [(size, first, items, at, offset, alone) for size, first, items, offset in content]
             at += n
-    return dict(zip(("size", "first", "each", "bin", "offset"), np.array(sorted(rows), np.int64).reshape(-1, 5).T, strict=True))
+    return dict(zip(("size", "first", "each", "bin", "offset", "alone"), np.array(sorted(rows), np.int64).reshape(-1, 6).T, strict=True))
 
 
 def _behind(content: tuple, bins: int) -> tuple:
@@ -307,7 +308,8 @@ def _moved(plan: dict[str, np.ndarray]):
             fill, rank, offset = (np.asarray(batch.column(c)).astype(np.int64) for c in ("fill", "rank", "offset"))
             i = np.searchsorted(key, (fill << 48) + rank, "right") - 1
             nth, inside = np.divmod(rank - plan["first"][i], plan["each"][i])
-            new = {"sequence_id": LEFT + plan["bin"][i] + nth, "offset": offset + plan["offset"][i] + inside * fill}
+            name = np.where(plan["alone"][i], np.asarray(batch.column("sequence_id")), LEFT + plan["bin"][i] + nth)
+            new = {"sequence_id": name, "offset": offset + plan["offset"][i] + inside * fill}
             yield pa.RecordBatch.from_arrays([pa.array(new[c]) if c in new else batch.column(c) for c in batch.schema.names], batch.schema.names)
 
     return move
